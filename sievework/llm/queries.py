@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, html_text, langid, mixing, ngram_join, pii
+from sievework.llm import chat, decontaminate, embed_dedup, html_text, langid, mixing, ngram_join, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
+def op5_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op2_mixing": op2_mixing,
+        "op5_embed_dedup": op5_embed_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_ngram_join": op7_ngram_join,
         "op8_pii": op8_pii,
