@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, embed_dedup, html_text, langid, mixing, ngram_join, pii, suffix_dedup
+from sievework.llm import chat, decontaminate, embed_dedup, html_text, langid, lm_score, mixing, ngram_join, pii, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op2_mixing": op2_mixing,
+        "op3_lm_score": op3_lm_score,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_embed_dedup": op5_embed_dedup,
         "op6_chat_format": op6_chat_format,
