@@ -1,11 +1,18 @@
-"""The corpus pipeline: stages over the documents table, in order."""
+"""The corpus pipeline: stages over the documents table, in order.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``. ``run`` writes what a stage returns to the
+shared folder and reads it again, so that a later stage never repeats an earlier
+one and lost executors cost no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import langid
+from sievework.llm import decontaminate, langid, mixing, ngram_join, pii
+from sievework.llm.shared import Tables
 
 #: Below this calibrated probability a document's language counts as unknown.
 MIN_LANG_SCORE = 0.5
@@ -13,24 +20,70 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text shows no known language; ``lang`` becomes what was found."""
-    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = langid.fit_langid(known)
-    found = langid.identify(docs.select(*COLUMNS), model, lang_col="__lang", score_col="__score")
+    """Drops documents without letters and those whose language is unsure; ``lang`` becomes what was found.
+
+    With no labelled document there is nothing to learn: then only documents without letters go.
+    """
+    docs = docs.select(*COLUMNS)
+    model = langid.fit_langid(docs)
+    if not model.langs:
+        return docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    found = langid.identify(docs, model, lang_col="__lang", score_col="__score")
     return found.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANG_SCORE)).select(
         "doc_id", "text", F.col("__lang").alias("lang"), "source", "n_chars"
     )
 
 
-STAGES = [("language", language)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays.
+
+    Documents with a null id or without words stay; of rows equal in id and text one stays.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = ngram_join.jaccard_components(docs)
+    gone = groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows"))
+    gone = Tables(spark, "near-duplicates").write("gone", gone.where("gone or rows > 1"))
+    kept = docs.join(gone.where("gone").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id", "text"]) if gone.where("rows > 1").limit(1).count() else kept
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark, be it with other numbers or names."""
+    return decontaminate.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind; ``n_chars`` follows the text."""
+    found = pii.find_pii(docs.select(*COLUMNS), keep=("lang", "source"))
+    return pii.redact(found).select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights, with pass, block and position in the mixture."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_free", benchmark_free),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+]
 
-#: Learned decisions have no SQL form; tests compare the stages with brute force.
+#: Learned decisions and hashed orders have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    tables = Tables(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        docs = tables.write(name, out)
+        if k:
+            tables.drop(STAGES[k - 1][0])
     return docs
