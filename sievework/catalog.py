@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from sievework.plans.registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("text_queries",)
+
+for _name in MODULES:
+    importlib.import_module(f"sievework.plans.{_name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
