@@ -6,7 +6,7 @@ import importlib
 
 from sievework.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("text_queries", "result_queries", "data_queries")
+MODULES = ("text_queries", "result_queries", "data_queries", "page_queries")
 
 for _name in MODULES:
     importlib.import_module(f"sievework.plans.{_name}")
