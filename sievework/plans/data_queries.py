@@ -314,4 +314,4 @@ _chart("chart_sunburst", f"WITH t AS ({TREE}) SELECT label, parent, value FROM t
 _chart("chart_funnel", "SELECT event_type AS stage, count(DISTINCT user_id) AS value FROM events GROUP BY ALL", lambda s, d: table(s, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count_distinct("user_id").alias("value")))
 _chart("chart_gauge", "SELECT round(avg(l_quantity), 4) AS value, 0.0::DOUBLE AS least, 50.0::DOUBLE AS most, 45.0::DOUBLE AS threshold FROM lineitem", lambda s, d: table(s, d, "lineitem").agg(F.round(F.avg("l_quantity"), 4).alias("value")).select("value", F.lit(0.0).alias("least"), F.lit(50.0).alias("most"), F.lit(45.0).alias("threshold")))
 _chart("chart_indicator", f"SELECT x, y, y - lag(y) OVER (ORDER BY x) AS delta FROM (SELECT {MONTH} AS x, count(*) AS y FROM orders GROUP BY ALL)", lambda s, d: _orders(s, d).groupBy(F.col("month").alias("x")).agg(F.count("*").alias("y")).withColumn("delta", F.col("y") - F.lag("y").over(Window.orderBy("x"))))
-_chart("chart_bubble", "SELECT c_mktsegment AS color, c_nationkey AS x, round(avg(c_acctbal), 2) AS y, count(*) AS size FROM customer GROUP BY ALL", lambda s, d: table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("color"), F.col("c_nationkey").alias("x")).agg(F.round(F.avg("c_acctbal"), 2).alias("y"), F.count("*").alias("size")))
+_chart("chart_bubble", "SELECT c_mktsegment AS color, c_nationkey AS x, round(avg(c_acctbal), 6) AS y, count(*) AS size FROM customer GROUP BY ALL", lambda s, d: table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("color"), F.col("c_nationkey").alias("x")).agg(F.round(F.avg("c_acctbal"), 6).alias("y"), F.count("*").alias("size")))
