@@ -1,0 +1,248 @@
+"""The training-data operators against brute force, on small tables with awkward rows."""
+
+import hashlib
+import html as html_lib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from sievework.llm import chat, decontaminate, embed_dedup, html_text, langid, lm_score, mixing, ngram_join, pii, suffix_dedup
+from sievework.llm import queries as Q
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, id long, t string, w long, h long"
+AWKWARD = [None, "", " \n", "a", "A b", "one two three four five", "x" * 5000, "é ß " * 40, "\x01\x02 <|turn|> [INST] &amp; &lt;"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Documents of the smallest table and awkward ones, with columns named as the operators' own."""
+    real = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    extra = [(9000 + k, t, "en" if k % 2 else None, None if k % 3 else "", None) for k, t in enumerate(AWKWARD)] + [(None, "null id text here again", None, None, None), (9100, "one two three four five", None, "s", 1), (9100, "one two three four five", None, "s", 1)]
+    both = real.unionByName(spark.createDataFrame(extra, real.schema))
+    return both.withColumns({"id": F.lit(1), "t": F.lit("t"), "w": F.lit(2), "h": F.lit(3), "n": F.lit(4), "spans": F.lit(5)}).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def test_chat_round_trip(spark):
+    turns = [(1, 2, "user", "c"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b & <|end|>\n"), (2, None, None, None), (2, 0, "a\nb", "[INST]"), (None, 0, "user", "x"), (3, 0, "assistant", ""), (3, 0, "assistant", "")]
+    df = spark.createDataFrame([(*t, "clash", 1) for t in turns], "conv_id long, turn long, role string, text string, formatted string, turns int")
+    got = {r["conv_id"]: r for r in chat.chat_digest(chat.format_chat(df)).collect()}
+    grouped = defaultdict(list)
+    for c, k, role, text in turns:
+        grouped[c].append((-1 if k is None else k, role or "", text or ""))
+    assert set(got) == set(grouped)
+    for c, ts in grouped.items():
+        ts.sort()
+        spelled, loss = "".join(f"{r}\n{t}\n" for _, r, t in ts), "".join(t for _, r, t in ts if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(ts), hashlib.sha256(spelled.encode()).hexdigest())
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.chat_digest(chat.format_chat(df.limit(0))).count() == 0
+    assert Q.op6_chat_format(spark, DATA).where("conv_id = -7").first()["n_turns"] == 2
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(s):
+    return sum(v if k % 2 == 0 else sum(divmod(2 * v, 10)) for k, v in enumerate(int(c) for c in reversed(s))) % 10 == 0
+
+
+def base_ok(kind, s):
+    digits = re.sub("[^0-9]", "", s)
+    return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in s.split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+
+def test_pii_matches_base_rules(spark, docs, rows):
+    hard = ["a@b.c@d.e x a@b.c_d@e.f", "1.2.3.4.5.6.7.8 0000255.1.1.1 256.1.1.1 é 10.0.0.1", "card 4111 1111 1111 1111, 4111111111111112", "+1 (234) 567-8901 and +12", "IBAN DE89 3704 0044 0532 0130 00", "a" * 3000 + "@" + "9" * 3000, "😀 x@y.zz"]
+    extra = spark.createDataFrame([(8000 + k, t) for k, t in enumerate(hard)], "doc_id long, text string")
+    df = docs.select("doc_id", "text", "id", "spans").unionByName(extra, allowMissingColumns=True)
+    found = pii.find_pii(df)
+    got = sorted(((r["doc_id"] or 0, r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.pii_digest(found).collect()))
+    want = []
+    for i, t in rows + [(8000 + k, t) for k, t in enumerate(hard)]:
+        spans = {k: [m for m in re.finditer(p, t or "") if base_ok(k, m.group())] for k, p in BASE.items()}
+        spelled = ",".join(f"{k}:{m.start()}:{m.end()}" for k, ms in spans.items() for m in ms)
+        want.append((i or 0, hashlib.sha256(spelled.encode()).hexdigest(), *(len(spans[k]) for k in BASE)))
+    assert got == sorted(want)
+    red = {r["doc_id"]: r["text"] for r in pii.redact(found).where("doc_id between 8000 and 8006").collect()}
+    assert red[8006] == "😀 <EMAIL>" and red[8004] == "IBAN <IBAN>" and red[8002].startswith("card <CARD>, ")
+
+
+def test_main_text_of_pages(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    for r in Q.op1_html_text(spark, DATA).collect():
+        article = re.search("<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
+        blocks = [" ".join(html_lib.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", article)]
+        assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+    odd = {
+        None: "", "": "", "plain &amp; text": "plain & text", "<p>x": "x",
+        "<body><ul class=menu><li>Home</ul><div><h1>T</h1><p>" + "long text " * 20 + "</div><div class='comments'>nice</div><form>f</form></body>": "T\n\n" + "long text " * 19 + "long text",
+        "<article><header><h1>T</h1></header><p>abc<aside>no</aside></article><![foo]>": "T\n\nabc",
+    }
+    for page, text in odd.items():
+        assert html_text.main_text(page) == text
+
+
+def test_language_held_out(spark, docs):
+    got = Q.op10_langid(spark, DATA).collect()
+    labels = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert sum(r["lang_pred"] == labels[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    model = langid.fit_langid(docs)
+    odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model, keep=["doc_id"]).where("doc_id >= 9000").collect()}
+    assert odd[9000] == odd[9001] == odd[9002] == ("und", 0.0) and odd[9003][0] in {"en", "fr", "de", "es"}
+    nothing = langid.fit_langid(docs.limit(0))
+    assert {r["lang_pred"] for r in langid.identify(docs, nothing, keep=["doc_id"]).collect()} == {"und"}
+
+
+def test_jaccard_components(spark, docs, rows):
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.jaccard_components(docs).collect())
+    sets = []
+    for i, t in rows:
+        w = words(t)
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            (i, s), (j, u) = sets[a], sets[b]
+            if s and u and i is not None and j is not None and 100 * len(s & u) >= 80 * len(s | u):
+                parent[find(a)] = find(b)
+    low = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            low[find(k)] = min(i, low.get(find(k), i))
+    assert got == sorted((i or 0, len(s), low.get(find(k), 0)) for k, (i, s) in enumerate(sets))
+    assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_repeats_removed(spark, docs, rows):
+    extra = [(7000, "ab" * 300), (7001, "ab" * 80), (7002, "x" * 99), (7003, "x" * 101), (7004, "x" * 100), (7005, "é" * 120)]
+    df = docs.select("doc_id", "text", "id", "t").unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect())
+    seen, want = {}, []
+    for i, t in sorted({(-1 if i is None else i, t or "") for i, t in rows + extra}):
+        b = t.encode()
+        cover = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if seen.setdefault(b[s : s + 100], (i, s)) != (i, s):
+                cover[s : s + 100] = b"\1" * 100
+        kept = bytes(c for c, m in zip(b, cover, strict=True) if not m)
+        runs = sum(1 for k in range(len(b)) if cover[k] and (k == 0 or not cover[k - 1]))
+        times = sum(1 for j, u in rows + extra if (-1 if j is None else j, u or "") == (i, t))
+        want += [(max(i, 0), len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest())] * times
+    assert got == sorted(want)
+
+
+def test_transforms_merge_to_sorted_blocks():
+    rng = np.random.default_rng(3)
+    shards, places, base, texts = [], [], 0, []
+    for _ in range(4):
+        text = np.concatenate([np.append(rng.integers(1, 4, rng.integers(20, 60)), 0) for _ in range(6)]).astype(np.uint8)
+        order, before, lf = suffix_dedup.shard_transform(text)
+        shards.append((before, lf))
+        places.append(order + base)
+        texts.append(text)
+        base += len(text)
+    whole = np.concatenate(texts).tobytes()
+    place, block = suffix_dedup.merge_transforms(shards, 5)
+    at = np.concatenate(places)[place]
+    found = defaultdict(set)
+    for p, b in zip(at.tolist(), block.tolist(), strict=True):
+        found[b].add(p)
+    want = defaultdict(set)
+    for p in range(len(whole) - 4):
+        if 0 not in whole[p : p + 5]:
+            want[whole[p : p + 5]].add(p)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_scores(spark, docs, rows):
+    got = sorted(lm_score.score_texts(docs).collect(), key=lambda r: (r["doc_id"] or 0, r["n_tokens"]))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    counts = Counter()
+    for i, t in rows:
+        if not held(i):
+            counts.update([*words(t), None])
+    n, v = sum(counts.values()), len(counts)
+    for (i, t), r in zip(sorted(rows, key=lambda x: (x[0] or 0, len(words(x[1])))), got, strict=True):
+        tokens = [*words(t), None]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(tokens), sum(counts[x] > 0 for x in tokens), n)
+        assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens), rel_tol=1e-9)
+        assert r["score"] < 0
+    assert lm_score.score_texts(docs.limit(0)).count() == 0
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 8))
+    vecs = np.concatenate([base, base[:10] + rng.normal(size=(10, 8)) * 0.15, base[:5], base[:3] * 2])
+    data = [(k, [float(x) for x in v]) for k, v in enumerate(vecs)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] + [1.0] * 7), (904, [1.0, 2.0]), (905, []), (None, [1.0] * 8)]
+    got = {r["vec_id"]: r for r in embed_dedup.embedding_components(spark.createDataFrame([(*d, 0) for d in data], "vec_id long, embedding array<double>, c int")).collect()}
+    unit = vecs / np.sqrt((vecs**2).sum(axis=1))[:, None]
+    link = unit @ unit.T >= 0.9
+    label = np.arange(len(vecs))
+    for _ in range(len(vecs)):
+        label = np.array([label[link[k]].min() for k in range(len(vecs))])
+    for k in range(len(vecs)):
+        assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (link[k].sum() - 1, label[k], label[k] == k)
+    assert all((got[k]["n_links"], got[k]["component_id"]) == (0, k) for k in range(900, 906)) and got[None]["component_id"] is None
+
+
+def test_benchmark_leaks(spark, docs):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    planted = [(5000, f"before {items[1]} after"), (5001, "Ann has 7 pears and 12 figs for Lucy Lane, so Ann eats 7 of them in 20 minutes."), (5002, "Ann has 7 pears and 12 figs for Lucy Lane, so Ben eats 8 of them in 20 minutes.")]
+    bench = bench.select("item_id", "text").unionByName(spark.createDataFrame([(700, "Tom has 5 pears and 9 figs for Mary Hill, so Tom eats 5 of them in 30 minutes."), (701, None), (702, items[1])], "item_id long, text string"))
+    df = docs.select("doc_id", "text", "h").unionByName(spark.createDataFrame(planted, "doc_id long, text string"), allowMissingColumns=True)
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontaminate.contaminated_pairs(df, bench).collect()}
+    whole = {(i, k) for i, t in [(r["doc_id"], r["text"]) for r in docs.collect()] + planted for k, b in items.items() if t and b in t}
+    assert whole <= set(got) and set(got) - whole == {(5001, 700)} and got[(5001, 700)] and not got[(5000, 1)]
+    assert decontaminate.drop_contaminated(df, bench).count() == df.count() - len({i for i, _ in got})
+    assert decontaminate.contaminated_pairs(df.limit(0), bench).count() == 0
+
+
+def test_mixture(spark):
+    rng = np.random.default_rng(2)
+    sizes = {"big": 600, "mid": 150, "small": 50, None: 10}
+    data = [(k, " ".join("w" * int(rng.integers(5, 30))) and "w " * int(rng.integers(5, 30)), s) for k, s in enumerate(x for s, n in sizes.items() for x in [s] * n)]
+    df = spark.createDataFrame([(*d, "p", 1) for d in data], "doc_id long, text string, source string, position string, block int")
+    p = mixing.MixParams(entropy_share=0.85, max_repeats=3.0)
+    got = mixing.mix(df, params=p).collect()
+    tokens = Counter()
+    for _, t, s in data:
+        tokens[s or ""] += len(t.split())
+    total = sum(tokens.values())
+    names = list(tokens)
+    a = mixing.solve_exponent([tokens[s] for s in names], total, p)
+    weights = dict(zip(names, mixing.weights_at([tokens[s] / total for s in names], a), strict=True))
+    assert 0 < a < 1 and mixing.entropy(list(weights.values())) <= 0.85 * math.log(4) + 1e-6
+    used, passes = Counter(), defaultdict(Counter)
+    for r in got:
+        used[r["source"] or ""] += len(r["text"].split())
+        passes[r["source"] or ""][r["doc_id"]] += 1
+        assert 0 <= r["position"] < 1
+    for s in names:
+        assert weights[s] * total - 31 <= used[s] <= weights[s] * total + 1e-6  # the budget, but for the document that no longer fits
+        assert max(passes[s].values()) - min([passes[s].get(k, 0) for k, _, x in data if (x or "") == s]) <= 1
+    assert mixing.mix(df.limit(0)).count() == 0
