@@ -159,7 +159,7 @@ def main_text(html: str | None) -> str:
         parser.close()
     except AssertionError:  # the parser's answer to broken declarations
         parser = _Lines()
-        parser.feed(re.sub(r"<!\[", "&lt;![", html or ""))
+        parser.feed(re.sub(r"<!\[[^>]*>?", "", html or ""))
         parser.close()
     parser._flush()
     lines = parser.lines
