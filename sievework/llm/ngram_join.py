@@ -2,7 +2,8 @@
 
 A document is the set of its distinct k-word shingles (64-bit hashes). In a
 common order of all shingles, two sets of Jaccard similarity >= t share one of
-their first ``n - ceil(t n) + 1`` shingles, their prefixes.
+their first ``n - ceil(t n) + 1`` shingles, their prefixes; of prefixes longer by
+4 they share 5, so documents that share fewer with others are done.
 
 1. A count sketch over all shingles of all documents gives the order: shingles
    that many documents share come last, so that prefixes avoid them; among the
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,15 @@ HOT_TIMES, HOT_LEAST = 3.0, 48
 ROUNDS = 3
 #: A set is sent to at most so many slices of its partners.
 SLICES = 256
+#: Verification runs in so many parts, one after the other.
+PARTS = 4
+#: Pairs whose keys are broadcast at most (four times as many rows of two numbers).
+BROADCAST_ROWS = 250_000
 BEFORE = 8
+#: Prefixes are so much longer that similar sets share this many of them.
+EXTENDED = 5
+#: Bytes of a hash that travel for verification (of 8): sets of a million hashes have a false match in 300 pairs.
+SENT_BYTES = 6
 _U = np.uint64
 
 
@@ -100,7 +110,7 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def _prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     n = len(shingles)
-    size = n + (-percent * n) // 100 + 1
+    size = n + (-percent * n) // 100 + EXTENDED
     level = levels[_slot(shingles)]
     if not level.any():
         return shingles[:size]
@@ -118,32 +128,56 @@ def _digest(s: np.ndarray) -> int:
     return int(np.add.reduce(x) >> _U(1))
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The leading bytes of sorted hashes, which stay sorted."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 8 - SENT_BYTES :].tobytes()
+
+
+def _unpacked(raw: pa.Buffer) -> np.ndarray:
+    wide = np.zeros((raw.size // SENT_BYTES, 8), np.uint8)
+    wide[:, 8 - SENT_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, SENT_BYTES)
+    return wide.view(_U).ravel()
+
+
 def _sets_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
                 wanted = batch.column(0).slice(a, b - a).to_pylist()
-                hit = [(w, s.tobytes()) for w, s in zip(wanted, sets, strict=True) if _digest(s) == w]
+                hit = [(w, _packed(s)) for w, s in zip(wanted, sets, strict=True) if _digest(s) == w]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in hit], pa.int64()), pa.array([s for _, s in hit], pa.binary())], names=["w", "s"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough. Each slice of a set's partners streams past that set."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
+    """The pairs whose whole sets are similar enough.
+
+    Keys of up to BROADCAST_ROWS pairs are broadcast, so that sets are picked where they lie.
+    More pairs are verified in PARTS jobs, so that the sets of only some pairs are on disk at a time.
+    """
+    light = pairs.count() <= BROADCAST_ROWS
+    parts = [pairs] if light else [pairs.where(F.pmod(F.xxhash64("a"), F.lit(PARTS)) == k) for k in range(PARTS)]
+    done = [tables.write(f"{name}-{k}", _verified_part(part, sets, percent, light)) for k, part in enumerate(parts)]
+    return reduce(DataFrame.unionAll, done)
+
+
+def _verified_part(pairs: DataFrame, sets: DataFrame, percent: int, light: bool) -> DataFrame:
+    """Each slice of a set's partners streams past that set."""
     salted = pairs.withColumn("slice", F.pmod(F.hash("b"), F.lit(SLICES)))
-    left = salted.select("a", "slice").distinct().join(sets.withColumnRenamed("w", "a"), "a").select("a", "slice", F.lit(None).cast("bigint").alias("b"), "s")
-    right = salted.join(sets.withColumnRenamed("w", "b"), "b").select("a", "slice", "b", "s")
+    own = salted.select(F.col("a").alias("w"), "a", "slice", F.lit(None).cast("bigint").alias("b")).distinct()
+    keys = own.unionAll(salted.select(F.col("b").alias("w"), "a", "slice", "b"))
+    sent = (F.broadcast(keys) if light else keys).join(sets, "w").select("a", "slice", "b", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.empty(0, _U)
         for batch in batches:
             found: list[tuple[int, int]] = []
             for a, part, b, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                other = np.frombuffer(raw.as_buffer(), _U)
+                other = _unpacked(raw.as_buffer())
                 if b is None:
-                    key, own = (a, part), other.copy()
+                    key, own = (a, part), other
                 elif key == (a, part):
                     small, large = (own, other) if len(own) <= len(other) else (other, own)
                     at = np.searchsorted(large, small)
@@ -153,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    placed = left.unionAll(right).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    placed = sent.repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
     return placed.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -173,6 +207,16 @@ def _star_pairs(rows: DataFrame, r: int, percent: int) -> DataFrame:
     return both.where(_compatible("n", "m", percent)).select("a", "b")
 
 
+def _plausible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes share enough: what they share, and all behind the longer rest, must reach the overlap needed."""
+    sides = [profiles.select(*(F.col(c).alias(f"{c}_{x}" if c != "w" else x) for c in profiles.columns)) for x in ("a", "b")]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    behind = lambda n: F.greatest(F.ceil(F.col(n) * percent / 100) - EXTENDED, F.lit(0))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return met.where((F.col("g_a") == F.col("g_b")) | (shared + F.greatest(behind("n_a"), behind("n_b")) >= need)).select("a", "b")
+
+
 def _cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All candidates between different parts. ``rows``: postings of groups; ``nodes`` (w, n, g, c): all members with their parts."""
     members = nodes.select("g", "w", "c")
@@ -241,31 +285,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     listed = once(ids.join(nodes.where("w = g").select("id", "w"), ["id", "w"], "left_semi").select("w", "n", "prefix"))
     posted = listed.select("w", "n", F.posexplode("prefix").alias("at", "token"))
     several = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    lists = tables.write("lists", posted.join(several, "token", "left_semi"))
+    common = tables.write("common", posted.join(several, "token", "left_semi"))
+    # a similar set has at least percent % of the size, and so on in turn: small sets can't share EXTENDED
+    least = F.greatest(F.lit(1), F.least(F.lit(EXTENDED), F.floor(F.col("n") * percent * percent / 10_000)))
+    enough = common.groupBy("w").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("w")
+    lists = tables.write("lists", common.join(enough, "w", "left_semi"))
+    slim = tables.write("slim", seen.drop("prefix", "head"))
+    tables.drop("common", "seen")
+    tokens = lists.groupBy(F.col("w").alias("g")).agg(F.collect_list("token").alias("tokens"))
+    profiles = tables.write("profiles", nodes.where("members > 1").select("w", "n", "g").join(tokens, "g", "left").unionByName(nodes.where("members = 1").select("w", "n", "g").join(tokens, "g")))
     # whole sets of what may be compared: groups that share a shingle with another, and members of groups with several
     shared = lists.select(F.col("w").alias("g")).distinct()
     need = nodes.where("members > 1").select("w", "id").unionAll(nodes.where("members = 1").join(shared, "g", "left_semi").select("w", "id"))
-    sets = tables.write("sets", once(texts.join(need, "id").select("w", "t").mapInArrow(_sets_of(k), "w bigint, s binary")))
-    links = labels = None
+    need = tables.write("need", need)
+    light = need.count() <= 4 * BROADCAST_ROWS
+    sets = tables.write("sets", once(texts.join(F.broadcast(need) if light else need, "id").select("w", "t").mapInArrow(_sets_of(k), "w bigint, s binary")))
+    links = labels = tested = None
     for r in range(ROUNDS + 1):
         if labels is None:
             parted = nodes.withColumn("c", F.col("w"))
         else:
-            parted = nodes.join(labels, "w", "left").withColumn("c", F.coalesce("component", "w")).drop("component")
+            parted = tables.write(f"parted{r}", nodes.join(labels, "w", "left").withColumn("c", F.coalesce("component", "w")).drop("component"))
         if r < ROUNDS:
             pairs = _star_pairs(lists.join(parted.select("w", "c"), "w") if r else lists.withColumn("c", F.col("w")), r, percent)
             if not r:  # members of a group against its first
                 pairs = pairs.unionAll(nodes.where("w <> g").select(F.col("g").alias("a"), F.col("w").alias("b")))
         else:
             pairs = _cross_pairs(lists.withColumn("g", F.col("w")), parted, percent)
-        pairs = tables.write(f"pairs{r}", pairs.distinct())
-        found = _verified(pairs, sets, percent)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = tables.write(f"pairs{r}", _plausible(pairs, profiles, percent))
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        found = _verified(pairs, sets, percent, tables, f"found{r}")
         links = tables.write(f"links{r}", found if links is None else found.unionAll(links))
         labels = components(links, tables, f"cc{r}-").select(F.col("node").alias("w"), "component")
-        tables.drop(f"pairs{r}")
-    tables.drop("lists", "sets")
+    tables.drop("lists", "sets", "profiles", *(f"{x}{r}" for x in ("pairs", "parted") for r in range(ROUNDS + 1)))
     parted = nodes.select("w", "id").join(labels, "w", "left").withColumn("c", F.coalesce("component", "w")).select("w", "id", "c")
     smallest = parted.groupBy("c").agg(F.min("id").alias("component_id"))
     found = tables.write("found", parted.join(smallest, "c").select("w", "component_id"))
-    keyed = seen.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("w")).alias("w"))
+    keyed = slim.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("w")).alias("w"))
     return keyed.join(found, "w", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Bytes of an Arrow batch while tables are written: each task holds one on either side.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Tables:
     """Writes tables and drops those that are no longer needed.
 
@@ -34,9 +52,16 @@ class Tables:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with _small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets the context cleaner see that the shuffles of finished jobs are unreachable, so that their files go now and not at the driver's next collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
