@@ -38,11 +38,15 @@ DROPPED = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 DROPPED_WORDS = frozenset(
-    "ad ads adslot advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies"
+    "ad ads adslot advert advertisement adverts advertising aside alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies"
     " discussion disqus dropdown footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination"
     " popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription"
     " toolbar topbar widget widgets".split()
 )
+#: Words that drop an element outside articles only: an article's own header holds its headline.
+DROPPED_OUTSIDE = frozenset(("header",))
+#: Words that drop an element outside articles only: an article's own header holds its headline.
+DROPPED_OUTSIDE = frozenset(("header",))
 #: Elements that carry the page or the article; their class words don't drop them.
 CARRIERS = frozenset("article body html main".split())
 #: An unclosed <p> ends where one of these begins.
@@ -82,8 +86,9 @@ class _Lines(HTMLParser):
     def _drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
             return True
+        inside = any(n in ("article", "main") for n, _, _ in self.stack)
         if tag == "header":  # the headline of an article may stand in its header
-            return not any(n in ("article", "main") for n, _, _ in self.stack)
+            return not inside
         if tag in CARRIERS:
             return False
         for key, value in attrs:
@@ -91,8 +96,10 @@ class _Lines(HTMLParser):
                 return True
             if key == "role" and (value or "").strip().lower() in DROPPED_ROLES:
                 return True
-            if key in ("class", "id") and not DROPPED_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", (value or "").lower())):
-                return True
+            if key in ("class", "id"):
+                words = set(re.split(r"[^a-z0-9]+", (value or "").lower()))
+                if words & DROPPED_WORDS or (not inside and words & DROPPED_OUTSIDE):
+                    return True
             if key == "style" and re.search(r"display\s*:\s*none", value or ""):
                 return True
         return False
