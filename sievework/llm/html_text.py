@@ -45,8 +45,6 @@ DROPPED_WORDS = frozenset(
 )
 #: Words that drop an element outside articles only: an article's own header holds its headline.
 DROPPED_OUTSIDE = frozenset(("header",))
-#: Words that drop an element outside articles only: an article's own header holds its headline.
-DROPPED_OUTSIDE = frozenset(("header",))
 #: Elements that carry the page or the article; their class words don't drop them.
 CARRIERS = frozenset("article body html main".split())
 #: An unclosed <p> ends where one of these begins.
