@@ -9,7 +9,7 @@ Every byte covered by a string of ``length`` bytes that also starts earlier
    of one anchor. Segments equal as a whole are settled here (all but the first
    are covered), already within each batch before anything is shuffled.
 2. What is left are anchors whose segments differ. Their bytes are brought
-   together by anchor; windows whose hash occurs once are trimmed off.
+   together by anchor; windows whose hash occurs once are trimmed off, and equal strings settled as in 1.
 3. The strings that remain form shards. Each shard has its suffix array and its
    Burrows-Wheeler transform; these are merged by refining their interleave one
    character at a time: the refinement to depth h follows from that to depth h-1
@@ -38,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.bytesarrays import BYTE_VALUE, POWERS, mix64, text_chunks
+from sievework.llm.bytesarrays import BYTE_VALUE, POWERS, mix64, text_chunks, trim_memory
 from sievework.llm.shared import Tables
 
 ANCHOR = 20
+CHUNK = 1 << 20
 BUCKETS = 512
-SHARD_BYTES = 256 << 10
-GROUP_BYTES = 1536 << 10
+SHARD_BYTES = 128 << 10
+GROUP_BYTES = 512 << 10
 _U = np.uint64
 _NULL_ID = -(1 << 63)
 
@@ -178,7 +179,16 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) ->
     return place, block
 
 
-def repeated_windows(pieces: np.ndarray, blobs: list[bytes], length: int) -> np.ndarray:
+def _slices(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of pieces of about SHARD_BYTES, so that hashing needs little room beside the bytes."""
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + SHARD_BYTES)))
+        yield a, b
+        a = b
+
+
+def repeated_windows(pieces: np.ndarray, blobs: list, length: int) -> np.ndarray:
     """Covered runs (id, x, lo, hi) among strings: ``pieces`` (id, x, lo, run) with bytes of ``run + length - 1`` each."""
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = pieces["run"] + length - 1
@@ -186,11 +196,15 @@ def repeated_windows(pieces: np.ndarray, blobs: list[bytes], length: int) -> np.
     none = np.empty(0, np.dtype([("id", "i8"), ("x", "i8"), ("lo", "i4"), ("hi", "i4")]))
     if not len(data):
         return none
-    h = _window_hashes(data, length)
-    owner = np.repeat(np.arange(len(pieces)), pieces["run"])
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces["run"]) - pieces["run"], pieces["run"])
-    starts = at[owner] + within
-    sought = h[starts]
+    wide = np.int32 if len(data) < 1 << 30 else np.int64
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), pieces["run"])
+    within = np.arange(len(owner), dtype=wide) - np.repeat((np.cumsum(pieces["run"]) - pieces["run"]).astype(wide), pieces["run"])
+    starts = at.astype(wide)[owner] + within
+    sought = np.empty(len(owner), _U)
+    windows = np.concatenate(([0], np.cumsum(pieces["run"])))
+    for a, b in _slices(at, len(data)):
+        part = slice(windows[a], windows[b])
+        sought[part] = _window_hashes(data[at[a] : at[b - 1] + sizes[b - 1]], length)[starts[part] - at[a]]
     order = np.argsort(sought, kind="stable")
     equal = sought[order][1:] == sought[order][:-1]
     wanted = np.zeros(len(sought), bool)
@@ -204,11 +218,27 @@ def repeated_windows(pieces: np.ndarray, blobs: list[bytes], length: int) -> np.
     first = np.flatnonzero(opens)
     runs = np.diff(np.append(np.cumsum(wanted)[first] - 1, wanted.sum()))
     lens = runs + length - 1
+    # equal strings are settled like equal segments: the earliest goes on, the others are covered
+    begin = starts[first]
+    owner, within = owner[first], within[first]
+    strings = np.empty(len(first), _HEAD)
+    placed = sought[wanted] * ((np.arange(wanted.sum(), dtype=_U) - np.repeat((np.cumsum(runs) - runs).astype(_U), runs)) * _U(2) + _U(1))
+    strings["anchor"], strings["seg"] = 0, mix64(np.add.reduceat(placed, np.cumsum(runs) - runs) + runs.astype(_U))
+    strings["id"], strings["x"], strings["lo"], strings["run"] = pieces["id"][owner], pieces["x"][owner], pieces["lo"][owner] + within, runs
+    order = _order(strings)
+    lead, covered = _settle(strings[order])
+    settled = strings[order[covered]]
+    known = np.empty(len(settled), none.dtype)
+    known["id"], known["x"], known["lo"], known["hi"] = settled["id"], settled["x"], settled["lo"], settled["lo"] + settled["run"] - 1 + length
+    order = order[lead]
+    begin, lens, strings = begin[order], lens[order], strings[order]
+    del placed, sought, wanted, opens, starts, equal
     ends = np.cumsum(lens + 1)
     text = np.zeros(ends[-1], np.uint8)
-    begin = ends - lens - 1
-    index = np.arange(ends[-1]) - np.repeat(begin - starts[first], lens + 1)
+    at = ends - lens - 1
+    index = np.arange(ends[-1], dtype=wide) - np.repeat((at - begin).astype(wide), lens + 1)
     text[:] = data[np.minimum(index, len(data) - 1)] + np.uint8(1)
+    del index
     text[ends - 1] = 0
     # shards of whole strings
     cuts = np.unique(np.searchsorted(ends, np.arange(SHARD_BYTES, ends[-1] + SHARD_BYTES, SHARD_BYTES)) + 1)
@@ -222,17 +252,17 @@ def repeated_windows(pieces: np.ndarray, blobs: list[bytes], length: int) -> np.
             done = end
     place, block = merge_transforms(shards, length)
     if not len(place):
-        return none
+        return known
     where = np.concatenate(suffixes)[place]
     string = np.searchsorted(ends, where, "right")
-    piece = owner[first][string]
-    lo = pieces["lo"][piece] + within[first][string] + (where - begin[string])
-    key = np.lexsort((lo, pieces["x"][piece], pieces["id"][piece], block))
+    ids, xs = strings["id"][string], strings["x"][string]
+    lo = strings["lo"][string] + (where - at[string])
+    key = np.lexsort((lo, xs, ids, block))
     head = np.ones(len(key), bool)
     head[1:] = block[key][1:] != block[key][:-1]
     lead = key[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-    later = (pieces["id"][piece][key] != pieces["id"][piece][lead]) | (pieces["x"][piece][key] != pieces["x"][piece][lead]) | (lo[key] != lo[lead])
-    hit, lo = piece[key][later], lo[key][later]
+    later = (ids[key] != ids[lead]) | (xs[key] != xs[lead]) | (lo[key] != lo[lead])
+    hit, lo = string[key][later], lo[key][later]
     # consecutive windows of one string are one run
     order = np.lexsort((lo, hit))
     hit, lo = hit[order], lo[order]
@@ -240,9 +270,9 @@ def repeated_windows(pieces: np.ndarray, blobs: list[bytes], length: int) -> np.
     new[1:-1] = (hit[1:] != hit[:-1]) | (lo[1:] > lo[:-1] + 1)
     opened = np.flatnonzero(new)
     out = np.empty(len(opened) - 1, none.dtype)
-    out["id"], out["x"] = pieces["id"][hit[opened[:-1]]], pieces["x"][hit[opened[:-1]]]
+    out["id"], out["x"] = strings["id"][hit[opened[:-1]]], strings["x"][hit[opened[:-1]]]
     out["lo"], out["hi"] = lo[opened[:-1]], lo[opened[1:] - 1] + length
-    return out
+    return np.concatenate([known, out])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Buffer]]]:
@@ -259,6 +289,30 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa
         yield now, held
 
 
+def _by_anchor(blobs: list[bytes], length: int) -> Iterator[tuple[np.ndarray, list[memoryview]]]:
+    """The pieces of a bucket and their bytes, in groups of about GROUP_BYTES that keep the pieces of an anchor together."""
+    pieces, parts = [], []
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        own = np.frombuffer(blob, _PIECE, n, 8)
+        view, at = memoryview(blob), 8 + n * _PIECE.itemsize
+        for size in (own["run"] + length - 1).tolist():
+            parts.append(view[at : at + size])
+            at += size
+        pieces.append(own)
+    every = np.concatenate(pieces)
+    order = np.argsort(every["anchor"], kind="stable")
+    every = every[order]
+    upto = np.cumsum(every["run"] + length - 1)
+    ends = np.append(np.flatnonzero(every["anchor"][1:] != every["anchor"][:-1]) + 1, len(every))
+    done = 0
+    for k, end in enumerate(ends):
+        last = k == len(ends) - 1
+        if last or upto[ends[k + 1] - 1] - (upto[done - 1] if done else 0) > GROUP_BYTES:
+            yield every[done:end], [parts[i] for i in order[done:end]]
+            done = end
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
 
@@ -274,7 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, xs, found = _ids(batch.column(0)), batch.column(1).to_numpy(), []
-            for a, b, data, offsets in text_chunks(batch.column(2)):
+            for a, b, data, offsets in text_chunks(batch.column(2), CHUNK):
                 row, lo, runs, anchor, seg = segments(data, offsets, length)
                 part = np.empty(len(row), _HEAD)
                 part["anchor"], part["seg"], part["lo"], part["run"] = anchor, seg, lo, runs
@@ -302,6 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())],
                 names=["bucket", "blob", "id", "x", "lo", "hi"],
             )
+        trim_memory()
 
     seen = tables.write("anchors", rows.mapInArrow(anchors, f"bucket int, blob binary, {_COVER}"))
 
@@ -364,23 +419,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(blobs: list[bytes]) -> pa.RecordBatch:
-            pieces, data = [], []
-            for blob in blobs:
-                n = int.from_bytes(blob[:8], "little")
-                pieces.append(np.frombuffer(blob, _PIECE, n, 8))
-                data.append(blob[8 + n * _PIECE.itemsize :])
-            got = repeated_windows(np.concatenate(pieces), data, length)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[c])) for c in ("id", "x", "lo", "hi")], names=["id", "x", "lo", "hi"])
-
-        held: list[bytes] = []
-        for _, blobs in _by_bucket(batches):  # buckets are never parted
-            if held and sum(map(len, held)) + sum(map(len, blobs)) > GROUP_BYTES:
-                yield flush(held)
-                held = []
-            held += blobs
-        if held:
-            yield flush(held)
+        for _, blobs in _by_bucket(batches):
+            for pieces, data in _by_anchor(blobs, length):
+                got = repeated_windows(pieces, data, length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[c])) for c in ("id", "x", "lo", "hi")], names=["id", "x", "lo", "hi"])
+        trim_memory()
 
     brought = keyed.join(asked, ["id", "x"]).select("id", "x", "t", "q").mapInArrow(fetch, "bucket int, blob binary")
     merged = tables.write("merged", brought.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _COVER))
