@@ -99,6 +99,16 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return row[starts], starts - offsets[row[starts]], runs, h[least[starts].astype(np.int64)], seg
 
 
+def _planes(r: np.ndarray) -> bytes:
+    """Records as planes of bytes: those that hardly differ, as the high bytes of ids, then compress."""
+    return np.ascontiguousarray(r).view(np.uint8).reshape(len(r), -1).T.tobytes()
+
+
+def _records(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel() for b in blobs]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
 def _order(r: np.ndarray) -> np.ndarray:
     return np.lexsort((r["lo"], r["x"], r["id"], r["seg"], r["anchor"]))
 
@@ -350,7 +360,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             # in order of the anchor already: its leading bits are the bucket
             bucket = (r["anchor"] >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
             cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-            blobs = [(b, r[cuts[b] : cuts[b + 1]].tobytes()) for b in range(BUCKETS) if cuts[b + 1] > cuts[b]]
+            blobs = [(b, _planes(r[cuts[b] : cuts[b + 1]])) for b in range(BUCKETS) if cuts[b + 1] > cuts[b]]
             none = pa.nulls(len(blobs), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())],
@@ -362,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _by_bucket(batches):
-            r = np.frombuffer(b"".join(blobs), _HEAD)
+            r = _records(blobs, _HEAD)
             order = np.argsort(r["anchor"], kind="stable")
             a = r["anchor"][order]
             equal = a[1:] == a[:-1]
@@ -390,6 +400,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_anchor = seen.where("bucket is not null").select("bucket", "blob").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     settled = tables.write("settled", by_anchor.mapInArrow(settle, f"anchor bigint, {_COVER}"))
 
+    early = tables.write("early", seen.where("bucket is null").select("id", "x", "lo", "hi"))
+    tables.drop("anchors")
     # the bytes of segments that differ
     asked = settled.where("anchor is not null").groupBy("id", "x").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("q"))
     keyed = rows.withColumn("id", F.coalesce("id", F.lit(_NULL_ID)))
@@ -428,7 +440,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     brought = keyed.join(asked, ["id", "x"]).select("id", "x", "t", "q").mapInArrow(fetch, "bucket int, blob binary")
     merged = tables.write("merged", brought.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _COVER))
 
-    covers = seen.where("bucket is null").select("id", "x", "lo", "hi").unionAll(settled.where("anchor is null").select("id", "x", "lo", "hi")).unionAll(merged)
+    covers = early.unionAll(settled.where("anchor is null").select("id", "x", "lo", "hi")).unionAll(merged)
     spans = covers.groupBy("id", "x").agg(F.collect_set(F.struct("lo", "hi")).alias("q"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
