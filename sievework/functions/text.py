@@ -37,7 +37,8 @@ def raw_sentences(text: Column) -> Column:
     protected = text
     for a in ABBREVIATIONS:
         protected = F.regexp_replace(protected, rf"(?i)\b{_quote(a)}\.\s+", f"{a}__DOT__ ")
-    some = r"(?i)\b(?:" + "|".join(_quote(a) for a in ABBREVIATIONS) + r")\.\s"
+    # sought from the full stop backwards: few places of a text have one
+    some = r"(?i)\.\s(?<=\b(?:" + "|".join(_quote(a) for a in ABBREVIATIONS) + r")\.\s)"
     protected = F.when(F.regexp_like(text, F.lit(some)), protected).otherwise(text)
     parts = F.transform(F.split(protected, SENTENCE_BREAK), lambda p: squeeze(F.replace(p, F.lit("__DOT__"), F.lit("."))))
     return F.filter(parts, lambda p: p != "")
