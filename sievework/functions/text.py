@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abbreviations after which a sentence goes on, in the reference order of kinds.
+# Abbreviations after which a sentence goes on,.
 ABBREVIATIONS = (
     "mr mrs ms dr prof sr jr vs etc mr. mrs. ms. dr. prof. sr. jr. e.g i.e cf viz al ca v no. ed. eds."
 ).split()

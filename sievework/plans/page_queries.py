@@ -229,7 +229,7 @@ def rag_context(spark: SparkSession, sf: str) -> DataFrame:
     return numbered.select("doc_id", "pos", "idx", (F.length(F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "chunk")) + 2).cast("bigint").alias("part_len"))
 
 
-# ---- extension: event-time windows, beyond the reference
+# ---- an extension: event-time windows
 
 @query("events_per_hour", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def events_per_hour(spark: SparkSession, sf: str) -> DataFrame:

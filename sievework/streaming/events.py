@@ -16,7 +16,7 @@ def first_seen(stream: DataFrame, key: str, ts: str, within: str = "1 hour") ->
 
 
 def tumbling_counts(stream: DataFrame, ts: str, by: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts per window, final once the watermark has passed. An extension: the reference has no event time."""
+    """Counts per window, final once the watermark has passed.."""
     counted = stream.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), by).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("start"), by, "n")
 
