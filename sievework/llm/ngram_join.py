@@ -103,11 +103,6 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return np.where(levels > hot, levels, 0).astype(np.uint8)
 
 
-def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """The least common shingles of sets of n and m for a Jaccard similarity of percent / 100."""
-    return -((-percent * (n + m)) // (100 + percent))
-
-
 def _prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     n = len(shingles)
     size = n + (-percent * n) // 100 + EXTENDED
