@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.bytesarrays import trim_memory
+
 _LETTER: list[np.ndarray] = []
 
 
@@ -178,12 +180,18 @@ def fit_langid(train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         picked = df.where(F.col("h") <= F.lit(smallest[-1])).mapInArrow(featurise, "h bigint, l string, f array<int>, c array<int>")
         # rows of one id share a hash: the bound holds for them as well
-        got = picked.orderBy("h", F.hash("f", "c"), "l").limit(p.sample_rows).toArrow().to_pydict()
-        langs = sorted(set(got["l"]))
-        rows = [(np.array(a, np.int64), np.array(c, np.int64), langs.index(lang)) for a, c, lang in zip(got["f"], got["c"], got["l"], strict=True) if a]
+        got = picked.orderBy("h", F.hash("f", "c"), "l").limit(p.sample_rows).toArrow().combine_chunks()
+        # slices of two flat arrays: lists of Python numbers would take many times the room
+        names = got["l"].to_pylist()
+        langs = sorted(set(names))
+        f, c = (got[x].combine_chunks() for x in ("f", "c"))
+        ends, flat_f, flat_c = f.offsets.to_numpy(), f.values.to_numpy(), c.values.to_numpy()
+        rows = [(flat_f[a:b], flat_c[a:b], langs.index(lang)) for a, b, lang in zip(ends[:-1], ends[1:], names, strict=True) if b > a]
     model = LangIdModel(p, langs if rows else [], idf)
     if rows:
         fit_ftrl(model, rows)
+    del rows
+    trim_memory()
     return model
 
 
