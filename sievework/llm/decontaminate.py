@@ -4,10 +4,13 @@ Texts are canonicalised: numbers, units and names become typed placeholders, the
 rest is lower-cased and loses its punctuation. Windows of five canonical words of
 the documents are hash-joined with those of the benchmark. Matches on one
 alignment (document position less item position) must agree on their slots: each
-value in the item stands for exactly one value in the document and the other way
-round. A question with other numbers or names thus counts, a chance mixture of
-similar phrases doesn't. A document is contaminated by an item if consistent
-alignments cover at least 0.8 of the item's distinct windows.
+value in the item stands for the document's value at most of its places (of equally
+many for the value itself, then for the one at the first place). A window counts if
+each of its slots holds the item's own value or the one that stands for it; other
+windows are lost, but not the rest of the alignment. Two values may stand for
+the same one. A question with other numbers or names thus counts, a chance mixture
+of similar phrases doesn't. A document is contaminated by an item if the windows
+that count cover at least 0.8 of the item's distinct windows.
 
 Each window row carries only a hash and, if it has slots, the hashes of their
 values; texts are never shuffled. The benchmark's windows are broadcast if there
@@ -87,26 +90,46 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     probe = windows(docs, id_col, text_col).withColumnRenamed("id", "doc_id")
     small = of_items.count() <= BROADCAST_ROWS
     hits = probe.join(F.broadcast(items) if small else items, "h")
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    none = F.array().cast("array<struct<a:bigint,p:bigint,b:bigint>>")
+    # per slot of a window: the item's value, its place in the item, the document's value
     pairs = F.coalesce(
-        F.filter(F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b"))), lambda p: p["a"].isNotNull()),
+        F.filter(
+            F.transform(F.arrays_zip("item_slots", "slots"), lambda z, k: F.struct(z["item_slots"].alias("a"), (F.col("i") + k).cast("bigint").alias("p"), z["slots"].alias("b"))),
+            lambda s: s["a"].isNotNull(),
+        ),
         none,
     )
     aligned = (
         hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("i")).alias("shift"))
-        .agg(F.first("n_windows").alias("n_windows"), F.collect_set("h").alias("found"), F.flatten(F.collect_set(pairs)).alias("pairs"))
-        .withColumn("pairs", F.array_distinct("pairs"))
-    )
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")) & (
-        F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")
+        .agg(F.first("n_windows").alias("n_windows"), F.collect_set(F.struct("h", pairs.alias("pairs"))).alias("found"))
+        .withColumn("slots", F.array_distinct(F.flatten(F.transform("found", lambda w: w["pairs"]))))
+        .withColumn("mapped", F.array_distinct(F.transform("slots", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))))
     )
+
+    def rank(m: Column) -> Column:
+        places = F.transform(F.filter("slots", lambda s: (s["a"] == m["a"]) & (s["b"] == m["b"])), lambda s: s["p"])
+        return F.struct(m["a"].alias("a"), F.size(places).alias("n"), (m["a"] == m["b"]).alias("same"), (-F.array_min(places)).alias("first"), m["b"].alias("b"))
+
+    # only where a value has several counterparts they are ranked
+    split = F.size(F.array_distinct(F.transform("mapped", lambda m: m["a"]))) < F.size("mapped")
+    ranked = F.when(split, F.transform("mapped", rank))
+    lost = F.when(
+        F.col("ranked").isNotNull(),
+        F.transform(
+            F.filter("ranked", lambda r: ~r["same"] & F.exists("ranked", lambda o: (o["a"] == r["a"]) & (o > r))),
+            lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b")),
+        ),
+    ).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    counts = lambda w: ~F.exists(w["pairs"], lambda s: F.exists("lost", lambda x: (x["a"] == s["a"]) & (x["b"] == s["b"])))
     return (
-        aligned.where(one_to_one)
+        aligned.withColumn("ranked", ranked)
+        .withColumn("lost", lost)
+        .withColumn("found", F.filter("found", counts))
         .groupBy("doc_id", "item_id")
         .agg(
             F.first("n_windows").cast("bigint").alias("n_windows"),
-            F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("bigint").alias("n_matched"),
-            F.bool_or(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reparameterised"),
+            F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("found", lambda w: w["h"]))))).cast("bigint").alias("n_matched"),
+            F.bool_or(F.exists("found", lambda w: F.exists(w["pairs"], lambda s: s["a"] != s["b"]))).alias("reparameterised"),
         )
         .where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
     )

@@ -222,6 +222,20 @@ def test_benchmark_leaks(spark, docs):
     assert decontaminate.contaminated_pairs(df.limit(0), bench).count() == 0
 
 
+def test_leaks_with_other_slots(spark):
+    plain = "while they walk slowly along the quiet river and talk about old songs that nobody else in their village still remembers"
+    items = [(1, f"so there are 3 pears and 4 figs {plain}"), (2, f"so there are 5 pears {plain} for 5 more"), (3, f"so there are 6 pears {plain} and then 6 figs {plain} again")]
+    docs = [
+        (10, f"so there are 5 pears and 5 figs {plain}"),  # two values become one
+        (11, f"so there are 7 pears {plain} for 8 more"),  # one value becomes two
+        (12, f"so there are 6 pears {plain} and then 9 figs {plain} again"),  # one of two places altered
+        (13, f"so there are 9 pears {plain} and then 6 figs {plain} again"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"]) for r in decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(10, 1), (11, 2), (12, 3), (13, 3)} <= set(got)
+    assert got[10, 1][0] == got[10, 1][1] and got[12, 3][0] - got[12, 3][1] == 5
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(2)
     sizes = {"big": 600, "mid": 150, "small": 50, None: 10}
