@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates (Spark expressions only).
 
-Texts are canonicalised: numbers, units and names become typed placeholders, the
-rest is lower-cased and loses its punctuation. Windows of five canonical words of
+Texts are canonicalised: numbers (parted from attached units), units and names
+(capitalised words, wherever they stand, but function words) become typed
+placeholders, the rest is lower-cased and loses its punctuation. Windows of five canonical words of
 the documents are hash-joined with those of the benchmark. Matches on one
 alignment (document position less item position) must agree on their slots: each
 value in the item stands for the document's value at most of its places (of equally
@@ -37,6 +38,13 @@ UNITS = (
     "|liter|liters|litre|litres|ml|gallon|gallons|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|dollar|dollars"
     "|euro|euros|cent|cents|usd|eur|percent|mph|kmh|degrees|celsius|fahrenheit"
 )
+#: Words that are no names, capitalised or not. The rule looks at the word alone: a copy has the same template whatever surrounds it.
+PLAIN_WORDS = (
+    "a|about|after|all|also|although|an|and|any|are|as|assume|at|because|before|both|but|by|calculate|can|compute|consider|could|determine|did|do|does|each|either|every"
+    "|explain|find|finally|first|for|from|give|given|had|has|have|he|her|here|his|how|however|i|if|in|into|is|it|its|let|many|most|much|my|no|not|now|of|on|once|one|only"
+    "|or|other|our|out|over|she|should|show|since|so|solve|some|suppose|that|the|their|them|then|there|these|they|this|those|though|to|two|under|until|up|was|we|were"
+    "|what|when|where|whether|which|while|who|whom|whose|why|with|without|would|write|yes|yet|you|your"
+)
 SPACE = r"[\x09-\x0D\x20]"
 NUMBER_SLOT, UNIT_SLOT, NAME_SLOT = "\u0001", "\u0002", "\u0003"
 SLOTS = NUMBER_SLOT + UNIT_SLOT + NAME_SLOT
@@ -45,10 +53,10 @@ SLOTS = NUMBER_SLOT + UNIT_SLOT + NAME_SLOT
 def _canonical(text: Column) -> Column:
     """The text in lower case without punctuation; in front of each number and name stands the mark of its slot."""
     t = F.translate(text, SLOTS, "")
-    t = F.regexp_replace(t, r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+(?![\p{L}])", f"{NUMBER_SLOT}$0")
-    # a capitalised word that doesn't begin a sentence
-    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[\p{{L}}\p{{N}},;]{SPACE}\p{{Lu}})", f"{NAME_SLOT}$0")
-    return F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\p{{M}}\x09-\x0D\x20{SLOTS}]+", ""))
+    # numbers are words of their own, be they joined to a unit or a sign
+    t = F.regexp_replace(t, r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+", f" {NUMBER_SLOT}$0 ")
+    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}\p{{M}}\x09-\x0D\x20{SLOTS}]+", "")
+    return F.lower(F.regexp_replace(t, rf"(?<![^\x09-\x0D\x20])(?=\p{{Lu}})(?!(?i:{PLAIN_WORDS})(?![^\x09-\x0D\x20]))", NAME_SLOT))
 
 
 def windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -236,6 +236,15 @@ def test_leaks_with_other_slots(spark):
     assert got[10, 1][0] == got[10, 1][1] and got[12, 3][0] - got[12, 3][1] == 5
 
 
+def test_leaks_with_names_at_sentence_starts_and_joined_units(spark):
+    body = "bought {a}kg of rice at the old market near the river. {n} then sold half of it to a neighbour who paid in coins. {n} kept what was left and cooked it for the whole family that evening with beans"
+    items = [(1, "Tom " + body.format(a=5, n="Tom"))]
+    docs = [(10, "Ann " + body.format(a=7, n="Ann")), (11, '"Ann ' + body.format(a="7 ", n="Ann")), (12, "we saw how The Tom " + body.format(a=5, n="Tom"))]
+    found = decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_windows"] - r["n_matched"], r["reparameterised"]) for r in found.collect()}
+    assert got == {10: (0, True), 11: (0, True), 12: (0, False)}
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(2)
     sizes = {"big": 600, "mid": 150, "small": 50, None: 10}
