@@ -6,8 +6,9 @@ text with the same matcher; the running sums of their lengths are the positions.
 
 The patterns are written so that a match never has to be sought twice from
 inside one run of characters (lookbehind or the end of the match before, then
-possessive quantifiers), which keeps them linear on very long runs and selects
-the same leftmost matches.
+possessive quantifiers or bounds), which keeps them linear on very long runs and
+selects the same leftmost matches. An account number ends at the length of its
+country, whatever follows; one of an unregistered country needs context to stay.
 
 Defined cases: null text counts as empty and has no spans; ids may be null or
 repeat, each row is treated by itself; an empty table gives an empty result;
@@ -25,12 +26,21 @@ from sievework.llm.arrays import running_sum
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
 
+#: Lengths of account numbers by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRIES = "|".join(c for names in IBAN_LENGTHS.values() for c in names.split())
+_BY_LENGTH = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{_COUNTRIES})[0-9]{{2}}) ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
 }
 #: A cheap test that every text with a match passes.
 HINTS = {"email": "@", "phone": "+"}
@@ -48,6 +58,8 @@ CONTEXT = {
     "iban": r"(?i)\b(?:iban|bank|account|transfer|konto)\b",
 }
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7}
+#: An account number of a country that isn't registered has only its checksum for it: it needs context.
+PRIOR_UNREGISTERED = 0.4
 CONTEXT_CHARS, CONTEXT_WEIGHT, KEEP_SCORE = 40, 0.2, 0.5
 
 
@@ -140,7 +152,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         def at(m: Column, i: Column) -> Column:
             before = F.get(F.col(f"g_{kind}"), i)
             near = F.regexp_like(F.right(before, F.lit(CONTEXT_CHARS)), F.lit(CONTEXT[kind]))
-            score = F.lit(PRIOR[kind]) + F.when(near, CONTEXT_WEIGHT).otherwise(0.0)
+            prior = F.lit(PRIOR[kind])
+            if kind == "iban":
+                prior = F.when(F.substring(m, 1, 2).isin(*_COUNTRIES.split("|")), prior).otherwise(PRIOR_UNREGISTERED)
+            score = prior + F.when(near, CONTEXT_WEIGHT).otherwise(0.0)
             end = F.get(F.col(f"e_{kind}"), i)
             return F.struct(
                 F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), score.alias("score"), _confirmed(kind, m).alias("ok")
