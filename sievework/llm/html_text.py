@@ -2,11 +2,13 @@
 
 The standard library's parser streams events; text between block tags forms
 lines. Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian
-and clustered by a threshold into content and other lines. The content lines
-choose the region: the innermost container that holds nearly all of their text.
+and clustered by a threshold into content and other lines. The region are all
+articles, else all main elements, if these hold half of the content; else the
+innermost container outside which there are but low-ratio lines and dropped ones.
 All lines of that region are the article, except those in boilerplate elements
 (menus, headers, footers, asides, forms, notices, adverts, comments, ...), which
-count as lines without text from the start.
+count as lines without text from the start. An element whose attributes call it
+boilerplate, or a form, is none if it holds nearly all of the page's text.
 
 Defined cases: null html counts as empty; a page without text gives ''; malformed
 and unclosed markup is read as the parser reads it; page ids may be null or
@@ -50,19 +52,41 @@ CARRIERS = frozenset("article body html main".split())
 #: An unclosed <p> ends where one of these begins.
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "title"}
 
-SIGMA, SHARE = 1.0, 0.75
+#: Class words that negate or qualify the words behind them.
+MODIFIERS = frozenset("can disable disabled enable enabled has have hide hides is no non not show shows supports toggle toggles with without".split())
+
+#: Lines with fewer characters a tag are low-ratio, unless they reach the page's threshold and hold no link; wrappers of this share of the text aren't dropped.
+LOW_RATIO, NEARLY_ALL = 25.0, 0.9
+SIGMA = 1.0
+
+
+def _class_words(value: str) -> set[str]:
+    """Words of class names up to a modifier: 'main-nav' has both its words, 'has-sidebar' and 'layout--sidebar' don't have the second."""
+    found: set[str] = set()
+    for name in value.lower().split():
+        for word in re.split(r"[^a-z0-9]+", name.split("--")[0]):
+            if word in MODIFIERS:
+                break
+            found.add(word)
+    return found
 
 
 class _Lines(HTMLParser):
     """Collects ``(text, tags, dropped, path, heading)`` per line; path: ids of the open containers."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.spared = spared  # elements, by number, that aren't dropped whatever their attributes
+        self.count = 0
+        self.wrapper = 0  # the outermost dropped element, if it could be spared
+        self.wrapped: dict[int, list[tuple[int, float]]] = {}  # per such element size and ratio of its lines
         self.lines: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
         self.stack: list[tuple[str, bool, int]] = []  # name, dropped from here on, container id or 0
         self.kinds: dict[int, str] = {}
         self.buffer: list[str] = []
         self.tags = 0
+        self.link = False
+        self.linked: set[int] = set()  # numbers of the lines with a link
 
     def _dropped(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
@@ -72,8 +96,13 @@ class _Lines(HTMLParser):
         self.buffer = []
         if text:
             path = tuple(c for _, _, c in self.stack if c)
+            if self._dropped() and self.wrapper:
+                self.wrapped.setdefault(self.wrapper, []).append((len(text), len(text) / max(1, self.tags)))
             self.lines.append((text, self.tags, self._dropped(), path, any(n in HEADINGS for n, _, _ in self.stack)))
             self.tags = 0
+            if self.link:
+                self.linked.add(len(self.lines) - 1)
+        self.link = False
 
     def _pop_to(self, name: str) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -95,7 +124,7 @@ class _Lines(HTMLParser):
             if key == "role" and (value or "").strip().lower() in DROPPED_ROLES:
                 return True
             if key in ("class", "id"):
-                words = set(re.split(r"[^a-z0-9]+", (value or "").lower()))
+                words = _class_words(value or "")
                 if words & DROPPED_WORDS or (not inside and words & DROPPED_OUTSIDE):
                     return True
             if key == "style" and re.search(r"display\s*:\s*none", value or ""):
@@ -108,6 +137,7 @@ class _Lines(HTMLParser):
         elif tag == "br":
             self.buffer.append(" ")
         self.tags += 1
+        self.link = self.link or tag == "a"
         if tag in VOID:
             return
         if tag in ENDS_P:
@@ -119,7 +149,11 @@ class _Lines(HTMLParser):
                     break
         if tag == "body":
             self._pop_to("head")
-        dropped = self._dropped() or self._drops(tag, attrs)
+        self.count += 1
+        before = self._dropped()
+        dropped = before or (self.count not in self.spared and self._drops(tag, attrs))
+        if dropped and not before:
+            self.wrapper = self.count if tag == "form" or tag not in DROPPED | {"header"} else 0
         container = 0
         if tag in CONTAINER:
             container = len(self.kinds) + 1
@@ -156,17 +190,29 @@ def content_scores(lines: list[tuple[str, int, bool, tuple[int, ...], bool]]) ->
     return [sum(w * padded[i + k] for k, w in enumerate(kernel)) / total for i in range(len(ratios))]
 
 
-def main_text(html: str | None) -> str:
-    """The article of one page: its blocks, parted by an empty line."""
-    parser = _Lines()
+def _parsed(html: str, spared: frozenset[int]) -> _Lines:
+    parser = _Lines(spared)
     try:
-        parser.feed(html or "")
+        parser.feed(html)
         parser.close()
     except AssertionError:  # the parser's answer to broken declarations
-        parser = _Lines()
-        parser.feed(re.sub(r"<!\[[^>]*>?", "", html or ""))
+        parser = _Lines(spared)
+        parser.feed(re.sub(r"<!\[[^>]*>?", "", html))
         parser.close()
     parser._flush()
+    return parser
+
+
+def main_text(html: str | None) -> str:
+    """The article of one page: its blocks, parted by an empty line."""
+    spared: frozenset[int] = frozenset()
+    while True:
+        parser = _parsed(html or "", spared)
+        total = sum(len(line[0]) for line in parser.lines)
+        whole = {k for k, parts in parser.wrapped.items() if sum(n for n, _ in parts) >= NEARLY_ALL * total and any(r >= LOW_RATIO for _, r in parts)}
+        if not whole:
+            break
+        spared |= whole
     lines = parser.lines
     if not lines:
         return ""
@@ -182,25 +228,20 @@ def main_text(html: str | None) -> str:
             mass[0] += len(text)
             for c in path:
                 mass[c] = mass.get(c, 0) + len(text)
-    # articles and main elements first; else go down while one container holds nearly all of it
+    # articles and main elements first; else go down while one container holds all but low-ratio lines
     named = {c for c, kind in parser.kinds.items() if kind == "article" and mass.get(c, 0)}
     if not named or sum(mass[c] for c in named if not any(_inside(lines, c, o) for o in named - {c})) < 0.5 * mass[0]:
         named = {c for c, kind in parser.kinds.items() if kind == "main" and mass.get(c, 0) >= 0.5 * mass[0]}
     if named:
-        top = max(named, key=lambda c: mass[c])
-        kept = {c for c in named if mass[c] >= 0.5 * mass[top]}
+        kept = {c for c, kind in parser.kinds.items() if kind == parser.kinds[next(iter(named))]}
         region = lambda path: any(c in kept for c in path)
     else:
-        at = 0
-        while True:
-            below = {path[path.index(at) + 1 if at else 0] for _, _, _, path, _ in lines if (at in path and path[-1] != at) or (not at and path)}
-            down = max(below, key=lambda c: mass.get(c, 0), default=None)
-            if down is None or mass.get(down, 0) < SHARE * mass[at]:
-                break
-            if any(h and not d and (not at or at in path) and down not in path for _, _, d, path, h in lines):
-                break
-            at = down
-        region = lambda path: not at or at in path
+        rich = lambda k, text, tags: len(text) / max(1, tags) >= LOW_RATIO or (content[k] and k not in parser.linked)
+        held = [path for k, (text, tags, dropped, path, heading) in enumerate(lines) if not dropped and (heading or rich(k, text, tags))]
+        shared = min(held, key=len, default=())
+        while not all(path[: len(shared)] == shared for path in held):
+            shared = shared[:-1]
+        region = lambda path: path[: len(shared)] == shared
     return "\n\n".join(text for text, _, dropped, path, _ in lines if not dropped and region(path))
 
 

@@ -111,6 +111,26 @@ def test_main_text_of_pages(spark):
         assert html_text.main_text(page) == text
 
 
+def test_main_text_is_whole():
+    long, short, tail = "long text " * 90, "short text " * 18, "more text " * 5
+    want = lambda *parts: "\n\n".join(p.strip() for p in parts)
+    menu = "<ul class='main-nav'><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+    pages = {
+        f"<body>{menu}<div id=content><div><p>{long}</div><div><p>{short}</div></div>": want(long, short),
+        f"<body>{menu}<div><div><div><h1>T</h1><p>{long}</div><p>{tail}</div><p>{short}</div>": want("T", long, tail, short),
+        f"<body>{menu}<article><p>{long}</article><article><p>{short}</article><aside><article><p>{tail}</article></aside>": want(long, short),
+        f"<main><p>{long}</main><main><p>{short}</main>": want(long, short),
+        f"<div class='layout has-sidebar'><p>{long}</div><div class=sidebar><p>{tail}</div>": want(long),
+        f"<div class='page no-comments'><p>{long}</div><div id=comments><p>{tail}</div>": want(long),
+        f"<div class='grid--with-sidebar'><p>{long}</div>": want(long),
+        f"<form id=page>{menu}<div class=widget-area><p>{long}<p>{short}</div></form>": want(long, short),
+        f"<body><div><a href=a>Home</a> <a href=b>News</a></div><div><p>{long}</div>": want(long),
+        "<ul class=menu><li><a href=a>Home</a><li><a href=b>News</a></ul>": "", "<aside>x</aside><nav>y</nav>": "",
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text, page[:60]
+
+
 def test_language_held_out(spark, docs):
     got = Q.op10_langid(spark, DATA).collect()
     labels = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
