@@ -7,7 +7,8 @@ and one class for all unseen ones, the events of the base score. Each decision i
 predicted by three models, which look up counts under a hash of the tree node with
 no, one or two tokens before. Their log odds are summed with weights that a gate
 selects by how much evidence the longer contexts have. While a text is scored, the
-weights follow its coding errors; each text starts from the same ones, so scores
+weights follow its coding errors after each ``STEP_BITS`` decisions (a few words);
+the counts stay as they are; each text starts from the same ones, so scores
 don't depend on partitions. The score is the log10 probability of the tokens;
 ``bits_per_byte`` is the total length of the code, in which unseen words are
 followed by their bytes as they are, per byte of the text.
@@ -49,7 +50,7 @@ MODELS = 3
 BUCKETS = 128
 BLOCK = 1 << 16
 LM_BYTES = 1 << 20
-STEP_BITS = 4096
+STEP_BITS = 32
 GATES = 16
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
@@ -156,33 +157,48 @@ def lookup(counts: np.ndarray) -> np.ndarray:
     return (((np.clip(odds, -8191, 8191)) << 2) | evidence).astype(np.int16)
 
 
-def mix_stream(bit: np.ndarray, slots: np.ndarray, table: np.ndarray, weights: np.ndarray, rate: float = 0.02) -> tuple[float, np.ndarray]:
-    """Natural log probability of one text's decisions, and the weights at its end."""
-    w, total = weights.copy(), 0.0
-    for a in range(0, len(bit), STEP_BITS):
-        b = min(a + STEP_BITS, len(bit))
-        raw = [table[k][slots[k, a:b]] for k in range(MODELS)]
-        x = [(r >> 2).astype(np.float32) * np.float32(1 / 256) for r in raw]
-        gate = (raw[2] & 3) * 4 + (raw[1] & 3)
-        small = w.astype(np.float32)
-        z = small[:, MODELS][gate]
-        for k in range(MODELS):
-            z += x[k] * small[:, k][gate]
+def mix_streams(bit: np.ndarray, slots: np.ndarray, at: np.ndarray, table: np.ndarray, weights: np.ndarray, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each text's decisions, and the weights at its end. Weights follow the errors after each ``STEP_BITS`` of them; the texts go step by step side by side."""
+    size = np.diff(at)
+    order = np.argsort(-size, kind="stable")
+    start, size = at[:-1][order], size[order]
+    raw = [table[k][slots[k]] for k in range(MODELS)]
+    x = np.empty((MODELS + 1, len(bit)), np.float32)
+    for k in range(MODELS):
+        np.multiply(raw[k] >> 2, np.float32(1 / 256), out=x[k])
+    x[MODELS] = 1
+    gate = ((raw[2] & 3) * 4 + (raw[1] & 3)).astype(np.int64)
+    sides = bit.astype(np.float32) * 2 - 1
+    w = np.tile(weights.astype(np.float32).T[:, None, :], (1, len(size), 1)).reshape(MODELS + 1, -1)
+    total = np.zeros(len(size))
+    lane = np.arange(STEP_BITS)
+    for a in range(0, int(size[0]) if len(size) else 0, STEP_BITS):
+        n = int(np.searchsorted(-size, -a, "left"))  # texts that aren't at their end
+        index = (start[:n, None] + (a + lane)).ravel()
+        cell = np.repeat(np.arange(n) * GATES, STEP_BITS)
+        text = None
+        if size[n - 1] < a + STEP_BITS:
+            inside = ((a + lane) < size[:n, None]).ravel()
+            index, cell = index[inside], cell[inside]
+            text = cell // GATES
+        cell += gate[index]
+        here = x[:, index]
+        z = here[0] * w[0][cell]
+        for k in range(1, MODELS + 1):
+            z += here[k] * w[k][cell]
         # the odds against what came give both the loss and the error
-        side = bit[a:b].astype(np.float32)
-        side *= 2
-        side -= 1
+        side = sides[index]
         np.clip(z, -14, 14, out=z)
         z *= side
         against = np.exp(-z)
-        total -= float(np.log1p(against).sum(dtype=np.float64))
+        loss = np.log1p(against).astype(np.float64)
+        total[:n] -= loss.reshape(n, STEP_BITS).sum(axis=1) if text is None else np.bincount(text, weights=loss, minlength=n)
         err = side * (against / (1 + against))
-        seen = np.maximum(np.bincount(gate, minlength=GATES), 1)
-        scale = rate / np.sqrt(seen)
-        for k in range(MODELS):
-            w[:, k] += scale * np.bincount(gate, weights=err * x[k], minlength=GATES)
-        w[:, MODELS] += scale * np.bincount(gate, weights=err, minlength=GATES)
-    return total, w
+        scale = rate / np.sqrt(np.maximum(np.bincount(cell, minlength=n * GATES), 1))
+        for k in range(MODELS + 1):
+            w[k, : n * GATES] += scale * np.bincount(cell, weights=err * here[k], minlength=n * GATES)
+    back = np.argsort(order)
+    return total[back], w.reshape(MODELS + 1, len(size), GATES).transpose(1, 2, 0)[back]
 
 
 def _summed(df: DataFrame, width: int, tasks: int) -> np.ndarray:
@@ -310,8 +326,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bit, slots, at, *_ = decisions(data, offsets, shared.value)
                 for r in range(b - a):
                     part = slice(at[r], at[r + 1])
-                    _, w = mix_stream(bit[part], slots[:, part], lookups.value, w)
-        yield pa.RecordBatch.from_arrays([pa.array(w.ravel())], names=["w"])
+                    w = mix_streams(bit[part], slots[:, part], np.array([0, len(bit[part])]), lookups.value, w)[1][0]
+        yield pa.RecordBatch.from_arrays([pa.array(w.ravel().astype(np.float64))], names=["w"])
 
     if len(smallest) == CALIBRATION:
         fitted = train.where(kept).orderBy("o").limit(2 * CALIBRATION).select("t").coalesce(1).mapInArrow(calibrate, "w double").toArrow()["w"].to_numpy()
@@ -331,10 +347,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 tokens = np.bincount(row, minlength=rows_)
                 sure = np.bincount(row[known], minlength=rows_)
                 base = np.bincount(row[known], weights=np.log10(codes_.counts[sym[known]] + 1.0), minlength=rows_)
+                mixed = mix_streams(bit, slots, at, table_, weights)[0] / np.log(10)
                 for r in range(rows_):
-                    part = slice(at[r], at[r + 1])
-                    mixed, _ = mix_stream(bit[part], slots[:, part], table_, weights)
-                    out.append((a + r, int(tokens[r]), int(sure[r]), float(base[r]), mixed / np.log(10), int(offsets[r + 1] - offsets[r])))
+                    out.append((a + r, int(tokens[r]), int(sure[r]), float(base[r]), float(mixed[r]), int(offsets[r + 1] - offsets[r])))
                 ask = np.empty(int((~known).sum()), _ASK)
                 ask["h"], ask["row"], ask["size"] = h[~known], row[~known] + a, token_bytes[~known]
                 asks.append(ask)

@@ -227,6 +227,22 @@ def test_scores(spark, docs, rows):
     assert lm_score.score_texts(docs.limit(0)).count() == 0
 
 
+def test_weights_adapt_within_short_texts():
+    rng = np.random.default_rng(4)
+    table = lm_score.lookup(np.array([[[1, 40]] * 8] * lm_score.MODELS))  # says 1, and is wrong
+    start = np.tile(np.array([0.2, 0.4, 0.4, 0.0]), (lm_score.GATES, 1))
+    sizes = [0, 7, 32, 700, 33, 700]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    bit, slots = np.zeros(at[-1], np.uint8), rng.integers(0, 8, (lm_score.MODELS, at[-1])).astype(np.int32)
+    got, _ = lm_score.mix_streams(bit, slots, at, table, start)
+    assert got[0] == 0 and math.isclose(got[1] / 7, got[2] / 32, rel_tol=1e-5)
+    assert got[3] / 700 > 0.5 * got[2] / 32  # less than half the loss, as the weights follow
+    for k in range(len(sizes)):  # beside others as alone
+        part = slice(at[k], at[k + 1])
+        alone, _ = lm_score.mix_streams(bit[part], slots[:, part], np.array([0, sizes[k]]), table, start)
+        assert math.isclose(alone[0], got[k], rel_tol=1e-6)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
