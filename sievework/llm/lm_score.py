@@ -17,10 +17,11 @@ What is gathered from the corpus, over all training documents:
 
 * exact token counts, summed by hash bucket (they also give the base score:
   add-one unigrams); they stay distributed, only the ``VOCAB`` most frequent ones are broadcast;
-* counts of the decisions in three hashed tables of fixed size.
-
-The initial weights are fitted on at most ``CALIBRATION`` training documents,
-which are left out of the decision counts.
+* counts of the decisions in three hashed tables of fixed size;
+* counts of the decisions by gate and by the log odds of the three models, in
+  ``LEVELS`` levels each, as the tables would give them without the decision's own
+  text. The initial weights are those of the shortest code for these counts, with
+  a slight pull towards fixed ones, which serve where there is no evidence.
 
 Defined cases: null or blank text is a sequence of the end alone; documents with
 a null id are hashed as the empty text; rows that share an id are scored each by
@@ -44,7 +45,6 @@ from sievework.llm.bytesarrays import mix64, text_chunks, words_of
 from sievework.llm.shared import Tables
 
 VOCAB = 1 << 16
-CALIBRATION = 256
 SLOT_BITS = 20
 MODELS = 3
 BUCKETS = 128
@@ -52,6 +52,7 @@ BLOCK = 1 << 16
 LM_BYTES = 1 << 20
 STEP_BITS = 32
 GATES = 16
+LEVELS, LEVEL_SCALE, RIDGE = 32, 2.7, 1.0
 _U = np.uint64
 END = _U(0x5851F42D4C957F2D)
 _COUNT = np.dtype([("h", "u8"), ("c", "u8")])
@@ -157,6 +158,60 @@ def lookup(counts: np.ndarray) -> np.ndarray:
     return (((np.clip(odds, -8191, 8191)) << 2) | evidence).astype(np.int16)
 
 
+def own_left_out(bit: np.ndarray, slots: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per model and decision of training texts what ``lookup`` says, had each decision's own text not been counted."""
+    out = np.empty(slots.shape, np.int16)
+    own = np.zeros(2 << SLOT_BITS, np.int32)
+    for k in range(MODELS):
+        zero = slots[k].astype(np.int64) << 1
+        came = zero | bit
+        n = np.empty((len(bit), 2), np.int64)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            np.add.at(own, came[a:b], 1)
+            n[a:b, 0], n[a:b, 1] = own[zero[a:b]], own[zero[a:b] + 1]
+            own[came[a:b]] = 0
+        out[k] = lookup(counts[k][slots[k]] - n)
+    return out
+
+
+def level_cells(bit: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Number of the cell of each decision: gate, level of each model's log odds, bit. Levels are even in the root of the odds."""
+    cell = ((raw[2] & 3) * 4 + (raw[1] & 3)).astype(np.int64)
+    for k in range(MODELS):
+        x = (raw[k] >> 2).astype(np.float32) / 256
+        cell = cell * LEVELS + LEVELS // 2 + np.rint(np.sign(x) * np.sqrt(np.abs(x)) * LEVEL_SCALE).astype(np.int64)
+    return cell * 2 + bit
+
+
+def fit_weights(cells: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Per gate the weights that code the counted decisions shortest, by Newton steps from ``start``, which counts as ``RIDGE``."""
+    level = (np.arange(LEVELS) - LEVELS // 2) / LEVEL_SCALE
+    odds = np.sign(level) * level**2
+    grid = np.stack([*(g.ravel() for g in np.meshgrid(*[odds] * MODELS, indexing="ij")), np.ones(LEVELS**MODELS)], axis=1)
+    out = start.copy()
+    for gate, counts in enumerate(cells.reshape(GATES, -1, 2)):
+        used = counts.any(axis=1)
+        x, n0, n1 = grid[used], counts[used, 0].astype(np.float64), counts[used, 1].astype(np.float64)
+
+        def cost(w: np.ndarray) -> float:
+            z = x @ w
+            return float((n1 * np.logaddexp(0, -z) + n0 * np.logaddexp(0, z)).sum() + RIDGE / 2 * ((w - start[gate]) ** 2).sum())
+
+        w = start[gate].copy()
+        now = cost(w)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (n1 - (n0 + n1) * p) - RIDGE * (w - start[gate])
+            step = np.linalg.solve((x * ((n0 + n1) * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(MODELS + 1), slope)
+            while (then := cost(w + step)) > now and np.abs(step).max() > 1e-9:
+                step /= 2
+            if then > now or now - then <= 1e-9 * now:
+                break
+            w, now = w + step, then
+        out[gate] = w
+    return out
+
+
 def mix_streams(bit: np.ndarray, slots: np.ndarray, at: np.ndarray, table: np.ndarray, weights: np.ndarray, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each text's decisions, and the weights at its end. Weights follow the errors after each ``STEP_BITS`` of them; the texts go step by step side by side."""
     size = np.diff(at)
@@ -201,6 +256,15 @@ def mix_streams(bit: np.ndarray, slots: np.ndarray, at: np.ndarray, table: np.nd
     return total[back], w.reshape(MODELS + 1, len(size), GATES).transpose(1, 2, 0)[back]
 
 
+def _blocks(flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of an array of counts that aren't all 0."""
+    for b in range(0, len(flat), BLOCK):
+        part = flat[b : b + BLOCK]
+        if part.any():
+            part = part.astype(np.uint16) if part.max() < 1 << 16 else part
+            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
+
+
 def _summed(df: DataFrame, width: int, tasks: int) -> np.ndarray:
     """Sums arrays of counts of fixed size: ``df`` has rows (block, counts) with 16 or 32 bits a count."""
 
@@ -239,7 +303,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables = Tables(spark, "lm-score")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), (fold == held_fold).alias("held"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col), F.lit(5)).alias("o"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), (fold == held_fold).alias("held"), F.col(text_col).alias("t"))
     train = rows.where("not held")
 
     # 1. token counts
@@ -293,9 +357,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     codes = Codes.build(vocab[order], freq[order], max(0, n_train - int(freq.sum())))
     shared = spark.sparkContext.broadcast(codes)
 
-    # 2. decision counts, of all training documents but those kept for the weights
-    smallest = [r["o"] for r in train.select("o").orderBy("o").limit(CALIBRATION).collect()]
-    kept = F.col("o") <= (smallest[-1] if len(smallest) == CALIBRATION else -(2**63))
+    # 2. decision counts
     width = MODELS << (SLOT_BITS + 1)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,31 +369,26 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 slots |= bit
                 for k in range(MODELS):
                     counts[k] += np.bincount(slots[k], minlength=2 << SLOT_BITS).astype(np.uint32)
-        flat = counts.ravel()
-        for b in range(0, width, BLOCK):
-            part = flat[b : b + BLOCK]
-            if part.any():
-                part = part.astype(np.uint16) if part.max() < 1 << 16 else part
-                yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "counts"])
-
-    table = lookup(_summed(train.where(~kept).select("t").mapInArrow(decide, "block int, counts binary"), width, tasks).reshape(MODELS, 1 << SLOT_BITS, 2))
+        yield from _blocks(counts.ravel())
+
+    counts = _summed(train.select("t").mapInArrow(decide, "block int, counts binary"), width, tasks).reshape(MODELS, 1 << SLOT_BITS, 2)
     tables.release()
-    lookups = spark.sparkContext.broadcast(table)
-    weights = np.tile(np.array([0.2, 0.4, 0.4, 0.0]), (GATES, 1))
+    whole = spark.sparkContext.broadcast(counts)
 
+    # all training texts again, each by the counts of the others
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights
+        cells = np.zeros(GATES * LEVELS**MODELS * 2, np.uint32)
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(0), LM_BYTES):
+            for _, _, data, offsets in text_chunks(batch.column(0), LM_BYTES):
                 bit, slots, at, *_ = decisions(data, offsets, shared.value)
-                for r in range(b - a):
-                    part = slice(at[r], at[r + 1])
-                    w = mix_streams(bit[part], slots[:, part], np.array([0, len(bit[part])]), lookups.value, w)[1][0]
-        yield pa.RecordBatch.from_arrays([pa.array(w.ravel().astype(np.float64))], names=["w"])
-
-    if len(smallest) == CALIBRATION:
-        fitted = train.where(kept).orderBy("o").limit(2 * CALIBRATION).select("t").coalesce(1).mapInArrow(calibrate, "w double").toArrow()["w"].to_numpy()
-        weights = fitted.reshape(GATES, MODELS + 1).copy()
+                cells += np.bincount(level_cells(bit, own_left_out(bit, slots, at, whole.value)), minlength=len(cells)).astype(np.uint32)
+        yield from _blocks(cells)
+
+    cells = _summed(train.select("t").mapInArrow(calibrate, "block int, counts binary"), GATES * LEVELS**MODELS * 2, tasks)
+    tables.release()
+    whole.unpersist()
+    weights = fit_weights(cells, np.tile(np.array([0.2, 0.4, 0.4, 0.0]), (GATES, 1)))
+    lookups = spark.sparkContext.broadcast(lookup(counts))
 
     # 3. scores; tokens that aren't broadcast ask for their counts by bucket
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

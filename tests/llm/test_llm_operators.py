@@ -243,6 +243,40 @@ def test_weights_adapt_within_short_texts():
         assert math.isclose(alone[0], got[k], rel_tol=1e-6)
 
 
+def test_weights_of_all_training_texts():
+    rng = np.random.default_rng(5)
+    sizes = [40, 0, 200, 1]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    bit, slots = rng.integers(0, 2, at[-1]).astype(np.uint8), rng.integers(0, 6, (lm_score.MODELS, at[-1])).astype(np.int32)
+    counts = np.zeros((lm_score.MODELS, 1 << lm_score.SLOT_BITS, 2), np.uint32)
+    for k in range(lm_score.MODELS):
+        np.add.at(counts[k], (slots[k], bit), 1)
+    got = lm_score.own_left_out(bit, slots, at, counts)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        for k in range(lm_score.MODELS):
+            rest = counts[k].copy()
+            np.subtract.at(rest, (slots[k, a:b], bit[a:b]), 1)
+            assert (got[k, a:b] == lm_score.lookup(rest)[slots[k, a:b]]).all()
+    # the fit finds the weights that made the bits
+    start = np.tile(np.array([0.2, 0.4, 0.4, 0.0]), (lm_score.GATES, 1))
+    raw = (rng.integers(-900, 900, (lm_score.MODELS, 200_000)) << 2 | 3).astype(np.int16)
+    z = np.array([0.1, 0.9, 0.3]) @ ((raw >> 2) / 256) + 0.5
+    cells = np.bincount(lm_score.level_cells((rng.random(z.size) < 1 / (1 + np.exp(-z))).astype(np.uint8), raw), minlength=lm_score.GATES * lm_score.LEVELS**lm_score.MODELS * 2)
+    fitted = lm_score.fit_weights(cells, start)
+    assert np.allclose(fitted[15], [0.1, 0.9, 0.3, 0.5], atol=0.05) and (fitted[:15] == start[:15]).all()
+    assert (lm_score.fit_weights(np.zeros_like(cells), start) == start).all()
+
+
+def test_scores_grow_smoothly_around_256_texts(spark):
+    text = "the river runs along the quiet old town and its bridge"
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    low = []
+    for n in (255, 256, 257):
+        df = spark.createDataFrame([(i, text) for i in ids[:n]], "doc_id long, text string")
+        low.append(lm_score.score_texts(df).agg(F.avg("score")).first()[0])
+    assert max(low) - min(low) < 0.05 * abs(low[0])
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
