@@ -4,8 +4,9 @@ then calibrated with one temperature.
 
 * Document frequencies come from all training rows; they are summed per hashed
   feature, so what reaches the driver has the size of the feature space.
-* The weights are fitted on the driver on at most ``sample_rows`` training rows
-  (those with the smallest hash of their id), a fifth of which sets the temperature.
+* The weights are fitted on the driver on at most ``sample_rows`` training rows,
+  as many of each language (those with the smallest hash of their id; one row a
+  language at least), a fifth of which sets the temperature.
 * Prediction is one pass without a shuffle; the model has a fixed size.
 
 Defined cases: text that is null, empty or without any letter gives the language
@@ -21,11 +22,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.bytesarrays import trim_memory
+from sievework.llm.bytesarrays import trim_memory, trimmed
 
+#: Characters of a text that are turned into features at a time.
+PART = 1 << 16
 _LETTER: list[np.ndarray] = []
 
 
@@ -50,31 +53,45 @@ class LangIdParams:
 
 
 def features(text: str | None, p: LangIdParams) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and counts of a whole text; nothing if it has no letter."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not text:
-        return none
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[points]
-    if not letter.any():
-        return none
-    # runs of other characters become one blank; one more at either end
-    words = np.where(letter, points, 32)
-    keep = letter | np.concatenate(([True], letter[:-1]))
-    words = np.concatenate(([32], words[keep], [32])).astype(np.uint64)
-    bins = []
-    grams = np.zeros(len(words), np.uint64)
+    """Feature numbers and counts of a whole text; nothing if it has no letter.
+
+    Runs of other characters count as one blank, and there is one at either end.
+    The text is read in parts of ``PART`` characters, which overlap by what an
+    n-gram needs, so a very long text takes no more room than a part.
+    """
+    counts = np.zeros(p.dims, np.int64)
+    found, before = False, np.full(1, 32, np.uint32)  # the characters that the next part's n-grams begin with
+    fresh = 1  # how many of them aren't counted yet
+    for a in range(0, len(text or ""), PART):
+        points = np.frombuffer(text[a : a + PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[points]
+        found = found or bool(letter.any())
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= before[-1] != 32
+        words = np.concatenate((before, np.where(letter, points, 32)[keep]))
+        _count_grams(words, len(before) - fresh, counts, p)
+        before, fresh = words[-max(p.orders) :], 0
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if before[-1] != 32:
+        _count_grams(np.append(before, np.uint32(32)), len(before), counts, p)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def _count_grams(words: np.ndarray, done: int, counts: np.ndarray, p: LangIdParams) -> None:
+    """Adds the n-grams that end behind the first ``done`` characters."""
+    wide = words.astype(np.uint64)
+    grams = np.zeros(len(wide), np.uint64)
     for n in range(1, max(p.orders) + 1):
-        if len(words) < n:
+        if len(wide) < n:
             break
-        m = len(words) - n + 1
-        grams = grams[:m] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 :]
+        m = len(wide) - n + 1
+        grams = grams[:m] * np.uint64(0x9E3779B97F4A7C15) + wide[n - 1 :]
         if n in p.orders:
-            mixed = (grams + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
-            bins.append((mixed >> np.uint64(40)).astype(np.int64) % p.dims)
-    counts = np.bincount(np.concatenate(bins), minlength=p.dims)
-    at = np.flatnonzero(counts)
-    return at, counts[at]
+            mixed = (grams[max(0, done - n + 1) :] + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
+            counts += np.bincount((mixed >> np.uint64(40)).astype(np.int64) % p.dims, minlength=p.dims)
 
 
 @dataclass
@@ -109,6 +126,7 @@ def fit_ftrl(model: LangIdModel, rows: list[tuple[np.ndarray, np.ndarray, int]])
     p, k = model.params, len(model.langs)
     z, n = np.zeros((p.dims + 1, k)), np.zeros((p.dims + 1, k))
     rng = np.random.default_rng(p.seed)
+    rows = [rows[i] for i in rng.permutation(len(rows))]
     cut = max(1, len(rows) // 5) if len(rows) > 5 else 0
     held, used = rows[:cut], rows[cut:]
     vectors = [(np.append(a, p.dims), np.append(model.vector(a, c), 1.0), y) for a, c, y in used]
@@ -152,35 +170,40 @@ def fit_langid(train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df_, rows = np.zeros(p.dims + 1, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                at, _ = features(text, p)
+            for text in batch.column(0):
+                at, _ = features(text.as_py(), p)
                 df_[at] += 1
                 rows += len(at) > 0
         df_[p.dims] = rows
         at = np.flatnonzero(df_)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df_[at], pa.int64())], names=["f", "n"])
 
-    found = df.select("t").mapInArrow(count, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    found = df.select("t").mapInArrow(trimmed(count), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     freq = np.zeros(p.dims + 1)
     freq[found["f"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + freq[p.dims]) / (1 + freq[: p.dims])) + 1
 
-    smallest = [r["h"] for r in df.select("h").orderBy("h").limit(p.sample_rows).collect()]
+    # of each language the same number of rows, those with the smallest hashes
+    n_langs = df.select("l").distinct().count()
+    first = Window.partitionBy("l").orderBy("h")
+    share = max(1, p.sample_rows // max(1, n_langs))
+    tops = df.select("l", "h").withColumn("at", F.row_number().over(first)).where(F.col("at") <= share).groupBy("l").agg(F.max("h").alias("top")).collect()
     langs: list[str] = []
     rows: list[tuple[np.ndarray, np.ndarray, int]] = []
-    if smallest:
+    if tops:
 
         def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = [features(t, p) for t in batch.column(1).to_pylist()]
+                got = [features(t.as_py(), p) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in got], pa.list_(pa.int32()))],
                     names=["h", "l", "f", "c"],
                 )
 
-        picked = df.where(F.col("h") <= F.lit(smallest[-1])).mapInArrow(featurise, "h bigint, l string, f array<int>, c array<int>")
+        upto = train.sparkSession.createDataFrame([(r["l"], r["top"]) for r in tops], "l string, top bigint")
+        picked = df.join(F.broadcast(upto), "l").where("h <= top").select("h", "t", "l").mapInArrow(trimmed(featurise), "h bigint, l string, f array<int>, c array<int>")
         # rows of one id share a hash: the bound holds for them as well
-        got = picked.orderBy("h", F.hash("f", "c"), "l").limit(p.sample_rows).toArrow().combine_chunks()
+        got = picked.orderBy("h", F.hash("f", "c"), "l").limit(max(p.sample_rows, n_langs)).toArrow().combine_chunks()
         # slices of two flat arrays: lists of Python numbers would take many times the room
         names = got["l"].to_pylist()
         langs = sorted(set(names))
@@ -202,19 +225,21 @@ def identify(docs: DataFrame, model: LangIdModel, text_col: str = "text", *, lan
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in (lang_col, score_col)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.select(*(docs[c] for c in names), docs[text_col].alias("__text"))
-    schema = df.drop("__text").schema.add(lang_col, "string").add(score_col, "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            got = [m.predict(t) for t in batch.column(len(names)).to_pylist()]
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*names, lang_col, score_col]
-            )
 
-    return df.mapInArrow(run, schema)
+    # only texts go to Python and only predictions come back; the other columns stay where they are
+    @F.arrow_udf("lang string, score double")
+    def predicted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for text in texts:
+                got = [shared.value.predict(t.as_py()) for t in text]
+                yield pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["lang", "score"])
+        finally:
+            trim_memory()
+
+    # marked so that a filter on what it returns doesn't predict once more
+    found = predicted.asNondeterministic()(docs[text_col].cast("string"))
+    df = docs.select(*(docs[c] for c in names), found.alias("__found"))
+    return df.select(*(df[c] for c in names), df["__found.lang"].alias(lang_col), df["__found.score"].alias(score_col))
 
 
 def crc_mod(id_col: Column, m: int) -> Column:
