@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.bytesarrays import shingle_sets, text_chunks
+from sievework.llm.bytesarrays import shingle_sets, text_chunks, trimmed
 from sievework.llm.graph import components
 from sievework.llm.shared import Tables
 
@@ -93,8 +93,8 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
             level = np.ceil(4 * np.log2(total + 1.0)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["block", "level", "total"])
 
-    parts = docs.mapInArrow(count, "block int, counts binary").repartition(max(1, (1 << SKETCH_BITS) // SKETCH_BLOCK), "block")
-    rows = parts.mapInArrow(add, "block int, level binary, total bigint").collect()
+    parts = docs.mapInArrow(trimmed(count), "block int, counts binary").repartition(max(1, (1 << SKETCH_BITS) // SKETCH_BLOCK), "block")
+    rows = parts.mapInArrow(trimmed(add), "block int, level binary, total bigint").collect()
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows:
         levels[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["level"], np.uint8)
@@ -183,7 +183,7 @@ def _verified_part(pairs: DataFrame, sets: DataFrame, percent: int, light: bool)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     placed = sent.repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
-    return placed.mapInArrow(run, "a bigint, b bigint")
+    return placed.mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _compatible(n: str, m: str, percent: int):
@@ -268,7 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     names=["id", "n", "w", "head", "prefix"],
                 )
 
-    seen = tables.write("seen", texts.mapInArrow(prefixes, "id bigint, n bigint, w bigint, head bigint, prefix array<bigint>"))
+    seen = tables.write("seen", texts.mapInArrow(trimmed(prefixes), "id bigint, n bigint, w bigint, head bigint, prefix array<bigint>"))
     ids = seen.where("id is not null and n > 0")
     # classes of equal sets, known by the digest w; their group is the smallest class of equal prefix and size
     classes = ids.groupBy("w", "n", "head").agg(F.min("id").alias("id"))
@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need = nodes.where("members > 1").select("w", "id").unionAll(nodes.where("members = 1").join(shared, "g", "left_semi").select("w", "id"))
     need = tables.write("need", need)
     light = need.count() <= 4 * BROADCAST_ROWS
-    sets = tables.write("sets", once(texts.join(F.broadcast(need) if light else need, "id").select("w", "t").mapInArrow(_sets_of(k), "w bigint, s binary")))
+    sets = tables.write("sets", once(texts.join(F.broadcast(need) if light else need, "id").select("w", "t").mapInArrow(trimmed(_sets_of(k)), "w bigint, s binary")))
     links = labels = tested = None
     for r in range(ROUNDS + 1):
         if labels is None:
