@@ -227,44 +227,152 @@ def test_scores(spark, docs, rows):
     assert lm_score.score_texts(docs.limit(0)).count() == 0
 
 
+def test_score_matches_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    vocab = ["river", "town", "old", "bridge", "quiet", "runs", "along", "the", "and", "its", "song", "tree"]
+    texts = [" ".join(rng.choice(vocab, rng.integers(0, 120))) for _ in range(30)]
+    texts += [texts[3], texts[4] + " unseen words here", "never heard of", None]
+    docs = list(enumerate(texts))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    u64, mask = np.uint64, (1 << 64) - 1
+    mix = lambda x: int(lm_score.mix64(np.array([x & mask], u64))[0])
+    hashes = {}
+    for w in {w for t in texts for w in words(t)}:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        hashes[w] = int(lm_score._tokens(raw, np.array([0, len(raw)]))[0][0])
+    tokens = {i: [*(hashes[w] for w in words(t)), int(lm_score.END)] for i, t in docs}
+    counts = Counter(x for i, ts in tokens.items() if not held(i) for x in ts)
+    order = sorted(counts)
+    codes = lm_score.Codes.build(np.array(order, u64), np.array([counts[x] for x in order]), 0, sum(counts.values()))
+
+    def path(x):
+        k = order.index(x) if x in counts else len(order)
+        for step in codes.steps[codes.starts[k] : codes.starts[k + 1]].tolist():
+            odds = step >> 8 & 0xFFFF
+            yield step & 1, odds - (odds >> 15 << 16), step >> 32
+
+    def decided(i):
+        before = [0, 0]
+        for x in tokens[i]:
+            one, two = before[1], before[0]
+            contexts = [mix(one + 1), mix(mix(one * 3 + two) + 2)]
+            yield x, [(b, o, [((c >> 32) ^ node) * 0x9E3779B1 % (1 << 32) >> 32 - codes.slot_bits for c in contexts]) for b, o, node in path(x)]
+            before = [before[1], x]
+
+    table = [defaultdict(lambda: [0, 0]) for _ in range(lm_score.HASHED)]
+    for i in tokens:
+        if not held(i):
+            for _, steps in decided(i):
+                for b, _, slots in steps:
+                    for k, s in enumerate(slots):
+                        table[k][s][b] += 1
+
+    def runs(i):
+        ts, out = tokens[i], [[0, 0, []]]
+        for k, x in enumerate(ts):
+            out[-1][2].append(k)
+            if k >= 3 and k + 1 < len(ts):
+                c = int(lm_score.runs_of(np.array(ts[k - 3 : k + 1] + [1], u64), np.zeros(5, np.int64))[1][-1])
+                if c:
+                    out.append([c, 0, []])
+        return [(c, tuple(ts[k] for k in at), at) for c, _, at in out]
+
+    followers = defaultdict(Counter)
+    for i in tokens:
+        if not held(i):
+            followers_of = {(c, r) for c, r, _ in runs(i) if c}
+            for c, r in followers_of:
+                followers[c][r] += 1
+    n, v = sum(counts.values()), len(counts)
+    share = [0.0, 0.1, 0.4, 0.7]
+    used = 0
+    for i, _ in docs:
+        weights = {(a, b): [(1 - share[a]) * (1 - share[b]), (1 - share[a]) * share[b], share[a]] for a in range(4) for b in range(4)}
+        fine, per_token, number, waiting = defaultdict(float), [], 0, []
+        for x, steps in decided(i):
+            total = 0.0 if x in counts else -math.log(n + v + 1 - sum(c + 1 for c in counts.values()))
+            for b, o, slots in steps:
+                cells = [table[k][s] for k, s in enumerate(slots)]
+                odds = [o / 256, *(round(256 * math.log((c[1] + 0.25) / (c[0] + 0.25))) / 256 for c in cells)]
+                two, one = (sum(sum(c) >= least for least in (1, 4, 32)) for c in reversed(cells))
+                z = sum(a * w for a, w in zip(odds, weights[two, one], strict=True))
+                level = min(max(round(z), -14), 14)
+                z = min(max((z + fine[level]) * (2 * b - 1), -14), 14)
+                total -= math.log1p(math.exp(-z))
+                err = (2 * b - 1) / (1 + math.exp(z))
+                waiting.append((level, (two, one), odds, err * lm_score.RATE))
+                number += 1
+                if number % lm_score.STEP_BITS == 0:
+                    for lv, gate, od, e in waiting:
+                        fine[lv] += e
+                        weights[gate] = [w + e * q for w, q in zip(weights[gate], od, strict=True)]
+                    waiting = []
+            per_token.append(total)
+        score, kinds = 0.0, defaultdict(set)
+        for c, r, _ in runs(i):
+            kinds[c].add(r)
+        for c, r, at in runs(i):
+            plain = sum(per_token[k] for k in at)
+            own = 0 if held(i) else 1
+            others = sum(followers[c].values()) - own * len(kinds[c]) if c else 0
+            if others > 0:
+                gate, times = (others + 0.5) / (others + 1), followers[c][r] - own
+                used += times > 0
+                plain = math.log(gate * times / others + (1 - gate) * math.exp(plain))
+            score += plain
+        assert math.isclose(got[i], score / math.log(10), rel_tol=2e-4), i
+    assert used  # the copies share runs
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(9)
+    vocab = np.unique(rng.integers(1, 1 << 62, 50).astype(np.uint64))
+    codes = lm_score.Codes.build(vocab, rng.integers(1, 90, len(vocab)), 17, 2000)
+    table = lm_score.lookup(rng.integers(0, 40, (lm_score.HASHED, 1 << codes.slot_bits, 2)))
+    start = np.array([3, 5, 7], np.uint64)
+    total = 0.0
+    for x in [*vocab.tolist(), 1]:  # all tokens of the tree, and the escape
+        h = np.append(start, np.uint64(x))
+        sym, _ = codes.find(h)
+        bit, odds, slots, at = lm_score.decisions(h, np.zeros(4, np.int64), sym, codes)
+        logs = lm_score.mix_stream(lm_score.stream(bit, odds, slots, np.array([0, at[-1]]), table))
+        total += math.exp(logs[at[3] :].sum(dtype=np.float64))
+    # decisions of a token that cross a step's end are coded with the weights of their step
+    assert math.isclose(total, 1, rel_tol=1e-4)
+    times = np.array([3, 1, 0, 0])
+    plain = np.log([0.2, 0.3, 0.4, 0.1])
+    assert math.isclose(np.exp(lm_score.with_runs(plain, times, np.full(4, 4))).sum(), 1)
+    assert np.allclose(lm_score.with_runs(plain, times * 0, np.zeros(4)), plain)
+
+
 def test_weights_adapt_within_short_texts():
     rng = np.random.default_rng(4)
-    table = lm_score.lookup(np.array([[[1, 40]] * 8] * lm_score.MODELS))  # says 1, and is wrong
-    start = np.tile(np.array([0.2, 0.4, 0.4, 0.0]), (lm_score.GATES, 1))
+    table = lm_score.lookup(np.array([[[1, 40]] * 8] * lm_score.HASHED))  # says 1, and is wrong
     sizes = [0, 7, 32, 700, 33, 700]
     at = np.concatenate(([0], np.cumsum(sizes)))
-    bit, slots = np.zeros(at[-1], np.uint8), rng.integers(0, 8, (lm_score.MODELS, at[-1])).astype(np.int32)
-    got, _ = lm_score.mix_streams(bit, slots, at, table, start)
+    bit, slots = np.zeros(at[-1], np.uint8), rng.integers(0, 8, (lm_score.HASHED, at[-1])).astype(np.int32)
+    odds = np.full(len(bit), 900, np.int16)
+    logs = lm_score.mix_stream(lm_score.stream(bit, odds, slots, at, table))
+    got = [float(logs[a:b].sum(dtype=np.float64)) for a, b in zip(at[:-1], at[1:], strict=True)]
     assert got[0] == 0 and math.isclose(got[1] / 7, got[2] / 32, rel_tol=1e-5)
     assert got[3] / 700 > 0.5 * got[2] / 32  # less than half the loss, as the weights follow
     for k in range(len(sizes)):  # beside others as alone
         part = slice(at[k], at[k + 1])
-        alone, _ = lm_score.mix_streams(bit[part], slots[:, part], np.array([0, sizes[k]]), table, start)
-        assert math.isclose(alone[0], got[k], rel_tol=1e-6)
-
-
-def test_weights_of_all_training_texts():
-    rng = np.random.default_rng(5)
-    sizes = [40, 0, 200, 1]
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    bit, slots = rng.integers(0, 2, at[-1]).astype(np.uint8), rng.integers(0, 6, (lm_score.MODELS, at[-1])).astype(np.int32)
-    counts = np.zeros((lm_score.MODELS, 1 << lm_score.SLOT_BITS, 2), np.uint32)
-    for k in range(lm_score.MODELS):
-        np.add.at(counts[k], (slots[k], bit), 1)
-    got = lm_score.own_left_out(bit, slots, at, counts)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        for k in range(lm_score.MODELS):
-            rest = counts[k].copy()
-            np.subtract.at(rest, (slots[k, a:b], bit[a:b]), 1)
-            assert (got[k, a:b] == lm_score.lookup(rest)[slots[k, a:b]]).all()
-    # the fit finds the weights that made the bits
-    start = np.tile(np.array([0.2, 0.4, 0.4, 0.0]), (lm_score.GATES, 1))
-    raw = (rng.integers(-900, 900, (lm_score.MODELS, 200_000)) << 2 | 3).astype(np.int16)
-    z = np.array([0.1, 0.9, 0.3]) @ ((raw >> 2) / 256) + 0.5
-    cells = np.bincount(lm_score.level_cells((rng.random(z.size) < 1 / (1 + np.exp(-z))).astype(np.uint8), raw), minlength=lm_score.GATES * lm_score.LEVELS**lm_score.MODELS * 2)
-    fitted = lm_score.fit_weights(cells, start)
-    assert np.allclose(fitted[15], [0.1, 0.9, 0.3, 0.5], atol=0.05) and (fitted[:15] == start[:15]).all()
-    assert (lm_score.fit_weights(np.zeros_like(cells), start) == start).all()
+        alone = lm_score.mix_stream(lm_score.stream(bit[part], odds[part], slots[:, part], np.array([0, sizes[k]]), table))
+        assert math.isclose(float(alone.sum(dtype=np.float64)), got[k], rel_tol=1e-5, abs_tol=1e-9)
+
+
+def test_documents_that_occur_twice_stand_apart(spark):
+    rng = np.random.default_rng(10)
+    vocab = np.array(["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)])
+    texts = [" ".join(rng.choice(vocab, 150)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string")
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm_score.score_texts(df).collect()}
+    once = [got[k] for k in range(20, 200)]
+    # a text whose only other copy is held out has nothing to be told by
+    told = [k for k in range(20) if zlib.crc32(str(k + 200).encode()) % 7 != 2]
+    assert max(got[k] for k in told) < 0.7 * min(once)
 
 
 def test_scores_grow_smoothly_around_256_texts(spark):
