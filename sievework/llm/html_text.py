@@ -2,25 +2,36 @@
 
 The standard library's parser streams events; text between block tags forms
 lines. Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian
-and clustered by a threshold into content and other lines. The region are all
-articles, else all main elements, if these hold half of the content; else the
-innermost container outside which there are but low-ratio lines and dropped ones.
-All lines of that region are the article, except those in boilerplate elements
-(menus, headers, footers, asides, forms, notices, adverts, comments, ...), which
-count as lines without text from the start. An element whose attributes call it
-boilerplate, or a form, is none if it holds nearly all of the page's text.
-
-Defined cases: null html counts as empty; a page without text gives ''; malformed
-and unclosed markup is read as the parser reads it; page ids may be null or
-repeat, each row is treated by itself; other columns are ignored.
+and clustered by a threshold (their deviation) into content and other lines. Names are a prior: lines of
+boilerplate elements (menus, headers, footers, asides, forms, notices, adverts,
+comments, ...) have the ratio 0 and never come out.
+
+The clusters decide the region: all articles if they hold half of the content,
+else all main elements likewise, else the innermost container that holds all
+high-ratio lines and headings. They also decide inside the region: runs of lines that
+are nothing but links are menus, named or not, unless their smoothed ratios lie
+in the content's cluster. All other lines of the region are the article.
+
+An element is boilerplate by its class or id only if all words of one of these names are
+boilerplate words or say where something stands ('site-footer', not 'related-work'), and
+if it doesn't hold nearly all of the page's text. Headings never are.
+
+Time and room are linear in the page, however deep its elements nest.
+
+Defined cases: null html counts as empty; a page without text, or with none but
+boilerplate, gives ''; malformed and unclosed markup is read as the parser reads it; page ids
+may be null or repeat, each row is treated by itself; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,32 +58,75 @@ DROPPED_WORDS = frozenset(
 )
 #: Words that drop an element outside articles only: an article's own header holds its headline.
 DROPPED_OUTSIDE = frozenset(("header",))
-#: Elements that carry the page or the article; their class words don't drop them.
-CARRIERS = frozenset("article body html main".split())
+#: Words that beside those above say no more than what an element is or where it stands.
+PLACE_WORDS = frozenset(
+    "a area article articles bar block bottom box bs btn button card center col column container content desktop div el element entry feed fixed for form global google"
+    " group header home hot html id in inner item js left link links list main mobile module my new news of outer page panel post posts primary reader readers right row"
+    " secondary section site slot sticky story the thread title top unit user users ui view wide wrap wrapper zone".split()
+)
+#: Of these words those that also drop an article of its own.
+COMMENT_WORDS = frozenset("ad ads advert advertisement comment comments discussion promo promoted reply replies respond sponsor sponsored".split())
+#: Elements that carry the page; names don't drop them.
+CARRIERS = frozenset("body html".split()) | HEADINGS
 #: An unclosed <p> ends where one of these begins.
 ENDS_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "title"}
 
 #: Class words that negate or qualify the words behind them.
 MODIFIERS = frozenset("can disable disabled enable enabled has have hide hides is no non not show shows supports toggle toggles with without".split())
 
-#: Lines with fewer characters a tag are low-ratio, unless they reach the page's threshold and hold no link; wrappers of this share of the text aren't dropped.
+#: Lines with fewer characters a tag are low-ratio; wrappers of this share of the text aren't dropped.
 LOW_RATIO, NEARLY_ALL = 25.0, 0.9
 SIGMA = 1.0
-
-
-def _class_words(value: str) -> set[str]:
-    """Words of class names up to a modifier: 'main-nav' has both its words, 'has-sidebar' and 'layout--sidebar' don't have the second."""
-    found: set[str] = set()
-    for name in value.lower().split():
-        for word in re.split(r"[^a-z0-9]+", name.split("--")[0]):
+#: A line counts as links if these hold so much of it; so many such lines in a row are a menu.
+LINKED, MENU_LINES = 0.8, 3
+_DISPLAY_NONE = re.compile(r"display\s*:\s*none")
+_WORDS = re.compile(r"[a-z]+")
+
+
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names is made of such words and of place words alone; what a modifier qualifies doesn't count."""
+    for name in value.lower().replace("--", " -- ").split():
+        if name == "--":
+            break  # the variant of a block: 'layout--sidebar'
+        found: list[str] = []
+        for word in _WORDS.findall(name):
             if word in MODIFIERS:
                 break
-            found.add(word)
-    return found
+            found.append(word)
+        if any(w in words for w in found) and all(w in words or w in DROPPED_WORDS or w in PLACE_WORDS for w in found):
+            return True
+    return False
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element and what holds inside it."""
+
+    tag: str
+    dropped: bool
+    silent: bool  # dropped, and not a block: its text belongs to no line
+    container: int
+    heading: bool
+    article: bool
+    link: bool
+
+
+@dataclass(slots=True)
+class _Line:
+    text: str
+    tags: int
+    dropped: bool
+    container: int
+    heading: bool
+    links: bool  # (nearly) all of it
+
+    @property
+    def ratio(self) -> float:
+        return 0.0 if self.dropped else len(self.text) / max(1, self.tags)
 
 
 class _Lines(HTMLParser):
-    """Collects ``(text, tags, dropped, path, heading)`` per line; path: ids of the open containers."""
+    """Collects the lines of a page, and its tree of containers (0: the page)."""
 
     def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
@@ -80,54 +134,54 @@ class _Lines(HTMLParser):
         self.count = 0
         self.wrapper = 0  # the outermost dropped element, if it could be spared
         self.wrapped: dict[int, list[tuple[int, float]]] = {}  # per such element size and ratio of its lines
-        self.lines: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # name, dropped from here on, container id or 0
-        self.kinds: dict[int, str] = {}
+        self.lines: list[_Line] = []
+        self.root = _Open("", False, False, 0, False, False, False)
+        self.stack: list[_Open] = []
+        self.open: Counter[str] = Counter()
+        self.parents, self.kinds = [0], [""]
         self.buffer: list[str] = []
-        self.tags = 0
-        self.link = False
-        self.linked: set[int] = set()  # numbers of the lines with a link
+        self.tags = self.chars = self.link_chars = 0
 
-    def _dropped(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
+    def _top(self) -> _Open:
+        return self.stack[-1] if self.stack else self.root
 
     def _flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer = []
         if text:
-            path = tuple(c for _, _, c in self.stack if c)
-            if self._dropped() and self.wrapper:
+            top = self._top()
+            if top.dropped and self.wrapper:
                 self.wrapped.setdefault(self.wrapper, []).append((len(text), len(text) / max(1, self.tags)))
-            self.lines.append((text, self.tags, self._dropped(), path, any(n in HEADINGS for n, _, _ in self.stack)))
+            self.lines.append(_Line(text, self.tags, top.dropped, top.container, top.heading, self.link_chars >= LINKED * self.chars))
             self.tags = 0
-            if self.link:
-                self.linked.add(len(self.lines) - 1)
-        self.link = False
+        self.chars = self.link_chars = 0
+
+    def _cut(self, k: int) -> None:
+        for x in self.stack[k:]:
+            self.open[x.tag] -= 1
+        del self.stack[k:]
 
     def _pop_to(self, name: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
-                del self.stack[k:]
-                return
+        if self.open[name]:
+            k = len(self.stack) - 1
+            while self.stack[k].tag != name:
+                k -= 1
+            self._cut(k)
 
-    def _drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _drops(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
         if tag in DROPPED:
             return True
-        inside = any(n in ("article", "main") for n, _, _ in self.stack)
         if tag == "header":  # the headline of an article may stand in its header
             return not inside
-        if tag in CARRIERS:
-            return False
+        words = COMMENT_WORDS if tag in ("article", "main") else DROPPED_WORDS if inside else DROPPED_WORDS | DROPPED_OUTSIDE
         for key, value in attrs:
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return True
             if key == "role" and (value or "").strip().lower() in DROPPED_ROLES:
                 return True
-            if key in ("class", "id"):
-                words = _class_words(value or "")
-                if words & DROPPED_WORDS or (not inside and words & DROPPED_OUTSIDE):
-                    return True
-            if key == "style" and re.search(r"display\s*:\s*none", value or ""):
+            if key in ("class", "id") and tag not in CARRIERS and _named(value or "", words):
+                return True
+            if key == "style" and _DISPLAY_NONE.search(value or ""):
                 return True
         return False
 
@@ -137,28 +191,30 @@ class _Lines(HTMLParser):
         elif tag == "br":
             self.buffer.append(" ")
         self.tags += 1
-        self.link = self.link or tag == "a"
         if tag in VOID:
             return
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.open["p"]:
             for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == "p":
-                    del self.stack[k:]
+                if self.stack[k].tag == "p":
+                    self._cut(k)
                     break
-                if self.stack[k][0] in BLOCK:
+                if self.stack[k].tag in BLOCK:
                     break
         if tag == "body":
             self._pop_to("head")
         self.count += 1
-        before = self._dropped()
-        dropped = before or (self.count not in self.spared and self._drops(tag, attrs))
-        if dropped and not before:
+        top = self._top()
+        dropped = top.dropped or (self.count not in self.spared and self._drops(tag, attrs, top.article))
+        if dropped and not top.dropped:
             self.wrapper = self.count if tag == "form" or tag not in DROPPED | {"header"} else 0
-        container = 0
+        container = top.container
         if tag in CONTAINER:
-            container = len(self.kinds) + 1
-            self.kinds[container] = tag
-        self.stack.append((tag, dropped, container))
+            container = len(self.parents)
+            self.parents.append(top.container)
+            self.kinds.append(tag)
+        silent = top.silent if top.dropped else dropped and tag not in BLOCK
+        self.stack.append(_Open(tag, dropped, silent, container, top.heading or tag in HEADINGS, top.article or tag in ("article", "main"), top.link or tag == "a"))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -173,16 +229,19 @@ class _Lines(HTMLParser):
             self._pop_to(tag)
 
     def handle_data(self, data: str) -> None:
-        if self._dropped():
-            name = next((n for n, d, _ in self.stack if d), "")
-            if name not in BLOCK:  # script, style, button, ... inside a block
-                return
+        top = self._top()
+        if top.silent:  # script, style, button, ... inside a block
+            return
         self.buffer.append(data)
+        size = len(data) - data.count(" ")
+        self.chars += size
+        if top.link:
+            self.link_chars += size
 
 
-def content_scores(lines: list[tuple[str, int, bool, tuple[int, ...], bool]]) -> list[float]:
+def content_scores(lines: list[_Line]) -> list[float]:
     """Smoothed text-to-tag ratios; dropped lines count as 0."""
-    ratios = [0.0 if dropped else len(text) / max(1, tags) for text, tags, dropped, _, _ in lines]
+    ratios = [line.ratio for line in lines]
     reach = max(1, math.ceil(3 * SIGMA))
     kernel = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-reach, reach + 1)]
     total = sum(kernel)
@@ -203,50 +262,75 @@ def _parsed(html: str, spared: frozenset[int]) -> _Lines:
     return parser
 
 
+def _region(parser: _Lines, content: list[bool]) -> list[bool]:
+    """Per container whether its lines belong to the region that the content lines decide."""
+    lines, parents, kinds = parser.lines, parser.parents, parser.kinds
+    n = len(parents)
+    mass, held = [0] * n, [0] * n
+    for chosen, line in zip(content, lines, strict=True):
+        if chosen:
+            mass[line.container] += len(line.text)
+        held[line.container] += not line.dropped and (line.heading or line.ratio >= LOW_RATIO or (chosen and not line.links))
+    for c in range(n - 1, 0, -1):  # containers come after their parents
+        mass[parents[c]] += mass[c]
+        held[parents[c]] += held[c]
+    for kind in ("article", "main"):
+        within = [False] * n
+        covered = 0
+        for c in range(1, n):
+            outer = within[parents[c]]
+            within[c] = outer or (kinds[c] == kind and mass[c] > 0)
+            if within[c] and not outer:
+                covered += mass[c]
+        if covered and covered >= 0.5 * mass[0]:
+            # articles without content lines, such as short ones, are articles too
+            for c in range(1, n):
+                within[c] = within[parents[c]] or kinds[c] == kind
+            return within
+    # down while one container holds all
+    at = 0
+    inside = [c == 0 for c in range(n)]
+    for c in range(1, n):
+        if parents[c] == at and held[c] == held[0] and held[0]:
+            at = c
+            inside = []
+    if not inside:
+        inside = [False] * n
+        inside[at] = True
+    for c in range(1, n):
+        inside[c] = inside[c] or (inside[parents[c]] and c != at)
+    return inside
+
+
 def main_text(html: str | None) -> str:
     """The article of one page: its blocks, parted by an empty line."""
     spared: frozenset[int] = frozenset()
     while True:
         parser = _parsed(html or "", spared)
-        total = sum(len(line[0]) for line in parser.lines)
+        total = sum(len(line.text) for line in parser.lines)
         whole = {k for k, parts in parser.wrapped.items() if sum(n for n, _ in parts) >= NEARLY_ALL * total and any(r >= LOW_RATIO for _, r in parts)}
         if not whole:
             break
         spared |= whole
     lines = parser.lines
-    if not lines:
+    if all(line.dropped for line in lines):
         return ""
     scores = content_scores(lines)
     mean = sum(scores) / len(scores)
     threshold = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    content = [s >= threshold and not line[2] for s, line in zip(scores, lines, strict=True)]
+    content = [s >= threshold and not line.dropped for s, line in zip(scores, lines, strict=True)]
     if not any(content):
-        content = [not line[2] for line in lines]
-    mass: dict[int, int] = {0: 0}
-    for chosen, (text, _, _, path, _) in zip(content, lines, strict=True):
-        if chosen:
-            mass[0] += len(text)
-            for c in path:
-                mass[c] = mass.get(c, 0) + len(text)
-    # articles and main elements first; else go down while one container holds all but low-ratio lines
-    named = {c for c, kind in parser.kinds.items() if kind == "article" and mass.get(c, 0)}
-    if not named or sum(mass[c] for c in named if not any(_inside(lines, c, o) for o in named - {c})) < 0.5 * mass[0]:
-        named = {c for c, kind in parser.kinds.items() if kind == "main" and mass.get(c, 0) >= 0.5 * mass[0]}
-    if named:
-        kept = {c for c, kind in parser.kinds.items() if kind == parser.kinds[next(iter(named))]}
-        region = lambda path: any(c in kept for c in path)
-    else:
-        rich = lambda k, text, tags: len(text) / max(1, tags) >= LOW_RATIO or (content[k] and k not in parser.linked)
-        held = [path for k, (text, tags, dropped, path, heading) in enumerate(lines) if not dropped and (heading or rich(k, text, tags))]
-        shared = min(held, key=len, default=())
-        while not all(path[: len(shared)] == shared for path in held):
-            shared = shared[:-1]
-        region = lambda path: path[: len(shared)] == shared
-    return "\n\n".join(text for text, _, dropped, path, _ in lines if not dropped and region(path))
-
-
-def _inside(lines: list, inner: int, outer: int) -> bool:
-    return any(inner in path and outer in path and path.index(outer) < path.index(inner) for _, _, _, path, _ in lines)
+        content = [not line.dropped for line in lines]
+    inside = _region(parser, content)
+    within = [k for k, line in enumerate(lines) if not line.dropped and inside[line.container]]
+    kept: list[str] = []
+    for menu, run in groupby(within, lambda k: lines[k].links and not lines[k].heading and lines[k].ratio < LOW_RATIO):
+        own = list(run)
+        # several links in a row that aren't content by the ratios around them
+        if menu and sum(scores[k] for k in own) < threshold * len(own) and len(own) >= MENU_LINES:
+            continue
+        kept += [lines[k].text for k in own]
+    return "\n\n".join(kept)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -255,7 +339,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(2).to_pylist()]
+            texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

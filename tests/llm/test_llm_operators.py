@@ -4,6 +4,7 @@ import hashlib
 import html as html_lib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,6 +132,53 @@ def test_main_text_is_whole():
         assert html_text.main_text(page) == text, page[:60]
 
 
+def test_main_text_by_ratios(monkeypatch):
+    long, short = "long text " * 90, "short text " * 18
+    want = lambda *parts: "\n\n".join(p.strip() for p in parts)
+    links = "".join(f"<li><a href=/{k}>topic {k}</a></li>" for k in range(8))
+    pages = {
+        f"<article><h1>T</h1><p>{long}</p><p>{short}</p><ul>{links}</ul></article>": want("T", long, short),  # a menu without a name
+        f"<body><div><ul>{links}</ul></div><div><p>{long}</div><div><p>{short}</div>": want(long, short),
+        f"<article><p>{long}</p><ul><li>first point</li><li>second point</li><li>third point</li></ul><p>{short}</p></article>": want(long, "first point", "second point", "third point", short),
+        f"<article><p>{long}</p><p><a href=x>one link alone</a></p><p>{short}</p></article>": want(long, "one link alone", short),
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text, page[:60]
+    monkeypatch.setattr(html_text, "content_scores", lambda lines: [1.0] * len(lines))
+    changed = [page for page, text in pages.items() if html_text.main_text(page) != text]
+    assert changed == list(pages)[:2]  # without the ratios menus come out
+
+
+def test_main_text_names_are_a_prior():
+    long, short = "long text " * 90, "short text " * 18
+    want = lambda *parts: "\n\n".join(p.strip() for p in parts)
+    pages = {
+        "<body><div><nav>Home</nav></div></body>": "", "<div class='cookie-notice'>We use cookies</div>": "", "<main><footer>imprint</footer></main>": "",
+        f"<article><p>{long}</p><section id='related-work'><p>{short}</p></section><h2 id='comment-on-method'>On method</h2><p>{short}</p></article>": want(long, short, "On method", short),
+        f"<article><p>{long}</p></article><article class='comment'><p>{short}</p></article><article id='comment-7'>{short}</article>": want(long),
+        f"<div id='social-history'><p>{long}</p><p>{short}</p></div>": want(long, short),
+        f"<body><div><div><p>{long}</p></div></div><div><p>{short}</p></div><div class='site-footer'>{short}</div>": want(long, short),
+        f"<article class='comment'><p>{long}</p></article>": want(long),
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text, page[:80]
+
+
+def test_main_text_is_linear(spark):
+    began = time.perf_counter()
+    deep = "".join(f"<div><p>line number {k} has some words in it" for k in range(2000))
+    assert html_text.main_text(deep).count("\n\n") == 1999
+    assert html_text.main_text("<article>" + "".join(f"<b>word{k} </i>" for k in range(5000)) + "</article>").count("word") == 5000
+    many = "".join(f"<article><p>{'text of it ' * 9}{k}</p></article>" for k in range(2000))
+    assert html_text.main_text(many).count("\n\n") == 1999
+    assert time.perf_counter() - began < 3
+    rows = [(1, "u", "<p>abc", "x", 3), (1, "u", "<p>abc", "x", 3), (None, None, None, None, None), (2, "v", "<article><p>" + "é &amp; " * 100_000 + "</article>", "t", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract_main_text(df).collect())
+    assert got == [(0, "", 0), (1, "abc", 3), (1, "abc", 3), (2, ("é & " * 100_000).strip(), 399_999)]
+    assert html_text.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_language_held_out(spark, docs):
     got = Q.op10_langid(spark, DATA).collect()
     labels = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
