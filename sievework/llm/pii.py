@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, checksums confirm, context adjusts.
+"""Personal data and secrets: patterns propose spans, checksums confirm, context adjusts.
 
 Spark has no function that returns the positions of all matches, but ``split``
 (what lies between the matches) and ``regexp_extract_all`` (the matches) walk a
@@ -8,7 +8,13 @@ The patterns are written so that a match never has to be sought twice from
 inside one run of characters (lookbehind or the end of the match before, then
 possessive quantifiers or bounds), which keeps them linear on very long runs and
 selects the same leftmost matches. An account number ends at the length of its
-country, whatever follows; one of an unregistered country needs context to stay.
+country, whatever follows.
+
+A span's score is the prior of its form, more if words of its kind stand within
+``CONTEXT_CHARS`` on either side (up to the next match of the kind), less if words there say that it is a mere
+example. Spans of the base kinds stay whatever their score. An added one needs ``KEEP_SCORE``: forms
+with a prior below it (account numbers of unregistered countries, national ids, long
+mixed strings) stay only with context, and an example loses all but the plainest.
 
 Defined cases: null text counts as empty and has no spans; ids may be null or
 repeat, each row is treated by itself; an empty table gives an empty result;
@@ -24,7 +30,7 @@ from sievework.llm.arrays import running_sum
 
 # The base kinds in their order, then what this method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban")
+KINDS = (*BASE_KINDS, "iban", "ipv6", "national_id", "secret")
 
 #: Lengths of account numbers by country, as registered.
 IBAN_LENGTHS = {
@@ -35,12 +41,28 @@ IBAN_LENGTHS = {
 _COUNTRIES = "|".join(c for names in IBAN_LENGTHS.values() for c in names.split())
 _BY_LENGTH = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
 
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: Keys whose form gives them away, assignments to telling names, and long mixed strings.
+_KEY = (
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{40,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+    r"|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+)
+_ASSIGNED = (
+    r"(?<![A-Za-z0-9])(?i:[a-z0-9]{0,20}[_-])?(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|secret[_-]?key)"
+    r"[\"']? {0,2}[:=] {0,2}(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"',;]{6,}+)"
+)
+_MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{_COUNTRIES})[0-9]{{2}}) ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,5}})?::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![0-9A-Za-z:])",
+    "national_id": r"(?<![0-9A-Za-z-])(?:(?!000|666|9)[0-9]{3}([- ])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}|[A-CEGHJ-PR-TW-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D])(?![0-9A-Za-z-])",
+    "secret": f"{_KEY}|{_ASSIGNED}|{_MIXED}",
 }
 #: A cheap test that every text with a match passes.
 HINTS = {"email": "@", "phone": "+"}
@@ -48,19 +70,29 @@ HINT_PATTERNS = {
     "ip": r"[0-9]\.[0-9]",
     "card": r"[0-9](?:[ -]?[0-9]){15}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}",
+    "ipv6": r"[0-9A-Fa-f:]:[0-9A-Fa-f:]",
+    "national_id": r"[0-9]{2}[- ]?[0-9]{2}[- ]?[0-9]{2}",
+    "secret": r"(?i:password|passwd|passphrase|pwd|secret|token|key)[\"']? {0,2}[:=]|PRIVATE KEY|[A-Za-z0-9+/_-]{20}|xox[abprs]-",
 }
-#: Words that speak for a kind when they stand shortly before the span.
+#: Words that speak for a kind when they stand near the span.
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|address)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|login|from)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|credit|debit|payment|pay)\b",
     "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|cell)\b",
     "iban": r"(?i)\b(?:iban|bank|account|transfer|konto)\b",
+    "ipv6": r"(?i)\b(?:ip|ipv6|host|server|address|login|from)\b",
+    "national_id": r"(?i)\b(?:ssn|social security|national insurance|nino|identity|id number)\b",
+    "secret": r"(?i)\b(?:password|passwd|secret|token|key|credentials?|bearer|authorization|login)\b",
 }
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7}
+#: Words that speak against any kind.
+AGAINST = r"(?i)\b(?:example|sample|dummy|placeholder|fake|redacted|checksum|sha1|sha256|md5|commit|isbn)\b"
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.7, "ipv6": 0.6, "national_id": 0.4}
 #: An account number of a country that isn't registered has only its checksum for it: it needs context.
 PRIOR_UNREGISTERED = 0.4
-CONTEXT_CHARS, CONTEXT_WEIGHT, KEEP_SCORE = 40, 0.2, 0.5
+#: Of a secret: a known form, an assigned value with a digit, another assigned value, a mixed string.
+PRIOR_KEY, PRIOR_ASSIGNED, PRIOR_WORD, PRIOR_MIXED = 0.9, 0.75, 0.3, 0.35
+CONTEXT_CHARS, CONTEXT_WEIGHT, AGAINST_WEIGHT, KEEP_SCORE = 40, 0.2, 0.3, 0.5
 
 
 def _digits(s: Column) -> Column:
@@ -108,9 +140,22 @@ def _confirmed(kind: str, s: Column) -> Column:
         return F.length(_digits(s)).between(8, 15)
     if kind == "iban":
         return mod97(s)
+    if kind == "ipv6":  # not the scope of a name, as in a::b
+        return F.regexp_like(s, F.lit("[0-9]")) & (F.size(F.filter(F.split(s, ":"), lambda x: x != "")) >= 3)
     return F.lit(True)
 
 
+def _prior(kind: str, m: Column) -> Column:
+    """What the form of a match is worth before its context."""
+    if kind == "iban":
+        return F.when(F.substring(m, 1, 2).isin(*_COUNTRIES.split("|")), PRIOR[kind]).otherwise(PRIOR_UNREGISTERED)
+    if kind == "secret":
+        named = F.regexp_like(m, F.lit(f"^(?:{_ASSIGNED})$"))
+        digit = F.regexp_like(m, F.lit("[:=].*[0-9]"))
+        return F.when(F.regexp_like(m, F.lit(f"^(?:{_KEY})$")), PRIOR_KEY).when(named & digit, PRIOR_ASSIGNED).when(named, PRIOR_WORD).otherwise(PRIOR_MIXED)
+    return F.lit(PRIOR[kind])
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, text``, the columns ``keep``, and ``spans``.
 
@@ -150,15 +195,16 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     # 3. checks, context, score
     def spans_of(kind: str) -> Column:
         def at(m: Column, i: Column) -> Column:
-            before = F.get(F.col(f"g_{kind}"), i)
-            near = F.regexp_like(F.right(before, F.lit(CONTEXT_CHARS)), F.lit(CONTEXT[kind]))
-            prior = F.lit(PRIOR[kind])
-            if kind == "iban":
-                prior = F.when(F.substring(m, 1, 2).isin(*_COUNTRIES.split("|")), prior).otherwise(PRIOR_UNREGISTERED)
-            score = prior + F.when(near, CONTEXT_WEIGHT).otherwise(0.0)
+            gaps = F.col(f"g_{kind}")
+            around = F.concat(F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS)), F.lit("\n"), F.left(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.lit(CONTEXT_CHARS)))
+            score = (
+                _prior(kind, m)
+                + F.when(F.regexp_like(around, F.lit(CONTEXT[kind])), CONTEXT_WEIGHT).otherwise(0.0)
+                - F.when(F.regexp_like(around, F.lit(AGAINST)), AGAINST_WEIGHT).otherwise(0.0)
+            )
             end = F.get(F.col(f"e_{kind}"), i)
             return F.struct(
-                F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), score.alias("score"), _confirmed(kind, m).alias("ok")
+                F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), F.round(score, 2).alias("score"), _confirmed(kind, m).alias("ok")
             )
 
         kept = F.filter(F.transform(f"m_{kind}", at), lambda s: s["ok"])
@@ -179,13 +225,15 @@ def _spelled(spans: Column) -> Column:
 
 
 def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, their digest, and all spans as a string."""
+    """Counts of the base kinds, their digest, all spans as a string; then the number of all spans, counts of the added kinds, and the spans' scores as a string."""
     spans = F.col("spans")
-    count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("bigint")
+    count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
-        F.col(id_col), *(count(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(_spelled(base), 256).alias("base_sha256"), _spelled(spans).alias("spans")
-    )
+        F.col(id_col), *(count(k) for k in BASE_KINDS), F.sha2(_spelled(base), 256).alias("base_sha256"), _spelled(spans).alias("spans"),
+        F.size(spans).cast("bigint").alias("n_spans"), *(count(k) for k in KINDS[len(BASE_KINDS) :]),
+        F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
