@@ -15,11 +15,14 @@ that count cover at least 0.8 of the item's distinct windows.
 
 Each window row carries only a hash and, if it has slots, the hashes of their
 values; texts are never shuffled. The benchmark's windows are broadcast if there
-are at most ``BROADCAST_ROWS`` of them, else both sides are shuffled by the hash.
+are at most ``BROADCAST_ROWS`` of them, else both sides are shuffled by the hash and one
+of ``SALTS`` salts, so that a window which very many documents share meets in as many tasks.
 
-Defined cases: null or blank texts have no windows and match nothing; a text of
-fewer than five words is one window; items with equal text count once, under
-their smallest id; documents with a null id are judged together under the null
+An item of fewer than five words is one window of its own length, sought in all documents;
+so few words hold no template, its slots must have the item's own values.
+
+Defined cases: null or blank texts have no windows and match nothing; items with equal text
+are judged once and reported each; documents with a null id are judged together under the null
 id, as are documents that share an id; empty tables give an empty result;
 other columns are ignored.
 """
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 
 WINDOW, COVERAGE = 5, 0.8
 BROADCAST_ROWS = 1_000_000
+SALTS = 32
 
 # Words that count as units.
 UNITS = (
@@ -59,8 +63,8 @@ def _canonical(text: Column) -> Column:
     return F.lower(F.regexp_replace(t, rf"(?<![^\x09-\x0D\x20])(?=\p{{Lu}})(?!(?i:{PLAIN_WORDS})(?![^\x09-\x0D\x20]))", NAME_SLOT))
 
 
-def windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, at, h, slots`` for each window of five words."""
+def windows(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """``id, words, at, size, h, slots`` for each window of as many words as one of ``sizes``."""
     words = F.filter(F.split(_canonical(F.coalesce(F.col(text_col), F.lit(""))), SPACE, -1), lambda c: c != "")
 
     def typed(c: Column) -> Column:
@@ -71,20 +75,24 @@ def windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kept = df.select(F.col(id_col).alias("id"), F.transform(words, typed).alias("t"))
 
-    def window(i: Column) -> Column:
-        each = [F.get(F.col("t"), i + k) for k in range(WINDOW)]
-        values = [x["v"] for x in each]
-        slotted = F.coalesce(*values).isNotNull()
-        return F.struct(
-            i.alias("at"),
-            F.xxhash64(*(x["c"] for x in each)).alias("h"),
-            F.when(slotted, F.array(*values)).alias("slots"),
-        )
+    def of_size(size: int) -> Column:
+        def window(i: Column) -> Column:
+            each = [F.get(F.col("t"), i + k) for k in range(size)]
+            values = [x["v"] for x in each]
+            slotted = F.coalesce(*values, F.lit(None)).isNotNull()
+            return F.struct(
+                i.alias("at"),
+                F.lit(size).alias("size"),
+                F.xxhash64(*([] if size == WINDOW else [F.lit(size)]), *(x["c"] for x in each)).alias("h"),
+                F.when(slotted, F.array(*values)).alias("slots"),
+            )
+
+        return F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - size, F.lit(0))), window))
 
-    last = F.greatest(F.size("t") - WINDOW, F.lit(0))
     # inline_outer: of an inner one the optimizer would derive a filter that holds these expressions once more, inside the lambda
-    made = F.when(F.size("t") > 0, F.transform(F.sequence(F.lit(0), last), window))
-    return kept.select("id", made.alias("w")).select("id", F.inline_outer("w")).where(F.col("h").isNotNull())
+    one = of_size(sizes[0])
+    made = one if len(sizes) == 1 else F.flatten(F.array_compact(F.array(*map(of_size, sizes))))
+    return kept.select("id", F.size("t").alias("words"), made.alias("w")).select("id", "words", F.inline_outer("w")).where(F.col("h").isNotNull())
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -92,12 +100,19 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     ``reparameterised``: some slot of the document holds another value than the item's.
     """
-    unique = benchmark.where(F.col(item_text_col).isNotNull()).groupBy(F.col(item_text_col).alias("__t")).agg(F.min(item_col).alias("__i"))
-    of_items = windows(unique, "__i", "__t").withColumnsRenamed({"id": "item_id", "at": "i", "slots": "item_slots"})
+    named = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_text_col).alias("__t"), F.col(item_col).alias("__i"))
+    unique = named.groupBy("__t").agg(F.min("__i").alias("__i"))
+    every = windows(unique, "__i", "__t", tuple(range(WINDOW, 0, -1)))
+    of_items = every.where(F.col("size") == F.least("words", F.lit(WINDOW))).drop("words").withColumnsRenamed({"id": "item_id", "at": "i", "slots": "item_slots"})
     items = of_items.join(of_items.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows")), "item_id")
-    probe = windows(docs, id_col, text_col).withColumnRenamed("id", "doc_id")
-    small = of_items.count() <= BROADCAST_ROWS
-    hits = probe.join(F.broadcast(items) if small else items, "h")
+    found = of_items.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
+    sizes = tuple(sorted(found["sizes"], reverse=True)) or (WINDOW,)
+    probe = windows(docs, id_col, text_col, sizes).select(F.col("id").alias("doc_id"), "at", "h", "slots")
+    if found["n"] <= BROADCAST_ROWS:
+        hits = probe.join(F.broadcast(items), "h")
+    else:
+        salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = probe.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
     none = F.array().cast("array<struct<a:bigint,p:bigint,b:bigint>>")
     # per slot of a window: the item's value, its place in the item, the document's value
     pairs = F.coalesce(
@@ -107,9 +122,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         ),
         none,
     )
+    hits = hits.withColumn("pairs", pairs).where((F.col("size") == WINDOW) | F.forall("pairs", lambda s: s["a"].eqNullSafe(s["b"])))
     aligned = (
         hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("i")).alias("shift"))
-        .agg(F.first("n_windows").alias("n_windows"), F.collect_set(F.struct("h", pairs.alias("pairs"))).alias("found"))
+        .agg(F.first("n_windows").alias("n_windows"), F.collect_set(F.struct("h", "pairs")).alias("found"))
         .withColumn("slots", F.array_distinct(F.flatten(F.transform("found", lambda w: w["pairs"]))))
         .withColumn("mapped", F.array_distinct(F.transform("slots", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))))
     )
@@ -129,7 +145,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         ),
     ).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
     counts = lambda w: ~F.exists(w["pairs"], lambda s: F.exists("lost", lambda x: (x["a"] == s["a"]) & (x["b"] == s["b"])))
-    return (
+    judged = (
         aligned.withColumn("ranked", ranked)
         .withColumn("lost", lost)
         .withColumn("found", F.filter("found", counts))
@@ -141,6 +157,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         )
         .where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
     )
+    # each item of an equal text
+    copies = named.join(unique.withColumnRenamed("__i", "item_id"), "__t").select("item_id", "__i").distinct()
+    return judged.join(copies, "item_id").select("doc_id", F.col("__i").alias("item_id"), "n_windows", "n_matched", "reparameterised")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -474,6 +474,7 @@ def test_benchmark_leaks(spark, docs):
     df = docs.select("doc_id", "text", "h").unionByName(spark.createDataFrame(planted, "doc_id long, text string"), allowMissingColumns=True)
     got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontaminate.contaminated_pairs(df, bench).collect()}
     whole = {(i, k) for i, t in [(r["doc_id"], r["text"]) for r in docs.collect()] + planted for k, b in items.items() if t and b in t}
+    whole |= {(i, 702) for i, k in whole if k == 1}  # equal items are reported each
     assert whole <= set(got) and set(got) - whole == {(5001, 700)} and got[(5001, 700)] and not got[(5000, 1)]
     assert decontaminate.drop_contaminated(df, bench).count() == df.count() - len({i for i, _ in got})
     assert decontaminate.contaminated_pairs(df.limit(0), bench).count() == 0
@@ -502,6 +503,62 @@ def test_leaks_with_names_at_sentence_starts_and_joined_units(spark):
     assert got == {10: (0, True), 11: (0, True), 12: (0, False)}
 
 
+def test_leaks_by_plain_loops(spark, monkeypatch):
+    """All windows, with and without a broadcast, against loops; short items; empty benchmarks."""
+    rng = np.random.default_rng(12)
+    vocab = "river town quiet old bridge along walk song tree 5 7 km Anna Otto".split()
+    texts = [" ".join(rng.choice(vocab, rng.integers(0, 30))) for _ in range(60)]
+    items = [(k, " ".join(rng.choice(vocab, rng.integers(1, 9)))) for k in range(25)] + [(90, None), (91, ""), (92, "5"), (93, "walk along old"), (94, texts[7])]
+    texts += [f"{texts[0]} {t}" for _, t in items if t] + ["", None]
+    docs = [(k if k % 9 else None, t) if k > 55 else (k, t) for k, t in enumerate(texts)]
+
+    def template(t):
+        out = []
+        for w in (t or "").split():
+            kind = 1 if w.isdigit() else 3 if w[0].isupper() else 2 if w == "km" else 0
+            out.append((kind, w.lower()) if kind else (0, w))
+        return out
+
+    def spans(ws, size):
+        return [(tuple((k, "" if k else w) for k, w in ws[a : a + size]), tuple(w if k else None for k, w in ws[a : a + size]), a) for a in range(len(ws) - size + 1)]
+
+    by_id = defaultdict(list)
+    for i, t in docs:
+        by_id[i].append(template(t))
+    want = set()
+    for item, t in items:
+        ws = template(t)
+        size = min(5, len(ws))
+        if not size:
+            continue
+        sought = spans(ws, size)
+        n = len({h for h, _, _ in sought})
+        for i, all_words in by_id.items():
+            matched, aligned = set(), defaultdict(set)
+            for words_ in all_words:
+                for h, values, at in spans(words_, size):
+                    for h2, own, at2 in sought:
+                        if h == h2 and (size == 5 or values == own):
+                            aligned[at - at2].add((h, tuple((a, at2 + k, b) for k, (a, b) in enumerate(zip(own, values)) if a is not None)))
+            for windows_ in aligned.values():
+                slots = {s for _, ps in windows_ for s in ps}
+                best = {}
+                for a, b in {(a, b) for a, _, b in slots}:
+                    places = [p for x, p, y in slots if (x, y) == (a, b)]
+                    best.setdefault(a, []).append((len(places), a == b, -min(places), b))
+                top = {a: max(r)[:3] for a, r in best.items()}
+                keep = {(a, r[3]) for a, rs in best.items() for r in rs if r[1] or r[:3] == top[a]}
+                matched |= {h for h, ps in windows_ if all((a, b) in keep for a, _, b in ps)}
+            if len(matched) >= 0.8 * n:
+                want.add((i, item, n, len(matched)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
+    got = lambda b: {(r["doc_id"], r["item_id"], r["n_windows"], r["n_matched"]) for r in decontaminate.contaminated_pairs(df, b).collect()}
+    assert got(bench) == want and len(want) > 40
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    assert got(bench) == want
+    assert got(bench.limit(0)) == set() and decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(docs)
+
+
 def test_mixture(spark):
     rng = np.random.default_rng(2)
     sizes = {"big": 600, "mid": 150, "small": 50, None: 10}
