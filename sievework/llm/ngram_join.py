@@ -18,8 +18,8 @@ the connected parts of a list send one member each to the list's largest part. W
 those rounds link needs no more comparisons; what is left between different
 parts is compared in full at the end, so no link between parts is missed.
 
-Sets travel only for verification: a pair's left set once per salted slice of
-its partners, not once per pair.
+Sets travel only for verification, as whole hashes: a pair's left set once per salted slice of
+its partners, not once per pair. Long lists and large groups are joined in slices.
 
 Defined cases: null or blank texts have the empty set, which links with nothing;
 with fewer than k words the whole sequence is the one shingle; rows that share an
@@ -56,8 +56,8 @@ BROADCAST_ROWS = 250_000
 BEFORE = 8
 #: Prefixes are so much longer that similar sets share this many of them.
 EXTENDED = 5
-#: Bytes of a hash that travel for verification (of 8): sets of a million hashes have a false match in 300 pairs.
-SENT_BYTES = 6
+#: A list's postings are joined in slices of so many.
+SLICE = 2048
 _U = np.uint64
 
 
@@ -123,24 +123,13 @@ def _digest(s: np.ndarray) -> int:
     return int(np.add.reduce(x) >> _U(1))
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """The leading bytes of sorted hashes, which stay sorted."""
-    return s.view(np.uint8).reshape(-1, 8)[:, 8 - SENT_BYTES :].tobytes()
-
-
-def _unpacked(raw: pa.Buffer) -> np.ndarray:
-    wide = np.zeros((raw.size // SENT_BYTES, 8), np.uint8)
-    wide[:, 8 - SENT_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, SENT_BYTES)
-    return wide.view(_U).ravel()
-
-
 def _sets_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, k)
                 wanted = batch.column(0).slice(a, b - a).to_pylist()
-                hit = [(w, _packed(s)) for w, s in zip(wanted, sets, strict=True) if _digest(s) == w]
+                hit = [(w, s.tobytes()) for w, s in zip(wanted, sets, strict=True) if _digest(s) == w]
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in hit], pa.int64()), pa.array([s for _, s in hit], pa.binary())], names=["w", "s"])
 
     return run
@@ -170,7 +159,7 @@ def _verified_part(pairs: DataFrame, sets: DataFrame, percent: int, light: bool)
         for batch in batches:
             found: list[tuple[int, int]] = []
             for a, part, b, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                other = _unpacked(raw.as_buffer())
+                other = np.frombuffer(raw.as_buffer(), _U)
                 if b is None:
                     key, own = (a, part), other
                 elif key == (a, part):
@@ -215,21 +204,20 @@ def _plausible(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame
 def _cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All candidates between different parts. ``rows``: postings of groups; ``nodes`` (w, n, g, c): all members with their parts."""
     members = nodes.select("g", "w", "c")
-    open_groups = nodes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    open_groups = nodes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
     # within groups of several parts
-    split = nodes.join(open_groups.where("lo <> hi").select("g"), "g", "left_semi").select("g", "w", "c")
-    inner = split.join(split.toDF("g", "w2", "c2"), "g").where("w < w2 and c <> c2").select(F.col("w").alias("a"), F.col("w2").alias("b"))
+    split = nodes.select("g", "w", "c").join(open_groups.where("lo <> hi").select("g", "size"), "g")
+    inner = _sliced(split, "g", "w").where("w < w2 and c <> c2").select(F.col("w").alias("a"), F.col("w2").alias("b"))
     # between groups: lists with more than one part
-    ranged = rows.select("token", "n", "at", "g").join(open_groups, "g")
-    mixed = ranged.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
-    live = ranged.join(mixed, "token", "left_semi")
+    ranged = rows.select("token", "n", "at", "g").join(open_groups.drop("size"), "g")
+    mixed = ranged.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count("*").alias("size")).where("l <> h").select("token", "size")
+    live = ranged.join(mixed, "token")
     # a pair is wanted once: not where one of the shingles shortly before is shared as well
     preceding = Window.partitionBy("g").orderBy("at").rowsBetween(-BEFORE, -1)
     live = live.withColumn("before", F.collect_list("token").over(preceding))
-    other = live.select("token", *(F.col(c).alias(f"{c}2") for c in ("n", "at", "g", "lo", "hi", "before")))
     need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
     pairs = (
-        live.join(other, "token")
+        _sliced(live, "token", "g")
         .where("(n < n2 or (n = n2 and g < g2)) and not (lo = hi and lo2 = hi2 and lo = lo2)")
         .where(_compatible("n", "n2", percent))
         .where(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need)
@@ -241,6 +229,14 @@ def _cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return inner.unionAll(between)
 
 
+def _sliced(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """The rows joined with themselves by ``key``, the right side's columns marked by a 2: a key of ``size`` rows in as many tasks as it has slices."""
+    slices = F.ceil(F.col("size") / SLICE).cast("int")
+    left = rows.withColumn("slice", F.pmod(F.xxhash64(member), slices).cast("int")).drop("size")
+    right = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("size")
+    return left.join(right.withColumnsRenamed({c: f"{c}2" for c in rows.columns if c not in (key, "size")}), [key, "slice"])
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row.
 
@@ -310,8 +306,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = tables.write(f"pairs{r}", _plausible(pairs, profiles, percent))
+        if r and not pairs.limit(1).count():
+            continue  # nothing that hasn't been compared: parts stay as they are
         tested = pairs if tested is None else tested.unionAll(pairs)
         found = _verified(pairs, sets, percent, tables, f"found{r}")
+        if r and not found.limit(1).count():
+            continue
         links = tables.write(f"links{r}", found if links is None else found.unionAll(links))
         labels = components(links, tables, f"cc{r}-").select(F.col("node").alias("w"), "component")
     tables.drop("lists", "sets", "profiles", *(f"{x}{r}" for x in ("pairs", "parted") for r in range(ROUNDS + 1)))

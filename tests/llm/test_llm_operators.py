@@ -210,6 +210,29 @@ def test_language_held_out(spark, docs):
 
 
 def test_jaccard_components(spark, docs, rows):
+    check_jaccard(docs, rows)
+    assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_jaccard_of_skewed_texts(spark, monkeypatch):
+    """Families of near copies in chains, a passage that most documents share, equal texts; slices, parts and broadcasts made small."""
+    rng = np.random.default_rng(13)
+    vocab = np.array([f"w{k}" for k in range(400)])
+    common, texts = " ".join(rng.choice(vocab, 40)), []
+    for family in range(12):
+        now = list(rng.choice(vocab, rng.integers(20, 120)))
+        for _ in range(25):
+            now = list(now)
+            now[int(rng.integers(len(now)))] = str(rng.choice(vocab))
+            texts.append(" ".join(now))
+    texts += [common + " " + " ".join(rng.choice(vocab, rng.integers(0, 60))) for _ in range(200)] + [common] * 40 + [texts[5]] * 30
+    rows = [(k % 560, t) for k, t in enumerate(texts)]  # some rows share an id
+    monkeypatch.setattr(ngram_join, "SLICE", 7)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 5)
+    check_jaccard(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, w long, g int"), rows)
+
+
+def check_jaccard(docs, rows):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.jaccard_components(docs).collect())
     sets = []
     for i, t in rows:
@@ -232,7 +255,6 @@ def test_jaccard_components(spark, docs, rows):
         if i is not None:
             low[find(k)] = min(i, low.get(find(k), i))
     assert got == sorted((i or 0, len(s), low.get(find(k), 0)) for k, (i, s) in enumerate(sets))
-    assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
 def test_repeats_removed(spark, docs, rows):
