@@ -581,27 +581,55 @@ def test_leaks_by_plain_loops(spark, monkeypatch):
     assert got(bench.limit(0)) == set() and decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
-def test_mixture(spark):
-    rng = np.random.default_rng(2)
-    sizes = {"big": 600, "mid": 150, "small": 50, None: 10}
-    data = [(k, " ".join("w" * int(rng.integers(5, 30))) and "w " * int(rng.integers(5, 30)), s) for k, s in enumerate(x for s, n in sizes.items() for x in [s] * n)]
-    df = spark.createDataFrame([(*d, "p", 1) for d in data], "doc_id long, text string, source string, position string, block int")
-    p = mixing.MixParams(entropy_share=0.85, max_repeats=3.0)
-    got = mixing.mix(df, params=p).collect()
-    tokens = Counter()
-    for _, t, s in data:
-        tokens[s or ""] += len(t.split())
+def plain_mixture(data, p, key):
+    """Sources' passes end to end, cut into blocks; ``key``: the rows' hashes by pass."""
+    tokens, members = Counter(), defaultdict(list)
+    for row, (_, t, s) in enumerate(data):
+        tokens[s or ""] += len((t or "").split())
+        members[s or ""].append(row)
+    tokens = {s: n for s, n in tokens.items() if n}
     total = sum(tokens.values())
-    names = list(tokens)
-    a = mixing.solve_exponent([tokens[s] for s in names], total, p)
-    weights = dict(zip(names, mixing.weights_at([tokens[s] / total for s in names], a), strict=True))
-    assert 0 < a < 1 and mixing.entropy(list(weights.values())) <= 0.85 * math.log(4) + 1e-6
-    used, passes = Counter(), defaultdict(Counter)
-    for r in got:
-        used[r["source"] or ""] += len(r["text"].split())
-        passes[r["source"] or ""][r["doc_id"]] += 1
-        assert 0 <= r["position"] < 1
-    for s in names:
-        assert weights[s] * total - 31 <= used[s] <= weights[s] * total + 1e-6  # the budget, but for the document that no longer fits
-        assert max(passes[s].values()) - min([passes[s].get(k, 0) for k, _, x in data if (x or "") == s]) <= 1
-    assert mixing.mix(df.limit(0)).count() == 0
+    budget = p.budget_tokens or total
+    a = mixing.solve_exponent(list(tokens.values()), budget, p)
+    weights = dict(zip(tokens, mixing.weights_at([n / total for n in tokens.values()], a), strict=True))
+    out = []
+    for s, n in tokens.items():
+        part, cum = budget * weights[s] / p.blocks, 0
+        for k in range(math.ceil(budget * weights[s] / n)):
+            for _, row in sorted((key[row, k], row) for row in members[s]):
+                cum += len((data[row][1] or "").split())
+                block = sum(cum > j * part for j in range(1, p.blocks + 1))
+                if block < p.blocks:
+                    out.append((data[row][0], s, k, block))
+    return out, weights, budget
+
+
+def test_mixture(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = {"big": 600, "mid": 150, "small": 50, None: 10, "one": 8}
+    data = [(k, "w " * int(rng.integers(0, 30)), s) for k, s in enumerate(x for s, n in sizes.items() for x in [s] * n)]
+    data = [(None if s == "mid" else 7 if s == "one" else k, f"{t}{k}" if s in ("mid", "one") else t, s) for k, t, s in data] + [(9000, None, "none"), (9001, "", "none"), (9002, None, "big")]
+    schema = "doc_id long, text string, source string, position string, block int"
+    rows = [(*d, "p", k) for k, d in enumerate(data)]
+    df = spark.createDataFrame(rows, schema)
+    keys = df.select("block", F.xxhash64(F.lit(7), "doc_id", "text", "source", "position", F.col("block").cast("string")).alias("key"))
+    keys = keys.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("block", "k", F.xxhash64("key", F.col("k").cast("bigint")).alias("h"))
+    key = {(r["block"], r["k"]): r["h"] for r in keys.collect()}
+    total = sum(len((t or "").split()) for _, t, _ in data)
+    for p, buckets in ((mixing.MixParams(entropy_share=0.85, max_repeats=3.0, blocks=5), 1024), (mixing.MixParams(blocks=9, budget_tokens=2 * total), 2), (mixing.MixParams(blocks=64, budget_tokens=50), 7)):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", buckets)
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2 if buckets == 2 else 5000)
+        got = mixing.mix(df, params=p).collect()
+        want, weights, budget = plain_mixture(data, p, key)
+        by = lambda x: (x[0] or -1, *x[1:])
+        assert sorted(((r["doc_id"], r["source"] or "", r["pass_no"], r["block"]) for r in got), key=by) == sorted(want, key=by)
+        assert all(r["block"] <= r["position"] * p.blocks < r["block"] + 1 for r in got)
+        # each block has the weights, but for the documents at its ends
+        used = Counter()
+        for r in got:
+            used[r["source"] or "", r["block"]] += len((r["text"] or "").split())
+        assert all(abs(used[s, b] - w * budget / p.blocks) <= 31 for s, w in weights.items() for b in range(p.blocks))
+    assert {x[1] for x in plain_mixture(data, mixing.MixParams(), key)[0]} >= {"one", "mid", ""}  # rows with one id or none are rows of their own
+    with pytest.raises(ValueError):
+        mixing.mix(df, params=mixing.MixParams(max_repeats=2, budget_tokens=10 * total))
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(df.where("source = 'none'")).count() == 0
