@@ -12,11 +12,14 @@ returns counts of links per class and a spanning forest of the links it found, a
 most one edge per vector, so groups of near copies never become all their pairs.
 
 Cosines near the threshold (1e-9) are recomputed in double precision from the
-vectors as given.
+vectors as given. Vectors are brought to the size of 1 by powers of two first, which changes no
+cosine, so neither huge nor tiny components are lost when squared.
+
+What grows with the input on the driver is one box (17 numbers) a tile of ``TILE`` vectors.
 
 Defined cases: a vector that is null, empty, zero, or has null or non-finite
 components links with nothing; so does a row with a null id, whose component is
-null; vectors of different lengths don't link; rows that occur twice are two
+null; vectors of different lengths don't link; rows that occur twice, or share an id, are two
 vectors; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -37,6 +40,7 @@ ROWS_AT_ONCE = 1024
 STEP = 16
 BOX_DIMS = 8
 NEAR = 1e-9
+BROADCAST_RANGES = 100_000
 
 
 def _matrix(column: pa.Array, d: int, dtype: type) -> np.ndarray:
@@ -44,13 +48,19 @@ def _matrix(column: pa.Array, d: int, dtype: type) -> np.ndarray:
     return flat.astype(dtype).reshape(len(column), d)
 
 
+def _sized(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 1/2 or more, below 1."""
+    _, power = np.frexp(np.abs(x).max(axis=1, initial=0))
+    return np.ldexp(x.astype(np.float64), -power[:, None])
+
+
 def _second_moments(unit: DataFrame, d: int) -> np.ndarray:
     """Sum of the outer products of all vectors; what reaches the driver has d * d numbers."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in batches:
-            x = _matrix(batch.column(0), d, np.float64)
+            x = _sized(_matrix(batch.column(0), d, np.float64))
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
@@ -93,7 +103,7 @@ def link_tiles(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarra
         keep = s >= threshold + NEAR
         close = np.flatnonzero(~keep & (s >= least))
         if len(close):
-            x, y = raw_a[r[close] + at].astype(np.float64), raw_b[c[close]].astype(np.float64)
+            x, y = _sized(raw_a[r[close] + at]), _sized(raw_b[c[close]])
             exact = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
             keep[close] = exact >= threshold
         if keep.any():
@@ -126,9 +136,9 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     rows = rows if wide else rows.withColumn("v", F.col("v").cast("array<float>"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("id").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    # tiny components may vanish when squared: such a vector counts as zero
-    usable = usable & (F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)
-    classes = tables.write("classes", rows.where(usable).groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("copies")))
+    # a class has a number of its own, which stays as it is written
+    classes = rows.where(usable).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("c", F.monotonically_increasing_id())
+    classes = tables.write("classes", classes)
     degrees = edges = None
     for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
         found = _compare(spark, tables, classes.where(F.size("v") == r["d"]), r["d"], r["n"], wide, threshold)
@@ -136,11 +146,14 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
         degrees, edges = (deg, edge) if degrees is None else (degrees.unionAll(deg), edges.unionAll(edge))
     keyed = rows.withColumn("v", F.when(usable, F.col("v")))
     if degrees is None:
-        per_class = classes.select("v", "c", F.lit(0).cast("bigint").alias("n"), F.col("c").alias("component"))
+        per_class = classes.select("v", "c", F.lit(0).cast("bigint").alias("n"), F.col("id").alias("component"))
     else:
         labels = components(edges, tables).select(F.col("node").alias("c"), "component")
         counted = degrees.groupBy("c").agg(F.sum("n").alias("n"))
-        per_class = classes.join(counted, "c", "left").join(labels, "c", "left").select("v", "c", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "c").alias("component"))
+        parted = classes.join(counted, "c", "left").join(labels, "c", "left").withColumn("part", F.coalesce("component", "c")).drop("component")
+        parted = tables.write("parted", parted)
+        smallest = parted.groupBy("part").agg(F.min("id").alias("component"))
+        per_class = parted.join(smallest, "part").select("v", "c", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
     per_class = tables.write("per_class", per_class)
     return keyed.join(per_class, "v", "left").select(
         F.col("id").alias("vec_id"),
@@ -159,7 +172,7 @@ def _compare(spark, tables: Tables, classes: DataFrame, d: int, n: int, wide: bo
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(0), d, np.float64)
+            x = _sized(_matrix(batch.column(0), d, np.float64))
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
             y = x @ axes
             yield pa.RecordBatch.from_arrays(
@@ -178,9 +191,9 @@ def _compare(spark, tables: Tables, classes: DataFrame, d: int, n: int, wide: bo
 
     # a range that many vectors share is cut further by a hash
     ranged = turned.mapInArrow(range_of, f"c bigint, copies bigint, v {kind}, y array<double>, k int")
-    sizes = {r["k"]: r["n"] for r in ranged.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    parts = F.create_map(*(x for k, m in sizes.items() for x in (F.lit(k), F.lit(max(1, -(-m // (2 * TILE)))))))
-    ranged = ranged.withColumn("sub", F.pmod(F.xxhash64("c"), F.element_at(parts, F.col("k"))).cast("int"))
+    parts = ranged.groupBy("k").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (2 * TILE))).alias("parts"))
+    parts = F.broadcast(parts) if wanted <= BROADCAST_RANGES else parts
+    ranged = ranged.join(parts, "k").withColumn("sub", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
@@ -201,8 +214,10 @@ def _compare(spark, tables: Tables, classes: DataFrame, d: int, n: int, wide: bo
     boxes = sorted((r["k"], r["sub"], np.array(r["box"])) for r in tiles.select("k", "sub", "box").collect())
     low, high, tails = (np.array([b[i:j] for _, _, b in boxes]) for i, j in ((0, boxes_of), (boxes_of, 2 * boxes_of), (2 * boxes_of, 2 * boxes_of + 1)))
     names = [(k, s) for k, s, _ in boxes]
+    every = spark.sparkContext.broadcast((low, high, tails, names))
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, tails, names = every.value
         for batch in batches:
             left, right = [], []
             for i in batch.column(0).to_pylist():

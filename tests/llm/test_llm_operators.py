@@ -488,6 +488,27 @@ def test_vectors(spark):
     assert all((got[k]["n_links"], got[k]["component_id"]) == (0, k) for k in range(900, 906)) and got[None]["component_id"] is None
 
 
+def test_vectors_of_any_size_and_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(150, 6))
+    base[50:100] = base[:50] + rng.normal(size=(50, 6)) * 0.2
+    scale = np.where(np.arange(150) % 3 == 0, 1e200, np.where(np.arange(150) % 3 == 1, 1e-200, 1.0))
+    ids = [k // 2 for k in range(150)] + [0, 0]  # two vectors an id, and two more of one
+    vecs = [*base, base[0] * 2, base[0]]
+    data = [(i, [float(x) for x in v * s]) for i, v, s in zip(ids, vecs, [*scale, 1.0, 1.0], strict=True)]
+    monkeypatch.setattr(embed_dedup, "TILE", 16)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.embedding_components(df).collect())
+    unit = np.array(vecs) / np.sqrt((np.array(vecs) ** 2).sum(axis=1))[:, None]
+    link = unit @ unit.T >= 0.9
+    label = np.arange(len(vecs))
+    for _ in range(len(vecs)):
+        label = np.array([label[link[k]].min() for k in range(len(vecs))])
+    smallest = {x: min(ids[k] for k in np.flatnonzero(label == x)) for x in set(label)}
+    assert got == sorted((ids[k], int(link[k].sum()) - 1, smallest[label[k]]) for k in range(len(vecs)))
+    assert embed_dedup.embedding_components(df.limit(0)).count() == 0
+
+
 def test_benchmark_leaks(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r["item_id"]: r["text"] for r in bench.collect()}
