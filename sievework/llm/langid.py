@@ -5,7 +5,7 @@ then calibrated with one temperature.
 * Document frequencies come from all training rows; they are summed per hashed
   feature, so what reaches the driver has the size of the feature space.
 * The weights are fitted on the driver on at most ``sample_rows`` training rows,
-  as many of each language (those with the smallest hash of their id; one row a
+  as many of each language (those with the least hashes of their ids; one row a
   language at least), a fifth of which sets the temperature.
 * Prediction is one pass without a shuffle; the model has a fixed size.
 
@@ -17,12 +17,13 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bytesarrays import trim_memory, trimmed
@@ -121,15 +122,17 @@ def fit_ftrl(model: LangIdModel, rows: list[tuple[np.ndarray, np.ndarray, int]])
     """Sets weights and temperature from rows of (features, counts, class).
 
     Per-coordinate FTRL-proximal: only the coordinates of the row at hand are
-    touched; a weight is zero unless its accumulated gradient exceeds l1.
+    touched; a weight is zero unless its accumulated gradient exceeds l1. ``rows`` is emptied.
     """
     p, k = model.params, len(model.langs)
     z, n = np.zeros((p.dims + 1, k)), np.zeros((p.dims + 1, k))
     rng = np.random.default_rng(p.seed)
-    rows = [rows[i] for i in rng.permutation(len(rows))]
-    cut = max(1, len(rows) // 5) if len(rows) > 5 else 0
-    held, used = rows[:cut], rows[cut:]
-    vectors = [(np.append(a, p.dims), np.append(model.vector(a, c), 1.0), y) for a, c, y in used]
+    mixed = [rows[i] for i in rng.permutation(len(rows))]
+    cut = max(1, len(mixed) // 5) if len(mixed) > 5 else 0
+    held, used = mixed[:cut], mixed[cut:]
+    vectors = [(np.append(a, np.int32(p.dims)), np.append(model.vector(a, c), 1.0).astype(np.float32), y) for a, c, y in used]
+    del mixed, used
+    rows.clear()
 
     def weights(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zs) <= p.l1, 0.0, -(zs - np.sign(zs) * p.l1) / ((p.beta + np.sqrt(ns)) / p.alpha + p.l2))
@@ -178,38 +181,45 @@ def fit_langid(train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = np.flatnonzero(df_)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df_[at], pa.int64())], names=["f", "n"])
 
-    found = df.select("t").mapInArrow(trimmed(count), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    found = df.select("t").mapInArrow(trimmed(count), "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     freq = np.zeros(p.dims + 1)
     freq[found["f"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + freq[p.dims]) / (1 + freq[: p.dims])) + 1
 
-    # of each language the same number of rows, those with the smallest hashes
-    n_langs = df.select("l").distinct().count()
-    first = Window.partitionBy("l").orderBy("h")
-    share = max(1, p.sample_rows // max(1, n_langs))
-    tops = df.select("l", "h").withColumn("at", F.row_number().over(first)).where(F.col("at") <= share).groupBy("l").agg(F.max("h").alias("top")).collect()
+    # of each language the same number of rows, those with the smallest hashes: half as many again as
+    # are wanted lie below a bound that follows from the language's number of rows
+    sizes = [(r["l"], r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).collect()]
+    share = max(1, p.sample_rows // max(1, len(sizes)))
+    bounds = [(lang, min(1.0, 1.5 * (share + 10) / n)) for lang, n in sizes]
     langs: list[str] = []
     rows: list[tuple[np.ndarray, np.ndarray, int]] = []
-    if tops:
+    if sizes:
 
         def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = [features(t.as_py(), p) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in got], pa.list_(pa.int32()))],
-                    names=["h", "l", "f", "c"],
+                    names=["r", "l", "f", "c"],
                 )
 
-        upto = train.sparkSession.createDataFrame([(r["l"], r["top"]) for r in tops], "l string, top bigint")
-        picked = df.join(F.broadcast(upto), "l").where("h <= top").select("h", "t", "l").mapInArrow(trimmed(featurise), "h bigint, l string, f array<int>, c array<int>")
+        upto = train.sparkSession.createDataFrame(bounds, "l string, bound double")
+        near = df.join(F.broadcast(upto), "l").withColumn("r", (F.col("h") / float(1 << 64) + 0.5) / F.col("bound")).where("r <= 1")
+        picked = near.select("r", "t", "l").mapInArrow(trimmed(featurise), "r double, l string, f array<int>, c array<int>")
         # rows of one id share a hash: the bound holds for them as well
-        got = picked.orderBy("h", F.hash("f", "c"), "l").limit(max(p.sample_rows, n_langs)).toArrow().combine_chunks()
+        got = picked.orderBy("r", F.hash("f", "c"), "l").limit(2 * max(p.sample_rows, len(sizes))).toArrow().combine_chunks()
         # slices of two flat arrays: lists of Python numbers would take many times the room
         names = got["l"].to_pylist()
         langs = sorted(set(names))
+        number = {lang: k for k, lang in enumerate(langs)}
         f, c = (got[x].combine_chunks() for x in ("f", "c"))
         ends, flat_f, flat_c = f.offsets.to_numpy(), f.values.to_numpy(), c.values.to_numpy()
-        rows = [(flat_f[a:b], flat_c[a:b], langs.index(lang)) for a, b, lang in zip(ends[:-1], ends[1:], names, strict=True) if b > a]
+        used: Counter[str] = Counter()
+        for a, b, lang in zip(ends[:-1], ends[1:], names, strict=True):
+            if b > a and used[lang] < share:
+                used[lang] += 1
+                rows.append((flat_f[a:b], flat_c[a:b], number[lang]))
+        del got, f, c, flat_f, flat_c
     model = LangIdModel(p, langs if rows else [], idf)
     if rows:
         fit_ftrl(model, rows)
