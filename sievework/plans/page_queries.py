@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,12 +47,28 @@ def extract_readability(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).select("page_id", H.title_of(F.col("html")).alias("title"), H.readable(F.col("html")).alias("text"))
 
 
-@query("generic_links", """SELECT page_id, unnest(u) AS url FROM (SELECT page_id, list_distinct(list_filter(regexp_extract_all(html, '<a href="(/[^"]+)"[^>]*>[^<]{5,}</a>', 1), lambda u: NOT contains(u, 'search?') AND NOT contains(u, 'page='))) AS u FROM pages)""")
+#: The pages' own links are relative: each page gets a host, and links that a searcher must skip.
+LINKED_SQL = """replace(html, 'href="/', 'href="https://h' || page_id || '.example/') || '<a href="https://h.example/search?q=1">next results</a><a href="mailto:a@b.example">write to us</a><a href="javascript:x()">open menu</a>'"""
+LINK_PATTERN = '<a href="(https://[^"]+)"[^>]*>([^<]{5,})</a>'
+LINKS_SQL = f"""
+l AS (SELECT page_id, unnest(m) AS a, generate_subscripts(m, 1) AS k FROM (SELECT page_id, regexp_extract_all({LINKED_SQL}, '{LINK_PATTERN}') AS m FROM pages)),
+links AS (SELECT page_id, regexp_extract(a, '{LINK_PATTERN}', 1) AS url, arg_min(trim(regexp_extract(a, '{LINK_PATTERN}', 2)), k) AS title, '' AS snippet FROM l WHERE NOT contains(a, 'search?') GROUP BY ALL)
+"""
+
+
+def _linked():
+    extra = '<a href="https://h.example/search?q=1">next results</a><a href="mailto:a@b.example">write to us</a><a href="javascript:x()">open menu</a>'
+    return F.concat(F.replace("html", F.lit('href="/'), F.concat(F.lit('href="https://h'), F.col("page_id").cast("string"), F.lit(".example/"))), F.lit(extra))
+
+
+FIELDS = ["url", "title", "snippet"]
+
+
+@query("generic_links", f"WITH {LINKS_SQL} SELECT page_id, url, title, snippet FROM links")
 def generic_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct links with a title of at least five characters."""
-    found = F.regexp_extract_all("html", F.lit(r'<a href="(/[^"]+)"[^>]*>[^<]{5,}</a>'), F.lit(1))
-    kept = F.array_distinct(F.filter(found, lambda u: ~F.contains(u, F.lit("search?")) & ~F.contains(u, F.lit("page="))))
-    return _pages(spark, sf).select("page_id", F.explode(kept).alias("url"))
+    """Absolute links with a plain title of at least five characters, each address once: results of a page of unknown layout."""
+    pages = _pages(spark, sf).select("page_id", _linked().alias("html"))
+    return extract.extract_rows(pages, "page_id", "html", extract.link_rows, FIELDS).drop("pos")
 
 
 PARTS = "list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda p: trim(p)), lambda p: p <> '')"
@@ -161,6 +178,41 @@ def ip_private_cidr(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", ip.alias("ip")).withColumn("n", n).select("event_id", private.alias("private"))
 
 
+# Of the newer addresses the loopback, and the leading bits of local ones.
+NETWORKS_V6 = (("::1", 128), ("fc00::", 7), ("fe80::", 10))
+
+
+def groups_v6(ip):
+    """The eight 16-bit groups of an address as array<int>; null if it is none."""
+    part = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    halves = F.split(ip, "::", -1)
+    left, right = part(F.get(halves, F.lit(0))), part(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    filled = F.when(F.size(halves) == 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)).otherwise(left)
+    plain = F.regexp_like(ip, F.lit(r"^(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}$")) & ~F.regexp_like(ip, F.lit(":::|^:[^:]|[^:]:$"))
+    good = plain & (F.size(halves) <= 2) & (F.size(filled) == 8) & ((F.size(halves) == 1) | (missing >= 1))
+    return F.when(good, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def private_v6(groups):
+    """Whether an address must not be fetched; what is no address mustn't either."""
+    first = F.get(groups, F.lit(0))
+    loopback = F.forall(F.slice(groups, 1, 7), lambda g: g == 0) & (F.get(groups, F.lit(7)) == 1)
+    return F.coalesce(loopback | (F.shiftright(first, 9) == 0xFC00 >> 9) | (F.shiftright(first, 6) == 0xFE80 >> 6), F.lit(True))
+
+
+V6_CASES = ("::1", "fc00::{x}", "fd12:3456::{x}", "fe80::{x}:1", "febf:1:2:3:4:5:6:{x}", "2001:db8::{x}", "2606:4700:4700::{x}", "fec0::{x}", "1:2:3:4:5:6:7:8:{x}", "::{x}::1", "12345::{x}", "::ffff")
+V6_PRIVATE = (True, True, True, True, True, False, False, False, True, True, True, False)
+
+
+@query("ip_private_v6", f"SELECT event_id, {list(map(str, V6_PRIVATE))!r}[CAST(event_id % {len(V6_CASES)} AS BIGINT) + 1] = 'True' AS private FROM events")
+def ip_private_v6(spark: SparkSession, sf: str) -> DataFrame:
+    """Written forms of every kind against the networks; the event's id is one of the groups."""
+    forms = F.array(*(F.lit(c) for c in V6_CASES))
+    ip = F.replace(F.get(forms, (F.col("event_id") % len(V6_CASES)).cast("int")), F.lit("{x}"), F.lower(F.hex(F.col("event_id") % 4000 + 2)))
+    return table(spark, sf, "events").select("event_id", private_v6(groups_v6(ip)).alias("private"))
+
+
 @query("short_content_fallback", f"SELECT page_id, length(CASE WHEN length({STRIP.format(x='html')}) < 1500 THEN 'R:' || html ELSE html END) AS n, length({STRIP.format(x='html')}) < 1500 AS rendered FROM pages")
 def short_content_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with little text are taken from a second, rendered copy (here marked)."""
@@ -168,24 +220,81 @@ def short_content_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return _pages(spark, sf).select("page_id", F.length(F.when(short, F.concat(F.lit("R:"), "html")).otherwise(F.col("html"))).cast("bigint").alias("n"), short.alias("rendered"))
 
 
-SERP = '<article class="result"><a href="{url}" class="url_header">x</a><h3><a href="{url}">{title}</a></h3><p class="result-content">{text}</p></article>'
+# ---- result pages, made of each page's url and heading, then parsed
+
+H1_SQL = STRIP.format(x="regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')")
+SERP = '<article class="result"><a href="{url}" class="url_header">x</a><h3><a href="{url}">{title}</a></h3><p class="result-content">{text}</p></article><article class="result"><h3>no address</h3></article>'
+DDG = (
+    '<div class="result result--ad"><h2><a class="result__a" href="https://duckduckgo.com/y.js?ad_domain=x">Advert</a></h2></div><div class="result results_links"><div class="links_main result__body">'
+    '<h2 class="result__title"><a rel="nofollow" class="result__a" href="//duckduckgo.com/l/?uddg={enc}&amp;rut=1">{title}</a></h2><a class="result__snippet" href="#">{text}</a></div></div>'
+)
+RESULT_SQL = f"SELECT page_id, url, {H1_SQL} AS title, 'about ' || page_id AS snippet FROM pages"
+
+
+def _filled(template: str):
+    values = {"{url}": F.col("url"), "{enc}": F.url_encode("url"), "{title}": H.element(F.col("html"), "h1"), "{text}": F.concat(F.lit("about <b>"), F.col("page_id").cast("string"), F.lit("</b>"))}
+    return F.concat(*(values.get(p, F.lit(p)) for p in re.split(r"(\{\w+\})", template)))
 
 
-@query("serp_parse", f"SELECT page_id, url, {STRIP.format(x=chr(39).join(['regexp_extract(html, ', '<h1[^>]*>(.*?)</h1>', ', 1, ', 's', ')']))} AS title, 'about ' || page_id AS snippet FROM pages")
+@query("serp_parse", RESULT_SQL)
 def serp_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """A results page is made of each page's url and heading, then parsed."""
-    filled = {"{url}": F.col("url"), "{title}": H.element(F.col("html"), "h1"), "{text}": F.concat(F.lit("about <b>"), F.col("page_id").cast("string"), F.lit("</b>"))}
-    page = F.concat(*(filled.get(p, F.lit(p)) for p in re.split(r"(\{\w+\})", SERP)))
-    return _pages(spark, sf).select("page_id", page.alias("serp")).select("page_id", F.inline(H.result_rows(F.col("serp"))))
+    """Results of a metasearch page; one without address is left out."""
+    page = _pages(spark, sf).select("page_id", _filled(SERP).alias("serp"))
+    return extract.extract_rows(page, "page_id", "serp", lambda x: extract.result_rows(x, "searx"), FIELDS).drop("pos")
+
+
+@query("ddg_parse", RESULT_SQL)
+def ddg_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of a page whose links are redirects; adverts are left out."""
+    page = _pages(spark, sf).select("page_id", _filled(DDG).alias("serp"))
+    return extract.extract_rows(page, "page_id", "serp", lambda x: extract.result_rows(x, "duckduckgo"), FIELDS).drop("pos")
+
+
+@query("provider_pages", f"WITH {LINKS_SQL} SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'searx' ELSE 'duckduckgo' END AS provider, url, title, snippet FROM ({RESULT_SQL}) WHERE page_id % 3 < 2 UNION ALL SELECT page_id, 'links', url, title, snippet FROM links WHERE page_id % 3 = 2")
+def provider_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """What three providers saved for a query: the first that has results answers it; a page that says it refused has none."""
+    m = F.col("page_id") % 3
+    pages = _pages(spark, sf)
+    refused = F.lit("<p>429 Too Many Requests</p>" + SERP)
+    by = {
+        "searx": F.when(m == 0, _filled(SERP)).otherwise(refused),
+        "duckduckgo": F.when(m == 1, _filled(DDG)).otherwise(""),
+        "links": _linked(),
+    }
+    saved = pages.select("page_id", *(x.alias(p) for p, x in by.items()))
+    return provider_results(saved, "page_id", list(by))
+
+
+def provider_results(saved: DataFrame, key: str, providers: list[str]) -> DataFrame:
+    """``key, provider, url, title, snippet``: of each row's saved pages (a column a provider, in order of preference) the results of the first with any."""
+
+    def rows(pages: list[str | None]) -> list[dict[str, str]]:
+        for provider, page in zip(providers, pages, strict=True):
+            if any(sign in (page or "") for sign in extract.REFUSALS):
+                continue
+            found = extract.link_rows(page) if provider == "links" else extract.result_rows(page, provider)
+            if found:
+                return [{"provider": provider, **row} for row in found]
+        return []
+
+    together = saved.select(key, F.to_json(F.array(*(F.coalesce(F.col(p), F.lit("")) for p in providers))).alias("pages"))
+    return extract.extract_rows(together, key, "pages", lambda x: rows(json.loads(x)), ["provider", *FIELDS]).drop("pos")
+
+
+def _decoded(x: str) -> str:
+    return f"replace({x}, '&amp;', '&')"
+
+
+ARTICLE_SQL = "trim(regexp_replace(regexp_replace(regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's'), '<[^<]+?>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("extract_custom")
+@query("extract_custom", f"SELECT page_id, {_decoded(H1_SQL)} AS title, {_decoded(ARTICLE_SQL)} AS text FROM pages")
 def extract_custom(spark: SparkSession, sf: str) -> DataFrame:
     """Title and text by selectors, through the extension point for extractors."""
-    return extract.extract_with(_pages(spark, sf), "page_id", "html", lambda x: {"title": extract.select_text(x, "h1"), "text": extract.select_text(x, "article")}, ["title", "text"])
+    return extract.extract_with(_pages(spark, sf), "page_id", "html", extract.Selectors("body > article h1, .headline", "div.content, body article").extract, ["title", "text"])
 
 
-@query("extract_main")
+@query("extract_main", f"SELECT page_id, url, {H1_SQL} AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]+)\"', 1) AS language, {ARTICLE_SQL} AS text FROM pages")
 def extract_main(spark: SparkSession, sf: str) -> DataFrame:
     """Main text by the readability rules, with title and language."""
     lang = F.regexp_extract("html", r'<html[^>]*lang="([^"]+)"', 1)
@@ -209,24 +318,23 @@ def udtf_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RAG_SQL = f"""
-WITH t AS ({PAGE_TOPK_SQL}), k AS (SELECT doc_id, rank, pos, score, chunk, row_number() OVER (ORDER BY score DESC, doc_id, rank) AS ord FROM t WHERE score > 0),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS nth FROM k), d AS (SELECT * FROM s WHERE nth <= 3 ORDER BY ord LIMIT 15),
-f AS (SELECT *, min(ord) OVER (PARTITION BY doc_id) AS fo FROM d), g AS (SELECT *, dense_rank() OVER (ORDER BY fo) AS idx FROM f)
-SELECT doc_id, pos, idx, length('[' || idx || '] ' || chunk) + 2 AS part_len FROM g
+WITH t AS ({PAGE_TOPK_SQL}), k AS (SELECT qid, doc_id, rank, pos, score, chunk, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, rank) AS ord FROM t WHERE score > 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY ord) AS nth FROM k), d AS (SELECT * FROM s WHERE nth <= 3 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ord) <= 15),
+f AS (SELECT *, min(ord) OVER (PARTITION BY qid, doc_id) AS fo FROM d), g AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY fo) AS idx FROM f)
+SELECT qid, doc_id, pos, idx, length('[' || idx || '] ' || chunk) + 2 AS part_len FROM g
 """
 
 
 @query("rag_context", RAG_SQL)
 def rag_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Best passages of all documents, at most three of one and fifteen in all (limits of the feature), numbered by document."""
-    k = page_query_topk(spark, sf).where("score > 0").orderBy(F.desc("score"), "doc_id", "rank")
-    # only rows among the best 3 * 15 places of their document's three best can be chosen: the limit is applied before the global order
-    few = k.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "rank"))).where("nth <= 3")
-    best = few.orderBy(F.desc("score"), "doc_id", "rank").limit(15)
-    best = best.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "rank")))
-    best = best.withColumn("fo", F.min("ord").over(Window.partitionBy("doc_id")))
-    numbered = best.withColumn("idx", F.dense_rank().over(Window.orderBy("fo")).cast("bigint"))
-    return numbered.select("doc_id", "pos", "idx", (F.length(F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "chunk")) + 2).cast("bigint").alias("part_len"))
+    """For each query the best passages of its documents, at most three of one and fifteen in all (limits of the feature), numbered by document."""
+    k = page_query_topk(spark, sf).where("score > 0 and rank <= 3")
+    # of a document's ranked passages the first three can be chosen: what is left is limited before a query's rows meet
+    order = [F.desc("score"), F.col("doc_id"), F.col("rank")]
+    best = k.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where("ord <= 15")
+    best = best.withColumn("fo", F.min("ord").over(Window.partitionBy("qid", "doc_id")))
+    numbered = best.withColumn("idx", F.dense_rank().over(Window.partitionBy("qid").orderBy("fo")).cast("bigint"))
+    return numbered.select("qid", "doc_id", "pos", "idx", (F.length(F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "chunk")) + 2).cast("bigint").alias("part_len"))
 
 
 # ---- an extension: event-time windows
