@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abbreviations after which a sentence goes on,.
+# Abbreviations after which a sentence goes on, and where sentences end.
 ABBREVIATIONS = (
     "mr mrs ms dr prof sr jr vs etc mr. mrs. ms. dr. prof. sr. jr. e.g i.e cf viz al ca v no. ed. eds."
 ).split()
-
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\s+(?=\d)|(?<=\n)\s*"
 
 
@@ -32,27 +31,33 @@ def _quote(abbreviation: str) -> str:
     return abbreviation.replace(".", r"\.")
 
 
+_SHORTENED = "|".join(_quote(a) for a in ABBREVIATIONS)
+#: Where a sentence ends, but for the full stop of an abbreviation.
+_BREAK = rf"(?<!\b(?:{_SHORTENED})\. ?)(?:{SENTENCE_BREAK})"
+
+
 def raw_sentences(text: Column) -> Column:
-    """Sentences before short ones are merged. A protected abbreviation comes out in lower case."""
-    protected = text
+    """Sentences before short ones are merged. An abbreviation comes out in lower case, and what follows it on the same line."""
+    spelled = text
     for a in ABBREVIATIONS:
-        protected = F.regexp_replace(protected, rf"(?i)\b{_quote(a)}\.\s+", f"{a}__DOT__ ")
+        spelled = F.regexp_replace(spelled, rf"(?i)\b{_quote(a)}\.\s+", f"{a}. ")
     # sought from the full stop backwards: few places of a text have one
-    some = r"(?i)\.\s(?<=\b(?:" + "|".join(_quote(a) for a in ABBREVIATIONS) + r")\.\s)"
-    protected = F.when(F.regexp_like(text, F.lit(some)), protected).otherwise(text)
-    parts = F.transform(F.split(protected, SENTENCE_BREAK), lambda p: squeeze(F.replace(p, F.lit("__DOT__"), F.lit("."))))
-    return F.filter(parts, lambda p: p != "")
+    some = F.regexp_like(text, F.lit(rf"(?i)\.\s(?<=\b(?:{_SHORTENED})\.\s)"))
+    parts = F.when(some, F.split(spelled, _BREAK)).otherwise(F.split(text, SENTENCE_BREAK))
+    return F.filter(F.transform(parts, squeeze), lambda p: p != "")
 
 
-def merge_short_fold(sentences: Column, min_words: int = 5) -> Column:
-    """As ``merge_short``, as one pass over the array."""
-    empty = F.array().cast("array<string>")
+def merge_short(sentences: Column, min_words: int = 5) -> Column:
+    """Sentences of fewer words join the one before. A sentence's own length says whether it opens a part, so each part is one slice."""
+    places = F.sequence(F.lit(0), F.size(sentences) - 1)
+    opens = F.filter(places, lambda i: (i == 0) | (F.size(F.split(F.get(sentences, i), " ")) >= min_words))
 
-    def step(acc: Column, s: Column) -> Column:
-        short = (F.size(F.split(s, " ")) < min_words) & (F.size(acc) > 0)
-        return F.when(short, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), s)))).otherwise(F.concat(acc, F.array(s)))
+    def part(at: Column, k: Column, every: Column) -> Column:
+        return F.array_join(F.slice(sentences, at + 1, F.coalesce(F.get(every, k + 1), F.size(sentences)) - at), " ")
 
-    return F.aggregate(sentences, empty, step)
+    # bound once: the array of openings stands in a struct that a transform passes on
+    bound = F.transform(F.array(opens), lambda every: F.transform(every, lambda at, k: part(at, k, every)))
+    return F.when(F.size(sentences) > 0, F.get(bound, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def chunks(sentences: Column, size: int, overlap: int) -> Column:

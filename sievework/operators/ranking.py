@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 
 K1, B = 1.5, 0.75
+BROADCAST_TERMS = 200_000
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: Column) -> DataFrame:
@@ -15,34 +16,91 @@ def term_counts(docs: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return docs.select(*keys, F.explode(T.tokens(text)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def query_terms(query: DataFrame) -> DataFrame:
-    """``term, times`` of a one-row query (column ``query``): a repeated word counts as often as it occurs. Small by nature."""
-    return query.select(F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+def query_terms(queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys, term, times`` of queries (column ``query``): a repeated word counts as often as it occurs."""
+    keys = keys or []
+    return queries.select(*keys, F.explode(T.tokens(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("times"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Adds ``score`` to ``docs`` (every row stays, 0 without a match). With ``scope``, statistics are those of the row's group.
+def _idf(n: Column, df: Column) -> Column:
+    return F.ln((n - df + 0.5) / (df + 0.5) + 1)
 
-    Only the query's terms are exploded: the filter runs before any shuffle. The
-    terms of one query are broadcast; so are corpus statistics (one row).
+
+def _part(tf: Column, dl: Column, average: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
+
+
+def _small(terms: DataFrame) -> DataFrame:
+    """Terms of queries are broadcast if they are few enough, else joined by a shuffle."""
+    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+
+
+def bm25(docs: DataFrame, key: str, text: str, query: DataFrame) -> DataFrame:
+    """Adds ``score`` by one query to ``docs`` (every row stays, 0 without a match)."""
+    asked = query.select(F.lit(0).alias("qid"), "query")
+    scores = bm25_scores(docs, key, text, asked, "qid").select(key, F.col("score").alias("__score"))
+    return docs.join(scores, key, "left").withColumn("score", F.coalesce("__score", F.lit(0.0))).drop("__score")
+
+
+def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str) -> DataFrame:
+    """``qid, key, score`` for each query and document that share a term, by statistics of all documents.
+
+    Only terms of some query are exploded: the filter runs before any shuffle. Counts of one
+    document and term meet once, however many queries ask for it.
+    """
+    words = docs.select(F.col(key).alias("__k"), T.tokens(F.col(text)).alias("__w")).select("__k", F.size("__w").alias("__dl"), "__w")
+    stats = words.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
+    asked = query_terms(queries, [qid])
+    hits = words.select("__k", "__dl", F.explode("__w").alias("term")).join(_small(asked.select("term").distinct()), "term")
+    tf = hits.groupBy("__k", "__dl", "term").agg(F.count("*").alias("__tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("__df"))
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(qid, "term", (F.col("times") * _idf(F.col("__n"), F.col("__df"))).alias("__idf"), "__avg")
+    scored = tf.join(_small(weighted), "term").select(qid, "__k", (F.col("__idf") * _part(F.col("__tf"), F.col("__dl"), F.col("__avg"))).alias("__s"))
+    return scored.groupBy(qid, F.col("__k").alias(key)).agg(F.sum("__s").alias("score"))
+
+
+def top_of_query(scores: DataFrame, qid: str, key: str, most: int, digits: int = 4) -> DataFrame:
+    """The best ``most`` of each query with their ``rank``: rows beyond are dropped before a query's rows meet."""
+    rounded = scores.withColumn("score", F.round("score", digits))
+    rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score"), key))
+    return rounded.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most)
+
+
+def bm25_own(rows: DataFrame, qid: str, key: str, text: str, queries: DataFrame) -> DataFrame:
+    """``qid, key, score``: each row by the query it belongs to, with statistics of that query's rows (every row stays)."""
+    words = rows.select(qid, F.col(key).alias("__k"), T.tokens(F.col(text)).alias("__w")).select(qid, "__k", F.size("__w").alias("__dl"), "__w")
+    stats = words.groupBy(qid).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
+    hits = words.select(qid, "__k", "__dl", F.explode("__w").alias("term")).join(_small(query_terms(queries, [qid])), [qid, "term"])
+    tf = hits.groupBy(qid, "__k", "__dl", "term", "times").agg(F.count("*").alias("__tf"))
+    df = tf.groupBy(qid, "term").agg(F.count("*").alias("__df"))
+    joined = tf.join(df, [qid, "term"]).join(stats, qid)
+    part = F.col("times") * _idf(F.col("__n"), F.col("__df")) * _part(F.col("__tf"), F.col("__dl"), F.col("__avg"))
+    scores = joined.groupBy(qid, "__k").agg(F.sum(part).alias("score"))
+    every = rows.select(qid, F.col(key).alias("__k"))
+    return every.join(scores, [qid, "__k"], "left").select(qid, F.col("__k").alias(key), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def best_passages(docs: DataFrame, passages: str, terms: str, most: int, digits: int = 4) -> DataFrame:
+    """The columns of ``docs`` but ``passages`` and ``terms``, with ``rank, pos, score, chunk`` of each document's best passages.
+
+    ``passages``: array<string>; ``terms``: array<struct<term, times>> of the document's query. All statistics
+    are those of the document's own passages, so a document is scored inside its row: no shuffle.
     """
-    scope = scope or []
-    words = docs.select(*scope, F.col(key).alias("__k"), T.tokens(F.col(text)).alias("__w"))
-    counted = words.select(*scope, "__k", F.size("__w").alias("__dl"), "__w")
-    stats = counted.groupBy(*scope).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
-    asked = F.broadcast(query_terms(query))
-    hits = counted.select(*scope, "__k", "__dl", F.explode("__w").alias("term")).join(asked, "term")
-    tf = hits.groupBy(*scope, "__k", "__dl", "term", "times").agg(F.count("*").alias("__tf"))
-    df = tf.groupBy(*scope, "term").agg(F.count("*").alias("__df"))
-    if scope:
-        joined = tf.join(df, [*scope, "term"]).join(stats, scope)
-    else:
-        joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.ln((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5) + 1)
-    part = idf * F.col("__tf") * (K1 + 1) / (F.col("__tf") + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
-    scores = joined.groupBy(*scope, "__k").agg(F.sum(F.col("times") * part).alias("__score"))
-    left = docs.join(scores.withColumnRenamed("__k", key), [*scope, key], "left")
-    return left.withColumn("score", F.coalesce("__score", F.lit(0.0))).drop("__score")
+    names = [c for c in docs.columns if c not in (passages, terms)]
+    words = F.transform(passages, T.tokens)
+    counts = F.transform(words, lambda w: F.struct(F.size(w).alias("dl"), F.transform(terms, lambda t: F.size(w) - F.size(F.array_remove(w, t["term"]))).alias("tf")))
+    counted = docs.withColumn("__c", counts)
+    n = F.size("__c")
+    average = F.aggregate("__c", F.lit(0), lambda a, c: a + c["dl"]) / n
+    weights = F.transform(terms, lambda t, j: t["times"] * _idf(n, F.size(F.filter("__c", lambda c: F.get(c["tf"], j) > 0))))
+    counted = counted.where(n > 0).withColumns({"__avg": average, "__i": weights})
+
+    def score(c: Column) -> Column:
+        return F.aggregate(F.zip_with("__i", c["tf"], lambda i, tf: F.when(tf > 0, i * _part(tf, c["dl"], F.col("__avg"))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+
+    ordered = F.slice(F.array_sort(F.transform("__c", lambda c, i: F.struct((-F.round(score(c), digits)).alias("neg"), i.alias("pos")))), 1, most)
+    best = counted.select(*names, passages, F.posexplode(ordered).alias("__k", "x"))
+    return best.select(*names, (F.col("__k") + 1).cast("bigint").alias("rank"), F.col("x.pos").cast("bigint").alias("pos"), (-F.col("x.neg")).alias("score"), F.get(passages, F.col("x.pos")).alias("chunk"))
 
 
 def freshness(date: Column, as_of: Column) -> Column:

@@ -9,11 +9,11 @@ from sievework.functions import taxonomy
 from sievework.functions import text as T
 from sievework.operators import ranking
 from sievework.plans.registry import query
-from sievework.plans.text_queries import BM25_PART, QUERY_SQL, TOKENS_SQL, asked
+from sievework.plans.text_queries import BM25_PART, SLOT_SQL, TERMS_OF_QUERIES, TOKENS_SQL, dealt, queries_of
 from sievework.session import table
 
 RESULTS_SQL = """r AS (SELECT doc_id AS rid, 'https://' || source || '.example/' || (doc_id % 50) || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END AS url, source, lang,
-  left(text, 40) AS title, left(text, 300) AS snippet, ((doc_id * 37) % 101) / 10.0::DOUBLE AS score,
+  left(text, 40) AS title, text AS snippet, ((doc_id * 37) % 101) / 10.0::DOUBLE AS score,
   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE DATE '2026-05-07' - CAST(doc_id % 60 AS INTEGER) END AS published FROM documents)"""
 
 
@@ -23,7 +23,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         i.alias("rid"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), (i % 50).cast("string"), F.when(i % 2 == 0, "/").otherwise("")).alias("url"),
-        "source", "lang", F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 300).alias("snippet"),
+        "source", "lang", F.substring("text", 1, 40).alias("title"), F.col("text").alias("snippet"),
         (((i * 37) % 101) / 10).alias("score"),
         F.when(i % 5 != 0, F.date_sub(F.lit("2026-05-07").cast("date"), (i % 60).cast("int"))).alias("published"),
     )
@@ -76,25 +76,30 @@ def freshness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RERANK_SQL = f"""
-WITH {RESULTS_SQL}, t AS (SELECT *, title || ' ' || title || ' ' || snippet AS body FROM r), d AS (SELECT rid, {TOKENS_SQL.format(t='body')} AS w FROM t),
-s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), q AS (SELECT term, count(*) AS times FROM (SELECT unnest({TOKENS_SQL.format(t='query')}) AS term FROM ({QUERY_SQL})) GROUP BY term),
-x AS (SELECT rid, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT rid, dl, x.term, times, count(*) AS tf FROM x JOIN q USING (term) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sc AS (SELECT rid, sum({BM25_PART}) AS sc FROM tf JOIN df USING (term), s GROUP BY rid),
-k AS (SELECT rid, round(coalesce(sc, 0.0), 4) AS bm25_score, {FRESH_SQL} AS fresh FROM r LEFT JOIN sc USING (rid))
-SELECT rid, bm25_score, fresh, round(bm25_score / (SELECT CASE WHEN max(bm25_score) = 0 THEN 1 ELSE max(bm25_score) END FROM k) * 0.85 + fresh * 0.15, 4) AS combined_score FROM k
+WITH {RESULTS_SQL}, {TERMS_OF_QUERIES}, t AS (SELECT *, {SLOT_SQL.format(x='rid')} AS slot, title || ' ' || title || ' ' || snippet AS body FROM r), d AS (SELECT rid, slot, {TOKENS_SQL.format(t='body')} AS w FROM t),
+s AS (SELECT slot, count(*) AS n, avg(len(w)) AS avgdl FROM d GROUP BY slot),
+x AS (SELECT rid, slot, len(w) AS dl, unnest(w) AS term FROM d), tf AS (SELECT rid, slot, dl, x.term, times, count(*) AS tf FROM x JOIN q USING (slot, term) GROUP BY ALL),
+df AS (SELECT slot, term, count(*) AS df FROM tf GROUP BY ALL), sc AS (SELECT rid, sum({BM25_PART}) AS sc FROM tf JOIN df USING (slot, term) JOIN s USING (slot) GROUP BY rid),
+k AS (SELECT qid, rid, round(coalesce(sc, 0.0), 4) AS bm25_score, {FRESH_SQL} AS fresh FROM t JOIN qs USING (slot) LEFT JOIN sc USING (rid)),
+m AS (SELECT qid, CASE WHEN max(bm25_score) = 0 THEN 1 ELSE max(bm25_score) END AS best FROM k GROUP BY qid)
+SELECT qid, rid, bm25_score, fresh, round(bm25_score / best * 0.85 + fresh * 0.15, 4) AS combined_score FROM k JOIN m USING (qid)
 """
 
 
 @query("rerank_freshness", RERANK_SQL)
 def rerank_freshness(spark: SparkSession, sf: str) -> DataFrame:
-    """BM25 (the title counts twice) normalised by the best, mixed with freshness."""
-    r = results(spark, sf).withColumn("body", F.concat_ws(" ", "title", "title", "snippet"))
-    k = ranking.bm25(r, "rid", "body", asked(spark, sf)).select("rid", F.round("score", 4).alias("bm25_score"), _fresh().alias("fresh"))
-    best = k.agg(F.max("bm25_score").alias("m")).select(F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")).alias("m"))
+    """The results of each query: BM25 among them (the title counts twice) normalised by the best, mixed with freshness."""
+    queries = queries_of(spark, sf)
+    r = dealt(results(spark, sf), "rid", queries.drop("query")).withColumn("body", F.concat_ws(" ", "title", "title", "snippet"))
+    scores = ranking.bm25_own(r, "qid", "rid", "body", queries).withColumn("bm25_score", F.round("score", 4))
+    best = scores.groupBy("qid").agg(F.max("bm25_score").alias("m")).select("qid", F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")).alias("m"))
     mixed = F.round(F.col("bm25_score") / F.col("m") * 0.85 + F.col("fresh") * 0.15, 4)
-    return k.crossJoin(F.broadcast(best)).select("rid", "bm25_score", "fresh", mixed.alias("combined_score"))
+    both = r.select("qid", "rid", _fresh().alias("fresh")).join(scores, ["qid", "rid"]).join(best, "qid")
+    return both.select("qid", "rid", "bm25_score", "fresh", mixed.alias("combined_score"))
 
 
+# ---- markdown. The templates of these renderings must come out to the letter.
+
 MARKDOWN_SQL = f"""
 WITH {RESULTS_SQL}, k AS (SELECT source, rid, url, title, score, coalesce(strftime(published, '%Y-%m-%d'), 'Unknown') AS date, trim(regexp_replace(regexp_replace(snippet, '<[^<]+?>', '', 'g'), '\\s+', ' ', 'g')) AS body,
   count(*) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY score DESC, rid) AS n FROM r)
@@ -139,47 +144,50 @@ CHUNKS_SQL = f"""{RESULTS_SQL}, c0 AS (SELECT rid, source, url, snippet, row_num
 f AS (SELECT *, min(ord) OVER (PARTITION BY source, url) AS first_ord FROM c0), g AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY first_ord) AS idx FROM f)"""
 
 
-def _cited(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages of each source in rank order with the number of their url."""
-    w = Window.partitionBy("source")
-    c = results(spark, sf).withColumn("ord", F.row_number().over(w.orderBy(F.desc("score"), "rid")))
-    c = c.withColumn("first_ord", F.min("ord").over(Window.partitionBy("source", "url")))
-    return c.withColumn("idx", F.dense_rank().over(w.orderBy("first_ord")))
+def _numbered_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """``source, url, idx``: a url's number follows its best passage. Passages meet per url first; what a source then has to order are urls."""
+    best = results(spark, sf).groupBy("source", "url").agg(F.min(F.struct((-F.col("score")).alias("neg"), "rid")).alias("best"))
+    return best.select("source", "url", F.row_number().over(Window.partitionBy("source").orderBy("best")).cast("bigint").alias("idx"))
 
 
 @query("citation_sources", f"WITH {CHUNKS_SQL} SELECT DISTINCT source, idx, url FROM g")
 def citation_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return _cited(spark, sf).select("source", F.col("idx").cast("bigint").alias("idx"), "url").distinct()
+    return _numbered_urls(spark, sf).select("source", "idx", "url")
 
 
 PART_LEN = "length('[' || idx || '] ' || snippet) + 2"
+CONTEXT_CHARS, LEAST_PART = 5000, len("[1] ") + 2
 
 
-@query("citation_context", f"WITH {CHUNKS_SQL}, k AS (SELECT source, ord, idx, {PART_LEN} AS part_len, sum({PART_LEN}) OVER (PARTITION BY source ORDER BY ord) AS cum FROM g) SELECT source, ord, idx, part_len, CAST(cum AS BIGINT) AS cum FROM k WHERE cum <= 5000")
+@query("citation_context", f"WITH {CHUNKS_SQL}, k AS (SELECT source, ord, idx, {PART_LEN} AS part_len, sum({PART_LEN}) OVER (PARTITION BY source ORDER BY ord) AS cum FROM g) SELECT source, ord, idx, part_len, CAST(cum AS BIGINT) AS cum FROM k WHERE cum <= {CONTEXT_CHARS}")
 def citation_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages that fit a budget of 5000 characters, with their numbers."""
-    part = (F.length(F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "snippet")) + 2).cast("bigint")
-    c = _cited(spark, sf).withColumn("part_len", part)
+    """Passages that fit a budget of 5000 characters, with their numbers.
+
+    No more passages can fit than the shortest ones: rows beyond are dropped before a source's rows meet.
+    """
+    w = Window.partitionBy("source").orderBy(F.desc("score"), "rid")
+    first = results(spark, sf).select("source", "url", "score", "rid", F.length("snippet").alias("n")).withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= CONTEXT_CHARS // LEAST_PART)
+    c = first.join(_numbered_urls(spark, sf), ["source", "url"]).withColumn("part_len", (F.col("n") + F.length(F.col("idx").cast("string")) + len("[] ") + 2).cast("bigint"))
     c = c.withColumn("cum", F.sum("part_len").over(Window.partitionBy("source").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
-    return c.where("cum <= 5000").select("source", F.col("ord").cast("bigint").alias("ord"), F.col("idx").cast("bigint").alias("idx"), "part_len", "cum")
+    return c.where(F.col("cum") <= CONTEXT_CHARS).select("source", F.col("ord").cast("bigint").alias("ord"), "idx", "part_len", "cum")
 
 
 @query("format_sources", f"WITH {CHUNKS_SQL}, u AS (SELECT DISTINCT source, idx, url FROM g) SELECT source, string_agg('[' || idx || '] ' || url || chr(10) || '    ' || url, chr(10) || chr(10) ORDER BY idx) AS sources FROM u GROUP BY source")
 def format_sources(spark: SparkSession, sf: str) -> DataFrame:
-    u = _cited(spark, sf).select("source", "idx", "url").distinct()
+    u = _numbered_urls(spark, sf)
     line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), "url", F.lit("\n    "), "url")
     grouped = u.select("source", F.struct("idx", line.alias("l")).alias("x")).groupBy("source").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return grouped.select("source", F.array_join(F.col("x.l"), "\n\n").alias("sources"))
 
 
 #: Each document with three citation markers; sources 1..4 are available.
-MARKED_SQL = "m AS (SELECT doc_id, left(text, 60) || ' [' || (doc_id % 7) || '] and [' || (doc_id % 4 + 1) || '] see https://' || source || '.example/' || doc_id || ' [' || (doc_id % 11) || ']' AS t FROM documents), n AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS nums FROM m)"
+MARKED_SQL = "m AS (SELECT doc_id, text || ' [' || (doc_id % 7) || '] and [' || (doc_id % 4 + 1) || '] see https://' || source || '.example/' || doc_id || ' [' || (doc_id % 11) || ']' AS t FROM documents), n AS (SELECT doc_id, t, list_transform(regexp_extract_all(t, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT)) AS nums FROM m)"
 MAX_SOURCE = 4
 
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
-    text = F.concat(F.substring("text", 1, 60), F.lit(" ["), (i % 7).cast("string"), F.lit("] and ["), (i % 4 + 1).cast("string"), F.lit("] see https://"), "source", F.lit(".example/"), i.cast("string"), F.lit(" ["), (i % 11).cast("string"), F.lit("]"))
+    text = F.concat("text", F.lit(" ["), (i % 7).cast("string"), F.lit("] and ["), (i % 4 + 1).cast("string"), F.lit("] see https://"), "source", F.lit(".example/"), i.cast("string"), F.lit(" ["), (i % 11).cast("string"), F.lit("]"))
     m = table(spark, sf, "documents").select("doc_id", text.alias("t"))
     return m.select("doc_id", "t", F.transform(F.regexp_extract_all("t", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("bigint")).alias("nums"))
 
@@ -201,7 +209,7 @@ def _renumbered(text, mapping):
 def _renumber_sql(mapping: str) -> str:
     """As ``_renumbered``; ``mapping`` in terms of ``x``."""
     return (
-        f"WITH {MARKED_SQL}, p AS (SELECT doc_id, nums, string_split(regexp_replace(t, '\\[\\d+\\]', chr(1), 'g'), chr(1)) AS gaps FROM n), "
+        f"WITH {MARKED_SQL}, p AS (SELECT doc_id, nums, string_split_regex(t, '\\[\\d+\\]') AS gaps FROM n), "
         f"s AS (SELECT *, list_sort(list_distinct(nums)) AS srt, list_sort(list_distinct(list_filter(nums, lambda y: y BETWEEN 1 AND {MAX_SOURCE}))) AS ok FROM p) "
         f"SELECT doc_id, array_to_string(list_transform(range(1, len(nums) + 1), lambda i: gaps[i] || '[' || {mapping.replace('{x}', 'nums[i]')} || ']'), '') || gaps[len(gaps)] AS text FROM s"
     )
@@ -299,13 +307,13 @@ def topic_width(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-FACTS_SQL = "f AS (SELECT doc_id, left(text, CAST(5 + doc_id % 60 AS BIGINT)) AS text, (doc_id % 10) / 10.0::DOUBLE AS confidence, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'https://' || source || '.example/' END AS source_url, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category FROM documents)"
+FACTS_SQL = "f AS (SELECT doc_id, text, (doc_id % 10) / 10.0::DOUBLE AS confidence, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'https://' || source || '.example/' END AS source_url, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS category FROM documents)"
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     return table(spark, sf, "documents").select(
-        "doc_id", F.substring("text", F.lit(1), (i % 60 + 5).cast("int")).alias("text"), ((i % 10) / 10).alias("confidence"),
+        "doc_id", "text", ((i % 10) / 10).alias("confidence"),
         F.when(i % 3 != 0, F.concat(F.lit("https://"), "source", F.lit(".example/"))).alias("source_url"), F.when(i % 4 != 0, F.col("lang")).alias("category"),
     )
 

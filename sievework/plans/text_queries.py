@@ -36,31 +36,43 @@ def bm25_df(spark: SparkSession, sf: str) -> DataFrame:
     return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
-#: The query of the ranking queries: the first five words of the benchmark's first item.
-QUERY_SQL = "SELECT array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:5], ' ') AS query FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)"
+#: The queries of the ranking queries: the first five words of each benchmark item (a query is short by nature), numbered by ``slot``.
+QUERIES_SQL = "SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) - 1 AS slot, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:5], ' ') AS query FROM benchmark"
+TERMS_OF_QUERIES = f"qs AS ({QUERIES_SQL}), q AS (SELECT qid, slot, term, count(*) AS times FROM (SELECT qid, slot, unnest({TOKENS_SQL.format(t='query')}) AS term FROM qs) GROUP BY ALL)"
+#: Documents and results that belong to one query each are dealt over the queries.
+SLOT_SQL = "{x} % (SELECT count(*) FROM benchmark)"
 BM25_PART = "times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))"
 
 
-def asked(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").orderBy("item_id").limit(1)
-    return items.select(F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 5), " ").alias("query"))
+def queries_of(spark: SparkSession, sf: str) -> DataFrame:
+    """``qid, slot, query``; the table of questions is small by nature, so one task numbers it."""
+    words = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 5)
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("slot"), F.array_join(words, " ").alias("query"))
+
+
+def dealt(df: DataFrame, key: str, queries: DataFrame) -> DataFrame:
+    """Adds ``qid`` and what else ``queries`` has to the rows: each belongs to one query."""
+    n = queries.count()
+    few = F.broadcast(queries) if n <= ranking.BROADCAST_TERMS else queries
+    return df.withColumn("slot", (F.col(key) % max(n, 1)).cast("int")).join(few, "slot").drop("slot")
 
 
 BM25_SQL = f"""
-WITH d AS (SELECT doc_id, {DOC_TOKENS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
-q AS (SELECT term, count(*) AS times FROM (SELECT unnest({TOKENS_SQL.format(t='query')}) AS term FROM ({QUERY_SQL})) GROUP BY term),
+WITH d AS (SELECT doc_id, {DOC_TOKENS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), {TERMS_OF_QUERIES},
 x AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d),
-tf AS (SELECT doc_id, dl, x.term, times, count(*) AS tf FROM x JOIN q USING (term) GROUP BY ALL),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT doc_id, sum({BM25_PART}) AS score FROM tf JOIN df USING (term), s GROUP BY doc_id)
+sc AS (SELECT qid, doc_id, round(sum({BM25_PART}), 4) AS score FROM tf JOIN q USING (term) JOIN df USING (term), s GROUP BY ALL)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc QUALIFY rank <= 20
 """
 
 
-@query("bm25_rank", BM25_SQL + "SELECT doc_id, round(coalesce(score, 0.0), 4) AS score FROM documents LEFT JOIN sc USING (doc_id)")
+@query("bm25_rank", BM25_SQL)
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its score; order by (score desc, doc_id) for the ranking."""
+    """For each query the twenty documents that fit best (a top-k report), by statistics of all documents."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return ranking.bm25(docs, "doc_id", "text", asked(spark, sf)).select("doc_id", F.round("score", 4).alias("score"))
+    scores = ranking.bm25_scores(docs, "doc_id", "text", queries_of(spark, sf), "qid")
+    return ranking.top_of_query(scores, "qid", "doc_id", 20).select("qid", "rank", "doc_id", "score")
 
 
 def _sql_protected() -> str:
@@ -80,7 +92,7 @@ s1 AS (SELECT doc_id, raw, list_reduce(raw, lambda a, s: CASE WHEN len(string_sp
 def sentence_frame(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, raw, sents`` of each document."""
     raw = table(spark, sf, "documents").select("doc_id", T.raw_sentences(F.col("text")).alias("raw"))
-    return raw.select("doc_id", "raw", T.merge_short_fold(F.col("raw")).alias("sents"))
+    return raw.select("doc_id", "raw", T.merge_short(F.col("raw")).alias("sents"))
 
 
 @query("split_sentences", f"WITH {SENTENCES_SQL} SELECT doc_id, unnest(range(len(raw))) AS pos, unnest(raw) AS sentence FROM s1")
@@ -118,25 +130,26 @@ def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PAGE_TOPK_SQL = f"""
-WITH {SENTENCES_SQL}, {_chunks_sql(500, 50)},
-d AS (SELECT doc_id, pos, chunk, {TOKENS_SQL.format(t='chunk')} AS w FROM ch), s AS (SELECT doc_id, count(*) AS n, avg(len(w)) AS avgdl FROM d GROUP BY doc_id),
-q AS (SELECT term, count(*) AS times FROM (SELECT unnest({TOKENS_SQL.format(t='query')}) AS term FROM ({QUERY_SQL})) GROUP BY term),
-x AS (SELECT doc_id, pos, len(w) AS dl, unnest(w) AS term FROM d),
-tf AS (SELECT doc_id, pos, dl, x.term, times, count(*) AS tf FROM x JOIN q USING (term) GROUP BY ALL),
+WITH {SENTENCES_SQL}, {_chunks_sql(500, 50)}, {TERMS_OF_QUERIES},
+d AS (SELECT doc_id, {SLOT_SQL.format(x='doc_id')} AS slot, pos, chunk, {TOKENS_SQL.format(t='chunk')} AS w FROM ch), s AS (SELECT doc_id, count(*) AS n, avg(len(w)) AS avgdl FROM d GROUP BY doc_id),
+x AS (SELECT doc_id, slot, pos, len(w) AS dl, unnest(w) AS term FROM d),
+tf AS (SELECT doc_id, pos, dl, x.term, times, count(*) AS tf FROM x JOIN q USING (slot, term) GROUP BY ALL),
 df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL),
 sc AS (SELECT doc_id, pos, sum({BM25_PART}) AS score FROM tf JOIN df USING (doc_id, term) JOIN s USING (doc_id) GROUP BY ALL),
-r AS (SELECT doc_id, pos, round(coalesce(score, 0.0), 4) AS score, chunk FROM ch LEFT JOIN sc USING (doc_id, pos))
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank, pos, score, chunk FROM r QUALIFY rank <= 5
+r AS (SELECT qid, doc_id, pos, round(coalesce(score, 0.0), 4) AS score, chunk FROM d JOIN qs USING (slot) LEFT JOIN sc USING (doc_id, pos))
+SELECT qid, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank, pos, score, chunk FROM r QUALIFY rank <= 5
 """
 
 
 @query("page_query_topk", PAGE_TOPK_SQL)
 def page_query_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The five passages of each document that fit the query best; statistics are those of the document's own passages."""
-    passages = chunk_frame(spark, sf, 500, 50)
-    scored = ranking.bm25(passages, "pos", "chunk", asked(spark, sf), ["doc_id"]).withColumn("score", F.round("score", 4))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
-    return scored.select("doc_id", rank.cast("bigint").alias("rank"), "pos", "score", "chunk").where("rank <= 5")
+    """A page is fetched for a query: the five passages of each document that fit its query best, by statistics of the document's own passages."""
+    packed = sentence_frame(spark, sf).select("doc_id", T.chunks(F.col("sents"), 500, 50).alias("c"))
+    queries = queries_of(spark, sf)
+    terms = ranking.query_terms(queries, ["qid"]).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("terms"))
+    none = F.array().cast("array<struct<term:string,times:bigint>>")
+    asked = dealt(packed, "doc_id", queries.join(terms, "qid", "left").select("slot", "qid", F.coalesce("terms", none).alias("terms")))
+    return ranking.best_passages(asked, "c", "terms", 5).select("qid", "doc_id", "rank", "pos", "score", "chunk")
 
 
 SMALL_SQL = f"""
