@@ -85,8 +85,8 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows: first row, end row, their bytes, and offsets from 0. Null texts are empty; a text is never cut."""
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins (and the last ends) in the bytes of all. Null texts are empty."""
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     n = len(column)
@@ -94,7 +94,13 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         column = column.fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
     raw = column.buffers()[2] if n else None
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
+    return offsets, np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
+
+
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows: first row, end row, their bytes, and offsets from 0. Null texts are empty; a text is never cut."""
+    offsets, data = text_bytes(column)
+    n = len(column)
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)

@@ -6,21 +6,21 @@ Every byte covered by a string of ``length`` bytes that also starts earlier
 1. Each window of ``length`` bytes has an anchor: the least hash of its k-byte
    substrings. Runs of windows with one anchor are segments; equal windows have
    equal anchors at equal places, so they only have to be sought among segments
-   of one anchor. Segments equal as a whole are settled here (all but the first
-   are covered), already within each batch before anything is shuffled.
-2. What is left are anchors whose segments differ. Their bytes are brought
-   together by anchor; windows whose hash occurs once are trimmed off, and equal strings settled as in 1.
-3. The strings that remain form shards. Each shard has its suffix array and its
-   Burrows-Wheeler transform; these are merged by refining their interleave one
-   character at a time: the refinement to depth h follows from that to depth h-1
+   of one anchor. Segments of one batch that are equal, byte for byte, are one segment
+   with several places: the first goes on, the others are covered.
+2. Anchors with one segment are done. So are segments of whole copies of a document (equal digests of
+   the segment and of the whole text, at one place). The bytes of all others are brought together by
+   anchor; hashes of windows narrow them down to runs of windows that may occur twice.
+3. Those runs are strings in shards. Each shard has its suffix array and its
+   Burrows-Wheeler transform; these are merged by refining their interleave ``STRIDE``
+   characters at a time: the refinement to depth h + ``STRIDE`` follows from that to depth h
    through the transforms alone, no suffix is compared or sorted again. Block
    boundaries carried along are the common prefixes; a block that shrinks to one
    suffix can't be repeated and leaves. The blocks left at depth ``length`` are the
-   repeated intervals; in each, all but the earliest occurrence are covered.
+   repeated intervals, equal strings among them; in each, all but the earliest occurrence are covered.
 4. The covered runs of each document are united and cut out.
 
-The bytes of one anchor's differing segments meet in one task; segments that
-are equal, whatever their number, don't.
+The bytes of one anchor's segments, each batch's distinct ones, meet in one task.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose
 nothing; null ids come before all others; rows that share an id are ordered by a
@@ -38,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.bytesarrays import BYTE_VALUE, POWERS, mix64, text_chunks, trim_memory
+from sievework.llm.bytesarrays import BYTE_VALUE, POWERS, mix64, text_bytes, text_chunks, trim_memory
 from sievework.llm.shared import Tables
 
 ANCHOR = 20
 CHUNK = 1 << 20
-BUCKETS = 512
+LEAST_BUCKETS = 512
 SHARD_BYTES = 128 << 10
 GROUP_BYTES = 512 << 10
+#: Characters by which an interleave is refined at a time.
+STRIDE = 4
 _U = np.uint64
 _NULL_ID = -(1 << 63)
 
@@ -113,15 +115,30 @@ def _order(r: np.ndarray) -> np.ndarray:
     return np.lexsort((r["lo"], r["x"], r["id"], r["seg"], r["anchor"]))
 
 
-def _settle(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segments in order of (anchor, bytes, place): which are the first of their bytes, which are covered (equal to an earlier one)."""
+def _settle(r: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments in order of (anchor, bytes, place), with whether each equals the one before: which are the first of their kind, which are covered (equal to an earlier one)."""
     first = np.ones(len(r), bool)
-    first[1:] = (r["anchor"][1:] != r["anchor"][:-1]) | (r["seg"][1:] != r["seg"][:-1])
+    first[1:] = ~same
     at = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
     head = r[at]
     return first, (r["id"] != head["id"]) | (r["x"] != head["x"]) | (r["lo"] != head["lo"])
 
 
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` on and those from ``b`` on are equal, for each pair of places."""
+    out = np.ones(len(a), bool)
+    cuts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    k = 0
+    while k < len(a):
+        end = max(k + 1, int(np.searchsorted(cuts, cuts[k] + CHUNK, "right")) - 1)
+        n, starts = sizes[k:end], cuts[k:end] - cuts[k]
+        within = np.arange(cuts[end] - cuts[k]) - np.repeat(starts, n)
+        differs = data[np.repeat(a[k:end], n) + within] != data[np.repeat(b[k:end], n) + within]
+        out[k:end] = ~np.logical_or.reduceat(differs, starts)
+        k = end
+    return out
+
+
 def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array, transform and LF mapping of strings of bytes 1..255, each ended by a 0. The ends count as distinct, in their order."""
     n = len(text)
@@ -163,6 +180,35 @@ def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, before, lf
 
 
+def strides(before: np.ndarray, lf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A transform and its LF mapping by ``STRIDE`` characters: dense numbers of what stands before each suffix (0: not as much of its string), and the suffix that begins there."""
+    grams, place = np.zeros(len(before), np.uint32), np.arange(len(before))
+    whole = np.ones(len(before), bool)
+    for k in range(STRIDE):
+        c = before[place]
+        whole &= c > 0
+        grams |= c.astype(np.uint32) << np.uint32(8 * k)
+        place = lf[place]
+    grams[~whole] = 0
+    return grams, place
+
+
+def _refined(place: np.ndarray, block: np.ndarray, key: np.ndarray, lf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One step of the refinement: ``key``, dense numbers of the characters before each suffix (0: none). Blocks of one suffix leave."""
+    c = key[place]
+    some = np.flatnonzero(c)
+    c = c[some]
+    order = np.argsort(c.astype(np.uint16), kind="stable")  # by radix; in two halves if there are many keys
+    if len(c) and c.max() >= 1 << 16:
+        order = order[np.argsort((c[order] >> 16).astype(np.uint16), kind="stable")]
+    some, c = some[order], c[order]
+    block, place = block[some], lf[place[some]]
+    new = np.ones(len(place) + 1, bool)
+    new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
+    several = ~(new[:-1] & new[1:])
+    return place[several], np.cumsum(new[:-1], dtype=np.int32)[several]
+
+
 def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Refines the interleave of shards (transform, LF mapping) to ``depth``.
 
@@ -174,18 +220,17 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) ->
     lf = np.concatenate([m + o for (_, m), o in zip(shards, base, strict=False)]).astype(np.int32)
     place = np.arange(base[-1], dtype=np.int32)
     block = np.zeros(base[-1], np.int32)
-    for _ in range(depth):
-        c = before[place]
-        some = np.flatnonzero(c)
-        some = some[np.argsort(c[some], kind="stable")]
-        c, block, place = c[some], block[some], lf[place[some]]
-        if not len(place):
-            break
-        new = np.ones(len(place) + 1, bool)
-        new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
-        several = ~(new[:-1] & new[1:])
-        block = np.cumsum(new[:-1], dtype=np.int32)[several]
-        place = place[several]
+    for _ in range(depth % STRIDE):
+        place, block = _refined(place, block, before, lf)
+    if depth >= STRIDE and len(place):
+        grams, jump = strides(before, lf)
+        dense = np.unique(grams, return_inverse=True)[1].astype(np.int32)
+        dense += 1 if grams.min() else 0  # 0 stays for what has no whole stride
+        jump = jump.astype(np.int32)
+        for _ in range(depth // STRIDE):
+            place, block = _refined(place, block, dense, jump)
+            if not len(place):
+                break
     return place, block
 
 
@@ -228,21 +273,11 @@ def repeated_windows(pieces: np.ndarray, blobs: list, length: int) -> np.ndarray
     first = np.flatnonzero(opens)
     runs = np.diff(np.append(np.cumsum(wanted)[first] - 1, wanted.sum()))
     lens = runs + length - 1
-    # equal strings are settled like equal segments: the earliest goes on, the others are covered
     begin = starts[first]
     owner, within = owner[first], within[first]
     strings = np.empty(len(first), _HEAD)
-    placed = sought[wanted] * ((np.arange(wanted.sum(), dtype=_U) - np.repeat((np.cumsum(runs) - runs).astype(_U), runs)) * _U(2) + _U(1))
-    strings["anchor"], strings["seg"] = 0, mix64(np.add.reduceat(placed, np.cumsum(runs) - runs) + runs.astype(_U))
     strings["id"], strings["x"], strings["lo"], strings["run"] = pieces["id"][owner], pieces["x"][owner], pieces["lo"][owner] + within, runs
-    order = _order(strings)
-    lead, covered = _settle(strings[order])
-    settled = strings[order[covered]]
-    known = np.empty(len(settled), none.dtype)
-    known["id"], known["x"], known["lo"], known["hi"] = settled["id"], settled["x"], settled["lo"], settled["lo"] + settled["run"] - 1 + length
-    order = order[lead]
-    begin, lens, strings = begin[order], lens[order], strings[order]
-    del placed, sought, wanted, opens, starts, equal
+    del sought, wanted, opens, starts, equal
     ends = np.cumsum(lens + 1)
     text = np.zeros(ends[-1], np.uint8)
     at = ends - lens - 1
@@ -262,7 +297,7 @@ def repeated_windows(pieces: np.ndarray, blobs: list, length: int) -> np.ndarray
             done = end
     place, block = merge_transforms(shards, length)
     if not len(place):
-        return known
+        return none
     where = np.concatenate(suffixes)[place]
     string = np.searchsorted(ends, where, "right")
     ids, xs = strings["id"][string], strings["x"][string]
@@ -282,7 +317,7 @@ def repeated_windows(pieces: np.ndarray, blobs: list, length: int) -> np.ndarray
     out = np.empty(len(opened) - 1, none.dtype)
     out["id"], out["x"] = strings["id"][hit[opened[:-1]]], strings["x"][hit[opened[:-1]]]
     out["lo"], out["hi"] = lo[opened[:-1]], lo[opened[1:] - 1] + length
-    return np.concatenate([known, out])
+    return out
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Buffer]]]:
@@ -334,19 +369,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("x"), text.alias("t"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max(LEAST_BUCKETS.bit_length() - 1, (4 * tasks - 1).bit_length())
+    shift = _U(64 - buckets.bit_length() + 1)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, xs, found = _ids(batch.column(0)), batch.column(1).to_numpy(), []
+            ids, xs, found, begin = _ids(batch.column(0)), batch.column(1).to_numpy(), [], []
             for a, b, data, offsets in text_chunks(batch.column(2), CHUNK):
                 row, lo, runs, anchor, seg = segments(data, offsets, length)
                 part = np.empty(len(row), _HEAD)
                 part["anchor"], part["seg"], part["lo"], part["run"] = anchor, seg, lo, runs
                 part["id"], part["x"] = ids[a:b][row], xs[a:b][row]
                 found.append(part)
+                begin.append(row + a)
             r = np.concatenate(found) if found else np.empty(0, _HEAD)
-            r = r[_order(r)]
-            first, covered = _settle(r)
+            order = _order(r)
+            r = r[order]
+            offsets, data = text_bytes(batch.column(2))
+            place = offsets[np.concatenate(begin)[order]] + r["lo"] if found else np.empty(0, np.int64)
+            same = (r["anchor"][1:] == r["anchor"][:-1]) & (r["seg"][1:] == r["seg"][:-1]) & (r["run"][1:] == r["run"][:-1])
+            at = np.flatnonzero(same)
+            same[at] = _equal_bytes(data, place[at], place[at + 1], r["run"][at] + np.int64(length - 1))
+            first, covered = _settle(r, same)
             covered = r[covered]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -358,9 +402,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
             r = r[first]
             # in order of the anchor already: its leading bits are the bucket
-            bucket = (r["anchor"] >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-            blobs = [(b, _planes(r[cuts[b] : cuts[b + 1]])) for b in range(BUCKETS) if cuts[b + 1] > cuts[b]]
+            cuts = np.searchsorted((r["anchor"] >> shift).astype(np.int64), np.arange(buckets + 1))
+            blobs = [(b, _planes(r[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
             none = pa.nulls(len(blobs), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())],
@@ -380,9 +423,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             some[1:] |= equal
             some[:-1] |= equal
             r = r[order[some]]
-            r = r[_order(r)]
-            first, covered = _settle(r)
-            # anchors with several firsts: their segments differ
+            # copies of whole documents: equal texts by their digests, equal segments at one place
+            r = r[np.lexsort((r["id"], r["lo"], r["x"], r["seg"], r["anchor"]))]
+            same = (r["anchor"][1:] == r["anchor"][:-1]) & (r["seg"][1:] == r["seg"][:-1]) & (r["x"][1:] == r["x"][:-1]) & (r["lo"][1:] == r["lo"][:-1])
+            first, covered = _settle(r, same)
+            # of anchors with several others the bytes are wanted
             new = np.ones(len(r), bool)
             new[1:] = r["anchor"][1:] != r["anchor"][:-1]
             group = np.cumsum(new) - 1
@@ -420,11 +465,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :]
             data = np.frombuffer(texts.buffers()[2], np.uint8)
             begin = np.repeat(offsets[: len(counts)], counts) + lo
-            bucket = (anchor >> _U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            bucket = (anchor >> shift).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
-            for b in range(BUCKETS):
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = order[cuts[b] : cuts[b + 1]]
                 if len(mine):
                     out.append((b, len(mine).to_bytes(8, "little") + r[mine].tobytes() + b"".join(data[begin[i] : begin[i] + hi[i] - lo[i]].tobytes() for i in mine)))
