@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 2048
@@ -20,6 +20,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
 
 
+#: Queries whose vectors are broadcast at most.
+BROADCAST_QUERIES = 20_000
+
+
+def nearest_within(vectors: DataFrame, queries: DataFrame, group: str, key: str, qid: str, most: int) -> DataFrame:
+    """``qid, rank, key, sim``: of each query (column ``q``) the nearest vectors (column ``v``) of its group, itself left out."""
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    met = vectors.join(F.broadcast(queries) if few else queries, group).where(F.col(key) != F.col(qid))
+    scored = met.select(qid, key, F.round(cosine(F.col("v"), F.col("q")), 4).alias("sim"))
+    rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("sim"), key))
+    return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most)
+
+
 def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float) -> DataFrame:
     """``a, b, sim`` for a < b. Vectors are packed into tiles by a hash; pairs of tiles meet, products are matrix products."""
     spark = vectors.sparkSession

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import replay, vectors
+from sievework.operators import ranking, replay, vectors
+from sievework.plans import providers
 from sievework.plans.registry import query
+from sievework.plans.text_queries import BM25_SQL, QUERIES_SQL, TOKENS_SQL, bm25_rank, queries_of
 from sievework.session import table
 
 # ---- vectors
@@ -48,8 +50,6 @@ SCORED = "SELECT vec_id, label, vec_id + 1 AS ord, ((vec_id * 31) % 97) / 10.0::
 
 @query("diverse_select", f"WITH s AS ({SCORED}), a AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ord) AS nth FROM s QUALIFY nth <= 3) SELECT vec_id, label, round(score * (1 - (nth - 1) / 4.0), 4) AS adjusted FROM a ORDER BY ord LIMIT 15")
 def diverse_select(spark: SparkSession, sf: str) -> DataFrame:
-    from sievework.operators import ranking
-
     s = _emb(spark, sf).select("vec_id", "label", (F.col("vec_id") + 1).alias("ord"), (((F.col("vec_id") * 31) % 97) / 10).alias("score"))
     return ranking.diverse_select(s, "label", "score", "ord").select("vec_id", "label", F.round("adjusted", 4).alias("adjusted"))
 
@@ -129,28 +129,42 @@ RATE_SQL = f"WITH u AS (SELECT user_id, list({{'id': event_id, 't': {EPOCH}}} OR
 def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Two requests a user in any day; refused ones don't count."""
     e = table(spark, sf, "events").select("event_id", "user_id", replay.seconds("ts").alias("t"))
-    return replay.replay(e, "user_id", ["t", "event_id"], "allowed", "boolean", replay.rate_limiter(2, 86400.0)).select("event_id", "allowed")
+    return replay.replay(e, "user_id", ["t", "event_id"], "allowed", "boolean", ["t"], replay.rate_limiter(2, 86400.0)).select("event_id", "allowed")
 
 
-LRU_SQL = f"""
-WITH u AS (SELECT user_id, list({{'id': event_id, 't': {EPOCH}, 'k': event_type, 'g': event_id % 2 = 0}} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
-f AS (SELECT list_reduce(l, lambda a, x: CASE
-  WHEN x.g AND len(list_filter(a.c, lambda y: y.k = x.k AND x.t <= y.e)) > 0 THEN {{'c': list_concat(list_filter(a.c, lambda y: y.k <> x.k), list_filter(a.c, lambda y: y.k = x.k)), 'out': list_append(a.out, {{'id': x.id, 'hit': true}})}}
-  WHEN x.g THEN {{'c': list_filter(a.c, lambda y: y.k <> x.k), 'out': list_append(a.out, {{'id': x.id, 'hit': false}})}}
+LRU_FOLD = f"""
+WITH u AS (SELECT user_id, list({{'id': event_id, 't': {EPOCH}, 'k': event_type, 'op': CASE WHEN event_id % 2 = 0 THEN 'get' WHEN event_id % 10 = 5 THEN 'delete' ELSE 'set' END}} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(l, lambda a, x: CASE
+  WHEN x.op = 'get' AND len(list_filter(a.c, lambda y: y.k = x.k AND x.t <= y.e)) > 0 THEN {{'c': list_concat(list_filter(a.c, lambda y: y.k <> x.k), list_filter(a.c, lambda y: y.k = x.k)), 'out': list_append(a.out, {{'id': x.id, 'hit': true}})}}
+  WHEN x.op = 'get' THEN {{'c': list_filter(a.c, lambda y: y.k <> x.k), 'out': list_append(a.out, {{'id': x.id, 'hit': false}})}}
+  WHEN x.op = 'delete' THEN {{'c': list_filter(a.c, lambda y: y.k <> x.k), 'out': list_append(a.out, {{'id': x.id, 'hit': len(list_filter(a.c, lambda y: y.k = x.k)) > 0}})}}
   WHEN len(list_filter(a.c, lambda y: y.k = x.k)) > 0 THEN {{'c': list_append(list_filter(a.c, lambda y: y.k <> x.k), {{'k': x.k, 'e': x.t + 172800}}), 'out': a.out}}
   WHEN len(a.c) >= 3 THEN {{'c': list_append(a.c[2:], {{'k': x.k, 'e': x.t + 172800}}), 'out': a.out}}
   ELSE {{'c': list_append(a.c, {{'k': x.k, 'e': x.t + 172800}}), 'out': a.out}} END,
-  {{'c': []::STRUCT(k VARCHAR, e DOUBLE)[], 'out': []::STRUCT(id BIGINT, hit BOOLEAN)[]}}) AS a FROM u), o AS (SELECT unnest(a.out) AS x FROM f)
-SELECT x.id AS event_id, x.hit AS hit FROM o
+  {{'c': []::STRUCT(k VARCHAR, e DOUBLE)[], 'out': []::STRUCT(id BIGINT, hit BOOLEAN)[]}}) AS a FROM u)
 """
 
 
-@query("lru_replay", LRU_SQL)
+def _cache_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Even events read, of the odd ones every fifth deletes, the others write."""
+    i = F.col("event_id")
+    op = F.when(i % 2 == 0, "get").when(i % 10 == 5, "delete").otherwise("set")
+    return table(spark, sf, "events").select("event_id", "user_id", replay.seconds("ts").alias("t"), F.col("event_type").alias("k"), op.alias("op"))
+
+
+@query("lru_replay", LRU_FOLD + "SELECT x.id AS event_id, x.hit AS hit FROM (SELECT unnest(a.out) AS x FROM f)")
 def lru_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """A cache of three entries a user, which live two days: even events read, odd ones write their type."""
-    op = F.when(F.col("event_id") % 2 == 0, "get").otherwise("set")
-    e = table(spark, sf, "events").select("event_id", "user_id", replay.seconds("ts").alias("t"), F.col("event_type").alias("k"), op.alias("op"))
-    return replay.replay(e, "user_id", ["t", "event_id"], "hit", "boolean", replay.lru_cache(3, 172800.0)).where("op = 'get'").select("event_id", "hit")
+    """A cache of three entries a user, which live two days: what reads and deletes find."""
+    done = replay.replay(_cache_log(spark, sf), "user_id", ["t", "event_id"], "hit", "boolean", ["op", "k", "t"], replay.lru_cache(3, 172800.0))
+    return done.where("op <> 'set'").select("event_id", "hit")
+
+
+@query("cache_stats", LRU_FOLD + "SELECT user_id, CAST(len(a.c) AS BIGINT) AS size, 3 AS max_size FROM f")
+def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """What each user's cache holds in the end."""
+    sizes = replay.replay(_cache_log(spark, sf), "user_id", ["t", "event_id"], "size", "bigint", ["op", "k", "t"], replay.lru_size(3, 172800.0))
+    last = sizes.groupBy("user_id").agg(F.max_by("size", F.struct("t", "event_id")).alias("size"))
+    return last.select("user_id", "size", F.lit(3).alias("max_size"))
 
 
 @query("backoff_schedule", "SELECT CAST(a AS BIGINT) AS attempt, pow(2, a)::DOUBLE AS delay, 0.75 * pow(2, a) AS least, 1.25 * pow(2, a) AS most FROM range(5) t(a)")
@@ -182,13 +196,68 @@ def store_live_entries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where((F.col("event_id") % 10 == 0) | (ends >= F.lit("2024-01-31").cast("timestamp_ntz"))).select("event_id", "user_id")
 
 
-@query("response_classify", "SELECT event_id, CASE WHEN status >= 500 THEN 'retry' WHEN status IN (403, 429) THEN 'retry' WHEN status = 200 THEN 'ok' ELSE 'fail' END AS class, CAST(regexp_extract('HTTP ' || status, 'HTTP (\\d{3})', 1) AS INTEGER) AS code FROM (SELECT event_id, [200, 403, 404, 429, 500, 503][CAST(event_id % 6 AS BIGINT) + 1] AS status FROM events)")
+# Words of errors after which a connection is worth another try.
+RETRYABLE_WORDS = ("connection", "timeout", "refused", "reset", "closed", "network", "dns", "resolve")
+ERRORS = ("HTTP {c} from server", "Connection reset by peer", "certificate has expired", "DNS lookup failed, HTTP {c}", "request TIMEOUT", "bad record")
+STATUSES = (200, 403, 404, 429, 500, 503, 301)
+_STATUS_SQL = f"{list(STATUSES)!r}[CAST(event_id % {len(STATUSES)} AS BIGINT) + 1]"
+_RETRY_SQL = "({x} >= 500 AND {x} < 600 OR {x} IN (403, 429))"
+
+
+def retryable_status(code):
+    """Whether a status is worth another try; an unknown one isn't."""
+    return F.coalesce(code.between(500, 599) | code.isin(403, 429), F.lit(False))
+
+
+def retryable_error(message):
+    return F.exists(F.array(*(F.lit(w) for w in RETRYABLE_WORDS)), lambda w: F.contains(F.lower(message), w))
+
+
+def status_in(message):
+    """The status code that an error message names, else null."""
+    found = F.regexp_extract(message, r"HTTP (\d{3})", 1)
+    return F.when(found != "", found.cast("int"))
+
+
+def failure_response(status, results):
+    """Whether a searcher's response is a failure: refused, or without results."""
+    return (status == 429) | results.isNull() | (F.size(results) == 0)
+
+
+def is_pdf(content_type):
+    return F.coalesce(F.startswith(F.trim(F.lower(content_type)), F.lit("application/pdf")), F.lit(False))
+
+
+@query("response_classify", f"SELECT event_id, status, CASE WHEN {_RETRY_SQL.format(x='status')} THEN 'retry' WHEN status = 200 THEN 'ok' ELSE 'fail' END AS class, status = 429 OR r IS NULL OR r = 0 AS failure FROM (SELECT event_id, {_STATUS_SQL} AS status, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 END AS r FROM events)")
 def response_classify(spark: SparkSession, sf: str) -> DataFrame:
-    codes = F.array(*(F.lit(c) for c in (200, 403, 404, 429, 500, 503)))
-    e = table(spark, sf, "events").select("event_id", F.get(codes, (F.col("event_id") % 6).cast("int")).alias("status"))
-    code = F.regexp_extract(F.concat(F.lit("HTTP "), F.col("status").cast("string")), r"HTTP (\d{3})", 1).cast("int")
-    kind = F.when((code >= 500) | code.isin(403, 429), "retry").when(code == 200, "ok").otherwise("fail")
-    return e.select("event_id", kind.alias("class"), code.alias("code"))
+    i = F.col("event_id")
+    codes = F.array(*(F.lit(c) for c in STATUSES))
+    results = F.when(i % 5 != 0, F.array_repeat(F.col("event_type"), (i % 3).cast("int")))
+    e = table(spark, sf, "events").select("event_id", F.get(codes, (i % len(STATUSES)).cast("int")).alias("status"), results.alias("results"))
+    kind = F.when(retryable_status(F.col("status")), "retry").when(F.col("status") == 200, "ok").otherwise("fail")
+    return e.select("event_id", "status", kind.alias("class"), failure_response(F.col("status"), F.col("results")).alias("failure"))
+
+
+_ERROR_SQL = f"replace({list(ERRORS)!r}[CAST(event_id % {len(ERRORS)} AS BIGINT) + 1], '{{c}}', CAST({_STATUS_SQL} AS VARCHAR))"
+
+
+@query("error_classify", f"SELECT event_id, code, coalesce({_RETRY_SQL.format(x='code')}, false) AS retry_status, regexp_matches(lower(m), '{'|'.join(RETRYABLE_WORDS)}') AS retry_error FROM (SELECT event_id, m, TRY_CAST(regexp_extract(m, 'HTTP (\\d{{3}})', 1) AS INTEGER) AS code FROM (SELECT event_id, {_ERROR_SQL} AS m FROM events))")
+def error_classify(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of a fetch: the status they name, and whether the status or the words make another try worthwhile."""
+    i = F.col("event_id")
+    code = F.get(F.array(*(F.lit(c) for c in STATUSES)), (i % len(STATUSES)).cast("int")).cast("string")
+    message = F.replace(F.get(F.array(*(F.lit(e) for e in ERRORS)), (i % len(ERRORS)).cast("int")), F.lit("{c}"), code)
+    e = table(spark, sf, "events").select("event_id", message.alias("m")).withColumn("code", status_in(F.col("m")))
+    return e.select("event_id", "code", retryable_status(F.col("code")).alias("retry_status"), retryable_error(F.col("m")).alias("retry_error"))
+
+
+CONTENT_TYPES = ("application/pdf", " Application/PDF; charset=binary", "text/html", "application/x-pdf", "", "application/pdf+x")
+
+
+@query("pdf_content_type", f"SELECT event_id, coalesce(starts_with(trim(lower(t)), 'application/pdf'), false) AS pdf FROM (SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL ELSE {list(CONTENT_TYPES)!r}[CAST(event_id % 7 AS BIGINT) + 1] END AS t FROM events)")
+def pdf_content_type(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.get(F.array(*(F.lit(t) for t in CONTENT_TYPES)), (F.col("event_id") % 7).cast("int"))
+    return table(spark, sf, "events").select("event_id", is_pdf(kind).alias("pdf"))
 
 
 @query("datetime_formats", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS unix, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS readable FROM events")
@@ -236,6 +305,18 @@ def memory_clear(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role <> 'system'").select("conv_id", "turn")
 
 
+MEMORY_SQL = f"SELECT q.vec_id AS query_id, m.vec_id AS memory_id, round(list_cosine_similarity({VEC.replace('embedding', 'm.embedding')}, {VEC.replace('embedding', 'q.embedding')}), 4) AS sim FROM embeddings q JOIN embeddings m ON q.label = m.label AND q.vec_id <> m.vec_id WHERE q.vec_id % 20 = 0"
+
+
+@query("memory_search", f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, memory_id) AS rank, memory_id, sim FROM ({MEMORY_SQL}) QUALIFY rank <= 10")
+def memory_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten memories of the same user (here: label) nearest to each query (here: every twentieth vector; a top-k report)."""
+    e = _emb(spark, sf)
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "label")
+    found = vectors.nearest_within(e.withColumnRenamed("vec_id", "memory_id"), queries, "label", "memory_id", "query_id", 10)
+    return found.select("query_id", "rank", "memory_id", "sim")
+
+
 # ---- language-model stand-ins
 
 @query("expand_query", "SELECT item_id, q || ' site:wikipedia.org OR define ' || q || ' OR ' || q || ' tutorial OR best ' || q || ' guide' AS expanded FROM (SELECT item_id, string_split(text, ' ')[1] AS q FROM benchmark)")
@@ -274,11 +355,21 @@ def parse_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.when(number == "", 5.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.try_to_number(number, F.lit("99.9")).cast("double")))).alias("relevance"))
 
 
-@query("llm_rerank", "WITH b AS (SELECT item_id, length(text) % 11 AS s FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 20)) SELECT item_id, s AS score, row_number() OVER (ORDER BY s DESC, item_id) AS rank FROM b QUALIFY rank <= 10")
+_QUERY_WORDS = f"list_distinct({TOKENS_SQL.format(t='query')})"
+_RERANK_SQL = f"""
+WITH b AS ({BM25_SQL}), c AS (SELECT b.qid, b.rank AS first_rank, b.doc_id, {_QUERY_WORDS} AS q, list_distinct({TOKENS_SQL.format(t='left(text, 500)')}) AS w FROM b JOIN ({QUERIES_SQL}) USING (qid) JOIN documents USING (doc_id)),
+s AS (SELECT *, CASE WHEN len(q) = 0 THEN 5.0 ELSE round(10.0 * len(list_intersect(q, w)) / len(q), 4) END::DOUBLE AS score FROM c)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_rank) AS rank, doc_id, score FROM s QUALIFY rank <= 10
+"""
+
+
+@query("llm_rerank", _RERANK_SQL)
 def llm_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 2k candidates are scored by a pluggable scorer (here the length), the best k stay."""
-    b = table(spark, sf, "benchmark").orderBy("item_id").limit(20).select("item_id", (F.length("text") % 11).cast("bigint").alias("score"))
-    return b.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")).cast("bigint")).where("rank <= 10")
+    """Of each query's first twenty documents a scorer (the offline stand-in: shared words of the first 500 characters, as the scorer is shown) picks ten."""
+    best = bm25_rank(spark, sf).select("qid", F.col("rank").alias("first_rank"), "doc_id")
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    candidates = texts.join(F.broadcast(best) if best.count() <= ranking.BROADCAST_TERMS else best, "doc_id").join(queries_of(spark, sf).select("qid", "query"), "qid")
+    return providers.rerank(candidates, "qid", "query", "text", "first_rank", 10).select("qid", "rank", "doc_id", "score")
 
 
 # ---- charts

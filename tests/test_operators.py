@@ -3,13 +3,15 @@
 import os
 import subprocess
 import sys
+import time
 
+import pytest
 from conftest import ROOT
 from pyspark.sql import functions as F
 
 from sievework.functions import html as H
 from sievework.functions import text as T
-from sievework.operators import ranking, replay, vectors
+from sievework.operators import charts, dom, extract, ranking, replay, vectors
 from sievework.plans import providers
 from sievework.sources import saved, store
 
@@ -61,13 +63,23 @@ def test_diverse_total_zero_keeps_one(spark):
 
 def test_rate_limiter_counts_admitted_only():
     step = replay.rate_limiter(2, 10)()
-    assert [step({"t": t}) for t in (0, 1, 2, 9, 10, 10.5, 11)] == [True, True, False, False, True, False, True]
+    assert [step(t) for t in (0, 1, 2, 9, 10, 10.5, 11)] == [True, True, False, False, True, False, True]
 
 
 def test_lru_cache_evicts_and_expires():
     step = replay.lru_cache(2, 5)()
     ops = [("set", "a", 0), ("set", "b", 1), ("get", "a", 2), ("set", "c", 3), ("get", "b", 3), ("get", "a", 4), ("get", "a", 6)]
-    assert [step({"op": o, "k": k, "t": t}) for o, k, t in ops] == [None, None, True, None, False, True, False]
+    assert [step(o, k, t) for o, k, t in ops] == [None, None, True, None, False, True, False]
+
+
+def test_lru_cache_deletes_and_counts():
+    cache = replay.LruCache(2, 5)
+    cache.set("a", 0)
+    cache.set("a", 3)  # an update is no second entry
+    assert cache.stats() == {"size": 1, "max_size": 2} and cache.get("a", 8) and not cache.get("a", 9)
+    assert not cache.delete("a")
+    cache.set("b", 9)
+    assert cache.delete("b") and not cache.delete("b") and cache.stats()["size"] == 0
 
 
 def test_greedy_independent(spark):
@@ -91,6 +103,130 @@ def test_saved_search(spark, tmp_path):
     assert saved.search_results(spark, f"{tmp_path}/*.json").count() == 1
 
 
+def test_selectors():
+    page = "<div id=a class='x y'><h2 data-k='one two'>T &amp; U</h2><p>1</p><p class=z>2<b>3</b></div><ul><li>i<li class=last>j</ul><br><p>4"
+    got = lambda s: [dom.text_of(n) for n in dom.select(dom.parse(page), s)]
+    assert got("h2") == ["T & U"] and got("#a > p") == ["1", "23"] and got("div.x.y h2[data-k~=two]") == ["T & U"]
+    assert got("li") == ["i", "j"] and got("li:last-child") == ["j"] and got("li + li") == ["j"] and got("div ~ p") == ["4"]
+    assert got("h2, b") == ["T & U", "3"] and got("[data-k^=one]") == got("[data-k$='two']") == got('[data-k*="e t"]') == ["T & U"] and got("*.last") == ["j"]
+    assert got("h2 > b") == [] and dom.text_of(dom.parse("<p>x</i></p></div>y")) == "xy" and dom.parse(None).elements == []
+    for bad in ("", "p >", "p[", "!"):
+        with pytest.raises(dom.SelectorError):
+            list(dom.select(dom.parse(page), bad))
+    deep = dom.parse("<div>" * 3000 + "x")
+    assert dom.text_of(deep) == "x" and len(list(deep.walk())) == 3000
+
+
+def test_selectors_extract_fields():
+    page = "<h1>T</h1><span class=by>Ann</span><main>a<script>no</script><p>b</p></main>"
+    assert extract.Selectors(author=".byline, .by").extract(page) == {"title": "T", "author": "Ann", "date": None, "text": "a b"}
+    assert extract.Selectors().extract(None) == {"title": None, "author": None, "date": None, "text": ""}
+    assert extract.select_text("<p class='u'>x <i>y</p>", "p.u") == "x y" and extract.select_text("", "p") == ""
+
+
+def test_result_pages():
+    searx = (
+        '<article class="result result-default"><a class="url_header" href="http://a/"></a><h3><a href="http://other/">A <b>one</b> &amp; two</a></h3><p class="result-content">about <b>a</b></p></article>'
+        '<article class="result"><h3><a href="http://b/">B</a></h3></article><article class="result"><h3>no link</h3></article><article><h3><a href="http://c/">no result</a></h3></article>'
+    )
+    assert extract.result_rows(searx) == [{"url": "http://a/", "title": "A one &amp; two", "snippet": "about a"}, {"url": "http://b/", "title": "B", "snippet": ""}]
+    ddg = (
+        '<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.example%2F%3Fa%3D1&rut=2">X</a><a class="result__snippet">sx</a></div>'
+        '<div class="result"><a class="result__a" href="//y.example/">Y</a></div><div class="result"><a class="result__a" href="https://duckduckgo.com/y.js?ad_domain=z">Ad</a></div>'
+    )
+    assert [(r["url"], r["title"], r["snippet"]) for r in extract.result_rows(ddg, "duckduckgo")] == [("https://x.example/?a=1", "X", "sx"), ("https://y.example/", "Y", "")]
+    links = '<a href="http://a.example/">first title</a><a href="http://a.example/">again the same</a><a href="http://b.example/">abc</a><a href="/rel">relative link</a><a href="http://c.example/?page=2">next page</a><a href="http://d.example/"><b>inner</b></a>'
+    assert extract.link_rows(links) == [{"url": "http://a.example/", "title": "first title", "snippet": ""}]
+    assert extract.search_page(links, "searx") == extract.link_rows(links) and extract.search_page(searx, "searx", 1) == extract.result_rows(searx)[:1] and extract.search_page(None, "searx") == []
+
+
+def test_charts(spark):
+    make = lambda kind, data, **more: charts.figure(charts.Chart(kind, data, **more))
+    assert make("line", {"y": [1, 2]})["data"] == [{"type": "scatter", "mode": "lines+markers", "x": [0, 1], "y": [1, 2]}]
+    assert [(t["name"], t["y"]) for t in make("bar", {"labels": ["a"], "values": [[1], [2]], "names": ["u", "v"]})["data"]] == [("u", [1]), ("v", [2])]
+    assert [t["x"] for t in make("scatter", {"x": [[1], [2]], "y": [[3], [4]]})["data"]] == [[1], [2]] and make("area", {"y": [[1], [2]]})["data"][1]["name"] == "Series 2"
+    assert make("pie", {"names": ["a"], "y": [1]})["data"][0] == {"type": "pie", "labels": ["a"], "values": [1]} and make("histogram", {"values": [1]})["data"][0]["nbinsx"] == 10
+    assert [t["name"] for t in make("box", {"y": [[1], [2]]})["data"]] == ["Group 1", "Group 2"] and make("box", {"y": [1]})["data"] == [{"type": "box", "y": [1]}]
+    assert make("heatmap", {"matrix": [[1]], "x_labels": ["a"]})["data"][0] == {"type": "heatmap", "z": [[1]], "x": ["a"]}
+    assert make("treemap", {"labels": ["a", "b"], "values": [1, 2]})["data"][0]["parents"] == ["", ""] and make("sunburst", {"names": ["a"], "parents": ["r"]})["data"][0]["parents"] == ["r"]
+    assert make("funnel", {"stages": ["s"], "values": [3]})["data"][0] == {"type": "funnel", "y": ["s"], "x": [3]}
+    gauge = make("gauge", {"value": 5, "max": 10, "thresholds": {}})["data"][0]["gauge"]
+    assert gauge["threshold"]["value"] == 9 and [b["range"] for b in gauge["steps"]] == [[0, 5], [5, 8]] and make("gauge", {"value": 5})["data"][0]["gauge"]["steps"] == []
+    assert make("indicator", {"value": 5, "delta": 3})["data"][0]["delta"] == {"reference": 3} and make("bubble", {"x": [1], "y": [2]})["data"][0]["marker"]["size"] == [20]
+    whole = make("bar", {"x": ["a"], "y": [1]}, title="T", x_label="X", y_label="Y", options={"width": 3, "show_legend": False, "colors": ["red", "blue"]})
+    assert whole["layout"] == {"title": {"text": "T"}, "xaxis": {"title": {"text": "X"}}, "yaxis": {"title": {"text": "Y"}}, "width": 3, "showlegend": False} and whole["data"][0]["marker"]["color"] == "red"
+    assert make("line", {})["data"][0]["y"] == [] and make("pie", {})["data"][0]["labels"] == []
+    for bad in (("spiral", {}), ("line", {"y": 5}), ("bar", {"y": [[1], [2]], "names": ["one"]})):
+        with pytest.raises(charts.ChartError):
+            make(*bad)
+    assert "<\\/script>" in charts.page(charts.Chart("pie", {"labels": ["</script>"]})) and len(charts.TYPES) == 14
+    df = spark.createDataFrame([("b", 2), ("a", 1)], "k string, v long")
+    assert make("bar", charts.columns_of(df, x="k", y="v"))["data"][0]["x"] == ["a", "b"]
+    with pytest.raises(charts.ChartError):
+        charts.columns_of(df, 1, x="k")
+
+
+def test_eviction(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.evict(spark, path, 0.0) == 0 and store.stats(spark, path, 0.0, 9) == {"size": 0, "expired": 0, "max_size": 9}
+    for k, (ttl, now) in enumerate([(10, 0), (0, 1), (0, 2), (0, 2), (5, 3)]):
+        store.append(store.store_rows(spark.createDataFrame([(f"t{k}",)], "c string"), "c", "text", float(now), float(ttl)), path)
+    assert store.stats(spark, path, 9.0, 3) == {"size": 5, "expired": 1, "max_size": 3}
+    assert store.evict(spark, path, 9.0, 2) == 3  # the expired one, then the oldest
+    left = {r["content"] for r in store.live(spark, path, 9.0).collect()}
+    assert len(left) == 2 and "t4" not in left and "t1" not in left
+    store.append(store.store_rows(spark.createDataFrame([("new",)], "c string"), "c", "text", 9.0, 1.0), path)
+    ids = spark.createDataFrame([("missing",)], "id string").unionByName(store.entries(spark, path).select("id"))
+    assert store.lookup(spark, path, ids, 10.0).where("content is not null").count() == 3
+    stream = store.evict_periodically(spark, path, lambda: 100.0, every="1 second")
+    try:
+        deadline = time.time() + 60
+        while store.stats(spark, path, 100.0, 9)["size"] > 2 and time.time() < deadline:
+            time.sleep(1)
+    finally:
+        stream.stop()
+    assert store.stats(spark, path, 100.0, 9) == {"size": 2, "expired": 0, "max_size": 9}
+
+
+def test_query_providers(spark):
+    fail = lambda messages: 1 / 0
+    reply = lambda messages: "1. first\n- second\n\n* first"
+    assert providers.rewrite_query("q", None) is None and providers.rewrite_query("q", fail) is None and providers.rewrite_query("q", lambda m: " w ") == "w"
+    assert providers.sub_queries("q", reply) == ["first", "second", "first"] and providers.sub_queries("q", fail) == ["q"] == providers.query_variants("q", None)
+    variants = providers.query_variants("first", reply)
+    assert variants == ["first", "second", providers.expanded_query("first")]
+    assert providers.search_variants([*variants, "never"], lambda v: fail(v) if v == "second" else [{"v": v}]) == [{"v": "first"}, {"v": variants[2]}]
+    chat = [{"role": "user", "content": "Birds fly. Cats and dogs sleep a lot. Cats sleep, dogs sleep."}]
+    assert providers.streamed_text([": ping", "data: broken", *providers.chat_stream(chat)]) == providers.extractive_chat(chat) == "Cats and dogs sleep a lot."
+    scores = [("a", 0.9), ("b", 0.8), ("c", 0.7), ("d", 0.6), ("e", 0.4)]
+    assert providers.choose_instances(scores) == ["a", "b", "c"] and {u for k in range(40) for u in providers.choose_instances(scores, explore=1.0, seed=k)} == {"a", "b", "c", "d"}
+    df = spark.createDataFrame([(1, "red fox", t, k) for k, t in enumerate(["none", "a red fox", "fox", "red fox late"])], "q long, query string, text string, n long")
+    got = [(r["rank"], r["text"], r["score"]) for r in providers.rerank(df, "q", "query", "text", "n", 2).orderBy("rank").collect()]
+    assert got == [(1, "a red fox", 10.0), (2, "red fox late", 10.0)]
+    assert [r["text"] for r in providers.rerank(df, "q", "query", "text", "n", 1).collect()] == ["a red fox"]  # the first two were candidates
+
+
+def test_ranking_with_many_queries(spark):
+    docs = spark.createDataFrame([(1, "java code"), (2, "python programming python"), (3, "cooking python"), (4, None)], "id long, text string")
+    asked = spark.createDataFrame([(10, "python programming"), (11, "java java"), (12, "nothing"), (13, "")], "qid long, query string")
+    scores = {(r["qid"], r["id"]): r["score"] for r in ranking.bm25_scores(docs, "id", "text", asked, "qid").collect()}
+    assert set(scores) == {(10, 2), (10, 3), (11, 1)} and scores[10, 2] > scores[10, 3]
+    alone = {r["id"]: r["score"] for r in ranking.bm25(docs, "id", "text", asked.where("qid = 11").select("query")).collect()}
+    assert abs(alone[1] - scores[11, 1]) < 1e-9 and alone[4] == 0
+    top = ranking.top_of_query(ranking.bm25_scores(docs, "id", "text", asked, "qid"), "qid", "id", 1)
+    assert {(r["qid"], r["id"]) for r in top.collect()} == {(10, 2), (11, 1)}
+    rows = spark.createDataFrame([(1, ["red fox", "blue sky", "fox fox"], [("fox", 1)]), (2, [], [("fox", 1)]), (3, ["x"], []), (4, ["12 34"], [("fox", 1)])], "id long, c array<string>, terms array<struct<term:string,times:bigint>>")
+    best = ranking.best_passages(rows, "c", "terms", 2).collect()
+    assert [(r["id"], r["rank"], r["pos"]) for r in best] == [(1, 1, 2), (1, 2, 0), (3, 1, 0), (4, 1, 0)] and best[2]["score"] == 0
+
+
+def test_merge_short(spark):
+    words = lambda n: " ".join("w" * n)
+    for given, want in (([], []), (["a b"], ["a b"]), (["a", "b c", words(5), "d", words(6)], ["a b c", words(5) + " d", words(6)])):
+        column = F.array(*(F.lit(x) for x in given)) if given else F.array().cast("array<string>")
+        assert one(spark, T.merge_short(column)) == want
+
+
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([("x",), ("y",)], "c string")
     store.append(store.store_rows(df, "c", "text", 100.0, 10.0), str(tmp_path / "s"))
