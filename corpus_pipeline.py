@@ -37,14 +37,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays.
 
-    Documents with a null id or without words stay; of rows equal in id and text one stays.
+    Documents with a null id or without words stay; of rows equal in id and text one stays. Rows
+    that share an id are judged each by its own text, so they are told apart by a key of both.
     """
+    key = F.xxhash64("doc_id", "text").alias("key")
     docs = docs.select(*COLUMNS)
-    groups = ngram_join.jaccard_components(docs)
-    gone = groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows"))
-    gone = Tables(spark, "near-duplicates").write("gone", gone.where("gone or rows > 1"))
-    kept = docs.join(gone.where("gone").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id", "text"]) if gone.where("rows > 1").limit(1).count() else kept
+    keyed = docs.where("doc_id is not null").select(key, "doc_id", "text")
+    groups = ngram_join.jaccard_components(keyed, id_col="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("part"))
+    tables = Tables(spark, "near-duplicates")
+    members = tables.write("members", groups.groupBy("key", "part").agg(F.count("*").alias("rows")).join(keyed.select("key", "doc_id").distinct(), "key"))
+    stays = members.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = tables.write("gone", members.join(stays, "part").where("key <> best.key").select("key"))
+    kept = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), key)).join(gone, "key", "left_anti").select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id", "text"]) if members.where("rows > 1").limit(1).count() else kept
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
