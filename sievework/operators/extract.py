@@ -109,7 +109,9 @@ def link_rows(html: str | None) -> list[dict[str, str]]:
 
 
 def search_page(html: str | None, layout: str, most: int | None = None) -> list[dict[str, str]]:
-    """Results by the layout, else by links; ``most``: as many at most (the searcher's limit)."""
+    """Results by the layout, else by links; none if the page refuses. ``most``: as many at most (the searcher's limit)."""
+    if any(sign in (html or "") for sign in REFUSALS):
+        return []
     return (result_rows(html, layout) or link_rows(html))[:most]
 
 

@@ -109,6 +109,20 @@ def freshness(date: Column, as_of: Column) -> Column:
     return F.when(date.isNull(), 0.5).when(age <= 1, 1.0).when(age <= 7, 0.8).when(age <= 30, 0.5).otherwise(0.2)
 
 
+# Where results keep their date, in the order they are tried.
+DATE_FIELDS = ("published_date", "publishedDate", "date", "pubdate")
+
+
+def result_date(*fields: Column) -> Column:
+    """The first date that can be read: with zone, without (UTC), or the day that a text begins with."""
+
+    def read(x: Column) -> Column:
+        day = F.when(F.regexp_like(x, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.substring(x, 1, 10))
+        return F.when(F.contains(x, F.lit("T")) | F.endswith(x, F.lit("Z")), F.try_to_timestamp(x)).otherwise(F.try_to_timestamp(day))
+
+    return F.coalesce(*map(read, fields))
+
+
 def dedup_results(results: DataFrame) -> DataFrame:
     """Of results (``rid, url, score``) with one url (trailing slashes apart) the best stays, at the place of the first."""
     keyed = results.withColumn("key", F.regexp_replace(F.coalesce("url", F.lit("")), "/+$", "")).where("key <> ''")

@@ -62,8 +62,28 @@ def parse_date(spark: SparkSession, sf: str) -> DataFrame:
     return results(spark, sf).select("rid", F.coalesce(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd"), F.lit("Unknown")).alias("date"))
 
 
-FRESH_SQL = "CASE WHEN published IS NULL THEN 0.5 WHEN abs(DATE '2026-05-07' - published) <= 1 THEN 1.0 WHEN abs(DATE '2026-05-07' - published) <= 7 THEN 0.8 WHEN abs(DATE '2026-05-07' - published) <= 30 THEN 0.5 ELSE 0.2 END::DOUBLE"
 AS_OF = "2026-05-07"
+_DATES_SQL = "strftime(DATE '2026-05-07' - CAST(doc_id % 60 AS INTEGER), '%Y-%m-%d')"
+
+
+@query("result_dates", f"SELECT doc_id AS rid, CASE doc_id % 6 WHEN 5 THEN NULL WHEN 3 THEN {_DATES_SQL} || ' 10:30:00' WHEN 1 THEN {_DATES_SQL} || ' 08:30:00' ELSE {_DATES_SQL} || ' 00:00:00' END AS date FROM documents")
+def result_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates of results, written in one of four fields and in several ways; the first that can be read counts."""
+    i = F.col("doc_id")
+    day = F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), (i % 60).cast("int")), "yyyy-MM-dd")
+    m = i % 6
+    written = table(spark, sf, "documents").select(
+        i.alias("rid"),
+        F.when(m == 0, day).when(m == 1, F.concat(day, F.lit("T10:30:00+02:00"))).otherwise(F.lit("soon")).alias("published_date"),
+        F.when(m == 2, F.concat(day, F.lit(" at noon"))).alias("publishedDate"),
+        F.when(m == 3, F.concat(day, F.lit("T10:30:00Z"))).otherwise("").alias("date"),
+        F.when(m == 4, day).when(m == 5, "2026-13-45").alias("pubdate"),
+    )
+    found = ranking.result_date(*(F.col(c) for c in ranking.DATE_FIELDS))
+    return written.select("rid", F.date_format(found, "yyyy-MM-dd HH:mm:ss").alias("date"))
+
+
+FRESH_SQL = "CASE WHEN published IS NULL THEN 0.5 WHEN abs(DATE '2026-05-07' - published) <= 1 THEN 1.0 WHEN abs(DATE '2026-05-07' - published) <= 7 THEN 0.8 WHEN abs(DATE '2026-05-07' - published) <= 30 THEN 0.5 ELSE 0.2 END::DOUBLE"
 
 
 def _fresh():

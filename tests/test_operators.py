@@ -95,12 +95,36 @@ def test_html(spark):
 
 
 def test_saved_search(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"query": "q", "results": [{"title": "T", "url": "u", "content": "c", "score": 1}]}')
+    (tmp_path / "a.json").write_text('{"query": "q", "results": [{"title": "T", "url": "u", "content": "<b>c</b>", "score": 1}, 5]}')
     (tmp_path / "b.json").write_text("not json")
     spark.dataSource.register(saved.SavedSearch)
-    got = spark.read.format("saved_search").option("path", f"{tmp_path}/*.json").load().collect()
-    assert [(r["query"], r["title"], r["score"]) for r in got] == [("q", "T", 1.0)]
-    assert saved.search_results(spark, f"{tmp_path}/*.json").count() == 1
+    for path in (f"{tmp_path}/*.json", f"file://{tmp_path}/a.json", str(tmp_path)):
+        got = spark.read.format("saved_search").option("path", path).load().collect()
+        assert [(r["query"], r["title"], r["score"]) for r in got] == [("q", "T", 1.0), ("q", "", None)]
+    assert spark.read.format("saved_search").option("path", f"{tmp_path}/none/*.json").load().count() == 0
+    again = saved.search_results(spark, f"{tmp_path}/*.json").orderBy("rid").collect()
+    assert [(r["rid"], r["title"], r["snippet"], r["score"]) for r in again] == [(0, "T", "c", 1.0), (1, "", "", None)]
+
+
+def test_providers_responses():
+    brave = '{"web": {"results": [' + ",".join('{"title": "t", "url": "u", "description": "d", "page_age": "2024"}' for _ in range(25)) + "]}}"
+    assert len(list(saved.result_rows(brave, "brave"))) == 20 and next(saved.result_rows(brave, "brave"))[2:6] == ("t", "u", "d", "2024")
+    assert saved.brave_params("q", 50, "Week") == {"q": "q", "count": 20, "freshness": "PW"} and saved.brave_params("q", 5, "2024-01to") == {"q": "q", "count": 5, "freshness": "2024-01to"} and saved.brave_params("q") == {"q": "q", "count": 20}
+    assert saved.wiki_rows('{"results": [{"title": "T", "path": "p", "snippet": "s"}]}', "search") == [{"title": "T", "url": "p", "content": "s", "score": 0, "zim": ""}]
+    assert saved.wiki_rows('{"book": [{"title": "T", "path": "p"}]}', "suggest", "book") == [{"title": "T", "url": "p"}] and saved.wiki_rows('{"other": []}', "suggest", "book") == []
+    assert saved.wiki_rows('[{"name": "n", "entries": 3}]', "catalog")[0]["entries"] == 3 and saved.wiki_rows('{"name": "n"}', "catalog") == []
+    assert saved.wiki_rows('{"content": "c"}', "content") == [{"content": "c"}] and saved.wiki_rows("{}", "random") == [] and saved.wiki_rows(None, "search") == []
+
+
+def test_saved_pages_and_documents(spark, tmp_path):
+    (tmp_path / "p.html").write_text('<article class="result"><h3><a href="http://a/">title</a></h3></article>')
+    (tmp_path / "q.html").write_text("Too Many Requests")
+    got = saved.result_pages(spark, f"{tmp_path}/*.html", "searx").collect()
+    assert [(r["rid"], r["url"], r["title"]) for r in got] == [(0, "http://a/", "title")]
+    files = spark.createDataFrame([("a", bytearray(b"one\x01\f \ftwo")), ("b", None), ("c", bytearray(b"\f"))], "url string, content binary")
+    assert [(r["url"], r["page"], r["text"]) for r in saved.document_pages(files).orderBy("page").collect()] == [("a", 1, "one"), ("a", 3, "two")]
+    assert [(r["url"], r["text"]) for r in saved.document_texts(files).collect()] == [("a", "one\n\ntwo")]
+    assert saved.document_pages(files, lambda content: 1 / 0).count() == 0
 
 
 def test_selectors():
