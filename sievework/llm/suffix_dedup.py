@@ -10,7 +10,8 @@ Every byte covered by a string of ``length`` bytes that also starts earlier
    with several places: the first goes on, the others are covered.
 2. Anchors with one segment are done. So are segments of whole copies of a document (equal digests of
    the segment and of the whole text, at one place). The bytes of all others are brought together by
-   anchor; hashes of windows narrow them down to runs of windows that may occur twice.
+   anchor; hashes of windows narrow them down to runs of windows that may occur twice. Of runs that are
+   equal, byte for byte, the first ``COPIES`` go on, so a passage in thousands of texts is little work.
 3. Those runs are strings in shards. Each shard has its suffix array and its
    Burrows-Wheeler transform; these are merged by refining their interleave ``STRIDE``
    characters at a time: the refinement to depth h + ``STRIDE`` follows from that to depth h
@@ -48,6 +49,8 @@ SHARD_BYTES = 128 << 10
 GROUP_BYTES = 512 << 10
 #: Characters by which an interleave is refined at a time.
 STRIDE = 4
+#: Copies of one string that enter the shards; more are compared with the first.
+COPIES = 4
 _U = np.uint64
 _NULL_ID = -(1 << 63)
 
@@ -277,7 +280,22 @@ def repeated_windows(pieces: np.ndarray, blobs: list, length: int) -> np.ndarray
     owner, within = owner[first], within[first]
     strings = np.empty(len(first), _HEAD)
     strings["id"], strings["x"], strings["lo"], strings["run"] = pieces["id"][owner], pieces["x"][owner], pieces["lo"][owner] + within, runs
-    del sought, wanted, opens, starts, equal
+    # of a string that very many texts hold the first COPIES go on, the others, equal to the first byte for byte, are covered
+    places = np.cumsum(runs) - runs
+    placed = sought[wanted] * ((np.arange(wanted.sum(), dtype=_U) - np.repeat(places.astype(_U), runs)) * _U(2) + _U(1))
+    strings["anchor"], strings["seg"] = 0, mix64(np.add.reduceat(placed, places) + runs.astype(_U))
+    order = _order(strings)
+    begin, lens, strings = begin[order], lens[order], strings[order]
+    at = np.flatnonzero(strings["seg"][1:] != strings["seg"][:-1]) + 1
+    head = np.repeat(np.concatenate(([0], at)), np.diff(np.concatenate(([0], at, [len(strings)]))))
+    more = np.flatnonzero((np.arange(len(strings)) - head >= COPIES) & (lens == lens[head]))
+    more = more[_equal_bytes(data, begin[more], begin[head[more]], lens[more])]
+    known = np.empty(len(more), none.dtype)
+    known["id"], known["x"], known["lo"], known["hi"] = strings["id"][more], strings["x"][more], strings["lo"][more], strings["lo"][more] + lens[more]
+    rest = np.ones(len(strings), bool)
+    rest[more] = False
+    begin, lens, strings = begin[rest], lens[rest], strings[rest]
+    del placed, sought, wanted, opens, starts, equal
     ends = np.cumsum(lens + 1)
     text = np.zeros(ends[-1], np.uint8)
     at = ends - lens - 1
@@ -297,7 +315,7 @@ def repeated_windows(pieces: np.ndarray, blobs: list, length: int) -> np.ndarray
             done = end
     place, block = merge_transforms(shards, length)
     if not len(place):
-        return none
+        return known
     where = np.concatenate(suffixes)[place]
     string = np.searchsorted(ends, where, "right")
     ids, xs = strings["id"][string], strings["x"][string]
@@ -317,7 +335,7 @@ def repeated_windows(pieces: np.ndarray, blobs: list, length: int) -> np.ndarray
     out = np.empty(len(opened) - 1, none.dtype)
     out["id"], out["x"] = strings["id"][hit[opened[:-1]]], strings["x"][hit[opened[:-1]]]
     out["lo"], out["hi"] = lo[opened[:-1]], lo[opened[1:] - 1] + length
-    return out
+    return np.concatenate([known, out])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Buffer]]]:

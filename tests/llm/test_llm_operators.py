@@ -259,6 +259,8 @@ def check_jaccard(docs, rows):
 
 def test_repeats_removed(spark, docs, rows):
     extra = [(7000, "ab" * 300), (7001, "ab" * 80), (7002, "x" * 99), (7003, "x" * 101), (7004, "x" * 100), (7005, "é" * 120)]
+    passage = "".join(chr(97 + k * k % 23) for k in range(170))  # in many texts, each with other words around it
+    extra += [(7100 + k, f"{k * 7919 % 1000} before it {passage[k % 3:]} {k * 104729 % 1000} behind it") for k in range(30)]
     df = docs.select("doc_id", "text", "id", "t").unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect())
     seen, want = {}, []
@@ -275,6 +277,21 @@ def test_repeats_removed(spark, docs, rows):
     assert got == sorted(want)
 
 
+def test_long_texts_and_empty_tables(spark):
+    rng = np.random.default_rng(31)
+    long = " ".join(str(x) for x in rng.integers(0, 10**6, 40_000))
+    texts = [long, long[:150_000] + "x" + long[150_000:], "short", None, long[1000:1300]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    n = len(long)
+    assert got[0] == (n, 0, 0) and got[1] == (n + 1, n, 2) and got[2] == (5, 0, 0) and got[3] == (0, 0, 0) and got[4] == (300, 300, 1)
+    assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+    scored = {r["doc_id"]: r for r in lm_score.score_texts(df).collect()}
+    assert scored[1]["n_tokens"] == scored[0]["n_tokens"] + 1 or scored[1]["n_tokens"] == scored[0]["n_tokens"]
+    groups = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(df).collect()}
+    assert groups[1] == 0 and groups[4] == 4 and groups[3] == 3
+
+
 def test_transforms_merge_to_sorted_blocks():
     rng = np.random.default_rng(3)
     shards, places, base, texts = [], [], 0, []
