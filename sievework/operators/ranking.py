@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.rows import exploded
 
 K1, B = 1.5, 0.75
 BROADCAST_TERMS = 200_000
@@ -13,13 +14,13 @@ BROADCAST_TERMS = 200_000
 
 def term_counts(docs: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """``keys, term, tf``: one row per document and term."""
-    return docs.select(*keys, F.explode(T.tokens(text)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return exploded(docs, keys, T.tokens(text), "term").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, term, times`` of queries (column ``query``): a repeated word counts as often as it occurs."""
     keys = keys or []
-    return queries.select(*keys, F.explode(T.tokens(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("times"))
+    return exploded(queries, keys, T.tokens(F.col("query")), "term").groupBy(*keys, "term").agg(F.count("*").alias("times"))
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -51,7 +52,7 @@ def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: s
     words = docs.select(F.col(key).alias("__k"), T.tokens(F.col(text)).alias("__w")).select("__k", F.size("__w").alias("__dl"), "__w")
     stats = words.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
     asked = query_terms(queries, [qid])
-    hits = words.select("__k", "__dl", F.explode("__w").alias("term")).join(_small(asked.select("term").distinct()), "term")
+    hits = exploded(words, ["__k", "__dl"], "__w", "term").join(_small(asked.select("term").distinct()), "term")
     tf = hits.groupBy("__k", "__dl", "term").agg(F.count("*").alias("__tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("__df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(qid, "term", (F.col("times") * _idf(F.col("__n"), F.col("__df"))).alias("__idf"), "__avg")
@@ -70,7 +71,7 @@ def bm25_own(rows: DataFrame, qid: str, key: str, text: str, queries: DataFrame)
     """``qid, key, score``: each row by the query it belongs to, with statistics of that query's rows (every row stays)."""
     words = rows.select(qid, F.col(key).alias("__k"), T.tokens(F.col(text)).alias("__w")).select(qid, "__k", F.size("__w").alias("__dl"), "__w")
     stats = words.groupBy(qid).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
-    hits = words.select(qid, "__k", "__dl", F.explode("__w").alias("term")).join(_small(query_terms(queries, [qid])), [qid, "term"])
+    hits = exploded(words, [qid, "__k", "__dl"], "__w", "term").join(_small(query_terms(queries, [qid])), [qid, "term"])
     tf = hits.groupBy(qid, "__k", "__dl", "term", "times").agg(F.count("*").alias("__tf"))
     df = tf.groupBy(qid, "term").agg(F.count("*").alias("__df"))
     joined = tf.join(df, [qid, "term"]).join(stats, qid)
@@ -91,16 +92,16 @@ def best_passages(docs: DataFrame, passages: str, terms: str, most: int, digits:
     counts = F.transform(words, lambda w: F.struct(F.size(w).alias("dl"), F.transform(terms, lambda t: F.size(w) - F.size(F.array_remove(w, t["term"]))).alias("tf")))
     counted = docs.withColumn("__c", counts)
     n = F.size("__c")
-    average = F.aggregate("__c", F.lit(0), lambda a, c: a + c["dl"]) / n
+    average = F.when(n > 0, F.aggregate("__c", F.lit(0), lambda a, c: a + c["dl"]) / n)
     weights = F.transform(terms, lambda t, j: t["times"] * _idf(n, F.size(F.filter("__c", lambda c: F.get(c["tf"], j) > 0))))
-    counted = counted.where(n > 0).withColumns({"__avg": average, "__i": weights})
+    counted = counted.withColumns({"__avg": average, "__i": weights})
 
     def score(c: Column) -> Column:
         return F.aggregate(F.zip_with("__i", c["tf"], lambda i, tf: F.when(tf > 0, i * _part(tf, c["dl"], F.col("__avg"))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
 
     ordered = F.slice(F.array_sort(F.transform("__c", lambda c, i: F.struct((-F.round(score(c), digits)).alias("neg"), i.alias("pos")))), 1, most)
-    best = counted.select(*names, passages, F.posexplode(ordered).alias("__k", "x"))
-    return best.select(*names, (F.col("__k") + 1).cast("bigint").alias("rank"), F.col("x.pos").cast("bigint").alias("pos"), (-F.col("x.neg")).alias("score"), F.get(passages, F.col("x.pos")).alias("chunk"))
+    best = exploded(counted, [*names, passages], ordered, "x", "__k")
+    return best.select(*names, (F.col("__k") + 1).alias("rank"), F.col("x.pos").cast("bigint").alias("pos"), (-F.col("x.neg")).alias("score"), F.get(passages, F.col("x.pos")).alias("chunk"))
 
 
 def freshness(date: Column, as_of: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.rows import exploded
 from sievework.operators import ranking, replay, vectors
 from sievework.plans import providers
 from sievework.plans.registry import query
@@ -63,7 +64,7 @@ def diversity_step(spark: SparkSession, sf: str) -> DataFrame:
 @query("hash_embed", r"SELECT doc_id, CAST('0x' || md5(term)[1:8] AS BIGINT) % 64 AS bucket, count(*) AS weight FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda w: NOT regexp_full_match(w, '\p{Nd}+'))) AS term FROM documents) GROUP BY ALL")
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Offline stand-in for an embedding model: counts of hashed words."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    words = exploded(table(spark, sf, "documents"), ["doc_id"], T.tokens(F.col("text")), "term")
     bucket = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % 64
     return words.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("weight"))
 

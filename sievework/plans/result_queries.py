@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import taxonomy
 from sievework.functions import text as T
+from sievework.functions.rows import exploded
 from sievework.operators import ranking
 from sievework.plans.registry import query
 from sievework.plans.text_queries import BM25_PART, SLOT_SQL, TERMS_OF_QUERIES, TOKENS_SQL, dealt, queries_of
@@ -275,7 +276,7 @@ def _classified(spark: SparkSession, sf: str) -> DataFrame:
     scores = F.array(*(F.struct((-sum(F.contains(F.col("t"), F.lit(k)).cast("int") for k in words)).alias("neg"), F.lit(p).alias("priority"), F.lit(o).alias("ord"), F.lit(n).alias("category")) for o, n, p, words in taxonomy.CATEGORIES))
     d = table(spark, sf, "documents").select("doc_id", combined.alias("t"))
     best = F.slice(F.array_sort(F.filter(scores, lambda s: s["neg"] < 0)), 1, 5)
-    return d.select("doc_id", F.posexplode(best).alias("k", "x")).select("doc_id", "x.category", (-F.col("x.neg")).cast("bigint").alias("score"), (F.col("k") + 1).cast("bigint").alias("rank"))
+    return exploded(d, ["doc_id"], best, "x", "k").select("doc_id", "x.category", (-F.col("x.neg")).cast("bigint").alias("score"), (F.col("k") + 1).alias("rank"))
 
 
 @query("classify_topic", CLASSIFY_SQL)
@@ -345,7 +346,7 @@ def parse_facts(spark: SparkSession, sf: str) -> DataFrame:
     item = F.struct("text", F.when(F.col("doc_id") % 7 != 0, F.col("confidence")).alias("confidence"), "category")
     reply = f.select("doc_id", F.concat(F.lit("Facts: "), F.to_json(F.array(item)), F.lit(" done")).alias("reply"))
     found = F.from_json(F.regexp_extract("reply", r"(?s)\[.*\]", 0), "array<struct<text:string,confidence:double,category:string>>")
-    rows = reply.select("doc_id", F.inline(F.slice(found, 1, 20)))
+    rows = exploded(reply, ["doc_id"], F.slice(found, 1, 20), "x").select("doc_id", "x.*")
     return rows.select("doc_id", "text", F.coalesce("confidence", F.lit(0.8)).alias("confidence"), "category").where("length(text) >= 10 and confidence >= 0.5")
 
 

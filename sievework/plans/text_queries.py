@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions.rows import exploded
 from sievework.operators import ranking
 from sievework.plans.registry import query
 from sievework.session import table
@@ -32,7 +33,7 @@ def bm25_tf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_df", f"SELECT term, count(DISTINCT doc_id) AS df FROM ({TERMS_SQL}) GROUP BY term")
 def bm25_df(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    words = exploded(table(spark, sf, "documents"), [], F.array_distinct(T.tokens(F.col("text"))), "term")
     return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -97,12 +98,12 @@ def sentence_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("split_sentences", f"WITH {SENTENCES_SQL} SELECT doc_id, unnest(range(len(raw))) AS pos, unnest(raw) AS sentence FROM s1")
 def split_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sentence_frame(spark, sf).select("doc_id", F.posexplode("raw").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("bigint"))
+    return exploded(sentence_frame(spark, sf), ["doc_id"], "raw", "sentence", "pos")
 
 
 @query("merge_short_sentences", f"WITH {SENTENCES_SQL} SELECT doc_id, unnest(range(len(sents))) AS pos, unnest(sents) AS sentence FROM s1")
 def merge_short_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sentence_frame(spark, sf).select("doc_id", F.posexplode("sents").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("bigint"))
+    return exploded(sentence_frame(spark, sf), ["doc_id"], "sents", "sentence", "pos")
 
 
 def _chunks_sql(size: int, overlap: int) -> str:
@@ -121,7 +122,7 @@ ch AS (SELECT doc_id, unnest(range(len(chunks))) AS pos, unnest(chunks) AS chunk
 def chunk_frame(spark: SparkSession, sf: str, size: int, overlap: int) -> DataFrame:
     """``doc_id, pos, chunk``."""
     packed = sentence_frame(spark, sf).select("doc_id", T.chunks(F.col("sents"), size, overlap).alias("c"))
-    return packed.select("doc_id", F.posexplode("c").alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("bigint"))
+    return exploded(packed, ["doc_id"], "c", "chunk", "pos")
 
 
 @query("chunk_text", f"WITH {SENTENCES_SQL}, {_chunks_sql(1000, 200)} SELECT doc_id, pos, chunk FROM ch")
@@ -170,7 +171,7 @@ def merge_small_chunks(spark: SparkSession, sf: str) -> DataFrame:
         return F.when(small, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), c)))).otherwise(F.concat(acc, F.array(c)))
 
     merged = packed.select("doc_id", F.aggregate("c", empty, step).alias("c"))
-    return merged.select("doc_id", F.posexplode("c").alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("bigint"))
+    return exploded(merged, ["doc_id"], "c", "chunk", "pos")
 
 
 PAGINATE_SQL = """
@@ -199,7 +200,7 @@ def paginate(spark: SparkSession, sf: str) -> DataFrame:
 
     paragraphs = F.filter(F.split("text", "\n"), lambda x: x != "")
     pages = table(spark, sf, "documents").select("doc_id", F.aggregate(paragraphs, start, step, close).alias("p"))
-    return pages.select("doc_id", F.posexplode("p").alias("page", "content")).withColumn("page", F.col("page").cast("bigint"))
+    return exploded(pages, ["doc_id"], "p", "content", "page")
 
 
 SEMANTIC_SQL = r"""
@@ -219,7 +220,7 @@ def semantic_chunk(spark: SparkSession, sf: str) -> DataFrame:
     sections = F.filter(F.transform(F.split(headed, r"\n(?=#+ )"), T.strip_outer), lambda s: s != "")
     cut = F.flatten(F.transform(sections, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / 400).cast("int")), lambda i: F.substr(s, i * 400 + 1, F.lit(400)))))
     out = table(spark, sf, "documents").select("doc_id", cut.alias("c"))
-    return out.select("doc_id", F.posexplode("c").alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("bigint"))
+    return exploded(out, ["doc_id"], "c", "chunk", "pos")
 
 
 @query("estimate_tokens", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
