@@ -45,10 +45,10 @@ from sievework.llm.shared import Tables
 ANCHOR = 20
 CHUNK = 1 << 20
 LEAST_BUCKETS = 512
-SHARD_BYTES = 128 << 10
-GROUP_BYTES = 512 << 10
+SHARD_BYTES = 32 << 10
+GROUP_BYTES = 128 << 10
 #: Characters by which an interleave is refined at a time.
-STRIDE = 4
+STRIDE = 5
 #: Copies of one string that enter the shards; more are compared with the first.
 COPIES = 4
 _U = np.uint64
@@ -101,7 +101,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     ends = breaks[np.searchsorted(breaks, starts, "right")]
     runs = ends - starts
     seg = mix64((total[ends - 1 + length] - total[starts]) * down[starts] + runs.astype(_U))
-    return row[starts], starts - offsets[row[starts]], runs, h[least[starts].astype(np.int64)], seg
+    # mixed once more: the least of many hashes are small numbers, which would share few buckets
+    return row[starts], starts - offsets[row[starts]], runs, mix64(h[least[starts].astype(np.int64)]), seg
 
 
 def _planes(r: np.ndarray) -> bytes:
@@ -185,12 +186,12 @@ def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def strides(before: np.ndarray, lf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A transform and its LF mapping by ``STRIDE`` characters: dense numbers of what stands before each suffix (0: not as much of its string), and the suffix that begins there."""
-    grams, place = np.zeros(len(before), np.uint32), np.arange(len(before))
+    grams, place = np.zeros(len(before), _U), np.arange(len(before))
     whole = np.ones(len(before), bool)
     for k in range(STRIDE):
         c = before[place]
         whole &= c > 0
-        grams |= c.astype(np.uint32) << np.uint32(8 * k)
+        grams |= c.astype(_U) << _U(8 * k)
         place = lf[place]
     grams[~whole] = 0
     return grams, place
@@ -200,16 +201,19 @@ def _refined(place: np.ndarray, block: np.ndarray, key: np.ndarray, lf: np.ndarr
     """One step of the refinement: ``key``, dense numbers of the characters before each suffix (0: none). Blocks of one suffix leave."""
     c = key[place]
     some = np.flatnonzero(c)
-    c = c[some]
-    order = np.argsort(c.astype(np.uint16), kind="stable")  # by radix; in two halves if there are many keys
-    if len(c) and c.max() >= 1 << 16:
+    if len(some) < len(c):
+        c, place, block = c[some], place[some], block[some]
+    if c.dtype.itemsize <= 2:  # by radix; in two halves if there are many keys
+        order = np.argsort(c, kind="stable")
+    else:
+        order = np.argsort(c.astype(np.uint16), kind="stable")
         order = order[np.argsort((c[order] >> 16).astype(np.uint16), kind="stable")]
-    some, c = some[order], c[order]
-    block, place = block[some], lf[place[some]]
+    c, block, place = c[order], block[order], place[order]
     new = np.ones(len(place) + 1, bool)
-    new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
-    several = ~(new[:-1] & new[1:])
-    return place[several], np.cumsum(new[:-1], dtype=np.int32)[several]
+    np.not_equal(c[1:], c[:-1], out=new[1:-1])
+    new[1:-1] |= block[1:] != block[:-1]
+    several = np.flatnonzero(~(new[:-1] & new[1:]))
+    return lf[place[several]], np.cumsum(new[:-1], dtype=np.int32)[several]
 
 
 def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +231,9 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) ->
         place, block = _refined(place, block, before, lf)
     if depth >= STRIDE and len(place):
         grams, jump = strides(before, lf)
-        dense = np.unique(grams, return_inverse=True)[1].astype(np.int32)
-        dense += 1 if grams.min() else 0  # 0 stays for what has no whole stride
+        distinct, dense = np.unique(grams, return_inverse=True)
+        dense += 1 if distinct[0] else 0  # 0 stays for what has no whole stride
+        dense = dense.astype(np.uint16 if len(distinct) < 1 << 16 else np.uint32)
         jump = jump.astype(np.int32)
         for _ in range(depth // STRIDE):
             place, block = _refined(place, block, dense, jump)
