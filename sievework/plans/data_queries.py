@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.functions.rows import exploded
 from sievework.operators import ranking, replay, vectors
+from sievework.operators.quantiles import exact_quantiles
 from sievework.plans import providers
 from sievework.plans.registry import query
 from sievework.plans.text_queries import BM25_SQL, QUERIES_SQL, TOKENS_SQL, bm25_rank, queries_of
@@ -57,8 +58,11 @@ def diverse_select(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("diversity_step", "SELECT vec_id, CASE least(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1, 3) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.0 END::DOUBLE AS step FROM embeddings")
 def diversity_step(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return _emb(spark, sf).select("vec_id", F.when(before == 0, 1.0).when(before == 1, 0.5).when(before == 2, 0.3).otherwise(0.0).alias("step"))
+    """What a chunk loses by those of its source before it. Only the first three of a source differ: they are found by a limit, the others have nothing to be ordered for."""
+    e = _emb(spark, sf).select("vec_id", "label")
+    first = e.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 3")
+    step = F.get(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.3)), F.col("n") - 1)
+    return e.join(first.select("vec_id", step.alias("step")), "vec_id", "left").select("vec_id", F.coalesce("step", F.lit(0.0)).alias("step"))
 
 
 @query("hash_embed", r"SELECT doc_id, CAST('0x' || md5(term)[1:8] AS BIGINT) % 64 AS bucket, count(*) AS weight FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda w: NOT regexp_full_match(w, '\p{Nd}+'))) AS term FROM documents) GROUP BY ALL")
@@ -110,10 +114,10 @@ def instance_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("instance_filter_topk", "SELECT user_id AS instance, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 2) AS success, median(value) AS latency FROM events GROUP BY user_id HAVING success >= 80 ORDER BY latency, instance LIMIT 20")
 def instance_filter_topk(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "events").groupBy(F.col("user_id").alias("instance")).agg(
-        F.round(100 * F.count_if(F.col("event_type") != "error") / F.count("*"), 2).alias("success"), F.percentile("value", F.lit(0.5)).alias("latency")
-    )
-    return g.where("success >= 80").orderBy(F.asc_nulls_last("latency"), "instance").limit(20)
+    e = table(spark, sf, "events").select(F.col("user_id").alias("instance"), "event_type", "value")
+    g = e.groupBy("instance").agg(F.round(100 * F.count_if(F.col("event_type") != "error") / F.count("*"), 2).alias("success"))
+    latency = exact_quantiles(e, "instance", F.col("value"), {"latency": 0.5})
+    return g.where("success >= 80").join(latency, "instance", "left").select("instance", "success", "latency").orderBy(F.asc_nulls_last("latency"), "instance").limit(20)
 
 
 @query("health_metrics", "SELECT count(*) FILTER (event_type <> 'view') AS requests, round(count(*) FILTER (event_type = 'view') / count(*), 4) AS cache_hit_rate FROM events")
@@ -390,7 +394,7 @@ _chart("chart_scatter", "SELECT s_suppkey AS id, s_nationkey AS x, s_acctbal AS
 _chart("chart_pie", "SELECT o_orderpriority AS label, count(*) AS y, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM orders GROUP BY ALL", lambda s, d: table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("y")).withColumn("share", F.round(F.col("y") / F.sum("y").over(Window.partitionBy()), 4)))
 _chart("chart_area", f"SELECT series, x, y, CAST(sum(y) OVER (PARTITION BY x ORDER BY series) AS BIGINT) AS top FROM (SELECT o_orderstatus AS series, {MONTH} AS x, count(*) AS y FROM orders GROUP BY ALL)", lambda s, d: _orders(s, d).groupBy(F.col("o_orderstatus").alias("series"), F.col("month").alias("x")).agg(F.count("*").alias("y")).withColumn("top", F.sum("y").over(Window.partitionBy("x").orderBy("series"))))
 _chart("chart_histogram", "WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT CAST(least(floor((l_extendedprice - lo) / (hi - lo) * 10), 9) AS BIGINT) AS bin, count(*) AS y FROM lineitem, m GROUP BY ALL", lambda s, d: table(s, d, "lineitem").crossJoin(F.broadcast(table(s, d, "lineitem").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi")))).groupBy(F.least(F.floor((F.col("l_extendedprice") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10), F.lit(9)).cast("bigint").alias("bin")).agg(F.count("*").alias("y")))
-_chart("chart_box", "SELECT l_returnflag AS x, min(l_quantity) AS lo, quantile_cont(l_quantity, 0.25) AS q1, median(l_quantity) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS hi FROM lineitem GROUP BY ALL", lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("x")).agg(F.min("l_quantity").alias("lo"), F.percentile("l_quantity", F.lit(0.25)).alias("q1"), F.percentile("l_quantity", F.lit(0.5)).alias("q2"), F.percentile("l_quantity", F.lit(0.75)).alias("q3"), F.max("l_quantity").alias("hi")))
+_chart("chart_box", "SELECT l_returnflag AS x, min(l_quantity) AS lo, quantile_cont(l_quantity, 0.25) AS q1, median(l_quantity) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS hi FROM lineitem GROUP BY ALL", lambda s, d: exact_quantiles(table(s, d, "lineitem").withColumnRenamed("l_returnflag", "x"), "x", F.col("l_quantity"), {"lo": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "hi": 1.0}))
 _chart("chart_heatmap", "SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS z FROM lineitem GROUP BY ALL", lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("x"), F.col("l_linestatus").alias("y")).agg(F.count("*").alias("z")))
 TREE = "SELECT n_name AS label, r_name AS parent, count(c_custkey) AS value FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import html as H
 from sievework.functions import text as T
-from sievework.operators import charts, dom, extract, ranking, replay, vectors
+from sievework.operators import charts, dom, extract, quantiles, ranking, replay, vectors
 from sievework.plans import providers
 from sievework.sources import saved, store
 
@@ -244,6 +244,19 @@ def test_ranking_with_many_queries(spark):
     assert [(r["id"], r["rank"], r["pos"]) for r in best] == [(1, 1, 2), (1, 2, 0), (3, 1, 0), (4, 1, 0)] and best[2]["score"] == 0
 
 
+def test_exact_quantiles(spark):
+    values = {"a": [3.0, 1.0, 2.0, 2.0, None], "b": [5.0], "c": [None], "d": [float(x * x % 17) for x in range(50)]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double")
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, "g", F.col("v"), {"lo": 0.0, "q": 0.25, "m": 0.5, "hi": 1.0}).collect()}
+    assert set(got) == {"a", "b", "d"}
+    for g, r in got.items():
+        vs = sorted(v for v in values[g] if v is not None)
+        for name, share in (("lo", 0.0), ("q", 0.25), ("m", 0.5), ("hi", 1.0)):
+            place = share * (len(vs) - 1)
+            low, high = vs[int(place)], vs[-int(-place // 1)]
+            assert abs(r[name] - (low + (high - low) * (place - int(place)))) < 1e-12
+
+
 def test_merge_short(spark):
     words = lambda n: " ".join("w" * n)
     for given, want in (([], []), (["a b"], ["a b"]), (["a", "b c", words(5), "d", words(6)], ["a b c", words(5) + " d", words(6)])):
