@@ -42,6 +42,8 @@ from sievework.llm.bytesarrays import shingle_sets, text_chunks, trimmed
 from sievework.llm.graph import components
 from sievework.llm.shared import Tables
 
+#: Texts are taken in parts of so many bytes (a longer text is one).
+PART_BYTES = 256 << 10
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 16
 #: A counter this many times the mean marks its shingles as shared by many.
@@ -71,10 +73,9 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
+            for _, _, data, offsets in text_chunks(batch.column(0), PART_BYTES):
                 sets = shingle_sets(data, offsets, k)
-                slots = _slot(np.concatenate(sets))
-                counts += np.bincount(slots, minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(counts, _slot(np.concatenate(sets)), np.uint32(1))
         for b in range(0, 1 << SKETCH_BITS, SKETCH_BLOCK):
             part = counts[b : b + SKETCH_BLOCK]
             if part.any():
@@ -126,7 +127,7 @@ def _digest(s: np.ndarray) -> int:
 def _sets_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
+            for a, b, data, offsets in text_chunks(batch.column(1), PART_BYTES):
                 sets = shingle_sets(data, offsets, k)
                 wanted = batch.column(0).slice(a, b - a).to_pylist()
                 hit = [(w, s.tobytes()) for w, s in zip(wanted, sets, strict=True) if _digest(s) == w]
@@ -250,7 +251,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
+            for a, b, data, offsets in text_chunks(batch.column(1), PART_BYTES):
                 sets = shingle_sets(data, offsets, k)
                 heads = [_prefix(s, levels.value, percent) if len(s) else s for s in sets]
                 yield pa.RecordBatch.from_arrays(
