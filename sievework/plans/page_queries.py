@@ -282,7 +282,10 @@ def provider_results(saved: DataFrame, key: str, providers: list[str]) -> DataFr
 
 
 def _decoded(x: str) -> str:
-    return f"replace({x}, '&amp;', '&')"
+    """The character references that the pages use, the ampersand last."""
+    for reference, character in (("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{reference}', '{character}')"
+    return x
 
 
 ARTICLE_SQL = "trim(regexp_replace(regexp_replace(regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's'), '<[^<]+?>', ' ', 'g'), '\\s+', ' ', 'g'))"
