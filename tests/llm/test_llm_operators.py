@@ -55,6 +55,17 @@ def test_chat_round_trip(spark):
     assert Q.op6_chat_format(spark, DATA).where("conv_id = -7").first()["n_turns"] == 2
 
 
+def test_chat_of_any_length(spark):
+    turns = [(1, k, "user" if k % 3 else "assistant", f"turn {k} <x> [INST]") for k in range(3000)] + [(2, 0, "assistant", "ab & [c] " * 30_000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.chat_digest(chat.format_chat(df)).collect()}
+    for c in (1, 2):
+        own = [t for t in turns if t[0] == c]
+        spelled, loss = "".join(f"{r}\n{t}\n" for _, _, r, t in own), "".join(t for _, _, r, t in own if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(own), hashlib.sha256(spelled.encode()).hexdigest())
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -209,6 +220,27 @@ def test_language_held_out(spark, docs):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing, keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(41)
+    alphabets = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx", None: "yz"}
+    text = lambda lang: " ".join("".join(rng.choice(list(alphabets[lang]), 5)) for _ in range(20))
+    data = [(k, text(lang), lang) for k, lang in enumerate(["aa"] * 600 + ["bb"] * 20 + ["cc"] * 3 + [None] * 5)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit_langid(df, params=langid.LangIdParams(sample_rows=30))
+    assert model.langs == ["aa", "bb", "cc"]  # as many rows of each, whatever their number
+    asked = [(k, text(lang), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 5)]
+    got = langid.identify(spark.createDataFrame(asked, df.schema), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 14
+    # in parts as in one
+    whole = langid.features("Ab, c  d\u00e9f! " * 5000, model.params)
+    langid.PART, before = 7, langid.PART
+    try:
+        parts = langid.features("Ab, c  d\u00e9f! " * 5000, model.params)
+    finally:
+        langid.PART = before
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 def test_jaccard_components(spark, docs, rows):
     check_jaccard(docs, rows)
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
