@@ -6,8 +6,9 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,6 +40,17 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def _trim_native_heap(spark: SparkSession) -> None:
+    """The JVM's diagnostic command of that name, by the public interface of its management server."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    types, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        types[k] = jvm.java.lang.Class.forName(name)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    method = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+    method.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 class Tables:
     """Writes tables and drops those that are no longer needed.
 
@@ -58,9 +70,15 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Lets the context cleaner see that the shuffles of finished jobs are unreachable, so that their files go now and not at the driver's next collection."""
+        """Lets the context cleaner see that the shuffles of finished jobs are unreachable, so that their files go now and not at the driver's next collection.
+
+        What the driver's many short threads leave in the native heap goes back as well, where the JVM has a command for that.
+        """
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        jvm = self.spark.sparkContext._jvm
+        jvm.System.gc()
+        with suppress(Py4JError):
+            _trim_native_heap(self.spark)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
