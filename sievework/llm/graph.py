@@ -39,12 +39,13 @@ def components(edges: DataFrame, tables: Tables, name: str = "cc") -> DataFrame:
             .distinct()
         )
         fresh = tables.write(f"{name}{at}", small)
-        # done when every node is either a root or points to one root, and no root points on
-        stars = fresh.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        inner = fresh.select("a").distinct().join(fresh.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
+        # done when every node is either a root or points to one root, and no root points on: one pass over the nodes
+        ends = fresh.select(F.col("a").alias("n"), F.lit(0).alias("points")).unionAll(fresh.select(F.col("b").alias("n"), F.lit(1).alias("points")))
+        nodes = ends.groupBy("n").agg(F.sum("points").alias("points"), F.count("*").alias("ends"))
+        unsettled = nodes.agg(F.bool_or((F.col("points") > 1) | ((F.col("points") == 1) & (F.col("ends") > 1))).alias("x")).first()["x"]
         tables.drop(f"{name}{at - 1}")
         e = fresh
-        if stars["n"] == stars["d"] and not inner:
+        if not unsettled:
             break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
