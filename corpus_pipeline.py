@@ -46,8 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_join.jaccard_components(keyed, id_col="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("part"))
     tables = Tables(spark, "near-duplicates")
     members = tables.write("members", groups.groupBy("key", "part").agg(F.count("*").alias("rows")).join(keyed.select("key", "doc_id").distinct(), "key"))
-    stays = members.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    gone = tables.write("gone", members.join(stays, "part").where("key <> best.key").select("key"))
+    # joined by keys, which are distinct, and not by groups, which may be large
+    stays = members.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best")).select("best.key")
+    gone = tables.write("gone", members.join(stays, "key", "left_anti").select("key"))
     kept = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), key)).join(gone, "key", "left_anti").select(*COLUMNS)
     return kept.dropDuplicates(["doc_id", "text"]) if members.where("rows > 1").limit(1).count() else kept
 
