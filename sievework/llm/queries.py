@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat, decontaminate, embed_dedup, html_text, langid, lm_score, mixing, ngram_join, pii, suffix_dedup
+from sievework.llm import centroids, chat, decontaminate, embed_dedup, exact_dedup, html_text, langid, lm_score, merkle, mixing, ngram_join, pii, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,92 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*MANIFEST_COLUMNS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    other = merkle.leaf_digest([exact_dedup.ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in MANIFEST_COLUMNS])
+    proofs = merkle.manifest(docs, MANIFEST_COLUMNS, carry={"shown": F.when(tampered, other)})
+    checked = merkle.verify(proofs.withColumn("shown", F.coalesce("shown", "leaf")), "shown")
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _merkle_sql() -> str:
+    """Layers by recursion over runs of eight, for each group and for the groups' roots; leaves are folded upwards in further recursions."""
+
+    def leaf(text: str) -> str:
+        texts = [f"CAST({text if c == 'text' else c} AS VARCHAR)" for c in MANIFEST_COLUMNS]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({t})) || ':' || {t}, '-')" for t in texts) + ")"
+
+    def tree(name: str, start: str) -> str:
+        return f"""{name}(l, g, pos, digest, size) AS ({start} UNION ALL
+  SELECT l + 1, g, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (max(size) + 7) // 8 FROM {name} WHERE size > 1 GROUP BY l, g, pos // 8),
+{name}_side AS (SELECT a.l, a.g, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS pre,
+   coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS post
+  FROM {name} a JOIN {name} b ON a.l = b.l AND a.g = b.g AND a.pos // 8 = b.pos // 8 WHERE a.size > 1 GROUP BY a.l, a.g, a.pos)"""
+
+    def fold(name: str, of: str, start: str) -> str:
+        return f"""{name}(l, id, g, pos, cur, proof) AS ({start} UNION ALL
+  SELECT f.l + 1, f.id, f.g, f.pos // 8, sha256(s.pre || f.cur || s.post), f.proof || s.pre || s.post
+  FROM {name} f JOIN {of}_side s ON f.l = s.l AND f.g = s.g AND f.pos = s.pos),
+{name}_end AS (SELECT id, g, arg_max(cur, l) AS cur, arg_max(proof, l) AS proof FROM {name} GROUP BY id, g)"""
+
+    # the checksum bit by bit: 256 stands for a shift
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_prepend(ascii(ch)::UBIGINT, list_resize([]::UBIGINT[], 8, 256::UBIGINT))))"
+    crc = f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, {bits}), lambda c, b: CASE WHEN b < 256 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size,
+    CASE WHEN {crc} % 3 = 0 THEN other ELSE leaf END AS shown
+  FROM (SELECT doc_id, lang, coalesce('+' || lang, '-') AS g, {leaf('text')} AS leaf, {leaf(lower)} AS other FROM documents)),
+{tree('t', "SELECT 0, g, pos, leaf, size FROM d")},
+sub AS (SELECT g, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS size
+        FROM (SELECT g, digest FROM t WHERE size = 1) JOIN (SELECT DISTINCT g, lang FROM d) USING (g)),
+{tree('u', "SELECT 0, '', pos, digest, size FROM sub")},
+{fold('f', 't', "SELECT 0, id, g, pos, shown, '' FROM d")},
+{fold('h', 'u', "SELECT 0, f_end.id, '', sub.pos, f_end.cur, f_end.proof FROM f_end JOIN sub USING (g)")}
+SELECT d.doc_id, d.leaf, sub.digest AS subroot, u.digest AS root, sha256(h_end.proof) AS proof_sha256, h_end.cur AS folded_root, h_end.cur = u.digest AS verified
+FROM d JOIN sub USING (g) JOIN h_end ON h_end.id = d.id, (SELECT digest FROM u WHERE size = 1) u
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def _centroids_sql(rounds: int = 10) -> str:
+    """Each round as two tables: the assignment, then exact means (floor of quotients of integers)."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY c < 8)"]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+  SELECT v.r, c.c, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{k} c) GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+  SELECT a.best.c AS c, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS i FROM v JOIN a{k} a USING (r)) GROUP BY c, i),
+c{k + 1} AS MATERIALIZED (SELECT c, coalesce(y, x) AS x FROM c{k} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM m{k} GROUP BY c) USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.best.c
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+OP13_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -88,8 +174,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_decontaminate": op9_decontaminate,
         "op10_langid": op10_langid,
+        "op11_merkle": op11_merkle,
+        "op12_centroids": op12_centroids,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op6_chat_format": OP6_SQL, "op11_merkle": _merkle_sql(), "op12_centroids": _centroids_sql(), "op13_exact_dedup": OP13_SQL}

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +69,11 @@ class Tables:
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def collect(self, df: DataFrame) -> list[Row]:
+        """The rows of a result that doesn't grow with the input, such as sums, over tables of large rows."""
+        with _small_batches(self.spark):
+            return df.collect()
+
     def release(self) -> None:
         """Lets the context cleaner see that the shuffles of finished jobs are unreachable, so that their files go now and not at the driver's next collection.
 
