@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions import packing
+
 # Abbreviations after which a sentence goes on, and where sentences end.
-ABBREVIATIONS = (
-    "mr mrs ms dr prof sr jr vs etc mr. mrs. ms. dr. prof. sr. jr. e.g i.e cf viz al ca v no. ed. eds."
-).split()
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.",
+    "e.g", "i.e", "cf", "viz", "al", "ca", "v", "no.", "ed.", "eds.",
+]
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\s+(?=\d)|(?<=\n)\s*"
 
 
@@ -61,40 +64,27 @@ def merge_short(sentences: Column, min_words: int = 5) -> Column:
 
 
 def chunks(sentences: Column, size: int, overlap: int) -> Column:
-    """Sentences packed into chunks; a chunk begins with the last whole sentences of the one before that fit ``overlap``."""
-    strings = "array<string>"
-    start = F.struct(F.array().cast(strings).alias("done"), F.array().cast(strings).alias("cur"), F.lit(0).alias("sz"))
-
-    def carried(cur: Column) -> Column:
-        fit = F.aggregate(
-            F.reverse(cur),
-            F.struct(F.lit(0).alias("k"), F.lit(0).alias("sum")),
-            lambda a, x: F.struct(
-                (a["k"] + F.when(a["sum"] + F.length(x) <= overlap, 1).otherwise(0)).alias("k"), (a["sum"] + F.length(x) + 1).alias("sum")
-            ),
-        )["k"]
-        keep = F.greatest(fit, F.lit(1))
-        return F.slice(cur, F.size(cur) - keep + 1, keep)
-
-    def weight(cur: Column) -> Column:
-        return F.aggregate(cur, F.lit(0), lambda a, x: a + F.length(x) + 1)
-
-    def step(acc: Column, s: Column) -> Column:
-        full = (acc["sz"] + F.length(s) > size) & (F.size(acc["cur"]) > 0)
-        carry = carried(acc["cur"])
-        return F.when(
-            full,
-            F.struct(
-                F.concat(acc["done"], F.array(F.array_join(acc["cur"], " "))).alias("done"),
-                F.concat(carry, F.array(s)).alias("cur"),
-                (weight(carry) + F.length(s) + 1).alias("sz"),
-            ),
-        ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["cur"], F.array(s)).alias("cur"), (acc["sz"] + F.length(s) + 1).alias("sz")))
-
-    def close(acc: Column) -> Column:
-        return F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["cur"], " ")))).otherwise(acc["done"])
-
-    return F.aggregate(sentences, start, step, close)
+    """Sentences packed into chunks; a chunk begins with the last whole sentences of the one before that fit ``overlap`` (one at least)."""
+
+    def begins(sums: Column, i: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(i - 1, packing.first_above(sums, F.get(sums, i) - 2 - overlap)))
+
+    def ends(sums: Column, i: Column) -> Column:
+        return packing.first_above(sums, F.get(sums, begins(sums, i)) + size + 1) - 1
+
+    return packing.packed(sentences, lambda s: F.length(s) + 1, ends, begins, " ")
+
+
+def merge_small(parts: Column, least: int) -> Column:
+    """Texts of fewer than ``least`` characters take in the next one."""
+    ends = lambda sums, i: packing.first_above(sums, F.get(sums, i) + least)
+    return packing.packed(parts, lambda s: F.length(s) + 1, ends, lambda sums, i: i, " ")
+
+
+def pages(paragraphs: Column, size: int) -> Column:
+    """Paragraphs packed into pages of ``size`` characters, a paragraph's break counted as two."""
+    ends = lambda sums, i: packing.first_above(sums, F.get(sums, i) + size) - 1
+    return packing.packed(paragraphs, lambda s: F.length(s) + 2, ends, lambda sums, i: i, "\n")
 
 
 def strip_tags(text: Column) -> Column:

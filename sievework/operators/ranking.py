@@ -56,7 +56,8 @@ def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: s
     tf = hits.groupBy("__k", "__dl", "term").agg(F.count("*").alias("__tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("__df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(qid, "term", (F.col("times") * _idf(F.col("__n"), F.col("__df"))).alias("__idf"), "__avg")
-    scored = tf.join(_small(weighted), "term").select(qid, "__k", (F.col("__idf") * _part(F.col("__tf"), F.col("__dl"), F.col("__avg"))).alias("__s"))
+    weighted = F.broadcast(weighted) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else weighted  # no more rows than asked for
+    scored = tf.join(weighted, "term").select(qid, "__k", (F.col("__idf") * _part(F.col("__tf"), F.col("__dl"), F.col("__avg"))).alias("__s"))
     return scored.groupBy(qid, F.col("__k").alias(key)).agg(F.sum("__s").alias("score"))
 
 

@@ -1,16 +1,13 @@
-"""Cosine search, similar pairs in tiles, and greedy deduplication of vectors."""
+"""Cosine search within groups, and greedy deduplication of vectors."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 2048
+from sievework.sources.shared import shared_dir, written
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -33,58 +30,20 @@ def nearest_within(vectors: DataFrame, queries: DataFrame, group: str, key: str,
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most)
 
 
-def similar_pairs(vectors: DataFrame, key: str, vec: str, threshold: float) -> DataFrame:
-    """``a, b, sim`` for a < b. Vectors are packed into tiles by a hash; pairs of tiles meet, products are matrix products."""
-    spark = vectors.sparkSession
-    tiles = max(1, -(-vectors.count() // TILE))
-    rows = vectors.select(F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("t"), F.struct(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).alias("x"))
-    packed = rows.groupBy("t").agg(F.collect_list("x").alias("x"))
-    pairs = spark.range(tiles).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i"))))
-    met = pairs.join(packed.toDF("i", "p"), "i").join(packed.toDF("j", "q"), "j").select((F.col("i") == F.col("j")).alias("same"), "p", "q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (ka, va), (kb, vb) = (_unpack(batch.column(c)[row].values) for c in (1, 2))
-                sim = va @ vb.T
-                r, c = np.nonzero(sim >= threshold - 1e-9)
-                keep = ka[r] < kb[c] if batch.column(0)[row].as_py() else ka[r] != kb[c]
-                r, c = r[keep], c[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ka[r], kb[c])), pa.array(np.maximum(ka[r], kb[c])), pa.array(sim[r, c])], names=["a", "b", "sim"])
-
-    return met.mapInArrow(run, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold)
-
-
-def _unpack(values: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    keys = values.field("k").to_numpy().astype(np.int64)
-    v = np.array(values.field("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(keys), -1)
-    norm = np.sqrt((v * v).sum(axis=1))
-    return keys, v / np.where(norm > 0, norm, 1)[:, None]
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievework-"))
-    return df.checkpoint()
-
-
 def greedy_independent(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """The nodes that a greedy pass in order of the key keeps: those without an edge to a smaller kept one.
 
-    Rounds: nodes without an open smaller neighbour are kept, their larger
-    neighbours go; the first open node always settles, most others with it.
+    A round looks at the edges between nodes that are still open: who has no smaller open neighbour is kept, and its
+    larger neighbours go, with all their edges. Edges become fewer each round; a long chain of alternating nodes needs a round each two nodes.
     """
-    pairs = edges.select("a", "b")
-    open_, kept = _cut(nodes.select(F.col(key).alias("n"))), None
-    while open_.limit(1).count():
-        live = pairs.join(open_.withColumnRenamed("n", "a"), "a", "left_semi").join(open_.withColumnRenamed("n", "b"), "b", "left_semi")
-        live = _cut(live.select("a", "b"))
-        fresh = _cut(open_.join(live.select(F.col("b").alias("n")), "n", "left_anti"))
-        gone = live.join(fresh.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n"))
-        open_ = _cut(open_.join(fresh, "n", "left_anti").join(gone, "n", "left_anti"))
-        kept = fresh if kept is None else kept.unionAll(fresh)
-    return (kept if kept is not None else open_).withColumnRenamed("n", key)
+    folder = f"{shared_dir(nodes.sparkSession)}/greedy-{uuid.uuid4().hex}"
+    live, gone, at = written(edges.select("a", "b"), f"{folder}/0"), None, 0
+    while live.limit(1).count():
+        at += 1
+        held = live.select(F.col("b").alias("a")).distinct()
+        lost = written(live.join(held, "a", "left_anti").select(F.col("b").alias("n")).distinct(), f"{folder}/lost{at}")
+        rest = live.join(lost.withColumnRenamed("n", "a"), "a", "left_anti").join(lost.withColumnRenamed("n", "b"), "b", "left_anti")
+        live = written(rest.select("a", "b"), f"{folder}/{at}")
+        gone = lost if gone is None else gone.unionAll(lost)
+    every = nodes.select(F.col(key).alias("n"))
+    return (every if gone is None else every.join(gone, "n", "left_anti")).withColumnRenamed("n", key)

