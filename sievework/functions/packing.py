@@ -33,18 +33,20 @@ def prefix_sums(values: Column) -> Column:
     return F.aggregate(_passes(F.size(values) + 1), start, doubled)
 
 
-def first_above(ascending: Column, x: Column) -> Column:
-    """The first place of an ascending array that holds more than ``x``; the array's size if there is none."""
+def halvings(n: Column) -> Column:
+    """Powers of two from the largest that may be needed for ``n`` places down to 1."""
+    top = F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int")
+    return F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda j: F.call_function("shiftleft", F.lit(1), j))
 
-    def halved(lo_hi: Column, _: Column) -> Column:
-        mid = F.call_function("shiftright", lo_hi["lo"] + lo_hi["hi"], F.lit(1))
-        above = F.get(ascending, mid) > x
-        lo, hi = F.when(above, lo_hi["lo"]).otherwise(mid + 1), F.when(above, mid).otherwise(lo_hi["hi"])
-        done = lo_hi["lo"] >= lo_hi["hi"]
-        return F.struct(F.when(done, lo_hi["lo"]).otherwise(lo).alias("lo"), F.when(done, lo_hi["hi"]).otherwise(hi).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(ascending).alias("hi"))
-    return F.aggregate(_passes(F.size(ascending) + 1), start, halved, lambda s: s["lo"])
+def first_above(ascending: Column, x: Column, steps: Column | None = None) -> Column:
+    """The first place of an ascending array that holds more than ``x``; the array's size if there is none. ``steps``: its ``halvings``, if known."""
+    steps = halvings(F.size(ascending)) if steps is None else steps
+
+    def search(x: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda lo, step: lo + F.when(F.get(ascending, lo + step - 1) <= x, step).otherwise(0))
+
+    return bound(x, search)
 
 
 def reached(following: Column, n: Column) -> Column:
@@ -58,22 +60,25 @@ def reached(following: Column, n: Column) -> Column:
     return F.aggregate(_passes(n), start, further, lambda s: F.concat(s["at"], F.array(n)))
 
 
-def packed(values: Column, weight: Callable[[Column], Column], ends: Callable[[Column, Column], Column], begins: Callable[[Column, Column], Column], joiner: str) -> Column:
+def packed(values: Column, weight: Callable[[Column], Column], ends: Callable[..., Column], begins: Callable[..., Column], joiner: str) -> Column:
     """The parts of an array of texts, each joined by ``joiner``.
 
-    ``weight``: what an element adds to the running total. ``ends(sums, i)``: where the part that opens at place ``i`` ends, if
-    it may end right after ``i``. ``begins(sums, i)``: where that part begins (before ``i``, if parts overlap).
+    ``weight``: what an element adds to the running total. ``ends(above, sums, i)``: where the part that opens at place ``i`` ends, if
+    it may end right after ``i``. ``begins(above, sums, i)``: where that part begins (before ``i``, if parts overlap). ``above(x)``: the
+    first place whose prefix sum is more than ``x``.
     """
 
     def parts(v: Column) -> Column:
         n = F.size(v)
         places = F.sequence(F.lit(0), n - 1)
 
-        def cut(sums: Column) -> Column:
-            following = F.transform(places, lambda i: F.greatest(i + 1, F.least(ends(sums, i), n)))
+        def cut(sums: Column, steps: Column) -> Column:
+            above = lambda x: first_above(sums, x, steps)
+            following = F.transform(places, lambda i: F.greatest(i + 1, F.least(ends(above, sums, i), n)))
             part = lambda lo, hi: bound(lo, lambda b: F.array_join(F.slice(v, b + 1, hi - b), joiner))
-            return bound(reached(following, n), lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, k: part(begins(sums, i), F.get(at, k + 1))))
+            return bound(reached(following, n), lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, k: part(begins(above, sums, i), F.get(at, k + 1))))
 
-        return F.when(n > 0, bound(prefix_sums(F.transform(v, weight)), cut)).otherwise(F.array().cast("array<string>"))
+        sums = prefix_sums(F.transform(v, weight))
+        return F.when(n > 0, bound(sums, lambda sums: bound(halvings(n + 1), lambda steps: cut(sums, steps)))).otherwise(F.array().cast("array<string>"))
 
     return bound(values, parts)

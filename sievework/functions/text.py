@@ -66,25 +66,25 @@ def merge_short(sentences: Column, min_words: int = 5) -> Column:
 def chunks(sentences: Column, size: int, overlap: int) -> Column:
     """Sentences packed into chunks; a chunk begins with the last whole sentences of the one before that fit ``overlap`` (one at least)."""
 
-    def begins(sums: Column, i: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(i - 1, packing.first_above(sums, F.get(sums, i) - 2 - overlap)))
+    def begins(above, sums: Column, i: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(i - 1, above(F.get(sums, i) - 2 - overlap)))
 
-    def ends(sums: Column, i: Column) -> Column:
-        return packing.first_above(sums, F.get(sums, begins(sums, i)) + size + 1) - 1
+    def ends(above, sums: Column, i: Column) -> Column:
+        return above(F.get(sums, begins(above, sums, i)) + size + 1) - 1
 
     return packing.packed(sentences, lambda s: F.length(s) + 1, ends, begins, " ")
 
 
 def merge_small(parts: Column, least: int) -> Column:
     """Texts of fewer than ``least`` characters take in the next one."""
-    ends = lambda sums, i: packing.first_above(sums, F.get(sums, i) + least)
-    return packing.packed(parts, lambda s: F.length(s) + 1, ends, lambda sums, i: i, " ")
+    ends = lambda above, sums, i: above(F.get(sums, i) + least)
+    return packing.packed(parts, lambda s: F.length(s) + 1, ends, lambda above, sums, i: i, " ")
 
 
 def pages(paragraphs: Column, size: int) -> Column:
     """Paragraphs packed into pages of ``size`` characters, a paragraph's break counted as two."""
-    ends = lambda sums, i: packing.first_above(sums, F.get(sums, i) + size) - 1
-    return packing.packed(paragraphs, lambda s: F.length(s) + 2, ends, lambda sums, i: i, "\n")
+    ends = lambda above, sums, i: above(F.get(sums, i) + size) - 1
+    return packing.packed(paragraphs, lambda s: F.length(s) + 2, ends, lambda above, sums, i: i, "\n")
 
 
 def strip_tags(text: Column) -> Column:
