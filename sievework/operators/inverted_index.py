@@ -10,7 +10,7 @@ A search adds up the bounds of each query and range. The most promising ranges o
 score of its last place so far is what other ranges must be able to reach; only those are scored too. The result
 is that of scoring everything.
 
-Blocks are partitioned by segment and a hash of the term, so a search reads the asked terms' folders. A segment counts
+Blocks and the dictionary are partitioned by segment and a hash of the term, so a search reads the asked terms' folders. A segment counts
 once its row stands in ``segments``, which is written last: a failed append leaves nothing visible, and
 a batch that is appended again is left out. Keys are taken to be distinct; a null text has no terms, but counts as a document.
 """
@@ -18,9 +18,8 @@ a batch that is appended again is left out. Keys are taken to be distinct; a nul
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
@@ -33,6 +32,8 @@ RANGE = 64
 SLICE_RANGES = 8192
 #: Ranges for each bucket (folder) of a segment, and buckets at most.
 BUCKET_RANGES, MOST_BUCKETS = 8, 256
+#: Stands in the names of stored indexes: one written by other code isn't read.
+FORMAT = 2
 SEGMENTS = "segment string, docs bigint, total bigint, buckets int"
 
 
@@ -60,16 +61,16 @@ class InvertedIndex:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def segments(self) -> DataFrame:
-        """The segments that count: one row each."""
+    def segments(self) -> list[Row]:
+        """The segments that count: a row each, as many as there were appends."""
         if not self._exists("segments"):
-            return self.spark.createDataFrame([], SEGMENTS)
-        return self.spark.read.schema(SEGMENTS).parquet(f"{self.path}/segments")
+            return []
+        return self.spark.read.schema(SEGMENTS).parquet(f"{self.path}/segments").orderBy("segment").collect()
 
     def append(self, docs: DataFrame, key: str, text: str, batch: str) -> bool:
         """Adds the documents as the segment ``batch``; false if that has been appended before."""
         name = f"s-{batch}"
-        if self.segments().where(F.col("segment") == name).limit(1).count():
+        if any(r["segment"] == name for r in self.segments()):
             return False
         source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("bin", _bin(F.col("text")))
         # as many numbers as there are bins: some hundred whatever the table
@@ -89,67 +90,78 @@ class InvertedIndex:
         stored = blocks.select(
             "term", "rng", F.size("postings").alias("n"), F.array_max("postings.tf").alias("tf"), F.array_min("postings.dl").alias("dl"), "postings", "bucket"
         )
-        where = f"{self.path}/postings/segment={name}"
+        where, total = f"{self.path}/postings/segment={name}", 0
         stored.sortWithinPartitions("bucket", "term", "rng").write.mode("overwrite").partitionBy("bucket").parquet(where)
-        total = self.spark.read.parquet(where).select(F.sum(F.aggregate("postings.tf", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] if sizes else 0
+        if sizes:  # the dictionary: how many documents have a term, how often it occurs
+            counts = F.aggregate("postings.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
+            terms = self.spark.read.parquet(where).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(counts).alias("total"))
+            there = f"{self.path}/terms/segment={name}"
+            terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(there)
+            total = self.spark.read.parquet(there).agg(F.sum("total")).first()[0]
         row = self.spark.createDataFrame([(name, sum(sizes.values()), total or 0, buckets)], SEGMENTS)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
         return True
 
-    def blocks(self, terms: DataFrame | None = None) -> DataFrame:
-        """All blocks of segments that count, or those in the folders of ``terms`` (a column ``term``)."""
-        known = [r for r in self.segments().collect() if r["total"]]
-        if not known:
-            return self.spark.createDataFrame([], "term string, rng int, n int, tf int, dl int, postings array<struct<key:bigint,tf:int,dl:int>>, segment string, bucket int")
-        wanted = []
+    def _folders(self, known: list[Row], terms: DataFrame) -> Column:
+        """The folders that hold ``terms`` (a column ``term``): of each number of buckets as many numbers at most."""
+        wanted = F.lit(False)
         for b in sorted({r["buckets"] for r in known}):
-            of = F.col("segment").isin([r["segment"] for r in known if r["buckets"] == b])
-            if terms is not None:  # as many numbers as buckets at most
-                of = of & F.col("bucket").isin([r["b"] for r in terms.select(_bucket(F.col("term"), b).alias("b")).distinct().collect()])
-            wanted.append(of)
-        return self.spark.read.parquet(f"{self.path}/postings").where(reduce(lambda x, y: x | y, wanted))
+            hit = [r["b"] for r in terms.select(_bucket(F.col("term"), b).alias("b")).distinct().collect()]
+            wanted = wanted | (F.col("segment").isin([r["segment"] for r in known if r["buckets"] == b]) & F.col("bucket").isin(hit))
+        return wanted
 
-    def frequencies(self) -> DataFrame:
-        """``term, df`` over all segments."""
-        return self.blocks().groupBy("term").agg(F.sum("n").alias("df"))
+    def _read(self, table: str, empty: str, known: list[Row]) -> DataFrame:
+        filled = [r["segment"] for r in known if r["total"]]
+        if not filled:
+            return self.spark.createDataFrame([], f"{empty}, segment string, bucket int")
+        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("segment").isin(filled))
 
-    def _weights(self, queries: DataFrame, qid: str, scratch: str) -> tuple[DataFrame, DataFrame, float]:
-        """``qid, term, w`` of the queries' terms, the bounds' columns of their blocks, and the mean length."""
-        stats = self.segments().agg(F.sum("docs").alias("n"), F.sum("total").alias("total")).first()
-        n, average = stats["n"] or 0, (stats["total"] or 0) / (stats["n"] or 1)
-        asked = written(ranking.query_terms(queries, [qid]), f"{scratch}/asked")
-        heads = self.blocks(asked).select("segment", "rng", "term", "n", "tf", "dl")
-        heads = written(heads.join(_small(asked.select("term").distinct()), "term", "left_semi"), f"{scratch}/heads")
-        df = heads.groupBy("term").agg(F.sum("n").alias("df"))
-        weights = asked.join(df, "term").select(qid, "term", (F.col("times") * ranking._idf(F.lit(n), F.col("df"))).alias("w"))
-        return written(weights, f"{scratch}/weights"), heads, average
+    def blocks(self, known: list[Row] | None = None) -> DataFrame:
+        """All blocks of the segments that count (or of those ``known``)."""
+        return self._read("postings", "term string, rng int, n int, tf int, dl int, postings array<struct<key:bigint,tf:int,dl:int>>", known or self.segments())
+
+    def frequencies(self) -> DataFrame:
+        """``term, df, total``: documents that have a term, and how often it occurs, over all segments."""
+        return self._read("terms", "term string, df bigint, total bigint", self.segments()).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
-    def _scored(self, ranges: DataFrame, weights: DataFrame, qid: str, average: float) -> DataFrame:
-        """``qid, key, score`` of all documents in the chosen ranges (``qid, segment, rng``)."""
-        wanted = ranges.join(weights, qid).select(qid, "segment", "rng", "term", "w")
-        blocks = self.blocks(weights).select("segment", "rng", "term", "postings")
-        met = blocks.join(_small(wanted), ["segment", "rng", "term"])
+    def _scored(self, blocks: DataFrame, wanted: DataFrame, qid: str, average: float) -> DataFrame:
+        """``qid, key, score`` of all documents in the chosen ranges (``qid, segment, rng, term, w``)."""
+        met = blocks.select("segment", "rng", "term", "postings").join(wanted, ["segment", "rng", "term"])
         each = exploded(met, [qid, "w"], "postings", "p")
         part = F.col("w") * ranking._part(F.col("p.tf"), F.col("p.dl"), F.lit(average))
         return each.groupBy(qid, F.col("p.key").alias("key")).agg(F.sum(part).alias("score"))
 
     def chosen_ranges(self, queries: DataFrame, qid: str, most: int, digits: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The ranges of each query with ``bound`` and ``step`` (1: scored first, 2: can reach the last place, null: left out), what step 1 has scored, and the scorer for step 2."""
+        """The ranges of each query with ``bound`` and ``step`` (1: scored first, 2: can reach the last place, null: left out), and the scores of both steps."""
         scratch = f"{shared_dir(self.spark)}/bm25-search-{uuid.uuid4().hex}"
-        weights, heads, average = self._weights(queries, qid, scratch)
+        known = self.segments()
+        n = sum(r["docs"] for r in known)
+        average = sum(r["total"] for r in known) / max(n, 1)
+        asked = written(ranking.query_terms(queries, [qid]), f"{scratch}/asked")
+        each = asked.groupBy(qid).agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+        terms, longest = each["all"] or 0, each["most"] or 0
+        few = lambda df, rows: F.broadcast(df) if rows <= ranking.BROADCAST_TERMS else df
+        folders = self._folders(known, asked)
+        blocks = self.blocks(known).where(folders)
+        df = self._read("terms", "term string, df bigint, total bigint", known).where(folders).select("term", "df")
+        df = df.join(few(asked.select("term").distinct(), terms), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+        weights = asked.join(df, "term").select(qid, "term", (F.col("times") * ranking._idf(F.lit(n), F.col("df"))).alias("w"))
+        weights = written(weights, f"{scratch}/weights")
         best = F.col("w") * ranking._part(F.col("tf"), F.col("dl"), F.lit(average))
-        bounds = heads.join(_small(weights), "term").groupBy(qid, "segment", "rng").agg(F.sum(best).alias("bound"), F.sum("n").alias("postings"))
+        heads = blocks.select("segment", "rng", "term", "n", "tf", "dl").join(few(weights, terms), "term")
+        bounds = written(heads.groupBy(qid, "segment", "rng").agg(F.sum(best).alias("bound"), F.sum("n").alias("postings")), f"{scratch}/bounds")
         nth = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("bound"), "segment", "rng"))
-        bounds = written(bounds, f"{scratch}/bounds")
-        first = bounds.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
-        scored = written(self._scored(first, weights, qid, average), f"{scratch}/scored")
+        first = bounds.withColumn("nth", nth).where(F.col("nth") <= most).select(qid, "segment", "rng")
+        wanted = first.join(weights, qid)
+        scored = written(self._scored(blocks, few(wanted, terms * most), qid, average), f"{scratch}/scored")
         rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("score")))
         # results are ranked by rounded scores: what rounds to the last place's score may still come before it
         reach = scored.withColumn("nth", rank).where(F.col("nth") == most).select(qid, (F.col("score") - 2 * 10.0**-digits).alias("reach"))
-        told = bounds.join(first.select(qid, "segment", "rng", F.lit(1).alias("step")), [qid, "segment", "rng"], "left").join(reach, qid, "left")
+        told = bounds.join(first.withColumn("step", F.lit(1)), [qid, "segment", "rng"], "left").join(reach, qid, "left")
         step = F.coalesce("step", F.when(F.col("reach").isNull() | (F.col("bound") >= F.col("reach")), 2))
-        told = written(told.select(qid, "segment", "rng", "bound", "postings", step.alias("step")), f"{scratch}/told")
-        return told, scored, self._scored(told.where("step = 2"), weights, qid, average)
+        told = told.select(qid, "segment", "rng", "bound", "postings", step.alias("step"))
+        rest = told.where("step = 2").select(qid, "segment", "rng").join(weights, qid)
+        return told, scored, self._scored(blocks, few(rest, bounds.count() * longest), qid, average)
 
     def search(self, queries: DataFrame, qid: str, most: int, digits: int = 4) -> DataFrame:
         """``qid, rank, key, score``: the best ``most`` documents of each query (ties by key)."""
@@ -159,8 +171,3 @@ class InvertedIndex:
 
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def _small(rows: DataFrame) -> DataFrame:
-    """A written table is broadcast if it has few rows (its count is in the files' footers)."""
-    return F.broadcast(rows) if rows.limit(ranking.BROADCAST_TERMS + 1).count() <= ranking.BROADCAST_TERMS else rows

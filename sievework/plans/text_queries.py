@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.functions.rows import exploded
 from sievework.operators import ranking
-from sievework.operators.inverted_index import InvertedIndex
+from sievework.operators.inverted_index import FORMAT, InvertedIndex
 from sievework.plans.registry import query
 from sievework.session import table
 from sievework.sources.shared import fingerprint, shared_dir
@@ -73,17 +73,17 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS
 def index_of(spark: SparkSession, sf: str) -> InvertedIndex:
     """The stored index of the documents, built when a state of the table is first asked for."""
     docs = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
-    index = InvertedIndex(spark, f"{shared_dir(spark)}/bm25-{fingerprint(docs)}")
+    index = InvertedIndex(spark, f"{shared_dir(spark)}/bm25-{FORMAT}-{fingerprint(docs)}")
     index.append(table(spark, sf, "documents"), "doc_id", "text", "all")
     return index
 
 
 @query("bm25_index", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most, min(dl) AS shortest FROM (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM (SELECT doc_id, {DOC_TOKENS} AS w FROM documents)) GROUP BY ALL) GROUP BY term")
 def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored index of the documents, term by term."""
-    counts = F.aggregate("postings.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    blocks = index_of(spark, sf).blocks().select("term", "n", "tf", "dl", counts.alias("total"))
-    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"), F.max("tf").cast("bigint").alias("most"), F.min("dl").cast("bigint").alias("shortest"))
+    """The stored index of the documents, term by term: the dictionary, and what the blocks say of the bounds."""
+    index = index_of(spark, sf)
+    bounds = index.blocks().groupBy("term").agg(F.max("tf").cast("bigint").alias("most"), F.min("dl").cast("bigint").alias("shortest"))
+    return index.frequencies().join(bounds, "term").select("term", "df", "total", "most", "shortest")
 
 
 @query("bm25_rank", BM25_SQL)
