@@ -23,7 +23,7 @@ so few words hold no template, its slots must have the item's own values.
 
 Defined cases: null or blank texts have no windows and match nothing; items with equal text
 are judged once and reported each; documents with a null id are judged together under the null
-id, as are documents that share an id; empty tables give an empty result;
+id, as are documents that share an id; items are known by their text, so null or shared item ids lose none; empty tables give an empty result;
 other columns are ignored.
 """
 
@@ -100,9 +100,11 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     ``reparameterised``: some slot of the document holds another value than the item's.
     """
-    named = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_text_col).alias("__t"), F.col(item_col).alias("__i"))
-    unique = named.groupBy("__t").agg(F.min("__i").alias("__i"))
-    every = windows(unique, "__i", "__t", tuple(range(WINDOW, 0, -1)))
+    text = F.col(item_text_col)
+    # an item is known by its text: ids may be null, or stand for several texts
+    named = benchmark.where(text.isNotNull()).select(text.alias("__t"), F.col(item_col).alias("__i"), F.substring(F.sha2(text.cast("string"), 256), 1, 32).alias("__k"))
+    unique = named.groupBy("__k").agg(F.first("__t").alias("__t"))
+    every = windows(unique, "__k", "__t", tuple(range(WINDOW, 0, -1)))
     of_items = every.where(F.col("size") == F.least("words", F.lit(WINDOW))).drop("words").withColumnsRenamed({"id": "item_id", "at": "i", "slots": "item_slots"})
     items = of_items.join(of_items.groupBy("item_id").agg(F.count_distinct("h").alias("n_windows")), "item_id")
     found = of_items.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
@@ -158,7 +160,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         .where(F.col("n_matched") >= COVERAGE * F.col("n_windows"))
     )
     # each item of an equal text
-    copies = named.join(unique.withColumnRenamed("__i", "item_id"), "__t").select("item_id", "__i").distinct()
+    copies = named.select(F.col("__k").alias("item_id"), "__i").distinct()
     return judged.join(copies, "item_id").select("doc_id", F.col("__i").alias("item_id"), "n_windows", "n_matched", "reparameterised")
 
 

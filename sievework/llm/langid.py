@@ -128,10 +128,14 @@ def fit_ftrl(model: LangIdModel, rows: list[tuple[np.ndarray, np.ndarray, int]])
     z, n = np.zeros((p.dims + 1, k)), np.zeros((p.dims + 1, k))
     rng = np.random.default_rng(p.seed)
     mixed = [rows[i] for i in rng.permutation(len(rows))]
-    cut = max(1, len(mixed) // 5) if len(mixed) > 5 else 0
-    held, used = mixed[:cut], mixed[cut:]
+    # a fifth of each class gives the temperature; of fewer than five rows none
+    left = {y: n // 5 for y, n in Counter(y for _, _, y in mixed).items()}
+    held, used = [], []
+    for row in mixed:
+        (held if left[row[2]] > 0 else used).append(row)
+        left[row[2]] -= 1
     vectors = [(np.append(a, np.int32(p.dims)), np.append(model.vector(a, c), 1.0).astype(np.float32), y) for a, c, y in used]
-    del mixed, used
+    del mixed, used, row
     rows.clear()
 
     def weights(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
@@ -167,8 +171,10 @@ def fit_langid(train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Learns from all rows of ``train`` that have a language (see the module's notes)."""
     p = params or LangIdParams()
     df = train.where(F.col(lang_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col), F.lit(p.seed)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")
+        # of id and text: ids may be null or repeat
+        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(p.seed)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")
     )
+    placed = F.col("h") / float(1 << 64) + 0.5
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df_, rows = np.zeros(p.dims + 1, np.int64), 0
@@ -187,10 +193,10 @@ def fit_langid(train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     idf = np.log((1 + freq[p.dims]) / (1 + freq[: p.dims])) + 1
 
     # of each language the same number of rows, those with the smallest hashes: half as many again as
-    # are wanted lie below a bound that follows from the language's number of rows
-    sizes = [(r["l"], r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).collect()]
+    # are wanted lie below a bound that follows from the language's number of rows; the row with the least hash always does
+    sizes = [(r["l"], r["n"], r["least"]) for r in df.groupBy("l").agg(F.count("*").alias("n"), F.min(placed).alias("least")).collect()]
     share = max(1, p.sample_rows // max(1, len(sizes)))
-    bounds = [(lang, min(1.0, 1.5 * (share + 10) / n)) for lang, n in sizes]
+    bounds = [(lang, max(least, min(1.0, 1.5 * (share + 10) / n))) for lang, n, least in sizes]
     langs: list[str] = []
     rows: list[tuple[np.ndarray, np.ndarray, int]] = []
     if sizes:
@@ -204,9 +210,9 @@ def fit_langid(train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
 
         upto = train.sparkSession.createDataFrame(bounds, "l string, bound double")
-        near = df.join(F.broadcast(upto), "l").withColumn("r", (F.col("h") / float(1 << 64) + 0.5) / F.col("bound")).where("r <= 1")
+        near = df.join(F.broadcast(upto), "l").withColumn("r", F.when(placed >= F.col("bound"), F.when(placed == F.col("bound"), 1.0)).otherwise(placed / F.col("bound"))).where("r <= 1")
         picked = near.select("r", "t", "l").mapInArrow(trimmed(featurise), "r double, l string, f array<int>, c array<int>")
-        # rows of one id share a hash: the bound holds for them as well
+        # equal rows share a hash: the limit holds for them as well
         got = picked.orderBy("r", F.hash("f", "c"), "l").limit(2 * max(p.sample_rows, len(sizes))).toArrow().combine_chunks()
         # slices of two flat arrays: lists of Python numbers would take many times the room
         names = got["l"].to_pylist()

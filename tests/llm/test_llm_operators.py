@@ -241,6 +241,20 @@ def test_rare_languages_are_learned(spark):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def test_languages_are_learned_whatever_the_ids(spark):
+    rng = np.random.default_rng(42)
+    alphabets = {"aa": "abcdefgh", "bb": "ijklmnop"}
+    text = lambda lang: " ".join("".join(rng.choice(list(alphabets[lang]), 5)) for _ in range(6))
+    texts = [(text(lang), lang) for lang in ("aa", "bb") for _ in range(3000)] + [("qrst " * 9, "cc")] * 3000
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        df = spark.createDataFrame([(i, *t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string")
+        model = langid.fit_langid(df, params=langid.LangIdParams(sample_rows=60))
+        assert model.langs == ["aa", "bb", "cc"]  # the rows of the third language are all equal
+        asked = [(None, text(lang), lang) for lang in ("aa", "bb") * 10] + [(None, "qrst rstq", "cc")]
+        got = langid.identify(spark.createDataFrame(asked, df.schema), model).collect()
+        assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_jaccard_components(spark, docs, rows):
     check_jaccard(docs, rows)
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
@@ -572,6 +586,14 @@ def test_benchmark_leaks(spark, docs):
     assert decontaminate.contaminated_pairs(df.limit(0), bench).count() == 0
 
 
+def test_leaks_of_items_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(4)]
+    items = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (5, texts[3]), (None, None)]
+    docs = [(k, f"before {t} after") for k, t in enumerate(texts)] + [(9, "nothing of it in here at all")]
+    got = decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == [(0, 1), (1, 1), (2, None), (3, 5), (3, None)]
+
+
 def test_leaks_with_other_slots(spark):
     plain = "while they walk slowly along the quiet river and talk about old songs that nobody else in their village still remembers"
     items = [(1, f"so there are 3 pears and 4 figs {plain}"), (2, f"so there are 5 pears {plain} for 5 more"), (3, f"so there are 6 pears {plain} and then 6 figs {plain} again")]

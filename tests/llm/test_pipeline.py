@@ -64,7 +64,7 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     near = long + " tail"
     items = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(3)]
     rows = [
-        (1, long), (1, "another text under the same id, mail ann@example.org now"), (2, near), (2, near), (3, f"prefix {items[0]} suffix"), (None, long), (None, near), (4, None), (5, ""),
+        (1, long), (1, "another text under the same id, mail ann@example.org now"), (2, near), (2, near), (3, f"prefix {items[0]} suffix"), (None, long), (None, near), (None, near), (4, None), (5, ""),
         (6, " ".join(rng.choice(words) for _ in range(60_000))), (7, "short text"), (7, "short text"), (9, "short text"), (8, long.replace("word1 ", "word2 ")),
     ]
     spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
