@@ -50,7 +50,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays = members.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("best")).select("best.key")
     gone = tables.write("gone", members.join(stays, "key", "left_anti").select("key"))
     kept = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), key)).join(gone, "key", "left_anti").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id", "text"]) if members.where("rows > 1").limit(1).count() else kept
+    if not members.where("rows > 1").limit(1).count():
+        return kept
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # no row without an id is another's copy
+    return kept.withColumn("alone", alone).dropDuplicates(["doc_id", "text", "alone"]).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
