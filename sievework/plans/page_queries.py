@@ -11,7 +11,7 @@ from pyspark.sql.functions import udtf
 
 from sievework.functions import html as H
 from sievework.functions import text as T
-from sievework.operators import extract
+from sievework.operators import blocklists, extract
 from sievework.plans.registry import query
 from sievework.plans.text_queries import PAGE_TOPK_SQL, page_query_topk
 from sievework.session import table
@@ -130,23 +130,37 @@ def url_referer(spark: SparkSession, sf: str) -> DataFrame:
     return _urls(spark, sf).select("page_id", F.regexp_extract("url", "^([^?#]*)", 1).alias("referer"))
 
 
-def _host_in(domains: tuple[str, ...]):
-    host = F.lower(F.regexp_extract("url", r"://([^/]*)", 1))
-    return F.exists(F.array(*(F.lit(d) for d in domains)), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
-
-
 HOST_SQL = "lower(regexp_extract(url, '://([^/]*)', 1))"
 WHITELIST, BLACKLIST = ("wikipedia.org", "github.com", "stackoverflow.com"), ("malware.example.com",)
 
 
 @query("domain_whitelist", f"WITH {URL_SQL} SELECT page_id, {VALID_SQL} AND len(list_filter({list(WHITELIST)!r}, lambda d: {HOST_SQL} = d OR ends_with({HOST_SQL}, '.' || d))) > 0 AS allowed FROM u")
 def domain_whitelist(spark: SparkSession, sf: str) -> DataFrame:
-    return _urls(spark, sf).select("page_id", (valid_url(F.col("url")) & _host_in(WHITELIST)).alias("allowed"))
+    covered = _covered(_urls(spark, sf), spark.createDataFrame([(d,) for d in WHITELIST], "domain string"))
+    return covered.select("page_id", (valid_url(F.col("url")) & F.col("match").isNotNull()).alias("allowed"))
 
 
 @query("domain_blacklist", f"WITH {URL_SQL} SELECT page_id, {VALID_SQL} AND len(list_filter({list(BLACKLIST)!r}, lambda d: {HOST_SQL} = d OR ends_with({HOST_SQL}, '.' || d))) = 0 AS allowed FROM u")
 def domain_blacklist(spark: SparkSession, sf: str) -> DataFrame:
-    return _urls(spark, sf).select("page_id", (valid_url(F.col("url")) & ~_host_in(BLACKLIST)).alias("allowed"))
+    covered = _covered(_urls(spark, sf), spark.createDataFrame([(d,) for d in BLACKLIST], "domain string"))
+    return covered.select("page_id", (valid_url(F.col("url")) & F.col("match").isNull()).alias("allowed"))
+
+
+LISTED_SQL = "SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN h ELSE h[strpos(h, '.') + 1:] END AS domain FROM (SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) AS h FROM pages WHERE page_id % 3 <> 1)"
+
+
+@query("domain_list_match", f"WITH l AS ({LISTED_SQL}), u AS (SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) AS h FROM pages) SELECT page_id, arg_max(domain, length(domain)) AS match FROM u LEFT JOIN l ON h = domain OR ends_with(h, '.' || domain) GROUP BY page_id")
+def domain_list_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's host against a list as long as the table (hosts, or what follows their first dot, of two thirds of the pages): the longest entry."""
+    host = F.lower(F.regexp_extract("url", r"://([^/]*)", 1))
+    pages = _pages(spark, sf).select("page_id", "url", host.alias("h"))
+    listed = pages.where("page_id % 3 <> 1").select(F.when(F.col("page_id") % 2 == 0, F.col("h")).otherwise(F.regexp_replace("h", r"^[^.]*\.", "")).alias("domain"))
+    return _covered(pages, listed, 0).select("page_id", "match")
+
+
+def _covered(urls: DataFrame, listed: DataFrame, in_row: int = blocklists.IN_ROW) -> DataFrame:
+    """``urls`` with ``match``, the longest listed ``domain`` that covers their host."""
+    return blocklists.longest_match(urls, "page_id", blocklists.suffixes(F.regexp_extract("url", r"://([^/]*)", 1)), listed, "domain", in_row)
 
 
 # Networks that are never fetched.
@@ -164,7 +178,13 @@ ADDRESS_SQL = "SELECT event_id, [0, 10, 127, 169, 172, 192, 8, 203][CAST(event_i
 
 @query("ip_private_cidr", f"SELECT event_id, {' OR '.join(f'n >= {a} AND n < {b}' for a, b in RANGES)} AS private FROM ({ADDRESS_SQL})")
 def ip_private_cidr(spark: SparkSession, sf: str) -> DataFrame:
-    """IPv4 addresses in dotted form against the networks (six ranges: a constant test, no join)."""
+    """IPv4 addresses in dotted form against the networks; what is no address is private."""
+    networks = spark.createDataFrame([(_number(ip), bits) for ip, bits in NETWORKS], "network bigint, bits int")
+    return _in_networks(_addresses(spark, sf), networks).select("event_id", F.expr("bad or match is not null").alias("private"))
+
+
+def _addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """``event_id, n, bad``: an address of each event as a number."""
     i = F.col("event_id")
     first = F.get(F.array(*(F.lit(x) for x in (0, 10, 127, 169, 172, 192, 8, 203))), (i % 8).cast("int"))
     second = F.get(F.array(*(F.lit(x) for x in (254, 16, 168, 31, 32, 0))), (i % 6).cast("int"))
@@ -172,10 +192,25 @@ def ip_private_cidr(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.split("ip", r"\.")
     n = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, x: s * 256 + F.coalesce(x.try_cast("bigint"), F.lit(0)))
     bad = ~F.regexp_like("ip", F.lit(r"^(\d{1,3}\.){3}\d{1,3}$"))
-    private = bad
-    for a, b in RANGES:
-        private = private | ((F.col("n") >= a) & (F.col("n") < b))
-    return table(spark, sf, "events").select("event_id", ip.alias("ip")).withColumn("n", n).select("event_id", private.alias("private"))
+    return table(spark, sf, "events").select("event_id", ip.alias("ip")).select("event_id", n.alias("n"), bad.alias("bad"))
+
+
+def _in_networks(addresses: DataFrame, networks: DataFrame, in_row: int = blocklists.IN_ROW) -> DataFrame:
+    """``addresses`` with ``match``, the key of the narrowest network that covers them."""
+    lengths = sorted((r["bits"] for r in networks.select("bits").distinct().collect()), reverse=True)  # 33 at most
+    keys = networks.select(blocklists.network_key(F.col("network"), F.col("bits")).alias("k"))
+    return blocklists.longest_match(addresses, "event_id", blocklists.prefixes(F.col("n"), lengths), keys, "k", in_row)
+
+
+NETWORKS_SQL = f"SELECT DISTINCT bits, n >> (32 - bits) AS lead FROM (SELECT n, CASE event_id % 3 WHEN 0 THEN 24 WHEN 1 THEN 20 ELSE 28 END AS bits FROM ({ADDRESS_SQL}) WHERE event_id % 7 = 0)"
+
+
+@query("network_match", f"WITH a AS ({ADDRESS_SQL}), l AS ({NETWORKS_SQL}) SELECT event_id, arg_max(bits || '/' || lead, bits) AS match FROM a LEFT JOIN l ON a.n >> (32 - bits) = lead GROUP BY event_id")
+def network_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event's address against a table of networks (of every seventh event): the narrowest that covers it."""
+    addresses = _addresses(spark, sf)
+    networks = addresses.where("event_id % 7 = 0").select(F.col("n").alias("network"), F.get(F.array(F.lit(24), F.lit(20), F.lit(28)), (F.col("event_id") % 3).cast("int")).alias("bits"))
+    return _in_networks(addresses, networks, 0).select("event_id", "match")
 
 
 # Of the newer addresses the loopback, and the leading bits of local ones.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.functions import taxonomy
 from sievework.functions import text as T
 from sievework.functions.rows import exploded
-from sievework.operators import ranking
+from sievework.operators import keywords, ranking
 from sievework.plans.registry import query
 from sievework.plans.text_queries import BM25_PART, SLOT_SQL, TERMS_OF_QUERIES, TOKENS_SQL, dealt, queries_of
 from sievework.session import table
@@ -268,15 +268,15 @@ CLASSIFY_SQL = f"WITH d AS ({KEYWORDS}), s AS (SELECT doc_id, category, priority
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
-    """Categories of each document by the number of their keywords it contains.
-
-    The taxonomy has 15 rows: its keywords are tested in one pass over each text, without a join.
-    """
+    """Categories of each document by the number of their keywords it contains: one pass over each text for all keywords."""
     combined = F.lower(F.concat(F.lit("https://"), "source", F.lit(".example/ "), F.substring("text", 1, 40), F.lit(" "), "text"))
-    scores = F.array(*(F.struct((-sum(F.contains(F.col("t"), F.lit(k)).cast("int") for k in words)).alias("neg"), F.lit(p).alias("priority"), F.lit(o).alias("ord"), F.lit(n).alias("category")) for o, n, p, words in taxonomy.CATEGORIES))
-    d = table(spark, sf, "documents").select("doc_id", combined.alias("t"))
-    best = F.slice(F.array_sort(F.filter(scores, lambda s: s["neg"] < 0)), 1, 5)
-    return exploded(d, ["doc_id"], best, "x", "k").select("doc_id", "x.category", (-F.col("x.neg")).cast("bigint").alias("score"), (F.col("k") + 1).alias("rank"))
+    words = taxonomy.categories(spark).select("ord", F.explode("keywords").alias("word"))
+    found = keywords.with_groups(table(spark, sf, "documents").select("doc_id", combined.alias("t")), F.col("t"), words, "word", "ord").select("doc_id", "groups")
+    # the taxonomy's rows by their number: a document has a row for each category found, so the five best are chosen in its row
+    named = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(o).alias("ord"), F.lit(n).alias("category")) for o, n, p, _ in taxonomy.CATEGORIES))
+    scores = F.transform("groups", lambda x: F.struct((-x["n"]).alias("neg"), *(F.get(named, x["g"])[c].alias(c) for c in ("priority", "ord", "category"))))
+    best = F.slice(F.array_sort(scores), 1, 5)
+    return exploded(found, ["doc_id"], best, "x", "k").select("doc_id", "x.category", (-F.col("x.neg")).cast("bigint").alias("score"), (F.col("k") + 1).alias("rank"))
 
 
 @query("classify_topic", CLASSIFY_SQL)
@@ -301,7 +301,8 @@ def relevant_categories(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*(F.lit(d) for d in DOMAIN_LIST))
     u = table(spark, sf, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 15).cast("int")).alias("host"))
     order = taxonomy.categories(spark).select("category", "ord")
-    h = u.join(F.broadcast(taxonomy.hints(spark).join(order, "category")), F.contains(F.col("host"), F.col("domain"))).select("doc_id", "category", F.col("ord").cast("bigint").alias("k"))
+    hinted = keywords.with_groups(u, F.col("host"), taxonomy.hints(spark).join(order, "category"), "domain", "ord")
+    h = exploded(hinted, ["doc_id"], "groups", "x").select("doc_id", F.col("x.g").alias("ord")).join(F.broadcast(order), "ord").select("doc_id", "category", F.col("ord").cast("bigint").alias("k"))
     both = h.unionByName(_classified(spark, sf).select("doc_id", "category", (F.col("rank") + 100).alias("k")))
     first = both.groupBy("doc_id", "category").agg(F.min("k").alias("k"))
     return first.select("doc_id", "category", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).cast("bigint").alias("rank"))
