@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.functions import zones
 from sievework.functions.rows import exploded
 from sievework.operators import ranking, replay, vectors
 from sievework.operators.cells import CellIndex
@@ -15,6 +16,7 @@ from sievework.plans import providers
 from sievework.plans.registry import query
 from sievework.plans.text_queries import BM25_SQL, QUERIES_SQL, TOKENS_SQL, bm25_rank, queries_of
 from sievework.session import table
+from sievework.sources import event_files, responses
 from sievework.sources.shared import fingerprint, shared_dir
 
 # ---- vectors
@@ -281,10 +283,25 @@ def pdf_content_type(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", is_pdf(kind).alias("pdf"))
 
 
-@query("datetime_formats", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS unix, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS readable FROM events")
+#: Zones with their offset (minutes) and short name in summer and winter, for the SQL: those of the events' zones.
+ZONES = ["UTC", "Asia/Tokyo", "Asia/Kolkata", "America/Phoenix", "America/New_York", "Europe/Berlin", "Nowhere/Else"]
+_ZONE_SQL = f"""z AS (SELECT event_id, ts, {ZONES!r}[CAST(event_id % 7 AS BIGINT) + 1] AS zone FROM events),
+l AS (SELECT *, CASE zone WHEN 'UTC' THEN 0 WHEN 'Asia/Tokyo' THEN 540 WHEN 'Asia/Kolkata' THEN 330 WHEN 'America/Phoenix' THEN -420
+  WHEN 'America/New_York' THEN CASE WHEN summer_us THEN -240 ELSE -300 END WHEN 'Europe/Berlin' THEN CASE WHEN summer_eu THEN 120 ELSE 60 END END AS m
+ FROM (SELECT *, ts >= us_from AND ts < us_to AS summer_us, ts >= eu_from AND ts < eu_to AS summer_eu FROM (SELECT *,
+   make_date(year(ts), 3, 14) - CAST(dayofweek(make_date(year(ts), 3, 14)) AS INTEGER) + INTERVAL 7 HOUR AS us_from,
+   make_date(year(ts), 11, 7) - CAST(dayofweek(make_date(year(ts), 11, 7)) AS INTEGER) + INTERVAL 6 HOUR AS us_to,
+   make_date(year(ts), 3, 31) - CAST(dayofweek(make_date(year(ts), 3, 31)) AS INTEGER) + INTERVAL 1 HOUR AS eu_from,
+   make_date(year(ts), 10, 31) - CAST(dayofweek(make_date(year(ts), 10, 31)) AS INTEGER) + INTERVAL 1 HOUR AS eu_to FROM z))),
+n AS (SELECT *, ts + to_minutes(m) AS t, CASE zone WHEN 'UTC' THEN 'UTC' WHEN 'Asia/Tokyo' THEN 'JST' WHEN 'Asia/Kolkata' THEN 'IST' WHEN 'America/Phoenix' THEN 'MST'
+  WHEN 'America/New_York' THEN CASE WHEN m = -240 THEN 'EDT' ELSE 'EST' END WHEN 'Europe/Berlin' THEN CASE WHEN m = 120 THEN 'CEST' ELSE 'CET' END END AS name FROM l)"""
+
+
+@query("datetime_formats", f"WITH {_ZONE_SQL} SELECT event_id, CASE WHEN m IS NULL THEN 'Error: no time zone found with key ' || zone ELSE strftime(t, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(t, '.%f') ELSE '' END || CASE WHEN m < 0 THEN '-' ELSE '+' END || printf('%02d:%02d', abs(m) // 60, abs(m) % 60) END AS iso, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS unix, CASE WHEN m IS NULL THEN 'Error: no time zone found with key ' || zone ELSE strftime(t, '%A, %B %d, %Y at %I:%M:%S %p ') || name END AS readable FROM n")
 def datetime_formats(spark: SparkSession, sf: str) -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
-    return table(spark, sf, "events").select("event_id", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.unix_seconds(ts).alias("unix"), F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")).alias("readable"))
+    """Each event's time in a zone (one in seven is unknown), in the three forms."""
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.get(F.array(*map(F.lit, ZONES)), (F.col("event_id") % 7).cast("int")).alias("zone"))
+    return e.select("event_id", *(c.alias(n) for n, c in zones.told(F.col("ts"), F.col("zone"), ZONES[:-1]).items()))
 
 
 @query("message_id", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'notify:' || event_type ELSE CAST(event_id AS VARCHAR) END AS message_id FROM events")
@@ -300,7 +317,33 @@ def sse_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Stream lines ``data: {json}``; every fourth line is a comment and is skipped."""
     data = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("event_type").alias("content"))))
     lines = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 4 == 3, ": ping").otherwise(data).alias("line"))
-    return lines.where(F.startswith("line", F.lit("data: "))).select("event_id", F.from_json(F.substr("line", F.lit(7)), "content string")["content"].alias("content"))
+    return lines.select("event_id", event_files.event_content(F.col("line"))["content"].alias("content")).where("content is not null")
+
+
+# ---- an encyclopedia's responses, made of the tables, read as one table of variants
+
+def _wiki(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    d, s, p = (table(spark, sf, t) for t in ("documents", "supplier", "part"))
+    body = lambda x: F.to_json(x).alias("body")
+    hit = F.struct(F.col("source").alias("title"), F.concat(F.lit("A/"), F.col("doc_id").cast("string")).alias("path"), F.substring("text", 1, 50).alias("snippet"), (F.col("doc_id") % 10 / 2).alias("score"))
+    of_docs = lambda kind, x: d.select(F.lit(kind).alias("kind"), F.col("doc_id").alias("id"), F.lit("wiki").alias("book"), body(x))
+    bodies = of_docs("search", F.struct(F.when(F.col("doc_id") % 5 != 0, F.array(hit, F.struct(F.lit(None).cast("string").alias("title"), F.lit("B").alias("path"), F.lit("").alias("snippet"), F.lit(None).cast("double").alias("score")))).alias("results")))
+    bodies = bodies.unionByName(of_docs("suggest", F.create_map(F.when(F.col("doc_id") % 4 == 0, "other").otherwise("wiki"), F.array(hit))))
+    bodies = bodies.unionByName(of_docs("content", F.struct(F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 100)).alias("content"), F.col("lang"))))
+    bodies = bodies.unionByName(s.select(F.lit("catalog").alias("kind"), F.col("s_suppkey").alias("id"), F.lit("wiki").alias("book"), body(F.array(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("entries"))))))
+    bodies = bodies.unionByName(p.select(F.lit("random").alias("kind"), F.col("p_partkey").alias("id"), F.lit("wiki").alias("book"), body(F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("path")))))
+    return responses.wiki_fields(responses.wiki_table(bodies).where(F.col("kind") == kind), kind).drop("book").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+_WIKI_SQL = {
+    "search": "SELECT doc_id AS id, pos, CASE pos WHEN 0 THEN source ELSE '' END AS title, CASE pos WHEN 0 THEN 'A/' || doc_id ELSE 'B' END AS url, CASE pos WHEN 0 THEN left(text, 50) ELSE '' END AS content, CASE pos WHEN 0 THEN (doc_id % 10) / 2 ELSE 0 END::DOUBLE AS score, '' AS zim FROM documents, (VALUES (0::BIGINT), (1::BIGINT)) v(pos) WHERE doc_id % 5 <> 0",
+    "suggest": "SELECT doc_id AS id, 0::BIGINT AS pos, source AS title, 'A/' || doc_id AS url FROM documents WHERE doc_id % 4 <> 0",
+    "content": "SELECT doc_id AS id, 0::BIGINT AS pos, CASE WHEN doc_id % 3 <> 0 THEN left(text, 100) ELSE '' END AS content FROM documents",
+    "catalog": "SELECT s_suppkey AS id, 0::BIGINT AS pos, s_name AS name, '' AS title, '' AS description, '' AS language, '' AS file, CAST(s_nationkey AS BIGINT) AS entries FROM supplier",
+    "random": "SELECT p_partkey AS id, 0::BIGINT AS pos, p_name AS title, p_type AS path FROM part",
+}
+for _kind, _sql in _WIKI_SQL.items():
+    query(f"wiki_{_kind}", _sql)(lambda spark, sf, kind=_kind: _wiki(spark, sf, kind))
 
 
 @query("flatten_struct", "SELECT event_id, 'event_type' AS path, event_type AS value FROM events UNION ALL SELECT event_id, 'at_user', CAST(user_id AS VARCHAR) FROM events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from sievework.operators import keywords, ranking
 from sievework.plans.registry import query
 from sievework.plans.text_queries import BM25_PART, SLOT_SQL, TERMS_OF_QUERIES, TOKENS_SQL, dealt, queries_of
 from sievework.session import table
+from sievework.sources import transactional
+from sievework.sources.shared import shared_dir
 
 RESULTS_SQL = """r AS (SELECT doc_id AS rid, 'https://' || source || '.example/' || (doc_id % 50) || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END AS url, source, lang,
   left(text, 40) AS title, text AS snippet, ((doc_id * 37) % 101) / 10.0::DOUBLE AS score,
@@ -363,9 +367,11 @@ def fact_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fact_memory_rows", f"WITH {FACTS_SQL} SELECT doc_id, text || ' [Source: ' || coalesce(source_url, '') || ']' AS memory, coalesce(category, '') AS category FROM f")
 def fact_memory_rows(spark: SparkSession, sf: str) -> DataFrame:
-    meta = F.create_map(F.lit("type"), F.lit("knowledge_fact"), F.lit("category"), F.coalesce("category", F.lit("")))
-    rows = _facts(spark, sf).select("doc_id", F.concat("text", F.lit(" [Source: "), F.coalesce("source_url", F.lit("")), F.lit("]")).alias("memory"), meta.alias("meta"))
-    return rows.select("doc_id", "memory", F.col("meta")["category"].alias("category"))
+    """Facts as the memory holds them: written by a batch that is seen whole or not at all, and read back."""
+    where = f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}"
+    rows = _facts(spark, sf).select("doc_id", F.concat("text", F.lit(" [Source: "), F.coalesce("source_url", F.lit("")), F.lit("]")).alias("memory"), F.coalesce("category", F.lit("")).alias("category"))
+    transactional.write_batch(rows, where, "facts")
+    return transactional.read_batches(spark, where, "doc_id bigint, memory string, category string")
 
 
 @query("collection_status", f"WITH {FACTS_SQL} SELECT coalesce(category, 'uncategorized') AS category, count(*) AS n, count(DISTINCT source_url) AS sources FROM f GROUP BY ALL")

@@ -87,7 +87,7 @@ def wiki_rows(body: str | None, kind: str, book: str = "") -> list[dict]:
     else:
         rows = data.get("results" if kind == "search" else book) or [] if isinstance(data, dict) else []
     blank = {"score": 0, "entries": 0}
-    return [{ours: r.get(theirs, blank.get(ours, "")) for ours, theirs in fields.items()} for r in rows if isinstance(r, dict)]
+    return [{ours: r.get(theirs, blank.get(ours, "")) for ours, theirs in fields.items()} for r in (rows if isinstance(rows, list) else []) if isinstance(r, dict)]
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:

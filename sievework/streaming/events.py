@@ -1,13 +1,9 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Structured Streaming forms of operators that Spark's own state suffices for."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def first_seen(stream: DataFrame, key: str, ts: str, within: str = "1 hour") -> DataFrame:
@@ -19,28 +15,3 @@ def tumbling_counts(stream: DataFrame, ts: str, by: str, size: str = "1 hour", l
     """Counts per window, final once the watermark has passed.."""
     counted = stream.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), by).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("start"), by, "n")
-
-
-def rate_limited(stream: DataFrame, key: str, t: str, most: int, window: float) -> DataFrame:
-    """``key, t, allowed``: the sliding-window limiter with its admitted times as state, at most ``most`` numbers a key.
-
-    Rows of one batch are taken in order of time. A key's state is a few numbers and stays.
-    """
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        passed = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values("t")
-        out = []
-        for now in rows["t"]:
-            passed = [p for p in passed if now - p < window]
-            out.append(len(passed) < most)
-            if out[-1]:
-                passed.append(float(now))
-        state.update((passed,))
-        yield pd.DataFrame({"key": k[0], "t": rows["t"].to_numpy(), "allowed": out})
-
-    kind = dict(stream.dtypes)[key]
-    rows = stream.select(F.col(key).alias("key"), F.col(t).cast("double").alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, t double, allowed boolean", "passed array<double>", "append", GroupStateTimeout.NoTimeout
-    )

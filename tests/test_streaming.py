@@ -26,9 +26,3 @@ def test_tumbling_counts(spark, tmp_path):
     s = stream_of(spark, tmp_path, rows, "k string, t long").withColumn("ts", F.timestamp_seconds("t"))
     got = {(r["k"], r["n"]) for r in run(events.tumbling_counts(s, "ts", "k"), "tc", "append").collect()}
     assert got == {("x", 2), ("y", 1), ("x", 1)}
-
-
-def test_rate_limited(spark, tmp_path):
-    rows = [("u", 0.0), ("u", 1.0), ("u", 2.0), ("u", 11.0), ("v", 0.0)]
-    got = run(events.rate_limited(stream_of(spark, tmp_path, rows, "k string, t double"), "k", "t", 2, 10.0), "rl").collect()
-    assert sorted((r["key"], r["t"], r["allowed"]) for r in got) == [("u", 0.0, True), ("u", 1.0, True), ("u", 2.0, False), ("u", 11.0, True), ("v", 0.0, True)]
