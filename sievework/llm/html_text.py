@@ -14,7 +14,7 @@ in the content's cluster. All other lines of the region are the article.
 
 An element is boilerplate by its class or id only if all words of one of these names are
 boilerplate words or say where something stands ('site-footer', not 'related-work'), and
-if it doesn't hold nearly all of the page's text. Headings never are.
+if it doesn't hold nearly all of the page's text (comments, menus and adverts: all of it). Headings never are.
 
 Time and room are linear in the page, however deep its elements nest.
 
@@ -66,6 +66,8 @@ PLACE_WORDS = frozenset(
 )
 #: Of these words those that also drop an article of its own.
 COMMENT_WORDS = frozenset("ad ads advert advertisement comment comments discussion promo promoted reply replies respond sponsor sponsored".split())
+#: Wrappers of these names are spared only if the page has nothing else: not for long comments under a short article.
+RARELY_SPARED = COMMENT_WORDS | frozenset("adslot adverts advertising commentlist comments disqus menu nav navbar navigation pagination related share sharing social sponsored".split())
 #: Elements that carry the page; names don't drop them.
 CARRIERS = frozenset("body html".split()) | HEADINGS
 #: An unclosed <p> ends where one of these begins.
@@ -103,8 +105,8 @@ class _Open:
     """An open element and what holds inside it."""
 
     tag: str
-    dropped: bool
-    silent: bool  # dropped, and not a block: its text belongs to no line
+    wrapper: int  # the innermost element around it that is boilerplate by its name or kind; 0: none
+    silent: bool  # within such an element that is no block: its text belongs to no line
     container: int
     heading: bool
     article: bool
@@ -115,10 +117,11 @@ class _Open:
 class _Line:
     text: str
     tags: int
-    dropped: bool
+    wrapper: int
     container: int
     heading: bool
     links: bool  # (nearly) all of it
+    dropped: bool = False
 
     @property
     def ratio(self) -> float:
@@ -126,16 +129,14 @@ class _Line:
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of a page, and its tree of containers (0: the page)."""
+    """Collects the lines of a page, its tree of containers (0: the page), and that of boilerplate elements (0: none)."""
 
-    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.spared = spared  # elements, by number, that aren't dropped whatever their attributes
-        self.count = 0
-        self.wrapper = 0  # the outermost dropped element, if it could be spared
-        self.wrapped: dict[int, list[tuple[int, float]]] = {}  # per such element size and ratio of its lines
+        # per boilerplate element the one around it, and whether it may be spared: always, only if nothing else is left, never
+        self.around, self.spares = [0], ["always"]
         self.lines: list[_Line] = []
-        self.root = _Open("", False, False, 0, False, False, False)
+        self.root = _Open("", 0, False, 0, False, False, False)
         self.stack: list[_Open] = []
         self.open: Counter[str] = Counter()
         self.parents, self.kinds = [0], [""]
@@ -150,9 +151,7 @@ class _Lines(HTMLParser):
         self.buffer = []
         if text:
             top = self._top()
-            if top.dropped and self.wrapper:
-                self.wrapped.setdefault(self.wrapper, []).append((len(text), len(text) / max(1, self.tags)))
-            self.lines.append(_Line(text, self.tags, top.dropped, top.container, top.heading, self.link_chars >= LINKED * self.chars))
+            self.lines.append(_Line(text, self.tags, top.wrapper, top.container, top.heading, self.link_chars >= LINKED * self.chars))
             self.tags = 0
         self.chars = self.link_chars = 0
 
@@ -202,18 +201,20 @@ class _Lines(HTMLParser):
                     break
         if tag == "body":
             self._pop_to("head")
-        self.count += 1
         top = self._top()
-        dropped = top.dropped or (self.count not in self.spared and self._drops(tag, attrs, top.article))
-        if dropped and not top.dropped:
-            self.wrapper = self.count if tag == "form" or tag not in DROPPED | {"header"} else 0
+        wrapper, drops = top.wrapper, self._drops(tag, attrs, top.article)
+        if drops:
+            wrapper = len(self.around)
+            self.around.append(top.wrapper)
+            rarely = any(k in ("class", "id") and _named(v or "", RARELY_SPARED) for k, v in attrs)
+            self.spares.append("never" if tag != "form" and tag in DROPPED | {"header"} else "alone" if rarely else "always")
         container = top.container
         if tag in CONTAINER:
             container = len(self.parents)
             self.parents.append(top.container)
             self.kinds.append(tag)
-        silent = top.silent if top.dropped else dropped and tag not in BLOCK
-        self.stack.append(_Open(tag, dropped, silent, container, top.heading or tag in HEADINGS, top.article or tag in ("article", "main"), top.link or tag == "a"))
+        silent = top.silent or (drops and tag not in BLOCK)
+        self.stack.append(_Open(tag, wrapper, silent, container, top.heading or tag in HEADINGS, top.article or tag in ("article", "main"), top.link or tag == "a"))
         self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -249,13 +250,32 @@ def content_scores(lines: list[_Line]) -> list[float]:
     return [sum(w * padded[i + k] for k, w in enumerate(kernel)) / total for i in range(len(ratios))]
 
 
-def _parsed(html: str, spared: frozenset[int]) -> _Lines:
-    parser = _Lines(spared)
+def _drop_wrapped(parser: _Lines) -> None:
+    """Marks the lines that go: those within a boilerplate element, unless each such element around them is spared, as it holds nearly all of the page."""
+    size, good = [0] * len(parser.around), [False] * len(parser.around)
+    for line in parser.lines:
+        size[line.wrapper] += len(line.text)
+        good[line.wrapper] |= line.ratio >= LOW_RATIO
+    for k in range(len(size) - 1, 0, -1):  # elements come after those around them
+        size[parser.around[k]] += size[k]
+        good[parser.around[k]] |= good[k]
+    for spared in (("always",), ("always", "alone")):
+        gone = [False] * len(size)
+        for k in range(1, len(size)):
+            gone[k] = gone[parser.around[k]] or not (parser.spares[k] in spared and good[k] and size[k] >= NEARLY_ALL * size[0])
+        if not all(gone[line.wrapper] for line in parser.lines):
+            break
+    for line in parser.lines:
+        line.dropped = gone[line.wrapper]
+
+
+def _parsed(html: str) -> _Lines:
+    parser = _Lines()
     try:
         parser.feed(html)
         parser.close()
     except AssertionError:  # the parser's answer to broken declarations
-        parser = _Lines(spared)
+        parser = _Lines()
         parser.feed(re.sub(r"<!\[[^>]*>?", "", html))
         parser.close()
     parser._flush()
@@ -304,14 +324,8 @@ def _region(parser: _Lines, content: list[bool]) -> list[bool]:
 
 def main_text(html: str | None) -> str:
     """The article of one page: its blocks, parted by an empty line."""
-    spared: frozenset[int] = frozenset()
-    while True:
-        parser = _parsed(html or "", spared)
-        total = sum(len(line.text) for line in parser.lines)
-        whole = {k for k, parts in parser.wrapped.items() if sum(n for n, _ in parts) >= NEARLY_ALL * total and any(r >= LOW_RATIO for _, r in parts)}
-        if not whole:
-            break
-        spared |= whole
+    parser = _parsed(html or "")
+    _drop_wrapped(parser)
     lines = parser.lines
     if all(line.dropped for line in lines):
         return ""

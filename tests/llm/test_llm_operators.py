@@ -192,6 +192,22 @@ def test_main_text_names_are_a_prior():
         assert html_text.main_text(page) == text, page[:80]
 
 
+def test_main_text_without_long_comments():
+    long, short = "long text " * 1400, "a short article of its own " * 4
+    pages = {
+        f"<body><article><h1>T</h1><p>{short}</p></article><section id='comments'><p>{long}</p></section></body>": f"T\n\n{short.strip()}",
+        f"<body><div><h1>T</h1><p>{short}</p></div><div class='comment-list'><div><p>{long}</p></div></div></body>": f"T\n\n{short.strip()}",
+        f"<body><p>{short}</p><div class='advert'><p>{long}</p></div></body>": short.strip(),
+        f"<body><div class='sidebar'><p>{long}</p><div class='comments'><p>{short}</p></div></div></body>": long.strip(),
+        f"<body><div class='widget'><div class='sidebar'><p>{long}</p></div><script>{short * 900}</script></div></body>": long.strip(),
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text, page[:80]
+    began = time.perf_counter()
+    nested = "<div class='sidebar'>" * 2000 + f"<p>first</p><p>{long}</p>" + "</div>" * 2000
+    assert html_text.main_text(nested) == f"first\n\n{long.strip()}" and time.perf_counter() - began < 1
+
+
 def test_main_text_is_linear(spark):
     began = time.perf_counter()
     deep = "".join(f"<div><p>line number {k} has some words in it" for k in range(2000))
