@@ -19,12 +19,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries whose vectors are broadcast at most.
 BROADCAST_QUERIES = 20_000
+SALTS = 64
 
 
 def nearest_within(vectors: DataFrame, queries: DataFrame, group: str, key: str, qid: str, most: int) -> DataFrame:
     """``qid, rank, key, sim``: of each query (column ``q``) the nearest vectors (column ``v``) of its group, itself left out."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    met = vectors.join(F.broadcast(queries) if few else queries, group).where(F.col(key) != F.col(qid))
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        met = vectors.join(F.broadcast(queries), group)
+    else:  # a group's vectors are dealt over ``SALTS`` tasks, each of which has the group's queries
+        dealt = vectors.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        met = dealt.join(queries.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [group, "__salt"])
+    met = met.where(F.col(key) != F.col(qid))
     scored = met.select(qid, key, F.round(cosine(F.col("v"), F.col("q")), 4).alias("sim"))
     rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("sim"), key))
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most)

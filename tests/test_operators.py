@@ -82,6 +82,16 @@ def test_lru_cache_deletes_and_counts():
     assert cache.delete("b") and not cache.delete("b") and cache.stats()["size"] == 0
 
 
+def test_nearest_within_groups(spark, monkeypatch):
+    rows = [(k, "g" if k % 3 else "h", [float(k % 7), float(k % 5), 1.0]) for k in range(60)]
+    v = spark.createDataFrame(rows, "id long, grp string, v array<double>")
+    q = v.where("id % 10 = 0").select("grp", F.col("id").alias("qid"), F.col("v").alias("q"))
+    find = lambda: sorted((r["qid"], r["rank"], r["id"], r["sim"]) for r in vectors.nearest_within(v, q, "grp", "id", "qid", 4).collect())
+    first = find()
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 0)  # beyond the broadcast: dealt by salts
+    assert find() == first and len(first) == 24
+
+
 def test_greedy_independent(spark):
     nodes = spark.range(6).withColumnRenamed("id", "k")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")
