@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.cells import CellIndex
 from sievework.sources.shared import shared_dir, written
 
 
@@ -52,3 +53,17 @@ def greedy_independent(nodes: DataFrame, edges: DataFrame, key: str) -> DataFram
         gone = lost if gone is None else gone.unionAll(lost)
     every = nodes.select(F.col(key).alias("n"))
     return (every if gone is None else every.join(gone, "n", "left_anti")).withColumnRenamed("n", key)
+
+
+def semantic_dedup(vectors: DataFrame, key: str, vec: str, threshold: float) -> DataFrame:
+    """The keys of vectors that stay: those without a cosine of ``threshold`` (above 0) with an earlier one that stays.
+
+    Equal vectors are one from the start: whatever drops or keeps the first of them drops the others. So a large group of copies makes no pairs.
+    Null and zero vectors are similar to nothing and stay.
+    """
+    rows = vectors.select(F.col(key).cast("bigint").alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    some = F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+    folder = f"{shared_dir(vectors.sparkSession)}/semantic-{uuid.uuid4().hex}"
+    first = written(rows.where(some).groupBy("v").agg(F.min("k").alias("k")), folder)
+    kept = greedy_independent(first, CellIndex(first, "k", "v").similar_pairs(threshold), "k")
+    return kept.select(F.col("k").alias(key)).unionByName(rows.where(~some).select(F.col("k").alias(key)))

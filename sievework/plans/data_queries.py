@@ -48,8 +48,7 @@ def semantic_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("semantic_dedup", f"WITH p AS (SELECT a, b FROM ({PAIRS_SQL}) WHERE sim >= 0.35), adj AS (SELECT vec_id, coalesce(list(a), []::BIGINT[]) FILTER (a IS NOT NULL) AS n FROM embeddings LEFT JOIN p ON b = vec_id GROUP BY vec_id), o AS (SELECT list({{'v': vec_id, 'n': coalesce(n, []::BIGINT[])}} ORDER BY vec_id) AS l FROM adj), k AS (SELECT list_reduce(l, lambda acc, x: CASE WHEN list_has_any(acc, x.n) THEN acc ELSE list_append(acc, x.v) END, []::BIGINT[]) AS kept FROM o) SELECT unnest(kept) AS vec_id FROM k".replace("coalesce(list(a), []::BIGINT[]) FILTER (a IS NOT NULL)", "list(a) FILTER (a IS NOT NULL)"))
 def semantic_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """A vector stays unless it is similar to an earlier one that stays."""
-    e = _emb(spark, sf)
-    return vectors.greedy_independent(e.select("vec_id"), CellIndex(e, "vec_id", "v").similar_pairs(0.35), "vec_id")
+    return vectors.semantic_dedup(_emb(spark, sf), "vec_id", "v", 0.35)
 
 
 @query("vector_topk_many", f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity({VEC.replace('embedding', 'q.embedding')}, {VEC.replace('embedding', 'e.embedding')}), 4) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank, vec_id, sim FROM s QUALIFY rank <= 10")

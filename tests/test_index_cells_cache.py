@@ -156,6 +156,20 @@ def test_greedy_pass_by_loops(spark):
     assert sorted(r["k"] for r in vectors.greedy_independent(nodes, spark.createDataFrame(edges, "a long, b long"), "k").collect()) == kept
 
 
+def test_semantic_dedup_by_loops(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 6))
+    x[40:90] = x[3]  # a large group of copies
+    x[100:104] = 0
+    rows = [(int(k), [float(y) for y in v]) for k, v in enumerate(x)] + [(500, None)]
+    sims, kept = cosines(x), []
+    for k in range(len(x)):
+        if not any(sims[k, j] >= 0.6 for j in kept):
+            kept.append(k)
+    got = vectors.semantic_dedup(spark.createDataFrame(rows, "id long, v array<double>").repartition(3), "id", "v", 0.6)
+    assert sorted(r["id"] for r in got.collect()) == [*kept, 500]
+
+
 # -- embedding through a cache --------------------------------------------------------------------------------
 
 
