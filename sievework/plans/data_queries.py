@@ -92,7 +92,7 @@ _BUCKETS = f"list_transform({TOKENS_SQL.format(t='text')}, lambda w: CAST('0x' |
 def embedding_cache_join(spark: SparkSession, sf: str) -> DataFrame:
     """All texts embedded through a cache that knows half of them: what it doesn't know is computed once and stored."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    cache = EmbeddingCache(spark, f"{shared_dir(spark)}/embedding-cache-{fingerprint(spark.read.parquet(f'{sf}/documents.parquet'))}", providers.md5_words, 64)
+    cache = EmbeddingCache(spark, f"{shared_dir(spark)}/embedding-cache-md5x64-{fingerprint(spark.read.parquet(f'{sf}/documents.parquet'))}", providers.md5_words, 64)
     cache.fill(docs.where("doc_id % 2 = 0"), "text", "even")
     whole = F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), ",")
     return cache.embed(docs, "text", "all").select("doc_id", "hit", whole.alias("vector"))
