@@ -202,7 +202,8 @@ class _Lines(HTMLParser):
         if tag == "body":
             self._pop_to("head")
         top = self._top()
-        wrapper, drops = top.wrapper, self._drops(tag, attrs, top.article)
+        # what stands in an element that is never spared goes with it
+        wrapper, drops = top.wrapper, self.spares[top.wrapper] != "never" and self._drops(tag, attrs, top.article)
         if drops:
             wrapper = len(self.around)
             self.around.append(top.wrapper)
