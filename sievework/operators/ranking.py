@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions.rows import exploded
+from sievework.sources.shared import shared_dir, written
 
 K1, B = 1.5, 0.75
 BROADCAST_TERMS = 200_000
@@ -68,18 +71,26 @@ def top_of_query(scores: DataFrame, qid: str, key: str, most: int, digits: int =
     return rounded.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= most)
 
 
-def bm25_own(rows: DataFrame, qid: str, key: str, text: str, queries: DataFrame) -> DataFrame:
-    """``qid, key, score``: each row by the query it belongs to, with statistics of that query's rows (every row stays)."""
-    words = rows.select(qid, F.col(key).alias("__k"), T.tokens(F.col(text)).alias("__w")).select(qid, "__k", F.size("__w").alias("__dl"), "__w")
-    stats = words.groupBy(qid).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"))
-    hits = exploded(words, [qid, "__k", "__dl"], "__w", "term").join(_small(query_terms(queries, [qid])), [qid, "term"])
-    tf = hits.groupBy(qid, "__k", "__dl", "term", "times").agg(F.count("*").alias("__tf"))
-    df = tf.groupBy(qid, "term").agg(F.count("*").alias("__df"))
-    joined = tf.join(df, [qid, "term"]).join(stats, qid)
-    part = F.col("times") * _idf(F.col("__n"), F.col("__df")) * _part(F.col("__tf"), F.col("__dl"), F.col("__avg"))
-    scores = joined.groupBy(qid, "__k").agg(F.sum(part).alias("score"))
-    every = rows.select(qid, F.col(key).alias("__k"))
-    return every.join(scores, [qid, "__k"], "left").select(qid, F.col("__k").alias(key), F.coalesce("score", F.lit(0.0)).alias("score"))
+def bm25_own(rows: DataFrame, qid: str, key: str, text: str, queries: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``qid, key, keep, score``: each row by the query it belongs to, with statistics of that query's rows (every row stays).
+
+    Texts are read once: of each row its length and the counts of its query's terms are written, and all else is made of these.
+    """
+    keep = keep or []
+    few = queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    of_query = query_terms(queries, [qid]).groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("term", "times"))).alias("__terms"))
+    asked = rows.join(F.broadcast(of_query) if few else of_query, qid, "left")
+    words = asked.select(qid, key, *keep, T.tokens(F.col(text)).alias("__w"), F.coalesce("__terms", F.array().cast("array<struct<term:string,times:bigint>>")).alias("__terms"))
+    tf = F.transform("__terms", lambda t: F.size("__w") - F.size(F.array_remove("__w", t["term"])))
+    counted = words.select(qid, key, *keep, F.size("__w").alias("__dl"), tf.alias("__tf"), F.transform("__terms", lambda t: t["times"]).alias("__times"))
+    counted = written(counted, f"{shared_dir(rows.sparkSession)}/bm25-own-{uuid.uuid4().hex}")
+    df = exploded(counted, [qid], "__tf", "tf", "j").groupBy(qid, "j").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    df = df.groupBy(qid).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "df"))), lambda x: x["df"]).alias("__df"))
+    stats = counted.groupBy(qid).agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg")).join(df, qid, "left")
+    met = counted.join(F.broadcast(stats) if few else stats, qid)
+    one = lambda x: F.when(x["__tf"] > 0, x["__times"] * _idf(F.col("__n"), x["__df"]) * _part(x["__tf"], F.col("__dl"), F.col("__avg"))).otherwise(0.0)
+    score = F.aggregate(F.arrays_zip("__tf", "__times", "__df"), F.lit(0.0), lambda a, x: a + one(x))
+    return met.select(qid, key, *keep, F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def best_passages(docs: DataFrame, passages: str, terms: str, most: int, digits: int = 4) -> DataFrame:

@@ -15,7 +15,7 @@ from sievework.plans.registry import query
 from sievework.plans.text_queries import BM25_PART, SLOT_SQL, TERMS_OF_QUERIES, TOKENS_SQL, dealt, queries_of
 from sievework.session import table
 from sievework.sources import transactional
-from sievework.sources.shared import shared_dir
+from sievework.sources.shared import shared_dir, written
 
 RESULTS_SQL = """r AS (SELECT doc_id AS rid, 'https://' || source || '.example/' || (doc_id % 50) || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END AS url, source, lang,
   left(text, 40) AS title, text AS snippet, ((doc_id * 37) % 101) / 10.0::DOUBLE AS score,
@@ -115,12 +115,13 @@ SELECT qid, rid, bm25_score, fresh, round(bm25_score / best * 0.85 + fresh * 0.1
 def rerank_freshness(spark: SparkSession, sf: str) -> DataFrame:
     """The results of each query: BM25 among them (the title counts twice) normalised by the best, mixed with freshness."""
     queries = queries_of(spark, sf)
-    r = dealt(results(spark, sf), "rid", queries.drop("query")).withColumn("body", F.concat_ws(" ", "title", "title", "snippet"))
-    scores = ranking.bm25_own(r, "qid", "rid", "body", queries).withColumn("bm25_score", F.round("score", 4))
+    r = dealt(results(spark, sf), "rid", queries.drop("query")).select("qid", "rid", F.concat_ws(" ", "title", "title", "snippet").alias("body"), _fresh().alias("fresh"))
+    scores = ranking.bm25_own(r, "qid", "rid", "body", queries, ["fresh"]).withColumn("bm25_score", F.round("score", 4))
+    scores = written(scores.select("qid", "rid", "fresh", "bm25_score"), f"{shared_dir(spark)}/rerank-{uuid.uuid4().hex}")
     best = scores.groupBy("qid").agg(F.max("bm25_score").alias("m")).select("qid", F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")).alias("m"))
     mixed = F.round(F.col("bm25_score") / F.col("m") * 0.85 + F.col("fresh") * 0.15, 4)
-    both = r.select("qid", "rid", _fresh().alias("fresh")).join(scores, ["qid", "rid"]).join(best, "qid")
-    return both.select("qid", "rid", "bm25_score", "fresh", mixed.alias("combined_score"))
+    few = queries.count() <= ranking.BROADCAST_TERMS
+    return scores.join(F.broadcast(best) if few else best, "qid").select("qid", "rid", "bm25_score", "fresh", mixed.alias("combined_score"))
 
 
 # ---- markdown. The templates of these renderings must come out to the letter.
