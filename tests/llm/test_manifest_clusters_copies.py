@@ -110,7 +110,7 @@ def plain_manifest(rows, columns):
     ]
 
 
-@pytest.mark.parametrize(("n", "levels", "langs"), [(1, 4, 1), (9, 4, 2), (700, 1, 70), (5000, 2, 3), (4600, 4, 1)])
+@pytest.mark.parametrize(("n", "levels", "langs"), [(1, 4, 1), (9, 4, 2), (150, 1, 12), (5000, 2, 3), (4600, 4, 1)])
 def test_manifest_by_plain_trees(spark, n, levels, langs):
     rng = random.Random(n)
     rows = [(rng.randrange(n * 2), f"Text {rng.randrange(n)}", f"l{min(rng.randrange(langs), rng.randrange(langs))}", "s", k % 7) for k in range(n)]
