@@ -246,7 +246,17 @@ def op8_pii():
     return [(i, [[m.span() for m in p.finditer(t)] for p in kinds]) for i, t in zip(*columns("documents", "doc_id", "text"), strict=True)]
 
 
-LOOPS = [page_query_topk, tokenize, bm25_rank, bm25_df, chunk_text, merge_short_sentences, rerank_freshness, dedup_results, classify_topic, semantic_dedup, vector_topk, rate_limit, lru_replay, html_clean, chart_box, rag_context, op6_chat_format, op8_pii]
+def op13_exact_dedup():
+    ids, texts = columns("documents", "doc_id", "text")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    plain = [t.translate(lower) for t in texts]
+    groups = defaultdict(list)
+    for i, t in zip(ids, plain):
+        groups[t].append(i)
+    return [(i, max(groups[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(ids, plain)]
+
+
+LOOPS = [page_query_topk, tokenize, bm25_rank, bm25_df, chunk_text, merge_short_sentences, rerank_freshness, dedup_results, classify_topic, semantic_dedup, vector_topk, rate_limit, lru_replay, html_clean, chart_box, rag_context, op6_chat_format, op8_pii, op13_exact_dedup]
 
 
 def main() -> None:
