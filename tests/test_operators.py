@@ -174,6 +174,16 @@ def test_result_pages():
     assert extract.search_page(links, "searx") == extract.link_rows(links) and extract.search_page(searx, "searx", 1) == extract.result_rows(searx)[:1] and extract.search_page(None, "searx") == []
 
 
+def test_references_are_kept_as_they_stand():
+    page = lambda title: f'<article class="result"><h3><a href="http://a/?x=1&amp;y=2">{title}</a></h3></article>'
+    for title in ("one &amp; two", "one&amp", "one &am", "one &", "a&b;c", "&#38", "&# one", "&#x; one", "&; \ue000 &lt;"):
+        row = {"url": "http://a/?x=1&y=2", "title": title, "snippet": ""}
+        assert extract.result_rows(page(title) + page("next")) == [row, row | {"title": "next"}]
+    # decoded once, if they end with a semicolon
+    assert extract.select_text("<h1>1 &lt; 2 &amp;lt; &#x27;&#39;&nosuch;&notit; &amp</h1>", "h1") == "1 < 2 &lt; ''&nosuch;&notit; &amp"
+    assert extract.select_text("<p>a &# b</p><h1>c</h1>", "h1") == "c"
+
+
 def test_charts(spark):
     make = lambda kind, data, **more: charts.figure(charts.Chart(kind, data, **more))
     assert make("line", {"y": [1, 2]})["data"] == [{"type": "scatter", "mode": "lines+markers", "x": [0, 1], "y": [1, 2]}]
