@@ -305,7 +305,7 @@ def provider_results(saved: DataFrame, key: str, providers: list[str]) -> DataFr
 
     def rows(pages: list[str | None]) -> list[dict[str, str]]:
         for provider, page in zip(providers, pages, strict=True):
-            if any(sign in (page or "") for sign in extract.REFUSALS):
+            if extract.refuses(page):
                 continue
             found = extract.link_rows(page) if provider == "links" else extract.result_rows(page, provider)
             if found:

@@ -174,6 +174,14 @@ def test_result_pages():
     assert extract.search_page(links, "searx") == extract.link_rows(links) and extract.search_page(searx, "searx", 1) == extract.result_rows(searx)[:1] and extract.search_page(None, "searx") == []
 
 
+def test_the_number_of_a_refusal_in_results_is_none():
+    page = '<article class="result"><h3><a href="http://a/de/4290">room 429</a></h3><p class="result-content">about <b>429</b></p></article><script>track(429)</script><!-- ad 429 -->'
+    assert extract.search_page(page, "searx") == [{"url": "http://a/de/4290", "title": "room 429", "snippet": "about 429"}]
+    for said in ("<p>429 Too Many Requests</p>", "<p>Rate limit exceeded</p>", "<title> 429 </title>", "<h1>Error 429</h1>", "HTTP 429", "status: 429", "<p>429</p>"):
+        assert extract.search_page(said + page, "searx") == []
+    assert extract.search_page("429", "searx") == []
+
+
 def test_references_are_kept_as_they_stand():
     page = lambda title: f'<article class="result"><h3><a href="http://a/?x=1&amp;y=2">{title}</a></h3></article>'
     for title in ("one &amp; two", "one&amp", "one &am", "one &", "a&b;c", "&#38", "&# one", "&#x; one", "&; \ue000 &lt;"):
