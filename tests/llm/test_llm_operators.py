@@ -741,3 +741,25 @@ def test_mixture(spark, monkeypatch):
     with pytest.raises(ValueError):
         mixing.mix(df, params=mixing.MixParams(max_repeats=2, budget_tokens=10 * total))
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(df.where("source = 'none'")).count() == 0
+
+
+def test_lm_decisions_of_a_batch_are_held_about_once():
+    import tracemalloc
+
+    def streams():
+        rng = np.random.default_rng(3)
+        for _ in range(40):
+            n = int(rng.integers(20000, 40000))
+            odds = [rng.integers(-2000, 2000, n).astype(np.int16) for _ in range(lm_score.MODELS)]
+            yield lm_score.Stream(rng.integers(0, 2, n).astype(np.uint8), odds, rng.integers(0, lm_score.GATES, n).astype(np.uint8), np.array([0, n // 2, n]))
+
+    alone = [s.at for s in streams()]
+    each = np.concatenate([lm_score.run_logs([s], [s.at]) for s in streams()])
+    tracemalloc.start()
+    made = list(streams())
+    logs = lm_score.run_logs(made, alone)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(logs, each, atol=1e-6)
+    # 8 bytes of a decision and 4 of its result, or 4 and 8 of the sums; twice the decisions and three times the sums before
+    assert peak < 16 * sum(int(a[-1]) for a in alone)
