@@ -30,6 +30,8 @@ SAMPLE = 16_384
 TILE = 2048
 #: Queries that meet one tile in one task.
 SLICE = 2048
+#: For pairs, tiles are dealt into so many groups; a group has that many vectors at least, and not more than so many bytes of them.
+GROUPS, GROUP_ROWS, GROUP_BYTES = 24, 8192, 128 << 20
 #: What rounding may take from a distance.
 SLACK = 1e-7
 
@@ -197,17 +199,26 @@ class CellIndex:
         shown = shown.select(*(F.col(k).alias(f"{k}_") for k in keys), "keys", "x")
         return met.groupBy(*keys).cogroup(shown.groupBy(*(f"{k}_" for k in keys))).applyInArrow(best, "qid bigint, key bigint, sim double")
 
+    def _allowed_function(self, threshold: float):
+        """For tasks: whether a cell's bounds (by its place in ``info``) allow the threshold with each of all cells."""
+        cell, _, _, far, _ = self._bounds()
+        centres = self.centres[np.maximum(cell, 0)]
+
+        def allowed(i: int) -> np.ndarray:
+            gap = np.maximum(distances(centres[i : i + 1], centres)[0] - far[i] - far - 2 * SLACK, 0)
+            return np.where((cell[i] >= 0) & (cell >= 0), 1 - gap * gap / 2, 0.0) >= threshold - 1e-9
+
+        return allowed
+
     def tile_pairs(self, threshold: float) -> DataFrame:
         """``cell, part, cell2, part2, hit``: pairs of tiles, and whether their cells' bounds allow the threshold."""
-        cell, _, near, far, parts = self._bounds()
-        centres = self.centres[np.maximum(cell, 0)]
+        cell, _, _, _, parts = self._bounds()
+        allowed = self._allowed_function(threshold)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in batch.column(0).to_pylist():
-                    gap = np.maximum(distances(centres[i : i + 1], centres[: i + 1])[0] - far[i] - far[: i + 1] - 2 * SLACK, 0)
-                    most = np.where((cell[i] >= 0) & (cell[: i + 1] >= 0), 1 - gap * gap / 2, 0.0)
-                    hit = most >= threshold - 1e-9
+                    hit = allowed(i)[: i + 1]
                     k = i + 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(k, cell[i], np.int32)), pa.array(np.full(k, parts[i], np.int32)), pa.array(cell[:k].astype(np.int32)), pa.array(parts[:k].astype(np.int32)), pa.array(hit)],
@@ -222,39 +233,60 @@ class CellIndex:
         numbered = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
         return numbered.where("cell > cell2 or part >= part2").select("cell", "part", "cell2", "part2", "hit")
 
-    def similar_pairs(self, threshold: float, partners: int = 16) -> DataFrame:
-        """``a, b, sim`` for a < b. A tile meets its partners in slices of about ``partners``; it is sent to each slice once."""
-        met = self.tile_pairs(threshold).where("hit").select("cell", "part", "cell2", "part2")
-        slices = max(1, self.tiles.count() // partners)
-        met = met.withColumn("slice", F.pmod(F.xxhash64("cell2", "part2"), F.lit(slices)).cast("int"))
-        met = written(met, f"{self.path}/pairs-{uuid.uuid4().hex}")
-        block = [F.col("keys"), F.col("x")]
-        none = [F.lit(None).cast("int").alias("cell2"), F.lit(None).cast("int").alias("part2")]
-        own = met.select("cell", "part", "slice").distinct().join(self.tiles, ["cell", "part"]).select("cell", "part", "slice", *none, *block)
-        others = met.join(self.tiles.select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), *block), ["cell2", "part2"]).select("cell", "part", "slice", "cell2", "part2", *block)
-        keys = ["cell", "part", "slice"]
-        laid = own.unionByName(others).repartition(*keys).sortWithinPartitions(*keys, F.col("cell2").asc_nulls_first(), "part2")
-        d = self.d
+    def pair_groups(self) -> int:
+        """Into how many groups tiles are dealt for pairs: as many whatever the number of vectors, until a group would be too large for a task."""
+        rows = max(GROUP_ROWS, min(-(-self.n // GROUPS), GROUP_BYTES // (8 * max(self.d, 1))))
+        return max(1, -(-self.n // rows))
+
+    def similar_pairs(self, threshold: float, partners: int | None = None) -> DataFrame:
+        """``a, b, sim`` for a < b. Tiles are dealt into groups (of about ``partners``, if given), and a task has two groups or one and itself: so a tile is sent once a group, not once a partner."""
+        groups = max(1, self.tiles.count() // partners) if partners else self.pair_groups()
+        g = F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).cast("int")
+        tiles = self.tiles.select(g.alias("g"), "cell", "part", "keys", "x")
+        first = tiles.select(F.col("g").alias("i"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("j"), F.lit(0).alias("side"), "cell", "part", "keys", "x")
+        second = tiles.select(F.explode(F.sequence(F.col("g"), F.lit(groups - 1))).alias("i"), F.col("g").alias("j"), F.lit(1).alias("side"), "cell", "part", "keys", "x")
+        laid = first.unionByName(second).repartition(groups * (groups + 1) // 2, "i", "j").sortWithinPartitions("i", "j", "side", "cell", "part")
+        d, cells, allowed = self.d, self._bounds()[0], self._allowed_function(threshold)
+
+        def met(mine: list[tuple], hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """The chosen tiles' keys and vectors, adjacent small ones together."""
+            some: list[tuple] = []
+            for k in np.flatnonzero(hit):
+                if some and sum(len(t[1]) for t in some) + len(mine[k][1]) > TILE:
+                    yield np.concatenate([t[1] for t in some]), np.concatenate([t[2] for t in some])
+                    some = []
+                some.append(mine[k])
+            if some:
+                yield np.concatenate([t[1] for t in some]), np.concatenate([t[2] for t in some])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine_of, mine = None, None
+            task, mine, places = None, [], np.empty(0, np.int64)
             for batch in batches:
-                for i in range(batch.num_rows):
-                    of, other = (tuple(batch.column(k)[i].as_py() for k in ks) for ks in ((0, 1, 2), (3, 4)))
-                    key = np.frombuffer(batch.column(5)[i].as_buffer(), np.int64)
-                    x = np.frombuffer(batch.column(6)[i].as_buffer(), np.float64).reshape(-1, d)
-                    if other[0] is None:
-                        mine_of, mine = of, (key.copy(), x.copy())
+                for n in range(batch.num_rows):
+                    i, j, side, cell, part = (batch.column(k)[n].as_py() for k in range(5))
+                    key = np.frombuffer(batch.column(5)[n].as_buffer(), np.int64)
+                    x = np.frombuffer(batch.column(6)[n].as_buffer(), np.float64).reshape(-1, d)
+                    if task != (i, j):
+                        task, mine, places = (i, j), [], np.empty(0, np.int64)
+                    if side == 0:
+                        mine.append(((cell, part), key.copy(), x.copy()))
                         continue
-                    if of != mine_of:
-                        raise RuntimeError("a tile's partners came without the tile")
-                    for at in range(0, len(mine[0]), 512):
-                        ka = mine[0][at : at + 512]
-                        sim = mine[1][at : at + 512] @ x.T
-                        r, c = np.nonzero(sim >= threshold - 1e-9)
-                        keep = ka[r] < key[c] if other == of[:2] else ka[r] != key[c]
-                        r, c = r[keep], c[keep]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ka[r], key[c])), pa.array(np.maximum(ka[r], key[c])), pa.array(sim[r, c])], names=["a", "b", "sim"])
+                    if len(places) != len(mine):
+                        places = np.searchsorted(cells, [t[0][0] for t in mine])
+                    hit = allowed(int(np.searchsorted(cells, cell)))[places] if mine else np.zeros(0, bool)
+                    own = i == j
+                    if own:  # of two tiles of one group the later has the earlier, and itself
+                        hit = hit & np.array([t[0] <= (cell, part) for t in mine])
+                        self_at = next(k for k, t in enumerate(mine) if t[0] == (cell, part))
+                        itself, hit[self_at] = hit[self_at], False
+                    for once, (ka, y) in [*((False, t) for t in met(mine, hit)), *([(True, (key, x))] if own and itself else [])]:
+                        for at in range(0, len(ka), 512):
+                            sim = y[at : at + 512] @ x.T
+                            r, c = np.nonzero(sim >= threshold - 1e-9)
+                            kb = ka[at : at + 512]
+                            keep = kb[r] < key[c] if once else kb[r] != key[c]
+                            r, c = r[keep], c[keep]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(kb[r], key[c])), pa.array(np.maximum(kb[r], key[c])), pa.array(sim[r, c])], names=["a", "b", "sim"])
 
         return laid.mapInArrow(run, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold)
 

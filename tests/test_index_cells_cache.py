@@ -145,6 +145,18 @@ def test_cells_of_nothing_and_of_unlike_lengths(spark):
         CellIndex(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, v array<double>"), "id", "v")
 
 
+def test_tiles_are_sent_once_a_group_of_partners(spark):
+    rng = np.random.default_rng(11)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1500, 8)))], "id long, v array<double>")
+    index = CellIndex(v, "id", "v", 32)
+    few = sorted((r["a"], r["b"]) for r in index.similar_pairs(0.95).collect())
+    assert few == sorted((r["a"], r["b"]) for r in index.similar_pairs(0.95, partners=15).collect()) and len(set(few)) == len(few) > 0
+    assert index.tiles.count() > 40 and index.pair_groups() == 1  # a tile was sent to as many tasks as it had partners before
+    index.d, index.n = 64, 1 << 19
+    assert index.pair_groups() == 24
+    index.n = 1 << 26
+    assert (1 << 26) / index.pair_groups() * 64 * 8 <= 128 << 20
+
 def test_greedy_pass_by_loops(spark):
     rng = random.Random(1)
     edges = sorted({tuple(sorted(rng.sample(range(200), 2))) for _ in range(400)})
