@@ -92,6 +92,25 @@ def test_nearest_within_groups(spark, monkeypatch):
     assert find() == first and len(first) == 24
 
 
+def test_nearest_within_compares_by_matrix_products(spark):
+    odd = [None, [0.0, 0.0, 0.0], [1.0, 2.0], [1.0, None, 2.0]]
+    rows = [(k, None if k % 17 == 0 else k % 2, odd[k % 11] if k % 11 < 4 else [float(k % 7), float(k % 5), 1.0]) for k in range(90)]
+    v = spark.createDataFrame(rows, "id long, grp int, v array<double>")
+    q = v.where("id % 5 = 0").select("grp", F.col("id").alias("qid"), F.col("v").alias("q"))
+    plain = F.expr("size(v) = size(q) and not exists(v, x -> x is null) and not exists(q, x -> x is null)")
+    sim = F.when(plain, F.round(vectors.cosine(F.col("v"), F.col("q")), 4))  # what can't be compared has none, as in SQL
+    each = v.join(q, "grp").where("id <> qid").select("qid", "id", sim.alias("sim")).collect()
+    found = vectors.nearest_within(v, q, "grp", "id", "qid", 6)
+    for most in (6, 60):
+        got = sorted((r["qid"], r["rank"], r["id"], r["sim"]) for r in vectors.nearest_within(v, q, "grp", "id", "qid", most).collect())
+        want = []
+        for one in sorted({r["qid"] for r in each}):
+            best = sorted((r for r in each if r["qid"] == one), key=lambda r: (r["sim"] is None, -(r["sim"] or 0), r["id"]))[:most]
+            want += [(one, k + 1, r["id"], r["sim"]) for k, r in enumerate(best)]
+        assert got == want
+    assert "zip_with" not in found._jdf.queryExecution().toString()  # before: an expression for each pair
+
+
 def test_greedy_independent(spark):
     nodes = spark.range(6).withColumnRenamed("id", "k")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a long, b long")
