@@ -8,7 +8,9 @@ are by now: an append changes no stored block.
 
 A search adds up the bounds of each query and range. The most promising ranges of a query are scored first, and the
 score of its last place so far is what other ranges must be able to reach; only those are scored too. The result
-is that of scoring everything.
+is that of scoring everything. Of the folders it reads, a search keeps the blocks of asked terms; its steps read those.
+
+An append moves each text once, to the task that has its range. There words become blocks, so no posting is moved or sorted alone.
 
 Blocks and the dictionary are partitioned by segment and a hash of the term, so a search reads the asked terms' folders. A segment counts
 once its row stands in ``segments``, which is written last: a failed append leaves nothing visible, and
@@ -19,6 +21,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +37,9 @@ SLICE_RANGES = 8192
 #: Ranges for each bucket (folder) of a segment, and buckets at most.
 BUCKET_RANGES, MOST_BUCKETS = 8, 256
 #: Stands in the names of stored indexes: one written by other code isn't read.
-FORMAT = 2
+FORMAT = 3
+#: A block: a term's postings in a range, how many there are, the largest count, the least length and the sum of the counts.
+BLOCK = "term string, rng int, n int, tf int, dl int, total bigint, postings array<struct<key:{key},tf:int,dl:int>>"
 SEGMENTS = "segment string, docs bigint, total bigint, buckets int"
 
 
@@ -53,6 +59,31 @@ def term_runs(words: Column) -> Column:
     return F.coalesce(sorted_once, F.array().cast("array<struct<term:string,tf:int>>"))
 
 
+def _range_blocks(docs: pa.Table) -> pa.Table:
+    """The blocks of one range, of its documents (``key, rng, w``): places of words are sorted as numbers, a block is a run of them."""
+    docs = docs.sort_by("key").combine_chunks()
+    w = docs["w"].combine_chunks()
+    coded = w.flatten().dictionary_encode()
+    dl = np.diff(w.offsets.to_numpy()).astype(np.int32)
+    doc = np.repeat(np.arange(len(dl), dtype=np.int64), dl)
+    met, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(dl) + doc, return_counts=True)
+    code, doc = met // len(dl), met % len(dl)
+    begins = np.flatnonzero(np.diff(code, prepend=-1))
+    ends = np.append(begins, len(met)).astype(np.int32)
+    tf = tf.astype(np.int32)
+    postings = pa.StructArray.from_arrays([docs["key"].combine_chunks().take(pa.array(doc)), pa.array(tf), pa.array(dl[doc])], ["key", "tf", "dl"])
+    each = (lambda f, x: f.reduceat(x, begins)) if len(met) else (lambda f, x: x[:0])
+    return pa.table({
+        "term": coded.dictionary.take(pa.array(code[begins])),
+        "rng": pa.array(np.full(len(begins), docs["rng"][0].as_py(), np.int32)),
+        "n": pa.array(np.diff(ends)),
+        "tf": pa.array(each(np.maximum, tf)),
+        "dl": pa.array(each(np.minimum, dl[doc])),
+        "total": pa.array(each(np.add, tf.astype(np.int64))),
+        "postings": pa.ListArray.from_arrays(pa.array(ends), postings),
+    })
+
+
 class InvertedIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -82,19 +113,17 @@ class InvertedIndex:
         buckets = max(1, min(MOST_BUCKETS, first // BUCKET_RANGES))
         start, many = (F.create_map(*(F.lit(x) for b, r in ranges.items() for x in (b, r[k]))) if ranges else F.lit(None) for k in (0, 1))
         of_bin = (F.element_at(start, F.col("bin")) + F.pmod(F.xxhash64("key", "text"), F.element_at(many, F.col("bin")))).cast("int") if ranges else F.lit(0)
-        words = source.select("key", of_bin.alias("rng"), T.tokens(F.col("text")).alias("w")).select("key", "rng", F.size("w").alias("dl"), "w")
-        rows = exploded(words.select("key", "rng", "dl", term_runs(F.col("w")).alias("runs")), ["key", "rng", "dl"], "runs", "x")
-        rows = rows.select("rng", F.col("x.term").alias("term"), F.struct("key", F.col("x.tf").alias("tf"), "dl").alias("p"))
-        placed = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("slice", F.floor(F.col("rng") / SLICE_RANGES).cast("int"))
-        blocks = placed.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "rng").agg(F.sort_array(F.collect_list("p")).alias("postings"))
-        stored = blocks.select(
-            "term", "rng", F.size("postings").alias("n"), F.array_max("postings.tf").alias("tf"), F.array_min("postings.dl").alias("dl"), "postings", "bucket"
-        )
+        # texts move once, sorted before they become words: a range's documents meet, and its blocks are made where they are
+        dealt = source.select("key", of_bin.alias("rng"), "text").repartition("rng").sortWithinPartitions("rng")
+        words = dealt.select("key", "rng", T.tokens(F.col("text")).alias("w"))
+        blocks = words.groupBy("rng").applyInArrow(_range_blocks, BLOCK.format(key=dict(source.dtypes)["key"]))
+        placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets))
         where, total = f"{self.path}/postings/segment={name}", 0
-        stored.sortWithinPartitions("bucket", "term", "rng").write.mode("overwrite").partitionBy("bucket").parquet(where)
+        # by bucket only, which are numbers: a search reads whole folders, so the order within says nothing
+        stored = placed.repartition("bucket", F.floor(F.col("rng") / SLICE_RANGES)).sortWithinPartitions("bucket")
+        stored.write.mode("overwrite").partitionBy("bucket").parquet(where)
         if sizes:  # the dictionary: how many documents have a term, how often it occurs
-            counts = F.aggregate("postings.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
-            terms = self.spark.read.parquet(where).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(counts).alias("total"))
+            terms = self.spark.read.parquet(where).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"))
             there = f"{self.path}/terms/segment={name}"
             terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(there)
             total = self.spark.read.parquet(there).agg(F.sum("total")).first()[0]
@@ -118,7 +147,7 @@ class InvertedIndex:
 
     def blocks(self, known: list[Row] | None = None) -> DataFrame:
         """All blocks of the segments that count (or of those ``known``)."""
-        return self._read("postings", "term string, rng int, n int, tf int, dl int, postings array<struct<key:bigint,tf:int,dl:int>>", known or self.segments())
+        return self._read("postings", BLOCK.format(key="bigint"), known or self.segments())
 
     def frequencies(self) -> DataFrame:
         """``term, df, total``: documents that have a term, and how often it occurs, over all segments."""
@@ -142,7 +171,9 @@ class InvertedIndex:
         terms, longest = each["all"] or 0, each["most"] or 0
         few = lambda df, rows: F.broadcast(df) if rows <= ranking.BROADCAST_TERMS else df
         folders = self._folders(known, asked)
-        blocks = self.blocks(known).where(folders)
+        # of the folders read, the asked terms' blocks: only these are kept for the steps, each of which reads them again
+        blocks = self.blocks(known).where(folders).join(few(asked.select("term").distinct(), terms), "term", "left_semi")
+        blocks = written(blocks.drop("total", "bucket"), f"{scratch}/blocks")
         df = self._read("terms", "term string, df bigint, total bigint", known).where(folders).select("term", "df")
         df = df.join(few(asked.select("term").distinct(), terms), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
         weights = asked.join(df, "term").select(qid, "term", (F.col("times") * ranking._idf(F.lit(n), F.col("df"))).alias("w"))

@@ -94,6 +94,40 @@ def test_appended_index_equals_one_built_at_once(spark, corpus, tmp_path):
     assert found(InvertedIndex(spark, f"file://{tmp_path}/nowhere"), spark) == {}
 
 
+def test_blocks_are_what_loops_make(spark, corpus, tmp_path):
+    index = InvertedIndex(spark, f"file://{tmp_path}/blocks")
+    index.append(spark.createDataFrame(corpus, "id long, text string"), "id", "text", "one")
+    want, lengths = {}, {k: len(tokens(t)) for k, t in corpus}
+    for k, t in corpus:
+        for w, tf in Counter(tokens(t)).items():
+            want.setdefault(w, []).append((k, tf, lengths[k]))
+    got, ranges = {}, {}
+    for r in index.blocks().collect():
+        postings = [tuple(p) for p in r["postings"]]
+        assert postings == sorted(postings) and len(postings) == r["n"]
+        assert (r["tf"], r["dl"], r["total"]) == (max(p[1] for p in postings), min(p[2] for p in postings), sum(p[1] for p in postings))
+        got.setdefault(r["term"], []).extend(postings)
+        assert all(ranges.setdefault(p[0], r["rng"]) == r["rng"] for p in postings)  # a document is in one range
+    assert {w: sorted(p) for w, p in got.items()} == {w: sorted(p) for w, p in want.items()}
+    sums = {r["term"]: (r["df"], r["total"]) for r in index.frequencies().collect()}
+    assert sums == {w: (len(p), sum(x[1] for x in p)) for w, p in want.items()}
+
+
+def test_search_keeps_blocks_of_asked_terms(spark, corpus, tmp_path, monkeypatch):
+    index = InvertedIndex(spark, f"file://{tmp_path}/asked")
+    index.append(spark.createDataFrame(corpus, "id long, text string"), "id", "text", "one")
+    given, scored = [], InvertedIndex._scored
+
+    def seen(self, blocks, *rest):
+        given.append({r["term"] for r in blocks.select("term").distinct().collect()})
+        return scored(self, blocks, *rest)
+
+    monkeypatch.setattr(InvertedIndex, "_scored", seen)
+    found(index, spark)
+    asked = {w for _, q in QUERIES for w in tokens(q)} & {w for _, t in corpus for w in tokens(t)}
+    assert given == [asked, asked]
+
+
 def test_term_runs(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],)], "w array<string>")
     assert [[tuple(x) for x in r[0]] for r in df.select(inverted_index.term_runs(F.col("w"))).collect()] == [[("a", 1), ("b", 2)], [], [("x", 1)]]
