@@ -1,7 +1,7 @@
 """A stored inverted index: built once, appended to, searched for the best documents of many queries.
 
 Documents of a segment are dealt into ranges of about ``RANGE`` documents of like length. A block is the
-postings of one term in one range: keys with their counts and lengths, and beside them (columns that are read
+postings of one term in one range: places of documents in the range with their counts, and beside them (columns that are read
 without the postings) how many there are, the largest count and the least length. BM25 grows with
 the count and falls with the length, so these two bound every score of the block, whatever the averages
 are by now: an append changes no stored block.
@@ -11,6 +11,7 @@ score of its last place so far is what other ranges must be able to reach; only
 is that of scoring everything. Of the folders it reads, a search keeps the blocks of asked terms; its steps read those.
 
 An append moves each text once, to the task that has its range. There words become blocks, so no posting is moved or sorted alone.
+A range's keys and lengths are stored once, as a row of their own (folder ``DOCUMENTS``); a search puts them to the asked blocks.
 
 Blocks and the dictionary are partitioned by segment and a hash of the term, so a search reads the asked terms' folders. A segment counts
 once its row stands in ``segments``, which is written last: a failed append leaves nothing visible, and
@@ -23,6 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,11 @@ SLICE_RANGES = 8192
 BUCKET_RANGES, MOST_BUCKETS = 8, 256
 #: Stands in the names of stored indexes: one written by other code isn't read.
 FORMAT = 3
-#: A block: a term's postings in a range, how many there are, the largest count, the least length and the sum of the counts.
-BLOCK = "term string, rng int, n int, tf int, dl int, total bigint, postings array<struct<key:{key},tf:int,dl:int>>"
+#: A block: a term's postings in a range (``docs``: places in it; ``tfs``), how many there are, the largest count, the least length and the
+#: sum of the counts. A range's row has no term, but the ``keys`` and ``lengths`` of its documents.
+BLOCK = "term string, rng int, n int, tf int, dl int, total bigint, docs array<int>, tfs array<int>, keys array<{key}>, lengths array<int>"
+#: The number that the folder of ranges' rows has among the buckets.
+DOCUMENTS = -1
 SEGMENTS = "segment string, docs bigint, total bigint, buckets int"
 
 
@@ -70,18 +75,28 @@ def _range_blocks(docs: pa.Table) -> pa.Table:
     code, doc = met // len(dl), met % len(dl)
     begins = np.flatnonzero(np.diff(code, prepend=-1))
     ends = np.append(begins, len(met)).astype(np.int32)
-    tf = tf.astype(np.int32)
-    postings = pa.StructArray.from_arrays([docs["key"].combine_chunks().take(pa.array(doc)), pa.array(tf), pa.array(dl[doc])], ["key", "tf", "dl"])
+    tf, doc = tf.astype(np.int32), doc.astype(np.int32)
     each = (lambda f, x: f.reduceat(x, begins)) if len(met) else (lambda f, x: x[:0])
-    return pa.table({
+    kind = docs.schema.field("key").type
+    columns = {
         "term": coded.dictionary.take(pa.array(code[begins])),
-        "rng": pa.array(np.full(len(begins), docs["rng"][0].as_py(), np.int32)),
         "n": pa.array(np.diff(ends)),
         "tf": pa.array(each(np.maximum, tf)),
         "dl": pa.array(each(np.minimum, dl[doc])),
         "total": pa.array(each(np.add, tf.astype(np.int64))),
-        "postings": pa.ListArray.from_arrays(pa.array(ends), postings),
-    })
+        "docs": pa.ListArray.from_arrays(pa.array(ends), pa.array(doc)),
+        "tfs": pa.ListArray.from_arrays(pa.array(ends), pa.array(tf)),
+        "keys": pa.nulls(len(begins), pa.list_(kind)),
+        "lengths": pa.nulls(len(begins), pa.list_(pa.int32())),
+    }
+    whole = {"keys": docs["key"].combine_chunks(), "lengths": pa.array(dl)}
+    # neighbours that differ in the term alone take few bytes
+    alike = pa.array(np.lexsort((pc.binary_length(columns["term"]).to_numpy(), doc[begins], columns["tf"].to_numpy(), np.diff(ends))))
+    for name, x in columns.items():  # the range's own row comes last
+        last = pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), whole[name]) if name in whole else pa.nulls(1, x.type)
+        columns[name] = pa.concat_arrays([x.take(alike), last])
+    rng = pa.array(np.full(len(begins) + 1, docs["rng"][0].as_py(), np.int32))
+    return pa.table({"term": columns.pop("term"), "rng": rng, **columns})
 
 
 class InvertedIndex:
@@ -117,13 +132,13 @@ class InvertedIndex:
         dealt = source.select("key", of_bin.alias("rng"), "text").repartition("rng").sortWithinPartitions("rng")
         words = dealt.select("key", "rng", T.tokens(F.col("text")).alias("w"))
         blocks = words.groupBy("rng").applyInArrow(_range_blocks, BLOCK.format(key=dict(source.dtypes)["key"]))
-        placed = blocks.withColumn("bucket", _bucket(F.col("term"), buckets))
+        bucket = F.when(F.col("term").isNull(), DOCUMENTS).otherwise(_bucket(F.col("term"), buckets))
         where, total = f"{self.path}/postings/segment={name}", 0
         # by bucket only, which are numbers: a search reads whole folders, so the order within says nothing
-        stored = placed.repartition("bucket", F.floor(F.col("rng") / SLICE_RANGES)).sortWithinPartitions("bucket")
+        stored = blocks.repartition(bucket, F.floor(F.col("rng") / SLICE_RANGES)).withColumn("bucket", bucket).sortWithinPartitions("bucket")
         stored.write.mode("overwrite").partitionBy("bucket").parquet(where)
         if sizes:  # the dictionary: how many documents have a term, how often it occurs
-            terms = self.spark.read.parquet(where).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"))
+            terms = self.spark.read.parquet(where).where(F.col("bucket") != DOCUMENTS).groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("total"))
             there = f"{self.path}/terms/segment={name}"
             terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(there)
             total = self.spark.read.parquet(there).agg(F.sum("total")).first()[0]
@@ -145,9 +160,16 @@ class InvertedIndex:
             return self.spark.createDataFrame([], f"{empty}, segment string, bucket int")
         return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("segment").isin(filled))
 
+    def _postings(self, known: list[Row]) -> DataFrame:
+        return self._read("postings", BLOCK.format(key="bigint"), known)
+
     def blocks(self, known: list[Row] | None = None) -> DataFrame:
         """All blocks of the segments that count (or of those ``known``)."""
-        return self._read("postings", BLOCK.format(key="bigint"), known or self.segments())
+        return self._postings(known or self.segments()).where(F.col("bucket") != DOCUMENTS).drop("keys", "lengths")
+
+    def ranges(self, known: list[Row] | None = None) -> DataFrame:
+        """``segment, rng, keys, lengths``: the documents of each range, in the order that blocks count them."""
+        return self._postings(known or self.segments()).where(F.col("bucket") == DOCUMENTS).select("segment", "rng", "keys", "lengths")
 
     def frequencies(self) -> DataFrame:
         """``term, df, total``: documents that have a term, and how often it occurs, over all segments."""
@@ -173,7 +195,9 @@ class InvertedIndex:
         folders = self._folders(known, asked)
         # of the folders read, the asked terms' blocks: only these are kept for the steps, each of which reads them again
         blocks = self.blocks(known).where(folders).join(few(asked.select("term").distinct(), terms), "term", "left_semi")
-        blocks = written(blocks.drop("total", "bucket"), f"{scratch}/blocks")
+        posting = lambda d, tf: F.struct(F.get("keys", d).alias("key"), tf.alias("tf"), F.get("lengths", d).alias("dl"))
+        blocks = blocks.join(self.ranges(known), ["segment", "rng"]).select("segment", "term", "rng", "n", "tf", "dl", F.zip_with("docs", "tfs", posting).alias("postings"))
+        blocks = written(blocks, f"{scratch}/blocks")
         df = self._read("terms", "term string, df bigint, total bigint", known).where(folders).select("term", "df")
         df = df.join(few(asked.select("term").distinct(), terms), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
         weights = asked.join(df, "term").select(qid, "term", (F.col("times") * ranking._idf(F.lit(n), F.col("df"))).alias("w"))

@@ -101,13 +101,15 @@ def test_blocks_are_what_loops_make(spark, corpus, tmp_path):
     for k, t in corpus:
         for w, tf in Counter(tokens(t)).items():
             want.setdefault(w, []).append((k, tf, lengths[k]))
-    got, ranges = {}, {}
+    ranges = {r["rng"]: (r["keys"], r["lengths"]) for r in index.ranges().collect()}
+    assert sorted(k for keys, _ in ranges.values() for k in keys) == sorted(lengths)  # each document is in one range
+    got = {}
     for r in index.blocks().collect():
-        postings = [tuple(p) for p in r["postings"]]
+        keys, dls = ranges[r["rng"]]
+        postings = [(keys[d], tf, dls[d]) for d, tf in zip(r["docs"], r["tfs"], strict=True)]
         assert postings == sorted(postings) and len(postings) == r["n"]
         assert (r["tf"], r["dl"], r["total"]) == (max(p[1] for p in postings), min(p[2] for p in postings), sum(p[1] for p in postings))
         got.setdefault(r["term"], []).extend(postings)
-        assert all(ranges.setdefault(p[0], r["rng"]) == r["rng"] for p in postings)  # a document is in one range
     assert {w: sorted(p) for w, p in got.items()} == {w: sorted(p) for w, p in want.items()}
     sums = {r["term"]: (r["df"], r["total"]) for r in index.frequencies().collect()}
     assert sums == {w: (len(p), sum(x[1] for x in p)) for w, p in want.items()}
