@@ -39,7 +39,7 @@ SLICE_RANGES = 8192
 #: Ranges for each bucket (folder) of a segment, and buckets at most.
 BUCKET_RANGES, MOST_BUCKETS = 8, 256
 #: Stands in the names of stored indexes: one written by other code isn't read.
-FORMAT = 3
+FORMAT = 4
 #: A block: a term's postings in a range (``docs``: places in it; ``tfs``), how many there are, the largest count, the least length and the
 #: sum of the counts. A range's row has no term, but the ``keys`` and ``lengths`` of its documents.
 BLOCK = "term string, rng int, n int, tf int, dl int, total bigint, docs array<int>, tfs array<int>, keys array<{key}>, lengths array<int>"
